@@ -585,8 +585,9 @@ def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n:
     per = df.groupBy(user).agg(F.datediff(F.to_date(F.lit(as_of)), F.to_date(F.max(ts))).alias("recency_days"),
                                F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
     qs = [i / n for i in range(1, n)]
-    cuts = per.agg(*[F.percentile(c, qs).alias(f"__q_{c}") for c in ("recency_days", "frequency", "monetary")])
-    x = per.join(F.broadcast(cuts), how="inner")  # one-row aggregate
+    x = per
+    for c in ("recency_days", "frequency", "monetary"):
+        x = x.withColumn(f"__q_{c}", per.select(F.percentile(c, qs)).scalar())  # one-row scalar subquery
 
     def score(c, reverse=False):
         above = F.size(F.filter(F.col(f"__q_{c}"), lambda q: F.col(c) > q)) + 1
