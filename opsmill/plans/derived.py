@@ -70,6 +70,21 @@ SELECT l_suppkey AS room_id, l_orderkey AS booking_id, l_linenumber AS line_no,
     "usage_cost": """
 SELECT l_partkey AS resource_id, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS cost_center,
   CAST(l_shipdate AS DATE) AS day, l_extendedprice AS amount FROM lineitem""",
+    "tree_nodes": """
+SELECT o_orderkey AS tree_id, CAST(0 AS BIGINT) AS node_id, CASE WHEN o_orderstatus = 'F' THEN 'and' ELSE 'or' END AS node_type,
+  0 AS difficulty, 0 AS cost, 0 AS detection_risk, 0.0 AS time_hours, false AS requires_insider, false AS requires_physical, false AS mitigated
+FROM orders
+UNION ALL SELECT DISTINCT l_orderkey, CAST(1000 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT),
+  CASE WHEN l_returnflag = 'N' THEN 'and' ELSE 'or' END, 0, 0, 0, 0.0, false, false, false FROM lineitem
+UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity),
+  'leaf', CAST(l_partkey % 5 + 1 AS INT), CAST(l_suppkey % 5 AS INT), CAST((l_partkey + l_suppkey) % 5 AS INT), l_quantity,
+  l_partkey % 7 = 0, l_suppkey % 11 = 0, l_linestatus = 'F' FROM lineitem""",
+    "tree_edges": """
+SELECT DISTINCT l_orderkey AS tree_id, CAST(0 AS BIGINT) AS parent, CAST(1000 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT) AS child,
+  CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT) AS pos FROM lineitem
+UNION ALL SELECT l_orderkey, CAST(1000 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) FROM lineitem""",
     "call_log": """
 SELECT user_id % 8 AS service, ts, event_id, event_type <> 'error' AS ok FROM events""",
 }
@@ -234,6 +249,38 @@ class Derived:
                          .alias("cost_center"),
                          F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").alias("amount"))
 
+    def _leaf_lines(self) -> DataFrame:
+        li = self.t.lineitem
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+        code = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).cast("long")
+        return li.withColumn("leaf_no", F.row_number().over(w).cast("long")).withColumn("flag_code", code)
+
+    @cached_property
+    def tree_nodes(self) -> DataFrame:
+        o = self.t.orders
+        z = [F.lit(0).alias("difficulty"), F.lit(0).alias("cost"), F.lit(0).alias("detection_risk"), F.lit(0.0).alias("time_hours"),
+             F.lit(False).alias("requires_insider"), F.lit(False).alias("requires_physical"), F.lit(False).alias("mitigated")]
+        roots = o.select(F.col("o_orderkey").alias("tree_id"), F.lit(0).cast("long").alias("node_id"),
+                         F.when(F.col("o_orderstatus") == "F", "and").otherwise("or").alias("node_type"), *z)
+        lines = self._leaf_lines()
+        mids = lines.select(F.col("l_orderkey").alias("tree_id"), (F.lit(1000) + F.col("flag_code")).alias("node_id"),
+                            F.when(F.col("l_returnflag") == "N", "and").otherwise("or").alias("node_type"), *z).distinct()
+        leaves = lines.select(F.col("l_orderkey").alias("tree_id"), F.col("leaf_no").alias("node_id"), F.lit("leaf").alias("node_type"),
+                              (F.col("l_partkey") % 5 + 1).cast("int").alias("difficulty"), (F.col("l_suppkey") % 5).cast("int").alias("cost"),
+                              ((F.col("l_partkey") + F.col("l_suppkey")) % 5).cast("int").alias("detection_risk"),
+                              F.col("l_quantity").alias("time_hours"), (F.col("l_partkey") % 7 == 0).alias("requires_insider"),
+                              (F.col("l_suppkey") % 11 == 0).alias("requires_physical"), (F.col("l_linestatus") == "F").alias("mitigated"))
+        return roots.unionByName(mids).unionByName(leaves)
+
+    @cached_property
+    def tree_edges(self) -> DataFrame:
+        lines = self._leaf_lines()
+        top = lines.select(F.col("l_orderkey").alias("tree_id"), F.lit(0).cast("long").alias("parent"),
+                           (F.lit(1000) + F.col("flag_code")).alias("child"), F.col("flag_code").alias("pos")).distinct()
+        low = lines.select(F.col("l_orderkey").alias("tree_id"), (F.lit(1000) + F.col("flag_code")).alias("parent"),
+                           F.col("leaf_no").alias("child"), F.col("leaf_no").alias("pos"))
+        return top.unionByName(low)
+
     @cached_property
     def call_log(self) -> DataFrame:
         e = self.t.events
