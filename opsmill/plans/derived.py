@@ -85,6 +85,12 @@ SELECT DISTINCT l_orderkey AS tree_id, CAST(0 AS BIGINT) AS parent, CAST(1000 +
 UNION ALL SELECT l_orderkey, CAST(1000 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT),
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity),
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) FROM lineitem""",
+    "advisories": """
+SELECT 'ADV-' || CAST(p_partkey AS VARCHAR) AS advisory_id, p_name AS name, '0.0.0' AS introduced, CAST(p_size % 5 AS VARCHAR) || '.5.0' AS fixed,
+  CASE p_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'moderate' END AS severity,
+  p_partkey % 3 = 0 AS exploit_available, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 4 = 1 END AS publicly_disclosed,
+  CASE WHEN p_partkey % 6 = 0 THEN 'remote_code_execution in parser' ELSE 'denial of service' END AS description,
+  (p_partkey % 100) / 10.0 AS cvss, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 5 AS VARCHAR) || '.5.0' ELSE '' END AS fixed_in FROM part""",
     "call_log": """
 SELECT user_id % 8 AS service, ts, event_id, event_type <> 'error' AS ok FROM events""",
 }
@@ -281,6 +287,20 @@ class Derived:
                            F.col("leaf_no").alias("child"), F.col("leaf_no").alias("pos"))
         return top.unionByName(low)
 
+    @cached_property
+    def advisories(self) -> DataFrame:
+        p = self.t.part
+        k = F.col("p_partkey")
+        fixed = F.concat((F.col("p_size") % 5).cast("string"), F.lit(".5.0"))
+        return p.select(F.concat(F.lit("ADV-"), k.cast("string")).alias("advisory_id"), F.col("p_name").alias("name"),
+                        F.lit("0.0.0").alias("introduced"), fixed.alias("fixed"),
+                        F.when(k % 5 == 0, "critical").when(k % 5 == 1, "high").when(k % 5 == 2, "medium").when(k % 5 == 3, "low")
+                        .otherwise("moderate").alias("severity"),
+                        (k % 3 == 0).alias("exploit_available"),
+                        F.when(k % 4 == 0, F.lit(None).cast("boolean")).otherwise(k % 4 == 1).alias("publicly_disclosed"),
+                        F.when(k % 6 == 0, "remote_code_execution in parser").otherwise("denial of service").alias("description"),
+                        ((k % 100) / 10.0).alias("cvss"), F.when(k % 2 == 0, fixed).otherwise("").alias("fixed_in"))
+
     @cached_property
     def call_log(self) -> DataFrame:
         e = self.t.events
