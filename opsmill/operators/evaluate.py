@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def word_count(text) -> Column:
@@ -55,7 +56,7 @@ def ab_summary(df: DataFrame, variant: str, metric: str, a: str, b: str) -> Data
             .withColumn("enough_samples", (F.col("n_a") >= 100) & (F.col("n_b") >= 100)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal two-sided p-value (vectorised; applied to the one-row A/B summary)."""
     return z.apply(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan"))
