@@ -78,14 +78,17 @@ def file_route_to_path(route_dir) -> Column:
     return F.concat(F.lit("/"), F.array_join(conv, "/"))
 
 
-def spec_name(name) -> Column:
-    """service name of a spec file: lower case, drop extension, trailing ``-vN`` and
-    ``-api``; a leading three-letter code (``abc-...``) is kept as the name."""
-    n = F.lower(_c(name))
-    n = F.regexp_replace(n, r"\.(json|ya?ml)$", "")
+def spec_name(name, service_code: bool = True) -> Column:
+    """service name of a spec file: drop the extension and a trailing ``-vN``; with
+    ``service_code`` (OpenAPI) also a trailing ``-api``, and a name made of a
+    three-lowercase-letter code plus topic segments keeps only the code
+    (``abc-strategies-v1.yaml`` -> ``abc``). AsyncAPI names only lose the version."""
+    n = F.regexp_replace(_c(name), r"\.(json|ya?ml)$", "")
     n = F.regexp_replace(n, r"-v\d+$", "")
+    if not service_code:
+        return n
     n = F.regexp_replace(n, r"-api$", "")
-    code = F.regexp_extract(n, r"^([a-z]{3})-", 1)
+    code = F.regexp_extract(n, r"^([a-z]{3})(?:[-_].*)?$", 1)
     return F.when(code != "", code).otherwise(n)
 
 
