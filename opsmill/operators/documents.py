@@ -11,21 +11,29 @@ each function.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsmill.functions.text import tokens
-from opsmill.session import bounded, cut_lineage
+from opsmill.session import bounded, cut_lineage, spread
 
-# Personal-data patterns (name, regex).
+# Personal-data patterns (name, regex, cheap necessary condition).
 PII_PATTERNS = [
-    ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
-    ("ipv4", r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])"),
-    ("card_number", r"(?:^|[^0-9])([0-9]{13,16})(?:$|[^0-9])"),
+    ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", "@"),
+    ("ipv4", r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])", r"[0-9]\.[0-9]"),
+    ("card_number", r"(?:^|[^0-9])([0-9]{13,16})(?:$|[^0-9])", r"[0-9]{13}"),
 ]
 
+
+def _guarded(text: Column, rx: str, guard: str, group: int) -> Column:
+    """``regexp_extract_all`` evaluated only where a cheap necessary condition holds (a
+    substring, or a short linear regex): most texts skip the expensive pattern."""
+    cond = text.contains(guard) if re.escape(guard) == guard or guard == "@" else text.rlike(guard)
+    return F.when(cond, F.regexp_extract_all(text, F.lit(rx), group)).otherwise(F.array().cast("array<string>"))
+
 # Credential rules (name, regex, severity).
 SECRET_RULES = [
     ("aws_access_key", r"AKIA[0-9A-Z]{16}", "critical"),
@@ -55,7 +63,7 @@ def pii_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns=
     """Every personal-data match in every document: (key, kind, match, valid).
     Each pattern's first group is the match; ``valid`` applies the Luhn check to card
     numbers and the 0-255 octet range to IPv4 addresses."""
-    parts = [F.struct(F.lit(name).alias("kind"), F.regexp_extract_all(F.col(text), F.lit(rx), 1).alias("m")) for name, rx in patterns]
+    parts = [F.struct(F.lit(name).alias("kind"), _guarded(F.col(text), rx, guard, 1).alias("m")) for name, rx, guard in patterns]
     x = docs.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.kind", F.explode("p.m").alias("match"))
     octets_ok = F.forall(F.split(F.col("match"), r"\."), lambda o: o.cast("int") <= 255)
     return x.withColumn("valid", F.when(F.col("kind") == "card_number", luhn_valid("match"))
@@ -89,7 +97,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """Lines (trimmed, at least ``min_len`` characters) that occur in ``min_docs``
     or more documents. Partial aggregation per map task collapses repeats before the
     shuffle, so a boilerplate line present everywhere costs one row per task."""
-    lines = docs.select(key, F.explode(F.split(F.col(text), "\n")).alias("line")).select(key, F.trim("line").alias("line"))
+    lines = spread(docs.select(key, text)).select(key, F.explode(F.split(F.col(text), "\n")).alias("line")).select(
+        key, F.trim("line").alias("line"))
     lines = lines.filter(F.length("line") >= min_len)
     return (lines.groupBy(F.sha2("line", 256).alias("line_hash")).agg(F.countDistinct(key).alias("docs"), F.min("line").alias("line"))
             .filter(F.col("docs") >= min_docs))
@@ -101,7 +110,7 @@ def shingle_hashes(docs: DataFrame, key: str, text: str, shingle: int = 5) -> Da
     Tokens become rows (``posexplode``) and a shingle is the token plus the next
     ``shingle - 1`` (``lead`` within the document), so everything stays in generated
     code; a text shorter than one shingle contributes one shingle of all its tokens."""
-    toks = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
+    toks = spread(docs.select(key, text)).select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
     w = Window.partitionBy(key).orderBy("pos")
     parts = [F.col("tok")] + [F.lead("tok", i).over(w) for i in range(1, shingle)]
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
@@ -165,21 +174,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 of every document for a keyword query over whole texts.
 
-    Document lengths need one pass over all tokens; term statistics are computed only
-    for the query terms (the token stream is filtered before the shuffle), so the
-    shuffle carries (doc, term) counts for a handful of terms, not the vocabulary."""
+    One pass per document computes its token count and the count of each query term
+    (tokens = lower-cased runs of letters/digits), so the token stream is never exploded
+    or shuffled. That per-document frame - a few numbers per document - is persisted
+    (memory and disk) because the corpus statistics (N, average length, document
+    frequencies; one struct-valued scalar subquery) and the scores both read it.
+    idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
+    from pyspark import StorageLevel
+
     terms = sorted(set(t for t in query.lower().split() if t))
-    toks = docs.select(key, tokens(F.col(text)).alias("t"))
-    dl = toks.select(key, F.size("t").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    tf = (toks.select(key, F.explode("t").alias("term")).filter(F.col("term").isin(terms))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    j = tf.join(df_, "term").join(dl, key).withColumn("idf", idf)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return j.groupBy(key).agg(F.sum(part).alias("score"))
+    toks = tokens(F.col(text))
+    per = (spread(docs.select(key, text)).select(key, toks.alias("__t"))
+           .select(key, F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _eq(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    stats = per.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"),
+                                *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    parts = []
+    for i in range(len(terms)):
+        tf, df_ = F.col(f"__tf{i}"), stats[f"df{i}"]
+        idf = F.log((stats["n"] - df_ + 0.5) / (df_ + 0.5) + 1)
+        parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / stats["avgdl"]))).otherwise(0.0))
+    any_tf = F.greatest(*[F.col(f"__tf{i}") for i in range(len(terms))]) > 0 if len(terms) > 1 else F.col("__tf0") > 0
+    score = parts[0]
+    for p_ in parts[1:]:
+        score = score + p_
+    return per.filter(any_tf).select(key, score.alias("score"))
+
+
+def _eq(term: str):
+    # one-argument lambda (two arguments would receive the element index)
+    return lambda w: w == F.lit(term)
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -188,7 +212,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     step = size - overlap
     n = F.length(F.col(text))
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    x = docs.select(key, text, F.posexplode(starts).alias("chunk_no", "start"))
+    x = spread(docs.select(key, text)).select(key, text, F.posexplode(starts).alias("chunk_no", "start"))
     x = x.filter((F.col("start") < F.length(F.col(text))) & ((F.col("start") == 0) | (F.col("start") + overlap < F.length(F.col(text)))))
     return x.select(key, "chunk_no", "start", F.substring(F.col(text), F.col("start") + 1, size).alias("chunk"))
 

@@ -917,3 +917,28 @@ def q_u5(spark, sf):
     n = s.select(F.count(F.lit(1))).scalar()
     edges = s.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % n).alias("dst"))
     return rel.closure(edges, "src", "dst").select("src", "dst", F.col("depth").cast("int").alias("depth"), "cycle")
+
+
+# Networks for the containment check (a small literal table, broadcast).
+NETWORKS = [("10.0.0.0/8", "private-a"), ("70.0.0.0/8", "seventy"), ("152.143.0.0/16", "office"), ("233.233.0.0/16", "partner"),
+            ("0.0.0.0/1", "lower-half")]
+
+
+@register("j16_cidr_containment_join", sql="""
+WITH ips AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9]{1,3}\\.){3}[0-9]{1,3})(?:$|[^0-9.])', 1)) AS ip FROM documents),
+v AS (SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536
+  + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS n FROM ips),
+nets AS (SELECT name, CAST(split_part(cidr, '/', 2) AS INTEGER) AS len, CAST(split_part(split_part(cidr, '/', 1), '.', 1) AS BIGINT) * 16777216
+  + CAST(split_part(split_part(cidr, '/', 1), '.', 2) AS BIGINT) * 65536 + CAST(split_part(split_part(cidr, '/', 1), '.', 3) AS BIGINT) * 256
+  + CAST(split_part(split_part(cidr, '/', 1), '.', 4) AS BIGINT) AS base FROM (VALUES ('10.0.0.0/8', 'private-a'), ('70.0.0.0/8', 'seventy'),
+  ('152.143.0.0/16', 'office'), ('233.233.0.0/16', 'partner'), ('0.0.0.0/1', 'lower-half')) t(cidr, name)),
+b AS (SELECT name, floor(base / pow(2, 32 - len)) * pow(2, 32 - len) AS lo, floor(base / pow(2, 32 - len)) * pow(2, 32 - len) + pow(2, 32 - len) AS hi FROM nets)
+SELECT name, count(*) AS matches, count(DISTINCT doc_id) AS docs FROM v JOIN b ON n >= lo AND n < hi GROUP BY 1
+""")
+def q_j16(spark, sf):
+    from opsmill.operators import documents as DOC
+
+    ips = DOC.pii_scan(Tables(spark, sf).documents).filter(F.col("kind") == "ipv4").select("doc_id", rel.ipv4_to_long(F.col("match")).alias("n"))
+    nets = rel.cidr_bounds(spark.createDataFrame(NETWORKS, "cidr string, name string"), "cidr")
+    j = rel.range_join(ips, nets, "n", "net_lo", "net_hi")
+    return j.groupBy("name").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("doc_id").alias("docs"))

@@ -79,3 +79,14 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     if max_rows > 100_000:
         raise ValueError("bounded() is for literal rule tables only")
     return F.broadcast(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work (regexes over whole texts, tokenising) over the
+    cluster's cores when the input yields fewer partitions than there are cores (a
+    single-row-group file). On a large input the scan already has many more partitions
+    than cores and this returns ``df`` unchanged - no extra shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
