@@ -246,17 +246,35 @@ def populate_related(child: DataFrame, parent: DataFrame, fk: str, pk: str, name
     return child.join(p, fk, "left")
 
 
-def interval_conflicts(df: DataFrame, key: str, start: str, end: str, order: Sequence[str]) -> DataFrame:
+def interval_conflicts(df: DataFrame, key: str, start: str, end: str, order: Sequence[str],
+                       bucket_days: int | None = None) -> DataFrame:
     """``EXCLUDE USING gist (key WITH =, period WITH &&)`` as a check.
 
     A booking conflicts when it starts before the latest end of the bookings sorted before
     it in the same key. That is a sort + running max (no self join, no pairs), and it is
-    exact: an interval overlaps *some* earlier one iff start < max(earlier ends)."""
-    w = Window.partitionBy(key).orderBy(F.col(start), *[F.col(c) for c in order]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    prev_end = F.max(F.col(end)).over(w)
-    return df.withColumn("prev_max_end", prev_end).withColumn(
-        "conflict", F.coalesce(F.col(start) < F.col("prev_max_end"), F.lit(False)))
+    exact: an interval overlaps *some* earlier one iff start < max(earlier ends).
+
+    With ``bucket_days`` a hot key is split by start-date bucket: the running max runs
+    inside each (key, bucket), and the maximum end of all earlier buckets of the key (a
+    prefix max over one row per bucket) is carried in by a join - the same answer, with
+    the work of one key spread over its buckets."""
+    tie = [F.col(c) for c in order]
+    if bucket_days is None:
+        w = Window.partitionBy(key).orderBy(F.col(start), *tie).rowsBetween(Window.unboundedPreceding, -1)
+        prev_end = F.max(F.col(end)).over(w)
+        return df.withColumn("prev_max_end", prev_end).withColumn(
+            "conflict", F.coalesce(F.col(start) < F.col("prev_max_end"), F.lit(False)))
+    b = F.floor(F.datediff(F.col(start), F.to_date(F.lit("1970-01-01"))) / bucket_days).cast("long")
+    x = df.withColumn("__b", b)
+    w_in = Window.partitionBy(key, "__b").orderBy(F.col(start), *tie).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__in", F.max(F.col(end)).over(w_in))
+    per_bucket = x.groupBy(key, "__b").agg(F.max(end).alias("__bmax"))
+    w_b = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.withColumn("__carry", F.max("__bmax").over(w_b)).select(key, "__b", "__carry")
+    x = x.join(carry, [key, "__b"])
+    prev = F.greatest(F.col("__in"), F.col("__carry"))
+    return (x.withColumn("prev_max_end", prev).withColumn("conflict", F.coalesce(F.col(start) < F.col("prev_max_end"), F.lit(False)))
+            .drop("__b", "__in", "__carry"))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, lo: str, hi: str, bucket: float | None = None) -> DataFrame:

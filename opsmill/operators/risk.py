@@ -179,8 +179,9 @@ def control_coverage(mc: DataFrame, threat_id: str = "threat_id") -> DataFrame:
     return mc.groupBy(threat_id).agg(
         (F.sum(F.col("effectiveness") * F.col("multiplier")) / (F.count(F.lit(1)) * MAX_EFFECTIVENESS) * 100).alias("coverage"),
         F.count(F.lit(1)).alias("controls"),
-        F.countDistinct(F.when(live, F.col("layer_no"))).alias("layers"),
-        F.countDistinct(F.when(live, F.col("type_no"))).alias("types"))
+        # distinct layers / types: sets bounded by the 6 layers and 3 types, built map-side
+        F.size(F.collect_set(F.when(live, F.col("layer_no")))).cast("long").alias("layers"),
+        F.size(F.collect_set(F.when(live, F.col("type_no")))).cast("long").alias("types"))
 
 
 def mitigation_gaps(coverage: DataFrame, threat_id: str = "threat_id") -> DataFrame:

@@ -90,7 +90,8 @@ SELECT 'ADV-' || CAST(p_partkey AS VARCHAR) AS advisory_id, p_name AS name, '0.0
   CASE p_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'moderate' END AS severity,
   p_partkey % 3 = 0 AS exploit_available, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 4 = 1 END AS publicly_disclosed,
   CASE WHEN p_partkey % 6 = 0 THEN 'remote_code_execution in parser' ELSE 'denial of service' END AS description,
-  (p_partkey % 100) / 10.0 AS cvss, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 5 AS VARCHAR) || '.5.0' ELSE '' END AS fixed_in FROM part""",
+  (p_partkey % 100) / 10.0 AS cvss, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 5 AS VARCHAR) || '.5.0' ELSE '' END AS fixed_in
+FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_name)""",
     "call_log": """
 SELECT user_id % 8 AS service, ts, event_id, event_type <> 'error' AS ok FROM events""",
 }
@@ -289,7 +290,10 @@ class Derived:
 
     @cached_property
     def advisories(self) -> DataFrame:
-        p = self.t.part
+        # one advisory per package name: the name's lowest part key
+        part = self.t.part
+        first = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+        p = part.join(first, ["p_name", "p_partkey"], "left_semi")
         k = F.col("p_partkey")
         fixed = F.concat((F.col("p_size") % 5).cast("string"), F.lit(".5.0"))
         return p.select(F.concat(F.lit("ADV-"), k.cast("string")).alias("advisory_id"), F.col("p_name").alias("name"),

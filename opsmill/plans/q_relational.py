@@ -335,7 +335,7 @@ SELECT room_id, count(*) AS n_bookings, CAST(count_if(coalesce(conflict, false))
 """)
 def q_j14(spark, sf):
     b = Tables(spark, sf).derived.bookings.withColumn("end_day", F.date_add("start_day", F.col("days")))
-    f = rel.interval_conflicts(b, "room_id", "start_day", "end_day", ["booking_id", "line_no", "part_no", "days"])
+    f = rel.interval_conflicts(b, "room_id", "start_day", "end_day", ["booking_id", "line_no", "part_no", "days"], bucket_days=90)
     return f.groupBy("room_id").agg(F.count(F.lit(1)).alias("n_bookings"), F.count_if("conflict").alias("n_conflicts"))
 
 
