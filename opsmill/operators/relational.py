@@ -111,7 +111,7 @@ def cursor_connection(df: DataFrame, keys: Sequence[str], n: int, after: Sequenc
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
     w = Window.orderBy(*order)  # at most n + 1 rows reach this window
     cur = F.base64(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    ranked = src.withColumn("position", F.row_number().over(w)).withColumn("cursor", cur)
+    ranked = src.withColumn("position", F.row_number().over(w).cast("long")).withColumn("cursor", cur)
     fetched = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     return (ranked.withColumn("has_next_page", fetched > n)
             .filter(F.col("position") <= n)
@@ -485,8 +485,8 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 def rankings(df: DataFrame, key: str, order: Sequence[Column], buckets: int = 4) -> DataFrame:
     """row_number, rank, dense_rank, ntile, percent_rank within each key."""
     w = Window.partitionBy(key).orderBy(*order)
-    return (df.withColumn("row_number", F.row_number().over(w)).withColumn("rank", F.rank().over(w))
-            .withColumn("dense_rank", F.dense_rank().over(w)).withColumn("ntile", F.ntile(buckets).over(w))
+    return (df.withColumn("row_number", F.row_number().over(w).cast("long")).withColumn("rank", F.rank().over(w).cast("long"))
+            .withColumn("dense_rank", F.dense_rank().over(w).cast("long")).withColumn("ntile", F.ntile(buckets).over(w).cast("long"))
             .withColumn("percent_rank", F.percent_rank().over(w)))
 
 
@@ -608,8 +608,8 @@ def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n:
         x = x.withColumn(f"__q_{c}", per.select(F.percentile(c, qs)).scalar())  # one-row scalar subquery
 
     def score(c, reverse=False):
-        above = F.size(F.filter(F.col(f"__q_{c}"), lambda q: F.col(c) > q)) + 1
-        return (F.lit(n + 1) - above) if reverse else above
+        above = F.size(F.filter(F.col(f"__q_{c}"), lambda q: F.col(c) > q)).cast("long") + 1
+        return (F.lit(n + 1).cast("long") - above) if reverse else above
 
     return (x.withColumn("r_score", score("recency_days", reverse=True)).withColumn("f_score", score("frequency"))
             .withColumn("m_score", score("monetary")).drop(*[f"__q_{c}" for c in ("recency_days", "frequency", "monetary")]))
@@ -630,7 +630,7 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 def top_n_per_group(df: DataFrame, key: str, n: int, order: Sequence[Column], out: str = "rank_in_group") -> DataFrame:
     """``row_number() <= n`` per group (Spark plans a group-limit before the shuffle)."""
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).filter(F.col(out) <= n)
 
 
 def offset_limit(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:

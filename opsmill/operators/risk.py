@@ -229,7 +229,7 @@ def phase_roadmap(gaps: DataFrame, threats: DataFrame, control_categories: DataF
     g = g.withColumn("phase", F.when(F.col("impact") == 4, 1).otherwise(2))
     cand = g.join(todo, "category_no")
     w = Window.partitionBy("phase").orderBy(threat_id, "gap_no", "control_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_phase)
+    ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= per_phase)
     return ranked.select(threat_id, "control_id", "phase", F.when(F.col("phase") == 1, "Critical").otherwise("High").alias("priority"),
                          "rank")
 

@@ -70,7 +70,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, q
 
     local = vectors.select(vec_id, vec).mapInPandas(local_topk, schema)
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(vec_id).asc())
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5,
@@ -91,7 +91,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, qu
     res = pairs.select(F.col("datasetA.id").alias(query_id), F.col("datasetB.id").alias(vec_id),
                        (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(vec_id).asc())
-    return res.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return res.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def composite_rank(df: DataFrame, similarity: str, age_days: str, weight: str, w_sim: float = 0.6, w_age: float = 0.25,

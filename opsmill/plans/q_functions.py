@@ -67,7 +67,7 @@ def q_f7(spark, sf):
         F.col("n").desc(), "pop").limit(10)
     # the popular list is a top-10: a proven size bound, so it is broadcast
     j = names.join(F.broadcast(popular), T.near_name(F.col("name"), F.col("pop"), 2))
-    return j.select("name", "pop", F.levenshtein(F.lower("name"), F.col("pop")).alias("distance"))
+    return j.select("name", "pop", F.levenshtein(F.lower("name"), F.col("pop")).cast("long").alias("distance"))
 
 
 def _duck_trigrams(col: str) -> str:

@@ -43,7 +43,7 @@ def q_q2(spark, sf):
 
 
 @register("q3_row_count_check", sql="""
-SELECT 'nation' AS table_name, (SELECT count(*) FROM nation) AS actual, 25 AS expected
+SELECT 'nation' AS table_name, (SELECT count(*) FROM nation) AS actual, CAST(25 AS BIGINT) AS expected
 UNION ALL SELECT 'region', (SELECT count(*) FROM region), 5
 UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 1500
 """)
@@ -358,7 +358,7 @@ def q_m13(spark, sf):
     t = Tables(spark, sf)
     first_ship = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
     d = t.orders.join(first_ship, "o_orderkey")
-    out = M.dora_metrics(d, F.year("o_orderdate"), F.col("o_orderstatus") == "P",
+    out = M.dora_metrics(d, F.year("o_orderdate").cast("long"), F.col("o_orderstatus") == "P",
                          F.unix_timestamp("ship") - F.unix_timestamp("o_orderdate"))
     return out.select("period", "deployments", r(F.col("avg_lead_seconds") / 86400, 4).alias("avg_lead_days"),
                       r("change_failure_rate", 6).alias("change_failure_rate"), r("pipeline_success_rate", 6).alias("pipeline_success_rate"))

@@ -668,7 +668,7 @@ def q_w5(spark, sf):
     t = Tables(spark, sf)
     q = (t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
          .groupBy(F.col("c_nationkey").alias("nation"),
-                  (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("period"))
+                  (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).cast("long").alias("period"))
          .agg(F.sum("o_totalprice").alias("revenue")))
     g = rel.period_growth(q, "nation", "period", "revenue")
     return g.select("nation", "period", r("revenue").alias("revenue"), r("growth", 6).alias("growth"),
@@ -761,7 +761,7 @@ def q_w12(spark, sf):
     y = F.date_trunc("year", F.col("o_orderdate"))
     first = o.groupBy("o_custkey").agg(F.min(y).alias("cohort"))
     act = o.select("o_custkey", y.alias("y")).distinct().join(first, "o_custkey")
-    return act.groupBy(F.year("cohort").alias("cohort_year"), (F.year("y") - F.year("cohort")).alias("year_offset")).agg(
+    return act.groupBy(F.year("cohort").cast("long").alias("cohort_year"), (F.year("y") - F.year("cohort")).cast("long").alias("year_offset")).agg(
         F.countDistinct("o_custkey").alias("active_users"))
 
 
