@@ -316,20 +316,43 @@ def as_of_state(events: DataFrame, key: str, ts: str, value_cols: Sequence[str],
 
 
 def as_of_join(probes: DataFrame, events: DataFrame, key: str, probe_ts: str, ts: str,
-               value_cols: Sequence[str]) -> DataFrame:
+               value_cols: Sequence[str], bucket_seconds: int | None = None) -> DataFrame:
     """J17 for many probes: union probes with events, sort once per key, carry the last
-    event forward with ``last(..., ignorenulls)``. No probe x event pairs are formed."""
-    ev = events.select(key, F.col(ts).alias("__t"), F.lit(1).alias("__is_ev"),
-                       *[F.col(c) for c in value_cols])
+    event forward with ``last(..., ignorenulls)``. No probe x event pairs are formed.
+
+    With ``bucket_seconds`` a hot key is split by time bucket: the carry runs inside each
+    (key, bucket), and probes with no earlier event in their own bucket take the last
+    event of the nearest earlier bucket - found by the same union trick over one row per
+    (key, bucket), so the result is identical to the unbucketed one."""
+    ev = events.select(key, F.col(ts).alias("__t"), F.lit(1).alias("__is_ev"), *[F.col(c) for c in value_cols])
     pr = probes.select(key, F.col(probe_ts).alias("__t"), F.lit(2).alias("__is_ev"),
                        *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in value_cols],
                        F.struct(*probes.columns).alias("__probe"))
     ev = ev.withColumn("__probe", F.lit(None).cast(pr.schema["__probe"].dataType))
-    w = Window.partitionBy(key).orderBy("__t", "__is_ev").rowsBetween(Window.unboundedPreceding, 0)
     u = ev.unionByName(pr)
-    for c in value_cols:
-        u = u.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    return u.filter(F.col("__is_ev") == 2).select("__probe.*", *value_cols)
+    if bucket_seconds is None:
+        w = Window.partitionBy(key).orderBy("__t", "__is_ev").rowsBetween(Window.unboundedPreceding, 0)
+        for c in value_cols:
+            u = u.withColumn(c, F.last(c, ignorenulls=True).over(w))
+        return u.filter(F.col("__is_ev") == 2).select("__probe.*", *value_cols)
+    b = F.floor(F.unix_micros(F.col("__t").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    u = u.withColumn("__b", b).withColumn("__seen", F.when(F.col("__is_ev") == 1, F.lit(1)))
+    w_in = Window.partitionBy(key, "__b").orderBy("__t", "__is_ev").rowsBetween(Window.unboundedPreceding, 0)
+    for c in [*value_cols, "__seen"]:
+        u = u.withColumn(c, F.last(c, ignorenulls=True).over(w_in))
+    # last event of each bucket, and for every probe bucket the nearest earlier one
+    last_ev = (u.filter(F.col("__is_ev") == 1).groupBy(key, "__b")
+               .agg(F.max_by(F.struct(*value_cols), F.struct("__t")).alias("__v")))
+    probe_b = u.filter(F.col("__is_ev") == 2).select(key, "__b").distinct()
+    bu = (last_ev.select(key, "__b", F.lit(1).alias("__k"), "__v")
+          .unionByName(probe_b.select(key, "__b", F.lit(2).alias("__k"), F.lit(None).cast(last_ev.schema["__v"].dataType).alias("__v"))))
+    # probe-bucket rows sort before the event row of the same bucket: the carry comes only
+    # from strictly earlier buckets
+    wb = Window.partitionBy(key).orderBy(F.col("__b"), F.col("__k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = bu.withColumn("__carry", F.last("__v", ignorenulls=True).over(wb)).filter(F.col("__k") == 2).select(key, "__b", "__carry")
+    p = u.filter(F.col("__is_ev") == 2).join(carry, [key, "__b"], "left")
+    outs = [F.when(F.col("__seen").isNotNull(), F.col(c)).otherwise(F.col("__carry")[c]).alias(c) for c in value_cols]
+    return p.select("__probe.*", *outs)
 
 
 def trust_boundary_flows(flows: DataFrame, elements: DataFrame, src: str = "source_id", dst: str = "target_id",

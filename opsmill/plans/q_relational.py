@@ -386,7 +386,7 @@ def q_j17j(spark, sf):
     e = Tables(spark, sf).events
     probes = e.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     views = e.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("view_value"))
-    j = rel.as_of_join(probes, views, "user_id", "ts", "vts", ["view_value"])
+    j = rel.as_of_join(probes, views, "user_id", "ts", "vts", ["view_value"], bucket_seconds=86400)
     return j.select("event_id", r("view_value").alias("last_view_value"))
 
 

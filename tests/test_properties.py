@@ -62,3 +62,26 @@ def test_closure_matches_python(spark):
                         nxt.append(m)
             frontier = nxt
     assert got == want
+
+
+def test_bucketed_as_of_join_equals_unbucketed(spark):
+    import os
+    from conftest import SF
+    e = spark.read.parquet(os.path.join(SF, "events.parquet"))
+    probes = e.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    views = e.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("v"))
+    a = rel.as_of_join(probes, views, "user_id", "ts", "vts", ["v"])
+    b = rel.as_of_join(probes, views, "user_id", "ts", "vts", ["v"], bucket_seconds=3 * 3600)
+    assert rows(a, "event_id", "v") == rows(b, "event_id", "v")
+    assert a.filter(F.col("v").isNotNull()).count() > 0
+
+
+def test_bucketed_interval_conflicts_equal_unbucketed(spark):
+    import os
+    from conftest import SF
+    li = spark.read.parquet(os.path.join(SF, "lineitem.parquet"))
+    b = li.select(F.col("l_suppkey").alias("room"), F.col("l_orderkey").alias("bid"), F.col("l_linenumber").alias("ln"),
+                  F.col("l_shipdate").cast("date").alias("s"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).alias("e"))
+    x = rel.interval_conflicts(b, "room", "s", "e", ["bid", "ln"])
+    y = rel.interval_conflicts(b, "room", "s", "e", ["bid", "ln"], bucket_days=30)
+    assert rows(x, "room", "bid", "ln", "conflict") == rows(y, "room", "bid", "ln", "conflict")
