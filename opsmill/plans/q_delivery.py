@@ -225,7 +225,7 @@ def q_d11(spark, sf):
 
 @register("d12_dependency_tree", sql="""
 WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2
-    UNION ALL SELECT p_partkey, 2 * p_partkey + 1 FROM part WHERE p_partkey % 500 = 0),
+    UNION ALL SELECT p_partkey, 2 * p_partkey + 1 FROM part WHERE p_size = 50 AND p_retailprice > 1500),
 walk(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT w.src, e.dst, w.depth + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.depth < 40),
 pairs AS (SELECT src, dst, min(depth) AS depth FROM walk GROUP BY 1, 2)
 SELECT src, count(*) AS reachable, max(depth) AS max_depth, bool_or(src = dst) AS circular FROM pairs GROUP BY 1
@@ -233,7 +233,7 @@ SELECT src, count(*) AS reachable, max(depth) AS max_depth, bool_or(src = dst) A
 def q_d12(spark, sf):
     p = Tables(spark, sf).part
     edges = (p.filter(F.col("p_partkey") >= 2).select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
-             .unionByName(p.filter(F.col("p_partkey") % 500 == 0).select(F.col("p_partkey").alias("src"),
+             .unionByName(p.filter((F.col("p_size") == 50) & (F.col("p_retailprice") > 1500)).select(F.col("p_partkey").alias("src"),
                                                                            (2 * F.col("p_partkey") + 1).alias("dst"))))
     cl = rel.closure(edges, "src", "dst")
     return cl.groupBy("src").agg(F.count(F.lit(1)).alias("reachable"), F.max("depth").cast("int").alias("max_depth"),

@@ -225,11 +225,12 @@ def q_g15(spark, sf):
 
 
 @register("g16_retention_policy", sql=sql_with("usage_cost") + """
-SELECT count(*) AS to_delete FROM usage_cost WHERE day < DATE '2001-09-01' - INTERVAL 1825 DAY AND resource_id % 10 <> 0
+SELECT count(*) AS to_delete FROM usage_cost WHERE day < DATE '2001-09-01' - INTERVAL 1825 DAY
+  AND resource_id NOT IN (SELECT resource_id FROM usage_cost WHERE amount > 90000)
 """)
 def q_g16(spark, sf):
     u = Tables(spark, sf).derived.usage_cost
-    holds = u.filter(F.col("resource_id") % 10 == 0).select("resource_id")
+    holds = u.filter(F.col("amount") > 90000).select("resource_id")  # large spends are under legal hold
     c = G.retention_candidates(u.withColumn("day_ts", F.col("day").cast("timestamp")), "day_ts", "2001-09-01", 1825, holds, "resource_id")
     return c.agg(F.count(F.lit(1)).alias("to_delete"))
 

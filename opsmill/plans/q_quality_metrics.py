@@ -56,17 +56,21 @@ def q_q3(spark, sf):
 
 @register("q4_table_reconcile", sql="""
 WITH s AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders),
-t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus
-  FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT o_orderkey + 1000000000, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 = 0)
+t AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+  o_orderstatus FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')
+  UNION ALL SELECT o_orderkey + 1000000000, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 300000)
 SELECT CASE WHEN t.o_orderkey IS NULL THEN 'missing' WHEN s.o_orderkey IS NULL THEN 'extra'
   WHEN s.o_totalprice IS DISTINCT FROM t.o_totalprice OR s.o_orderstatus IS DISTINCT FROM t.o_orderstatus THEN 'changed' ELSE 'same' END AS status,
   count(*) AS n FROM s FULL JOIN t ON s.o_orderkey = t.o_orderkey GROUP BY 1
 """)
 def q_q4(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    tgt = (o.filter(F.col("o_orderkey") % 13 != 0)
-           .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 17 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-           .unionByName(o.filter(F.col("o_orderkey") % 19 == 0).withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)))
+    o2 = Tables(spark, sf).orders
+    changed = (o2["o_orderpriority"] == "1-URGENT") & (o2["o_orderstatus"] == "O")
+    tgt = (o2.filter(~((o2["o_orderpriority"] == "5-LOW") & (o2["o_orderstatus"] == "P")))
+           .select("o_orderkey", F.when(changed, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+                   "o_orderstatus")
+           .unionByName(o.filter(F.col("o_totalprice") > 300000).withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)))
     rec = Q.table_reconcile(o, tgt, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
     return rec.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -443,21 +447,21 @@ def q_m19(spark, sf):
 
 
 @register("m20_log_correlation", sql=sql_with("spans") + """
-SELECT user_id AS trace_id, count(*) AS log_lines FROM events WHERE user_id IN (SELECT trace_id FROM spans WHERE trace_id % 3 <> 0) GROUP BY 1
+SELECT user_id AS trace_id, count(*) AS log_lines FROM events WHERE user_id IN (SELECT trace_id FROM spans WHERE duration > 300) GROUP BY 1
 """)
 def q_m20(spark, sf):
     t = Tables(spark, sf)
-    traces = t.derived.spans.filter(F.col("trace_id") % 3 != 0)
+    traces = t.derived.spans.filter(F.col("duration") > 300)  # traces that carry a slow span
     per, _ = M.log_correlation(t.events.withColumnRenamed("user_id", "trace_id"), traces, "trace_id")
     return per
 
 
 @register("m20_orphan_logs", sql=sql_with("spans") + """
-SELECT count(*) AS orphan_lines FROM events WHERE user_id NOT IN (SELECT trace_id FROM spans WHERE trace_id % 3 <> 0)
+SELECT count(*) AS orphan_lines FROM events WHERE user_id NOT IN (SELECT trace_id FROM spans WHERE duration > 300)
 """)
 def q_m20o(spark, sf):
     t = Tables(spark, sf)
-    traces = t.derived.spans.filter(F.col("trace_id") % 3 != 0)
+    traces = t.derived.spans.filter(F.col("duration") > 300)  # traces that carry a slow span
     _, orphans = M.log_correlation(t.events.withColumnRenamed("user_id", "trace_id"), traces, "trace_id")
     return orphans.agg(F.count(F.lit(1)).alias("orphan_lines"))
 
@@ -465,9 +469,9 @@ def q_m20o(spark, sf):
 @register("m21_config_drift", sql="""
 WITH desired AS (SELECT p_partkey AS resource, 'size' AS key, CAST(p_size AS VARCHAR) AS value FROM part
   UNION ALL SELECT p_partkey, 'brand', p_brand FROM part),
-actual AS (SELECT p_partkey AS resource, 'size' AS key, CAST(p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS value FROM part
-  UNION ALL SELECT p_partkey, 'brand', p_brand FROM part WHERE p_partkey % 11 <> 0
-  UNION ALL SELECT p_partkey, 'owner', 'ops' FROM part WHERE p_partkey % 23 = 0)
+actual AS (SELECT p_partkey AS resource, 'size' AS key, CAST(p_size + CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END AS VARCHAR) AS value FROM part
+  UNION ALL SELECT p_partkey, 'brand', p_brand FROM part WHERE p_size > 3
+  UNION ALL SELECT p_partkey, 'owner', 'ops' FROM part WHERE p_size >= 49)
 SELECT key, CASE WHEN a.value IS NULL THEN 'missing' WHEN d.value IS NULL THEN 'unexpected' ELSE 'changed' END AS drift, count(*) AS n
 FROM desired d FULL JOIN actual a USING (resource, key) WHERE d.value IS DISTINCT FROM a.value GROUP BY 1, 2
 """)
@@ -476,10 +480,10 @@ def q_m21(spark, sf):
     desired = (p.select(F.col("p_partkey").alias("resource"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value"))
                .unionByName(p.select(F.col("p_partkey").alias("resource"), F.lit("brand").alias("key"), F.col("p_brand").alias("value"))))
     actual = (p.select(F.col("p_partkey").alias("resource"), F.lit("size").alias("key"),
-                       (F.col("p_size") + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)).cast("string").alias("value"))
-              .unionByName(p.filter(F.col("p_partkey") % 11 != 0).select(F.col("p_partkey").alias("resource"), F.lit("brand").alias("key"),
+                       (F.col("p_size") + F.when(F.col("p_brand") == "Brand#1", 1).otherwise(0)).cast("string").alias("value"))
+              .unionByName(p.filter(F.col("p_size") > 3).select(F.col("p_partkey").alias("resource"), F.lit("brand").alias("key"),
                                                                          F.col("p_brand").alias("value")))
-              .unionByName(p.filter(F.col("p_partkey") % 23 == 0).select(F.col("p_partkey").alias("resource"), F.lit("owner").alias("key"),
+              .unionByName(p.filter(F.col("p_size") >= 49).select(F.col("p_partkey").alias("resource"), F.lit("owner").alias("key"),
                                                                          F.lit("ops").alias("value"))))
     d = M.config_drift(desired, actual, ["resource", "key"])
     return d.groupBy("key", "drift").agg(F.count(F.lit(1)).alias("n"))

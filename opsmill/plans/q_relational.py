@@ -594,10 +594,10 @@ def q_a14(spark, sf):
 
 
 @register("a15_string_join_agg", sql="""
-SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS joined FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1
+SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS joined FROM nation WHERE n_name < 'NATION_2' GROUP BY 1
 """)
 def q_a15(spark, sf):
-    return rel.string_join_agg(Tables(spark, sf).nation, "n_regionkey", "n_name", F.col("n_nationkey") % 2 == 0)
+    return rel.string_join_agg(Tables(spark, sf).nation, "n_regionkey", "n_name", F.col("n_name") < "NATION_2")
 
 
 @register("a16_pivot_matrix", sql="""
@@ -685,14 +685,14 @@ def q_w6(spark, sf):
 
 
 @register("w7_version_gap_check", sql=sql_with("user_event_log") + """
-, cut AS (SELECT * FROM user_event_log WHERE global_position % 97 <> 0)
+, cut AS (SELECT * FROM user_event_log WHERE value >= 1.0)
 SELECT stream_id, count(*) AS n_events, count(DISTINCT version) AS n_versions, min(version) AS min_version, max(version) AS max_version,
   count(*) - count(DISTINCT version) AS duplicates, max(version) - count(DISTINCT version) AS missing,
   count(*) = count(DISTINCT version) AND max(version) = count(DISTINCT version) AND min(version) = 1 AS valid
 FROM cut GROUP BY stream_id
 """)
 def q_w7(spark, sf):
-    log = Tables(spark, sf).derived.user_event_log.filter(F.col("global_position") % 97 != 0)
+    log = Tables(spark, sf).derived.user_event_log.filter(F.col("value") >= 1.0)  # tiny events lost -> version gaps
     return rel.version_gaps(log, "stream_id", "version")
 
 

@@ -80,5 +80,5 @@ def q_e30(spark, sf):
 @register("e14_dedupe_within_watermark", sql="SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")
 def q_e14w(spark, sf):
     e = Tables(spark, sf).events
-    d = J.dedupe_stream(e.unionByName(e.filter(F.col("event_id") % 7 == 0)), "event_id", "ts", "1 hour")
+    d = J.dedupe_stream(e.unionByName(e.filter(F.col("value") > 300)), "event_id", "ts", "1 hour")
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
