@@ -44,11 +44,12 @@ def failure_modes(turns: DataFrame, role: str = "role", text: str = "text") -> D
 def ab_summary(df: DataFrame, variant: str, metric: str, a: str, b: str) -> DataFrame:
     """Per-variant n, mean and variance, then Cohen's d (pooled sd) and the z
     statistic of the difference of means - all one aggregate and column math."""
-    g = df.filter(F.col(variant).isin(a, b)).groupBy(variant).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(metric).alias("mean"), F.var_samp(metric).alias("var"))
-    ga = g.filter(F.col(variant) == a).select(F.col("n").alias("n_a"), F.col("mean").alias("mean_a"), F.col("var").alias("var_a"))
-    gb = g.filter(F.col(variant) == b).select(F.col("n").alias("n_b"), F.col("mean").alias("mean_b"), F.col("var").alias("var_b"))
-    j = ga.join(gb, how="inner")  # two one-row aggregates
+    def side(v):
+        m = F.when(F.col(variant) == v, F.col(metric))
+        return F.count(m), F.avg(m), F.var_samp(m)
+    (na, ma, va), (nb, mb, vb) = side(a), side(b)
+    # one pass, one row: conditional aggregates per variant
+    j = df.agg(na.alias("n_a"), ma.alias("mean_a"), va.alias("var_a"), nb.alias("n_b"), mb.alias("mean_b"), vb.alias("var_b"))
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
     se = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
     return (j.withColumn("cohens_d", (F.col("mean_b") - F.col("mean_a")) / pooled)
@@ -88,9 +89,9 @@ def rollback_trigger(baseline: DataFrame, current: DataFrame, success_drop: floa
     """Roll back when success rate falls by more than 10 points, the critical error
     rate rises by more than 5 points, or cost rises by more than 20 %. Both inputs are
     one-row frames (success_rate, error_rate, cost)."""
-    b = baseline.select(*[F.col(c).alias(f"base_{c}") for c in ("success_rate", "error_rate", "cost")])
-    c = current.select(*[F.col(x).alias(f"cur_{x}") for x in ("success_rate", "error_rate", "cost")])
-    j = b.join(c, how="inner")  # two one-row aggregates
+    base = baseline.select(F.struct("success_rate", "error_rate", "cost")).scalar()  # scalar subquery
+    j = current.select(*[F.col(x).alias(f"cur_{x}") for x in ("success_rate", "error_rate", "cost")],
+                       *[base[x].alias(f"base_{x}") for x in ("success_rate", "error_rate", "cost")])
     reasons = F.filter(F.array(
         F.when(F.col("cur_success_rate") < F.col("base_success_rate") - success_drop, F.lit("success_rate")),
         F.when(F.col("cur_error_rate") > F.col("base_error_rate") + error_rise, F.lit("critical_errors")),

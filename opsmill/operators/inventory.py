@@ -500,9 +500,16 @@ def large_functions(corpus: DataFrame, max_lines: int = 50) -> DataFrame:
 
 def affected_projects(changed: DataFrame, projects: DataFrame, deps: DataFrame, file_col: str = "file", root_col: str = "root",
                       project_col: str = "project") -> DataFrame:
-    """Changed files -> owning projects (path-prefix match against a project root
-    table) -> every project that depends on them, transitively (reverse-edge closure)."""
-    direct = changed.join(F.broadcast(projects), F.col(file_col).startswith(F.col(root_col))).select(project_col).distinct()
+    """Changed files -> owning projects -> every project that depends on them,
+    transitively (reverse-edge closure). A file belongs to the project whose root
+    (``a/b/``) is one of the file's directory prefixes: the prefixes are exploded (as
+    many as the path is deep) and equi-joined to the roots - no prefix scan of the
+    project table."""
+    parts = F.split(F.col(file_col), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
+                           lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    pre = changed.select(F.explode(prefixes).alias(root_col)).distinct()
+    direct = pre.join(projects.select(root_col, project_col), root_col).select(project_col).distinct()
     rev = deps.select(F.col("dependency").alias("src"), F.col("dependent").alias("dst"))
     cl = closure(rev, "src", "dst")
     dependents = cl.join(direct.withColumnRenamed(project_col, "src"), "src").select(F.col("dst").alias(project_col))

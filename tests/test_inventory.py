@@ -207,3 +207,12 @@ def test_finding_risk_unknown_severity(spark):
     f = spark.createDataFrame([("a", "CRITICAL"), ("a", "HIGH"), ("a", "weird"), ("b", "LOW")], "doc string, severity string")
     out = {r["doc"]: r for r in INV.finding_risk(f, ["doc"]).collect()}
     assert out["a"]["risk_score"] == 34 and out["a"]["unknown"] == 1 and out["b"]["risk_score"] == 2
+
+
+def test_affected_projects_prefix_join_and_dependents(spark):
+    changed = spark.createDataFrame([("libs/core/src/a.py",), ("docs/readme.md",)], "file string")
+    projects = spark.createDataFrame([("core", "libs/core/"), ("api", "apps/api/"), ("web", "apps/web/"), ("tools", "libs/tools/")],
+                                     "project string, root string")
+    deps = spark.createDataFrame([("core", "api"), ("api", "web"), ("tools", "web")], "dependency string, dependent string")
+    got = sorted(r["project"] for r in INV.affected_projects(changed, projects, deps).collect())
+    assert got == ["api", "core", "web"]
