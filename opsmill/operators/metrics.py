@@ -82,7 +82,7 @@ def error_ratio(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.avg(F.when(F.col(code).rlike("^5\\d\\d$"), 100.0).otherwise(0.0))).alias("error_pct"))
 
 
-def alert_rules(metrics: DataFrame, series: str, ts: str, rules: Sequence[dict]) -> DataFrame:
+def alert_rules(metrics: DataFrame, series: str, ts: str, rules: Sequence[dict], bucket_seconds: int | None = None) -> DataFrame:
     """M5: threshold + sustained duration. ``metrics`` has one row per (series, ts step)
     and one column per metric; each rule {name, metric, op, threshold, for_steps,
     severity} fires for every run of consecutive steps breaching it that lasts at least
@@ -91,7 +91,7 @@ def alert_rules(metrics: DataFrame, series: str, ts: str, rules: Sequence[dict])
     for rule in rules:
         m = F.col(rule["metric"])
         cond = m > rule["threshold"] if rule.get("op", ">") == ">" else m < rule["threshold"]
-        runs = islands(metrics, series, ts, cond).filter(F.col("n_rows") >= rule["for_steps"])
+        runs = islands(metrics, series, ts, cond, bucket_seconds=bucket_seconds).filter(F.col("n_rows") >= rule["for_steps"])
         runs = runs.select(F.lit(rule["name"]).alias("alert"), F.lit(rule["severity"]).alias("severity"), series,
                            F.col("start_ts").alias("since"), F.col("end_ts").alias("until"), "n_rows")
         out = runs if out is None else out.unionByName(runs)
@@ -137,9 +137,11 @@ def label_cardinality(df: DataFrame, labels: Sequence[str], limit: int, exact: b
     return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*").withColumn("over_limit", F.col("cardinality") > limit)
 
 
-def outlier_runs(calls: DataFrame, host: str, ts: str, ok: str, min_failures: int = 5, tie: str | None = None) -> DataFrame:
-    """Runs of consecutive failed calls per host with length >= min_failures."""
-    return islands(calls, host, ts, ~F.col(ok), tie=tie).filter(F.col("n_rows") >= min_failures)
+def outlier_runs(calls: DataFrame, host: str, ts: str, ok: str, min_failures: int = 5, tie: str | None = None,
+                 bucket_seconds: int | None = None) -> DataFrame:
+    """Runs of consecutive failed calls per host with length >= min_failures (a hot
+    host can be split by time bucket, see ``islands``)."""
+    return islands(calls, host, ts, ~F.col(ok), tie=tie, bucket_seconds=bucket_seconds).filter(F.col("n_rows") >= min_failures)
 
 
 # Allowed regression per metric (fraction of the baseline).

@@ -566,18 +566,42 @@ def next_versions(batch: DataFrame, existing: DataFrame, key: str, order: Sequen
             .drop("__max"))
 
 
-def islands(df: DataFrame, key: str, ts: str, cond: Column, tie: str | None = None) -> DataFrame:
+def islands(df: DataFrame, key: str, ts: str, cond: Column, tie: str | None = None,
+            bucket_seconds: int | None = None) -> DataFrame:
     """Runs of consecutive rows where ``cond`` holds -> (key, start, end, n).
 
-    Gaps-and-islands: island id = running count of condition changes."""
+    Gaps-and-islands: island id = running count of run starts. With ``bucket_seconds`` a
+    hot series is split by time bucket: runs are numbered inside each (key, bucket), a
+    run continues across a boundary when the previous non-empty bucket ends inside a run
+    and this one starts inside one, and a prefix sum of run starts over the (few) buckets
+    of a key turns local numbers into global ones - the same islands as the unbucketed
+    form, with no window spanning a whole key."""
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(key).orderBy(*order)
     flagged = df.withColumn("__c", F.coalesce(cond, F.lit(False)))
-    changed = (F.col("__c") != F.coalesce(F.lag("__c").over(w), F.lit(not True))).cast("int")
-    flagged = flagged.withColumn("__chg", changed)
-    flagged = flagged.withColumn("__isl", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (flagged.filter(F.col("__c")).groupBy(key, "__isl")
-            .agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_rows"))
+    if bucket_seconds is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        changed = (F.col("__c") != F.coalesce(F.lag("__c").over(w), F.lit(False))).cast("int")
+        flagged = flagged.withColumn("__chg", changed)
+        flagged = flagged.withColumn("__isl", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return (flagged.filter(F.col("__c")).groupBy(key, "__isl")
+                .agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_rows"))
+                .drop("__isl"))
+    bkt = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    x = flagged.withColumn("__b", bkt)
+    wb = Window.partitionBy(key, "__b").orderBy(*order)
+    start = F.col("__c") & ~F.coalesce(F.lag("__c").over(wb), F.lit(False))
+    x = x.withColumn("__start", start.cast("int"))
+    x = x.withColumn("__local", F.sum("__start").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # per bucket: does it start / end inside a run, how many runs start in it
+    per = x.groupBy(key, "__b").agg(F.min_by("__c", F.struct(*order)).alias("__first"),
+                                    F.max_by("__c", F.struct(*order)).alias("__last"), F.sum("__start").alias("__n"))
+    wk = Window.partitionBy(key).orderBy("__b")
+    per = per.withColumn("__cont", (F.coalesce(F.lag("__last").over(wk), F.lit(False)) & F.col("__first")).cast("long"))
+    per = per.withColumn("__true", F.col("__n") - F.col("__cont"))
+    per = per.withColumn("__offset", F.coalesce(F.sum("__true").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    y = x.filter(F.col("__c")).join(per.select(key, "__b", "__cont", "__offset"), [key, "__b"])
+    y = y.withColumn("__isl", F.col("__offset") + F.col("__local") - F.col("__cont"))
+    return (y.groupBy(key, "__isl").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_rows"))
             .drop("__isl"))
 
 

@@ -326,7 +326,7 @@ runs AS (SELECT service, count(*) AS n FROM h WHERE c GROUP BY service, isl HAVI
 SELECT service, count(*) AS ejections, max(n) AS longest FROM runs GROUP BY 1
 """)
 def q_m11(spark, sf):
-    runs = M.outlier_runs(Tables(spark, sf).derived.call_log, "service", "ts", "ok", 3, tie="event_id")
+    runs = M.outlier_runs(Tables(spark, sf).derived.call_log, "service", "ts", "ok", 3, tie="event_id", bucket_seconds=86400)
     return runs.groupBy("service").agg(F.count(F.lit(1)).alias("ejections"), F.max("n_rows").alias("longest"))
 
 

@@ -719,7 +719,7 @@ SELECT service, count(*) AS n_runs, max(n_rows) AS longest_run, CAST(count_if(n_
 """)
 def q_w9(spark, sf):
     m = Tables(spark, sf).derived.metric_samples
-    isl = rel.islands(m, "service", "ts", F.col("code") == "500", tie="event_id")
+    isl = rel.islands(m, "service", "ts", F.col("code") == "500", tie="event_id", bucket_seconds=86400)
     return isl.groupBy("service").agg(F.count(F.lit(1)).alias("n_runs"), F.max("n_rows").alias("longest_run"),
                                       F.count_if(F.col("n_rows") >= 3).alias("runs_3_plus"))
 

@@ -85,3 +85,14 @@ def test_bucketed_interval_conflicts_equal_unbucketed(spark):
     x = rel.interval_conflicts(b, "room", "s", "e", ["bid", "ln"])
     y = rel.interval_conflicts(b, "room", "s", "e", ["bid", "ln"], bucket_days=30)
     assert rows(x, "room", "bid", "ln", "conflict") == rows(y, "room", "bid", "ln", "conflict")
+
+
+def test_bucketed_islands_equal_unbucketed(spark):
+    import os
+    from conftest import SF
+    e = spark.read.parquet(os.path.join(SF, "events.parquet")).withColumn("svc", F.col("user_id") % 3)
+    cond = F.col("event_type").isin("error", "click")
+    a = rel.islands(e, "svc", "ts", cond, tie="event_id")
+    for width in (3600, 6 * 3600, 86400):
+        b = rel.islands(e, "svc", "ts", cond, tie="event_id", bucket_seconds=width)
+        assert rows(a, "svc", "start_ts", "end_ts", "n_rows") == rows(b, "svc", "start_ts", "end_ts", "n_rows")
