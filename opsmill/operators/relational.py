@@ -706,10 +706,13 @@ def ordered_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "
 
 def heavy_hitters(df: DataFrame, col: str, k: int, exact: bool = True) -> DataFrame:
     """The k most frequent values. Exact = count per value (partial aggregation) then a
-    top-k; the approximate form uses a HyperLogLog-free count-min style ``approx_top_k``
-    when the SQL function exists."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.col("n").desc(), F.col(col).asc()).limit(k)
+    top-k; approximate = the ``approx_top_k`` sketch aggregate (one pass, bounded memory,
+    mergeable partial sketches), for very high cardinality columns."""
+    if exact:
+        counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+        return counts.orderBy(F.col("n").desc(), F.col(col).asc()).limit(k)
+    top = df.select(F.expr(f"approx_top_k(`{col}`, {int(k)})").alias("__t"))
+    return top.select(F.inline("__t")).select(F.col("item").alias(col), F.col("count").cast("long").alias("n"))
 
 
 # --------------------------------------------------------------------------- 2.7 set ops

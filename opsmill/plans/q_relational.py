@@ -832,6 +832,12 @@ def q_t5(spark, sf):
     return b.select("c_custkey", F.col("position").cast("long").alias("position"), "batch_no")
 
 
+@register("t6_approx_top_k_sketch")
+def q_t6s(spark, sf):
+    """Sketch form (approximate counts; no SQL twin)."""
+    return rel.heavy_hitters(Tables(spark, sf).lineitem, "l_partkey", 10, exact=False)
+
+
 @register("t6_approx_top_k", sql="""
 SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10
 """)
