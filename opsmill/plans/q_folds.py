@@ -79,7 +79,40 @@ def q_e28(spark, sf):
     return folds.debounce(calls, "service", "ts", "event_id", 900.0).select("service", "event_id", "emitted")
 
 
-@register("e20_circuit_breaker_state")
+def _breaker_sql(variant: str, failures: int = 3, timeout: float = 3600.0, successes: int = 2) -> str:
+    """Recursive replay of the breaker: state (st, f, s, opened) is carried row by row."""
+    strict = variant == "strict"
+    s0 = "w.s" if strict else f"CASE WHEN w.st = 'open' AND c.t - w.opened >= {timeout} THEN 0 ELSE w.s END"
+    f_half_ok = "f" if strict else "0"
+    closed_ok_f = "0" if strict else "f"
+    half_fail_open = "eff = 'half_open' OR " if strict else ""
+    return sql_with("call_log") + f"""
+, c AS (SELECT service, event_id, epoch(ts) AS t, ok, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS rn FROM call_log)
+SELECT service, state, allowed, count(*) AS n FROM (
+  WITH RECURSIVE walk(service, rn, state, allowed, st, f, s, opened) AS (
+    SELECT service, 0, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), 'closed', 0, 0, CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT service FROM c)
+    UNION ALL
+    SELECT service, rn, eff, eff <> 'open',
+      CASE WHEN eff = 'open' THEN 'open'
+           WHEN ok AND eff = 'half_open' AND s0 + 1 >= {successes} THEN 'closed'
+           WHEN ok THEN eff
+           WHEN {half_fail_open}f + 1 >= {failures} THEN 'open' ELSE eff END,
+      CASE WHEN eff = 'open' THEN f
+           WHEN ok AND eff = 'half_open' AND s0 + 1 >= {successes} THEN 0
+           WHEN ok AND eff = 'half_open' THEN {f_half_ok}
+           WHEN ok THEN {closed_ok_f} ELSE f + 1 END,
+      CASE WHEN eff = 'open' THEN s0
+           WHEN ok AND eff = 'half_open' AND s0 + 1 >= {successes} THEN 0
+           WHEN ok AND eff = 'half_open' THEN s0 + 1 ELSE s0 END,
+      CASE WHEN eff <> 'open' AND NOT ok AND ({half_fail_open}f + 1 >= {failures}) THEN t ELSE opened END
+    FROM (SELECT c.service, c.rn, c.t, c.ok, w.st, w.f, w.opened, {s0} AS s0,
+            CASE WHEN w.st = 'open' AND c.t - w.opened >= {timeout} THEN 'half_open' ELSE w.st END AS eff
+          FROM walk w JOIN c ON c.service = w.service AND c.rn = w.rn + 1) x)
+  SELECT * FROM walk WHERE rn > 0) GROUP BY 1, 2, 3
+"""
+
+
+@register("e20_circuit_breaker_state", sql=_breaker_sql("counting"))
 def q_e20(spark, sf):
     calls = Tables(spark, sf).derived.call_log
     b = folds.circuit_breaker(calls, "service", "ts", "event_id", "ok", variant="counting", failure_threshold=3,
@@ -87,7 +120,7 @@ def q_e20(spark, sf):
     return b.groupBy("service", "state", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("e20_circuit_breaker_strict")
+@register("e20_circuit_breaker_strict", sql=_breaker_sql("strict"))
 def q_e20s(spark, sf):
     calls = Tables(spark, sf).derived.call_log
     b = folds.circuit_breaker(calls, "service", "ts", "event_id", "ok", variant="strict", failure_threshold=3,
@@ -170,7 +203,18 @@ def q_g10v(spark, sf):
     return v.agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid"))
 
 
-@register("v4_token_budget_pack")
+@register("v4_token_budget_pack", sql="""
+WITH items AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 2 ELSE 1 END - turn / 100.0 AS priority,
+    len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS tokens FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY -priority, turn) AS rn FROM items)
+SELECT conv_id, turn, selected, remaining FROM (
+  WITH RECURSIVE walk(conv_id, rn, turn, selected, remaining) AS (
+    SELECT conv_id, rn, turn, tokens <= 300.0, CASE WHEN tokens <= 300.0 THEN 300.0 - tokens ELSE 300.0 END FROM k WHERE rn = 1
+    UNION ALL
+    SELECT k.conv_id, k.rn, k.turn, k.tokens <= w.remaining, CASE WHEN k.tokens <= w.remaining THEN w.remaining - k.tokens ELSE w.remaining END
+    FROM walk w JOIN k ON k.conv_id = w.conv_id AND k.rn = w.rn + 1)
+  SELECT * FROM walk)
+""")
 def q_v4(spark, sf):
     c = Tables(spark, sf).conversations
     items = c.select("conv_id", "turn",
