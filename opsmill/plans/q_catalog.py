@@ -118,3 +118,68 @@ SELECT {_category_sql('name')} AS category, model, count(*) AS agents FROM d GRO
 def q_c10(spark, sf):
     cat = INV.catalog_docs(_agent_docs(Tables(spark, sf)))
     return cat.groupBy("category", "model").agg(F.count(F.lit(1)).alias("agents"))
+
+
+# ----------------------------------------------------------------------------- J8 / J9 / C1 on page-derived endpoints
+PATH_RX = r"^[a-z]+://[^/]+(/[^?#]*)"
+HOST_RX = r"^[a-z]+://([^/.]+)"
+
+
+def _endpoints(t):
+    p = t.pages
+    method = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    base = p.select(F.regexp_extract("url", HOST_RX, 1).alias("repository"), method.alias("method"),
+                    F.regexp_extract("url", PATH_RX, 1).alias("path"), "html", F.col("page_id").cast("string").alias("role"))
+    spec = base.select("repository", "method", "path", F.lit("unspecified").alias("auth"), F.lit("OpenAPI spec").alias("source_kind"))
+    auth = F.when(F.col("html").contains("<form"), "jwt").otherwise("public")
+    impl = base.filter(F.col("path").startswith("/en")).select("repository", auth.alias("auth"), "role")
+    source = base.filter(F.col("path").startswith("/en")).select("repository", "method", "path", auth.alias("auth"),
+                                                                 F.lit("NestJS").alias("source_kind"))
+    return spec, impl, source
+
+
+EP_SQL = """
+WITH base AS (SELECT regexp_extract(url, '^[a-z]+://([^/.]+)', 1) AS repository, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path, CASE WHEN contains(html, '<form') THEN 'jwt' ELSE 'public' END AS a,
+  CAST(page_id AS VARCHAR) AS role FROM pages),
+spec AS (SELECT repository, method, path, 'unspecified' AS auth, 'OpenAPI spec' AS source_kind FROM base),
+impl AS (SELECT repository, a AS auth, role FROM base WHERE starts_with(path, '/en')),
+src AS (SELECT repository, method, path, a AS auth, 'NestJS' AS source_kind FROM base WHERE starts_with(path, '/en'))
+"""
+
+
+@register("j8_spec_impl_link", sql=EP_SQL + """
+, last AS (SELECT repository, arg_max(auth, role) AS la FROM impl GROUP BY 1)
+SELECT CASE WHEN s.auth = 'unspecified' THEN coalesce(la, s.auth) ELSE s.auth END AS auth, count(*) AS endpoints FROM spec s
+LEFT JOIN last USING (repository) GROUP BY 1
+""")
+def q_j8(spark, sf):
+    spec, impl, _ = _endpoints(Tables(spark, sf))
+    return INV.link_specs(spec, impl).groupBy("auth").agg(F.count(F.lit(1)).alias("endpoints"))
+
+
+@register("j9_source_spec_reconcile", sql=EP_SQL + """
+, s AS (SELECT path, method, auth AS s_auth, repository AS s_repo FROM src), p AS (SELECT path, method, auth AS p_auth, repository AS p_repo FROM spec)
+SELECT coalesce(s_auth, p_auth) AS auth, count(*) AS endpoints, count(*) FILTER (WHERE p_repo IS NULL) AS source_only
+FROM s FULL JOIN p USING (path, method) GROUP BY 1
+""")
+def q_j9(spark, sf):
+    spec, _, source = _endpoints(Tables(spark, sf))
+    s = source.select("path", "method", F.col("auth").alias("s_auth"), F.col("repository").alias("s_repo"))
+    p = spec.select("path", "method", F.col("auth").alias("p_auth"), F.col("repository").alias("p_repo"))
+    rows, _stale = INV.reconcile_source_spec(source, spec)
+    per_auth = rows.groupBy("auth").agg(F.count(F.lit(1)).alias("endpoints"))
+    only = (s.join(p, ["path", "method"], "left_anti").groupBy(F.col("s_auth").alias("auth"))
+            .agg(F.count(F.lit(1)).alias("source_only")))
+    return per_auth.join(only, "auth", "left").select("auth", "endpoints", F.coalesce("source_only", F.lit(0)).alias("source_only"))
+
+
+@register("c1_endpoint_inventory", sql=EP_SQL + """
+, u AS (SELECT DISTINCT * FROM (SELECT * FROM spec UNION ALL SELECT * FROM src))
+SELECT 'repository' AS dimension, repository AS value, count(*) AS rows FROM u GROUP BY 2
+UNION ALL SELECT 'auth', auth, count(*) FROM u GROUP BY 2
+""")
+def q_c1(spark, sf):
+    spec, _, source = _endpoints(Tables(spark, sf))
+    inv = INV.endpoint_inventory([spec, source])
+    return INV.endpoint_counts(inv)
