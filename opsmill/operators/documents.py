@@ -10,15 +10,14 @@ each function.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmill.functions.text import tokens
-from opsmill.session import bounded, cut_lineage, spread
+from opsmill.session import cut_lineage, spread
 
 # Personal-data patterns (name, regex, cheap necessary condition).
 PII_PATTERNS = [

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

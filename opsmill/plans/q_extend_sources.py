@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsmill.operators import extend as X
 from opsmill.operators import risk as R

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsmill.operators import documents as DOC
 from opsmill.operators import inventory as INV
 from opsmill.operators import relational as rel
 from opsmill.plans.registry import r, register
