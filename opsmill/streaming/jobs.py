@@ -218,3 +218,38 @@ def saga_stream(steps: DataFrame, watermark: str = "10 minutes", timeout_seconds
     return (event_time(steps, "ts").withWatermark("ts", watermark).groupBy("saga_id")
             .applyInPandasWithState(_saga_fn(timeout_seconds * 1000), SAGA_OUT, SAGA_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+# ----------------------------------------------------------------------------- streaming folds
+FOLD_STATE = T.StructType([T.StructField("blob", T.StringType())])
+
+
+def fold_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold, schema: T.StructType,
+                watermark: tuple[str, str] | None = None) -> DataFrame:
+    """Any ``folds.Fold`` (breaker, rate limit, throttle, budget, hash chain) on a stream:
+    per key, each micro-batch's rows are sorted by ``order`` and stepped through the fold,
+    starting from the state left by the previous micro-batch (kept in the state store).
+    Rows of one key must arrive in order across micro-batches (a bus partitioned by the
+    key gives that); within a micro-batch they are sorted."""
+    import base64
+    import pickle
+
+    keys, order = list(keys), list(order)
+    out_cols = [f.name for f in schema.fields]
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        st = pickle.loads(base64.b64decode(state.get[0])) if state.exists else fold.init(tuple(key))
+        rows = []
+        for pdf in pdfs:
+            for rec in pdf.sort_values(order).to_dict("records"):
+                st, out = fold.step(st, rec)
+                if out is not None:
+                    rows.append(out)
+        state.update((base64.b64encode(pickle.dumps(st)).decode(),))
+        if rows:
+            yield pd.DataFrame(rows, columns=out_cols)
+
+    s = stream
+    if watermark is not None:
+        s = event_time(s, watermark[0]).withWatermark(*watermark)
+    return s.groupBy(*keys).applyInPandasWithState(fn, schema, FOLD_STATE, "append", GroupStateTimeout.NoTimeout)

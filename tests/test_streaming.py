@@ -116,3 +116,26 @@ def test_route_batches_dead_letter(spark, tmpdir_path):
     J.run_available_now(s, os.path.join(tmpdir_path, "ck"), writer)
     assert sorted(r["id"] for r in spark.read.parquet(os.path.join(tmpdir_path, "dlq")).collect()) == [3, 4]
     assert [r["id"] for r in spark.read.parquet(sinks["orders"]).collect()] == [1]
+
+
+def test_breaker_fold_stream_equals_batch(spark, tmpdir_path):
+    from opsmill.operators import folds
+
+    e = spark.read.parquet(f"{SF}/events.parquet").select((F.col("user_id") % 4).alias("service"), "ts", "event_id",
+                                                         (F.col("event_type") != "error").alias("ok"))
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    e.filter(F.col("ts") < cut).write.parquet(os.path.join(tmpdir_path, "in", "a"))
+    e.filter(F.col("ts") >= cut).write.parquet(os.path.join(tmpdir_path, "in", "b"))
+    schema = "service long, ts timestamp_ntz, event_id long, ok boolean"
+    fold = folds.CircuitBreaker("ts", "ok", ["service", "event_id"], failure_threshold=3, timeout=3600.0)
+    from pyspark.sql import types as T
+    out_schema = T.StructType([T.StructField("service", T.LongType()), T.StructField("event_id", T.LongType()),
+                               T.StructField("state", T.StringType()), T.StructField("allowed", T.BooleanType())])
+    s = J.file_stream(spark, os.path.join(tmpdir_path, "in", "*"), schema, max_files_per_trigger=1)
+    out = J.fold_stream(s, ["service"], ["ts", "event_id"], fold, out_schema)
+    q = (out.writeStream.format("memory").queryName("breaker_stream").option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.sql("SELECT * FROM breaker_stream")
+    batch = folds.circuit_breaker(e, "service", "ts", "event_id", "ok", failure_threshold=3, timeout_seconds=3600.0)
+    assert rows(got, "event_id", "state", "allowed") == rows(batch, "event_id", "state", "allowed")
