@@ -254,28 +254,41 @@ def saga_state(steps: DataFrame, saga: str, step_no: str, status: str, started_a
 
     completed when every step completed; a failed step (or one still executing
     ``timeout`` after it started, evaluated at ``as_of``) makes the saga compensating -
-    and the steps to compensate are the completed ones *before* the failure, in reverse
-    order; compensated when all those are compensated; otherwise running / pending.
-    The rule needs no ordered fold: it is an aggregate over the steps."""
-    timed_out = F.lit(False)
-    if as_of is not None:
-        timed_out = (F.col(status) == "executing") & (
-            F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(F.col(started_at)) >= timeout_seconds)
-    s = steps.withColumn("__timed_out", timed_out).withColumn("__failed", (F.col(status) == "failed") | timed_out)
+    the steps to compensate are the completed ones *before* the failure, in reverse
+    order (``compensation_plan`` lists them as rows); compensated when none is left.
+    Aggregates and one join only: no saga's steps are collected into one value."""
+    s = _flag_failures(steps, status, started_at, as_of, timeout_seconds)
     g = s.groupBy(saga).agg(
         F.count(F.lit(1)).alias("steps"), F.count_if(F.col(status) == "completed").alias("completed"),
-        F.min(F.when(F.col("__failed"), F.col(step_no))).alias("failed_step"),
-        F.count_if(F.col("__timed_out")).alias("timed_out"),
-        F.sort_array(F.collect_list(F.struct(F.col(step_no), F.col(status))), asc=False).alias("__desc"))
-    to_comp = F.transform(F.filter("__desc", lambda x: (x[step_no] < F.col("failed_step")) &
-                                   x[status].isin("completed", "compensated")), lambda x: x[step_no])
-    pending_comp = F.filter("__desc", lambda x: (x[step_no] < F.col("failed_step")) & (x[status] == "completed"))
-    state = (F.when(F.col("failed_step").isNotNull() & (F.size(pending_comp) == 0), "compensated")
+        F.min(F.when(F.col("__failed"), F.col(step_no))).alias("failed_step"), F.count_if(F.col("__timed_out")).alias("timed_out"))
+    before = (s.join(g.select(saga, "failed_step"), saga).filter(F.col(step_no) < F.col("failed_step"))
+              .groupBy(saga).agg(F.count_if(F.col(status) == "completed").alias("to_compensate"),
+                                 F.max(F.when(F.col(status) == "completed", F.col(step_no))).alias("first_to_compensate")))
+    g = g.join(before, saga, "left").withColumn("to_compensate", F.coalesce("to_compensate", F.lit(0)))
+    state = (F.when(F.col("failed_step").isNotNull() & (F.col("to_compensate") == 0), "compensated")
              .when(F.col("failed_step").isNotNull(), "compensating")
              .when(F.col("completed") == F.col("steps"), "completed")
              .when(F.col("completed") > 0, "running").otherwise("pending"))
-    return g.select(saga, "steps", "completed", "failed_step", "timed_out", state.alias("state"),
-                    to_comp.alias("compensate_in_order"))
+    return g.select(saga, "steps", "completed", "failed_step", "timed_out", state.alias("state"), "to_compensate", "first_to_compensate")
+
+
+def compensation_plan(steps: DataFrame, saga: str, step_no: str, status: str, started_at: str, as_of: str | None = None,
+                      timeout_seconds: int = 300) -> DataFrame:
+    """One row per step to compensate (completed before the first failure), numbered
+    in compensation order (latest step first)."""
+    s = _flag_failures(steps, status, started_at, as_of, timeout_seconds)
+    failed = s.groupBy(saga).agg(F.min(F.when(F.col("__failed"), F.col(step_no))).alias("__f"))
+    todo = s.join(failed, saga).filter((F.col(step_no) < F.col("__f")) & (F.col(status) == "completed"))
+    w = Window.partitionBy(saga).orderBy(F.col(step_no).desc())
+    return todo.select(saga, step_no, F.row_number().over(w).cast("long").alias("compensation_order"))
+
+
+def _flag_failures(steps: DataFrame, status: str, started_at: str, as_of: str | None, timeout_seconds: int) -> DataFrame:
+    timed_out = F.lit(False)
+    if as_of is not None:
+        timed_out = (F.col(status) == "executing") & (
+            F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(F.col(started_at)) >= timeout_seconds)
+    return steps.withColumn("__timed_out", timed_out).withColumn("__failed", (F.col(status) == "failed") | timed_out)
 
 
 # ----------------------------------------------------------------------------- G10

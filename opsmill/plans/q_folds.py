@@ -145,16 +145,17 @@ WITH s AS (SELECT l_orderkey AS saga_id, row_number() OVER (PARTITION BY l_order
 f AS (SELECT *, status = 'failed' OR (status = 'executing' AND epoch(TIMESTAMP '1996-01-01') - epoch(started_at) >= 300) AS failed,
   status = 'executing' AND epoch(TIMESTAMP '1996-01-01') - epoch(started_at) >= 300 AS timed_out FROM s),
 g AS (SELECT saga_id, count(*) AS steps, count_if(status = 'completed') AS completed, min(step_no) FILTER (WHERE failed) AS failed_step,
-  count_if(timed_out) AS timed_out, list(struct_pack(step_no, status)) AS st FROM f GROUP BY 1)
+  count_if(timed_out) AS timed_out FROM f GROUP BY 1)
 """
 
 SAGA_SQL = SAGA_CTE + """
+, b AS (SELECT f.saga_id, count(*) FILTER (WHERE f.status = 'completed') AS to_compensate,
+  max(f.step_no) FILTER (WHERE f.status = 'completed') AS first_to_compensate FROM f JOIN g USING (saga_id) WHERE f.step_no < g.failed_step GROUP BY 1)
 SELECT saga_id, steps, CAST(completed AS BIGINT) AS completed, coalesce(failed_step, 0) AS failed_step, CAST(timed_out AS BIGINT) AS timed_out,
-  CASE WHEN failed_step IS NOT NULL AND len(list_filter(st, lambda x: x.step_no < failed_step AND x.status = 'completed')) = 0 THEN 'compensated'
-    WHEN failed_step IS NOT NULL THEN 'compensating' WHEN completed = steps THEN 'completed' WHEN completed > 0 THEN 'running' ELSE 'pending' END AS state,
-  coalesce(array_to_string(list_reverse_sort(list_transform(list_filter(st, lambda x: x.step_no < failed_step AND x.status IN ('completed', 'compensated')),
-    lambda x: x.step_no)), ','), '') AS compensate_in_order
-FROM g
+  CASE WHEN failed_step IS NOT NULL AND coalesce(to_compensate, 0) = 0 THEN 'compensated' WHEN failed_step IS NOT NULL THEN 'compensating'
+    WHEN completed = steps THEN 'completed' WHEN completed > 0 THEN 'running' ELSE 'pending' END AS state,
+  CAST(coalesce(to_compensate, 0) AS BIGINT) AS to_compensate, coalesce(first_to_compensate, 0) AS first_to_compensate
+FROM g LEFT JOIN b USING (saga_id)
 """
 
 
@@ -162,8 +163,17 @@ FROM g
 def q_e18(spark, sf):
     s = folds.saga_state(_saga_steps(Tables(spark, sf)), "saga_id", "step_no", "status", "started_at", as_of="1996-01-01")
     return s.select("saga_id", "steps", "completed", F.coalesce("failed_step", F.lit(0)).cast("long").alias("failed_step"), "timed_out",
-                    "state", F.coalesce(F.array_join(F.col("compensate_in_order").cast("array<string>"), ","), F.lit("")).alias(
-                        "compensate_in_order"))
+                    "state", F.col("to_compensate").cast("long").alias("to_compensate"),
+                    F.coalesce("first_to_compensate", F.lit(0)).cast("long").alias("first_to_compensate"))
+
+
+@register("e18_compensation_plan", sql=SAGA_CTE + """
+SELECT f.saga_id, f.step_no, row_number() OVER (PARTITION BY f.saga_id ORDER BY f.step_no DESC) AS compensation_order
+FROM f JOIN g USING (saga_id) WHERE f.step_no < g.failed_step AND f.status = 'completed'
+""")
+def q_e18p(spark, sf):
+    p = folds.compensation_plan(_saga_steps(Tables(spark, sf)), "saga_id", "step_no", "status", "started_at", as_of="1996-01-01")
+    return p.select("saga_id", F.col("step_no").cast("long").alias("step_no"), "compensation_order")
 
 
 @register("e19_saga_timeout", sql=SAGA_CTE + """

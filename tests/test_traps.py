@@ -174,3 +174,17 @@ def test_attack_tree_literal(spark):
     paths = R.attack_paths(nodes, edges)
     root = sorted(list(r["path"]) for r in paths.filter("node_id = 0").collect())
     assert root == [[0, 1, 11, 12], [0, 2, 21], [0, 2, 22, 221]]   # AND with one child passes its path through
+
+
+def test_saga_cases(spark):
+    rows_ = [(1, 1, "completed", ts(0)), (1, 2, "completed", ts(10)), (1, 3, "completed", ts(20)),
+             (2, 1, "completed", ts(0)), (2, 2, "completed", ts(10)), (2, 3, "failed", ts(20)),
+             (3, 1, "completed", ts(0)), (3, 2, "executing", ts(10))]
+    steps = spark.createDataFrame(rows_, "saga long, step int, status string, started timestamp_ntz")
+    st = {r["saga"]: r for r in folds.saga_state(steps, "saga", "step", "status", "started", as_of=str(ts(10 + 301))).collect()}
+    assert st[1]["state"] == "completed"
+    assert (st[2]["state"], st[2]["failed_step"], st[2]["to_compensate"]) == ("compensating", 3, 2)
+    assert (st[3]["state"], st[3]["failed_step"], st[3]["timed_out"]) == ("compensating", 2, 1)   # step 2 timed out
+    plan = rows(folds.compensation_plan(steps, "saga", "step", "status", "started", as_of=str(ts(10 + 301))), "saga", "step",
+                "compensation_order")
+    assert plan == [(2, 1, 2), (2, 2, 1), (3, 1, 1)]   # reverse order of completion
