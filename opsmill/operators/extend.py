@@ -77,7 +77,8 @@ def python_table_function(df: DataFrame, udtf_cls, args: Sequence[str], keep: Se
     """X5 (Python): a ``pyspark.sql.functions.udtf`` class applied laterally per row. Use
     only when the expansion cannot be written with built-in expressions."""
     spark = df.sparkSession
-    name = f"udtf_{udtf_cls.__name__.lower()}"
+    base = getattr(udtf_cls, "func", udtf_cls)  # a @udtf object wraps the class in .func
+    name = f"udtf_{getattr(base, '__name__', 'table_fn').lower()}"
     spark.udtf.register(name, udtf_cls)
     df.createOrReplaceTempView("__udtf_input")
     cols = ", ".join(keep)

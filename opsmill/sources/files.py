@@ -92,8 +92,9 @@ def read_text_corpus(spark: SparkSession, root: str, glob: str = "*", skip_names
                      skip_substrings: Sequence[str] = (".spec.", ".test.", "/test/", "/tests/")) -> DataFrame:
     """One row per file (path, content) under ``root`` (recursive), whole text; file
     names in ``skip_names`` and paths containing a skip substring are dropped."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    # text() has its own wholetext parameter (default False) that overrides an option
+    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+          .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
     base = F.regexp_extract("path", r"([^/]+)$", 1)
     cond = F.lit(True)
     for n in skip_names:
