@@ -188,3 +188,18 @@ def test_saga_cases(spark):
     plan = rows(folds.compensation_plan(steps, "saga", "step", "status", "started", as_of=str(ts(10 + 301))), "saga", "step",
                 "compensation_order")
     assert plan == [(2, 1, 2), (2, 2, 1), (3, 1, 1)]   # reverse order of completion
+
+
+def test_text_and_structured_helpers(spark):
+    df = spark.createDataFrame([("10 files changed, 450 insertions(+), 123 deletions(-)",), ("1 file changed, 2 deletions(-)",),
+                                ("nothing here",)], "s string")
+    st = [tuple(r["x"]) for r in df.select(T.shortstat("s").alias("x")).collect()]
+    assert st == [(10, 450, 123, 327), (1, 0, 2, -2), (0, 0, 0, 0)]
+    src = spark.createDataFrame([("export async function GET(){}\nexport const POST = x\nexport function GET(){}",)], "c string")
+    assert src.select(T.exported_verbs("c").alias("v")).first()["v"] == ["GET", "POST"]
+    arr = spark.range(1).select(F.array(*[F.lit(i) for i in range(1, 6)]).alias("a"))
+    assert arr.select(S.pg_slice("a", 2, 4).alias("x")).first()["x"] == [2, 3, 4]
+    js = spark.createDataFrame([('{"a": [1, 2], "b": "x"}',)], "j string")
+    assert js.select(S.json_type("j", "$.a").alias("t")).first()["t"].startswith("ARRAY")
+    d = spark.range(1).select(D.days_until(F.lit("2024-01-10").cast("timestamp_ntz"), "2024-01-01").alias("d")).first()["d"]
+    assert d == 9
