@@ -188,11 +188,13 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k
            .persist(StorageLevel.MEMORY_AND_DISK))
     stats = per.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"),
                                 *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    per = per.withColumn("__st", stats)  # one scalar subquery, read field by field below
+    st = F.col("__st")
     parts = []
     for i in range(len(terms)):
-        tf, df_ = F.col(f"__tf{i}"), stats[f"df{i}"]
-        idf = F.log((stats["n"] - df_ + 0.5) / (df_ + 0.5) + 1)
-        parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / stats["avgdl"]))).otherwise(0.0))
+        tf, df_ = F.col(f"__tf{i}"), st[f"df{i}"]
+        idf = F.log((st["n"] - df_ + 0.5) / (df_ + 0.5) + 1)
+        parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__dl") / st["avgdl"]))).otherwise(0.0))
     any_tf = F.greatest(*[F.col(f"__tf{i}") for i in range(len(terms))]) > 0 if len(terms) > 1 else F.col("__tf0") > 0
     score = parts[0]
     for p_ in parts[1:]:
