@@ -15,20 +15,37 @@ from pyspark.sql import functions as F
 from opsmill.operators.relational import islands
 
 
-def counter_increase(samples: DataFrame, series: Sequence[str], ts: str, value: str, tie: str | None = None) -> DataFrame:
+def counter_increase(samples: DataFrame, series: Sequence[str], ts: str, value: str, tie: str | None = None,
+                     bucket_seconds: int | None = None) -> DataFrame:
     """M1: per-sample increase of a monotonic counter with resets: a drop means the
-    counter restarted, so the increase is the new value itself."""
+    counter restarted, so the increase is the new value itself.
+
+    With ``bucket_seconds`` a hot series is split by time bucket: ``lag`` runs inside each
+    (series, bucket) and a bucket's first sample takes its previous value from the last
+    sample of the nearest earlier non-empty bucket (one row per bucket) - same result."""
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    prev = F.lag(value).over(Window.partitionBy(*series).orderBy(*order))
+    if bucket_seconds is None:
+        prev = F.lag(value).over(Window.partitionBy(*series).orderBy(*order))
+        inc = F.when(prev.isNull(), F.lit(0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
+        return samples.withColumn("increase", inc)
+    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    x = samples.withColumn("__b", b)
+    inner = F.lag(value).over(Window.partitionBy(*series, "__b").orderBy(*order))
+    x = x.withColumn("__prev_in", inner)
+    last = x.groupBy(*series, "__b").agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
+    wb = Window.partitionBy(*series).orderBy("__b")
+    carry = last.withColumn("__carry", F.lag("__last").over(wb)).select(*series, "__b", "__carry")
+    x = x.join(carry, [*series, "__b"])
+    prev = F.coalesce(F.col("__prev_in"), F.col("__carry"))
     inc = F.when(prev.isNull(), F.lit(0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
-    return samples.withColumn("increase", inc)
+    return x.withColumn("increase", inc).drop("__b", "__prev_in", "__carry")
 
 
 def counter_rate(samples: DataFrame, series: Sequence[str], ts: str, value: str, window: str = "5 minutes",
-                 tie: str | None = None) -> DataFrame:
+                 tie: str | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """M1: ``rate(counter[w])`` = reset-aware increase per tumbling window / window length
     (no extrapolation to the window edges, unlike PromQL)."""
-    inc = counter_increase(samples, series, ts, value, tie)
+    inc = counter_increase(samples, series, ts, value, tie, bucket_seconds)
     secs = _window_seconds(window)
     return inc.groupBy(*series, F.window(ts, window).alias("w")).agg(F.sum("increase").alias("increase")).select(
         *series, F.col("w.start").alias("window_start"), "increase", (F.col("increase") / secs).alias("rate"))

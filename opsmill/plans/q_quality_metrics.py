@@ -200,7 +200,7 @@ FROM inc GROUP BY service, date_trunc('hour', ts)
 """)
 def q_m1(spark, sf):
     m = Tables(spark, sf).derived.metric_samples
-    out = M.counter_rate(m, ["service"], "ts", "counter_value", "1 hour", tie="event_id")
+    out = M.counter_rate(m, ["service"], "ts", "counter_value", "1 hour", tie="event_id", bucket_seconds=86400)
     return out.select("service", ts_text("window_start").alias("window_start"), F.col("increase").cast("long").alias("increase"),
                       r("rate", 6).alias("rate"))
 

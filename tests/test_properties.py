@@ -96,3 +96,15 @@ def test_bucketed_islands_equal_unbucketed(spark):
     for width in (3600, 6 * 3600, 86400):
         b = rel.islands(e, "svc", "ts", cond, tie="event_id", bucket_seconds=width)
         assert rows(a, "svc", "start_ts", "end_ts", "n_rows") == rows(b, "svc", "start_ts", "end_ts", "n_rows")
+
+
+def test_bucketed_counter_increase_equals_unbucketed(spark):
+    import os
+    from conftest import SF
+    from opsmill.operators import metrics as M
+    e = spark.read.parquet(os.path.join(SF, "events.parquet")).select((F.col("user_id") % 3).alias("svc"), "ts", "event_id",
+                                                                    (F.col("event_id") % 37).alias("counter"))
+    a = M.counter_increase(e, ["svc"], "ts", "counter", tie="event_id")
+    for width in (1800, 86400):
+        b = M.counter_increase(e, ["svc"], "ts", "counter", tie="event_id", bucket_seconds=width)
+        assert rows(a, "event_id", "increase") == rows(b, "event_id", "increase")
