@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -499,9 +500,31 @@ def count_over_partition(df: DataFrame, key: str, out: str = "n_in_group") -> Da
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """``DISTINCT ON (keys) ... ORDER BY order`` = first row per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """``DISTINCT ON (keys) ... ORDER BY order`` = first row per key.
+
+    ``order`` holds column names (ascending) or ``Column.asc()/.desc()`` sort orders. When
+    all of them sort the same way the first row is a ``min_by`` / ``max_by`` aggregate -
+    partial aggregation collapses a hot key before the shuffle; mixed directions fall back
+    to ``row_number`` over a window."""
+    names, dirs = [], []
+    for o in order:
+        if isinstance(o, str):
+            names.append(o)
+            dirs.append("asc")
+            continue
+        text = str(o)
+        m = re.search(r"Column<'(.+?) (ASC|DESC)", text)
+        if not m:
+            names, dirs = None, None
+            break
+        names.append(m.group(1).strip("`"))
+        dirs.append(m.group(2).lower())
+    if names and len(set(dirs)) == 1 and all(n in df.columns for n in names):
+        others = [c for c in df.columns if c not in keys]
+        pick = F.min_by if dirs[0] == "asc" else F.max_by
+        return df.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*names)).alias("__r")).select(*keys, "__r.*")
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
