@@ -628,18 +628,35 @@ def islands(df: DataFrame, key: str, ts: str, cond: Column, tie: str | None = No
             .drop("__isl"))
 
 
-def scd_type2(df: DataFrame, key: str, order: Sequence[str], attrs: Sequence[str]) -> DataFrame:
+def scd_type2(df: DataFrame, key: str, order: Sequence[str], attrs: Sequence[str], bucket_seconds: int | None = None) -> DataFrame:
     """Keep the rows where the tracked attributes change; valid_to = next change.
 
-    ``order`` is the time column first, then tie-breaks."""
+    ``order`` is the time column first, then tie-breaks. With ``bucket_seconds`` a hot key
+    is split by time bucket: ``lag``/``lead`` run inside (key, bucket), and the first /
+    last row of a bucket borrow from the nearest earlier / later non-empty bucket (one row
+    per bucket) - the same versions as the plain form."""
     ts = order[0]
-    w = Window.partitionBy(key).orderBy(*order)
     h = F.xxhash64(*[F.col(a) for a in attrs])
-    x = df.withColumn("__h", h).withColumn("__ph", F.lag("__h").over(w))
-    x = x.filter(F.col("__ph").isNull() | (F.col("__h") != F.col("__ph")))
-    w2 = Window.partitionBy(key).orderBy(*order)
-    return (x.withColumn("valid_from", F.col(ts)).withColumn("valid_to", F.lead(ts).over(w2))
-            .withColumn("is_current", F.col("valid_to").isNull()).drop("__h", "__ph"))
+    if bucket_seconds is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        x = df.withColumn("__h", h).withColumn("__ph", F.lag("__h").over(w))
+        x = x.filter(F.col("__ph").isNull() | (F.col("__h") != F.col("__ph")))
+        return (x.withColumn("valid_from", F.col(ts)).withColumn("valid_to", F.lead(ts).over(w))
+                .withColumn("is_current", F.col("valid_to").isNull()).drop("__h", "__ph"))
+    bkt = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    x = df.withColumn("__h", h).withColumn("__b", bkt)
+    wb = Window.partitionBy(key, "__b").orderBy(*order)
+    wk = Window.partitionBy(key).orderBy("__b")
+    ords = F.struct(*[F.col(c) for c in order])
+    last_h = x.groupBy(key, "__b").agg(F.max_by("__h", ords).alias("__lh"))
+    carry_h = last_h.withColumn("__ch", F.lag("__lh").over(wk)).select(key, "__b", "__ch")
+    x = x.join(carry_h, [key, "__b"]).withColumn("__ph", F.coalesce(F.lag("__h").over(wb), F.col("__ch")))
+    kept = x.filter(F.col("__ph").isNull() | (F.col("__h") != F.col("__ph"))).drop("__ch")
+    first_ts = kept.groupBy(key, "__b").agg(F.min(ts).alias("__fts"))
+    nxt = first_ts.withColumn("__nts", F.lead("__fts").over(wk)).select(key, "__b", "__nts")
+    kept = kept.join(nxt, [key, "__b"]).withColumn("valid_to", F.coalesce(F.lead(ts).over(wb), F.col("__nts")))
+    return (kept.withColumn("valid_from", F.col(ts)).withColumn("is_current", F.col("valid_to").isNull())
+            .drop("__h", "__ph", "__b", "__nts"))
 
 
 def funnel_strict(df: DataFrame, user: str, step_col: str, ts: str, steps: Sequence[str]) -> DataFrame:

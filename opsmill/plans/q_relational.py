@@ -733,7 +733,7 @@ SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from,
 """)
 def q_w10(spark, sf):
     e = Tables(spark, sf).events.select("user_id", "ts", "event_id", "event_type")
-    s = rel.scd_type2(e, "user_id", ["ts", "event_id"], ["event_type"])
+    s = rel.scd_type2(e, "user_id", ["ts", "event_id"], ["event_type"], bucket_seconds=7 * 86400)
     return s.select("user_id", "event_type", ts_text("valid_from").alias("valid_from"), ts_text("valid_to").alias("valid_to"),
                     "is_current")
 

@@ -108,3 +108,13 @@ def test_bucketed_counter_increase_equals_unbucketed(spark):
     for width in (1800, 86400):
         b = M.counter_increase(e, ["svc"], "ts", "counter", tie="event_id", bucket_seconds=width)
         assert rows(a, "event_id", "increase") == rows(b, "event_id", "increase")
+
+
+def test_bucketed_scd_type2_equals_unbucketed(spark):
+    import os
+    from conftest import SF
+    e = spark.read.parquet(os.path.join(SF, "events.parquet")).select((F.col("user_id") % 3).alias("k"), "ts", "event_id", "event_type")
+    a = rel.scd_type2(e, "k", ["ts", "event_id"], ["event_type"])
+    for width in (3600, 86400):
+        b = rel.scd_type2(e, "k", ["ts", "event_id"], ["event_type"], bucket_seconds=width)
+        assert rows(a, "k", "event_id", "valid_to", "is_current") == rows(b, "k", "event_id", "valid_to", "is_current")
