@@ -265,3 +265,25 @@ def dual_write(source: DataFrame, mirror: DataFrame, key_map: dict[str, str], pk
     """Mirror table with renamed columns kept in sync by upsert."""
     renamed = source.select(*[F.col(s).alias(t) for s, t in key_map.items()])
     return mirror.join(renamed.select(pk), pk, "left_anti").unionByName(renamed.select(*mirror.columns))
+
+
+def late_events(events: DataFrame, arrival: str, ts: str, lateness_seconds: int) -> DataFrame:
+    """Flag events that arrive behind the watermark: event time earlier than the
+    latest event time seen so far (in arrival order) minus the allowed lateness - the rows
+    a watermarked stream would drop, reported in batch.
+
+    The running maximum over the global arrival order is computed without a
+    single-partition window: rows are range-partitioned by arrival, each partition keeps
+    a running max, and the maxima of earlier partitions (one row per partition) are
+    carried in by a prefix max."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    x = events.repartitionByRange(arrival).withColumn("__pid", F.spark_partition_id()).withColumn("__t", t)
+    w_in = Window.partitionBy("__pid").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__run", F.max("__t").over(w_in))
+    per = x.groupBy("__pid").agg(F.max("__t").alias("__pmax"))
+    carry = per.withColumn("__carry", F.max("__pmax").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.join(F.broadcast(carry.select("__pid", "__carry")), "__pid")  # one row per partition
+    seen = F.greatest(F.col("__run"), F.col("__carry"))
+    return (x.withColumn("watermark_us", seen - F.lit(lateness_seconds * 1_000_000))
+            .withColumn("late", F.coalesce(F.col("__t") < F.col("watermark_us"), F.lit(False)))
+            .drop("__pid", "__t", "__run", "__carry"))
