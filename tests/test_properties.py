@@ -118,3 +118,18 @@ def test_bucketed_scd_type2_equals_unbucketed(spark):
     for width in (3600, 86400):
         b = rel.scd_type2(e, "k", ["ts", "event_id"], ["event_type"], bucket_seconds=width)
         assert rows(a, "k", "event_id", "valid_to", "is_current") == rows(b, "k", "event_id", "valid_to", "is_current")
+
+
+def test_late_events_equal_global_window(spark):
+    import os
+    from conftest import SF
+    from pyspark.sql import Window
+    from opsmill.operators import eventlog as EV
+    e = spark.read.parquet(os.path.join(SF, "events.parquet")).select(
+        "event_id", "ts", ((F.col("user_id") % 4) * 1000000000 + F.col("event_id")).alias("arrival"))
+    got = EV.late_events(e, "arrival", "ts", 3600)
+    w = Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)   # reference only: one partition
+    ref = e.withColumn("seen", F.max(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)).withColumn(
+        "late", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) < F.col("seen") - 3600 * 1000000, F.lit(False)))
+    assert rows(got, "event_id", "late") == rows(ref, "event_id", "late")
+    assert got.filter("late").count() > 0
