@@ -6,8 +6,11 @@ hides a planner of its own. Helpers only read settings from the active session.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +53,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, a laptop) do we create one of our own.
+    Only when the setting is absent (tests, a laptop) do we name one of our own: a new
+    folder under the user's home of the default file system, which on a cluster is the
+    shared one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,11 +63,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="opsmill-ckpt-")
+        jvm = sc._jvm
+        home = jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration()).getHomeDirectory().toString()
+        configured = f"{home}/.opsmill-checkpoints/{uuid.uuid4().hex}"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, as ``spark-submit --py-files``
+    would. The zip is a file of the driver alone; Spark serves it to the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="opsmill-py-"), "opsmill.zip")
+    with open(path, "wb") as out:
+        out.write(buffer.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
