@@ -3,8 +3,9 @@
 Training (on a bounded sample of labelled rows) counts words by class, a word once for
 each different word that it follows, so that copies of a text count once. A word's share of
 toxic-class occurrences is smoothed by a Dirichlet prior centred on the share of its stem
-(the words that start with the same four bytes), and a stem's by one centred on the share
-of all words; the log-odds against that global share is the word's score. Only words and
+(the other words that start with the same four bytes), and a stem's by one centred on the share
+of all words (a word's own counts left out of its stem); the log-odds against that global
+share is the word's score. Only words and
 stems with significant positive log-odds enter the lexicon; every other word costs the
 same small amount, so the expected score of clean text is negative.
 
@@ -40,6 +41,7 @@ STEM = 4
 PRIOR = 10.0  # pseudo-counts of the Dirichlet priors
 LEAST_ODDS = 1.5
 LEAST_Z = 3.5
+LEAST_CONTEXTS = 4  # different words before it in toxic texts
 SIGNIFICANT = 0.5
 
 
@@ -146,7 +148,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                 _, once = np.unique(A.mix(whole + A.mix(before + toxic.astype(np.uint64))), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x[once].view(np.int64)) for x in (whole, stems, before, toxic)], names=["word", "stem", "before", "toxic"])
 
-    return (sample.select("__text", "__label").mapInArrow(run, "word long, stem long, before long, toxic long").distinct()
+    return (sample.select("__text", "__label").transform(A.small_batches).mapInArrow(run, "word long, stem long, before long, toxic long").distinct()
             .groupBy("word", "stem").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")))
 
 
@@ -159,9 +161,10 @@ def _odds(counts: DataFrame, share: float) -> tuple[dict[int, float], dict[int,
         return df.withColumn("odds", F.log(a1 / a0) - base).withColumn("z", F.col("odds") / F.sqrt(1 / a1 + 1 / a0))
 
     stems = scored(counts.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), F.lit(share))
-    centre = (F.col("s1") + PRIOR * share) / (F.col("s1") + F.col("s0") + PRIOR)
+    # of the stem's other words, so that a word does not vouch for itself
+    centre = (F.col("s1") - F.col("n1") + PRIOR * share) / (F.col("s1") + F.col("s0") - F.col("n1") - F.col("n0") + PRIOR)
     words = scored(counts.join(stems.select("stem", F.col("n1").alias("s1"), F.col("n0").alias("s0")), "stem"), centre)
-    keep = f"odds >= {LEAST_ODDS} and z >= {LEAST_Z}"
+    keep = f"odds >= {LEAST_ODDS} and z >= {LEAST_Z} and n1 >= {LEAST_CONTEXTS}"
     as_table = lambda df, key: {r[0] & (2**64 - 1): float(r[1]) for r in df.filter(keep).select(key, "odds").collect()}
     return as_table(words, "word"), as_table(stems, "stem")
 
