@@ -262,6 +262,18 @@ def purl(ecosystem, name, version) -> Column:
     return F.concat(F.lit("pkg:"), _c(ecosystem), F.lit("/"), _c(name), F.lit("@"), _c(version))
 
 
+def sbom_documents(components: DataFrame, group: str, ecosystem, name: str, version: str, timestamp: str) -> DataFrame:
+    """One CycloneDX 1.5 document (JSON) for each value of ``group``, with its components in
+    order of name and version. A document holds the components of one group by definition;
+    for an inventory of all groups read the rows, not one document."""
+    part = F.struct(F.col(name).alias("name"), F.col(version).alias("version"), F.lit("library").alias("type"), purl(ecosystem, name, version).alias("purl"))
+    g = components.groupBy(group).agg(F.array_sort(F.collect_list(part)).alias("__c"))
+    ordered = F.transform("__c", lambda c: F.struct(c["type"].alias("type"), c["name"].alias("name"), c["version"].alias("version"), c["purl"].alias("purl")))
+    doc = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"),
+                   F.struct(F.lit(timestamp).alias("timestamp")).alias("metadata"), ordered.alias("components"))
+    return g.select(group, F.to_json(doc).alias("document"))
+
+
 # Advisory severity -> SARIF level (anything else: warning).
 SARIF_LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
 

@@ -92,7 +92,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return h.groupBy("content_hash").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 2, min_len: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 2, min_len: int = 1) -> DataFrame:
     """Lines (trimmed, at least ``min_len`` characters) that occur in ``min_docs``
     or more documents. Partial aggregation per map task collapses repeats before the
     shuffle, so a boilerplate line present everywhere costs one row per task."""
@@ -103,54 +103,47 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             .filter(F.col("docs") >= min_docs))
 
 
-def shingle_hashes(docs: DataFrame, key: str, text: str, shingle: int = 5) -> DataFrame:
-    """Distinct 64-bit hashes of the word shingles of each whole text, one row each.
-
-    Tokens become rows (``posexplode``) and a shingle is the token plus the next
-    ``shingle - 1`` (``lead`` within the document), so everything stays in generated
-    code; a text shorter than one shingle contributes one shingle of all its tokens."""
-    toks = spread(docs.select(key, text)).select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
-    w = Window.partitionBy(key).orderBy("pos")
-    parts = [F.col("tok")] + [F.lead("tok", i).over(w) for i in range(1, shingle)]
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    x = toks.select(key, "pos", F.concat_ws(" ", *parts).alias("sh"), n.alias("n"))
-    x = x.filter((F.col("pos") + shingle <= F.col("n")) | ((F.col("pos") == 0) & (F.col("n") < shingle)))
-    return x.select(key, F.xxhash64("sh").alias("h")).distinct()
-
-
-def minhash_signatures(docs: DataFrame, key: str, text: str, n_hashes: int = 64, shingle: int = 5,
-                       hashes: DataFrame | None = None) -> DataFrame:
-    """MinHash signature (array of ``n_hashes`` minima) per document, as plain
-    aggregate columns (partial aggregation per task, no per-row lambdas)."""
-    sh = hashes if hashes is not None else shingle_hashes(docs, key, text, shingle)
-    mins = [F.min(F.xxhash64(F.col("h"), F.lit(j))).alias(f"m{j}") for j in range(n_hashes)]
-    return sh.groupBy(key).agg(*mins, F.count(F.lit(1)).alias("n_shingles")).select(
-        key, "n_shingles", F.array(*[F.col(f"m{j}") for j in range(n_hashes)]).alias("sig"))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 16,
-                    rows: int = 4, shingle: int = 5) -> DataFrame:
-    """Near-duplicate links (a, b, jaccard) with shingle Jaccard >= threshold.
-
-    Documents sharing an LSH band bucket (bands x rows MinHash values) are candidates.
-    Each bucket links its members to the bucket representative (smallest id) - a star,
-    so a bucket of n documents yields n - 1 candidates, never n^2 / 2 pairs - and every
-    candidate is verified with the exact Jaccard of the shingle-hash sets (intersection
-    by an equi join on (document, shingle hash)). Clusters follow from
-    ``connected_components`` over the verified links."""
-    sh = shingle_hashes(docs, key, text, shingle)
-    sig = minhash_signatures(docs, key, text, bands * rows, shingle, hashes=sh)
-    banded = sig.select(key, F.posexplode(F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)]))
-                        .alias("band", "bucket"))
-    rep = banded.groupBy("band", "bucket").agg(F.min(key).alias("a"))
-    cand = banded.join(rep, ["band", "bucket"]).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
-    inter = (cand.join(sh.withColumnRenamed(key, "a"), "a").join(sh.withColumnRenamed(key, "b"), ["b", "h"])
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter")))
-    sizes = sig.select(key, "n_shingles")
-    j = (inter.join(sizes.select(F.col(key).alias("a"), F.col("n_shingles").alias("na")), "a")
-         .join(sizes.select(F.col(key).alias("b"), F.col("n_shingles").alias("nb")), "b"))
-    jac = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
-    return j.select("a", "b", jac.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int = 5) -> DataFrame:
+    """(key, grams): sorted distinct 64-bit hashes of the word shingles of each whole text,
+    built inside the row (no shuffle); a text shorter than one shingle is one shingle of all
+    its tokens, a text without tokens has no row."""
+    k = shingle
+
+    def grams(t):
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.slice(t, i, k)))
+        return F.when(F.size(t) >= k, many).when(F.size(t) > 0, F.array(F.xxhash64(t)))
+
+    # the tokens are bound once as the element of a one-element array, not evaluated per shingle
+    x = spread(docs.select(key, text)).select(key, F.transform(F.array(tokens(F.col(text))), grams)[0].alias("__g"))
+    return x.filter("__g is not null").select(key, F.array_sort(F.array_distinct("__g")).alias("grams"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+    """All near-duplicate links (a, b, jaccard) with shingle Jaccard >= threshold.
+
+    Documents with equal sets form a class, linked to its smallest id with Jaccard 1; pairs
+    are then found between class representatives, so a group of copies costs its members.
+    Shingles are ordered by the number of documents that hold them: two sets that link must
+    share one of their n - ceil(threshold n) + 1 rarest shingles, so only those are joined,
+    and sets of too different sizes are never paired. Every candidate is verified on its
+    whole sets: no link between different sets is lost. Clusters follow from
+    ``connected_components`` over the links."""
+    sets = shingle_sets(docs, key, text, shingle).withColumn("__c", F.md5(F.col("grams").cast("string")))
+    classes = sets.groupBy("__c").agg(F.min(key).alias("a"))
+    copies = sets.select(key, "__c").join(classes, "__c").filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
+    one = cut_lineage(sets.join(classes.select(F.col("a").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "grams", F.size("grams").alias("n")))
+    posts = one.select("id", "n", F.explode("grams").alias("g"))
+    often = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "g"))
+    short = F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - 1e-9) + 1
+    posts = posts.join(often, "g", "left").withColumn("at", place).filter((F.col("at") <= short) & F.col("df").isNotNull()).select("id", "n", "g")
+    x, y = (posts.select("g", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
+    pairs = x.join(y, "g").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold)) - 1e-9)).select("a", "b").distinct()
+    both = (pairs.join(one.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
+            .join(one.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b"))
+    inter = F.size(F.array_intersect("ga", "gb"))
+    links = both.select("a", "b", (inter / (F.size("ga") + F.size("gb") - inter)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return links.unionByName(copies)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -272,18 +272,19 @@ def late_events(events: DataFrame, arrival: str, ts: str, lateness_seconds: int)
     latest event time seen so far (in arrival order) minus the allowed lateness - the rows
     a watermarked stream would drop, reported in batch.
 
-    The running maximum over the global arrival order is computed without a
-    single-partition window: rows are range-partitioned by arrival, each partition keeps
-    a running max, and the maxima of earlier partitions (one row per partition) are
-    carried in by a prefix max."""
+    The running maximum over the global arrival order needs no single-partition window:
+    rows fall into value buckets of the arrival order, each bucket keeps a running maximum,
+    and the maxima of earlier buckets (one row a bucket) are carried in by a prefix maximum."""
+    from opsmill.operators.relational import value_buckets
+
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    x = events.repartitionByRange(arrival).withColumn("__pid", F.spark_partition_id()).withColumn("__t", t)
-    w_in = Window.partitionBy("__pid").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("__run", F.max("__t").over(w_in))
-    per = x.groupBy("__pid").agg(F.max("__t").alias("__pmax"))
-    carry = per.withColumn("__carry", F.max("__pmax").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.join(F.broadcast(carry.select("__pid", "__carry")), "__pid")  # one row per partition
+    x = value_buckets(events, [arrival]).withColumn("__t", t)
+    before = Window.partitionBy("__bucket").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    per = x.groupBy("__bucket").agg(F.max("__t").alias("__pmax"))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(F.col("__bucket").alias("__b"), F.max("__pmax").over(earlier).alias("__carry"))
+    x = x.withColumn("__run", F.max("__t").over(before)).join(F.broadcast(carry), F.col("__bucket") == F.col("__b"))  # at most 256 rows
     seen = F.greatest(F.col("__run"), F.col("__carry"))
     return (x.withColumn("watermark_us", seen - F.lit(lateness_seconds * 1_000_000))
             .withColumn("late", F.coalesce(F.col("__t") < F.col("watermark_us"), F.lit(False)))
-            .drop("__pid", "__t", "__run", "__carry"))
+            .drop("__bucket", "__b", "__t", "__run", "__carry"))

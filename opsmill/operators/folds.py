@@ -50,12 +50,15 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
     out_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     out_cols = [f.name for f in out_schema.fields]
 
+    key_cols = part_cols + [c for c in keys if c not in part_cols]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, state = object(), None
         for pdf in batches:
             rows = []
             for rec in pdf.to_dict("records"):
-                k = tuple(rec[c] for c in part_cols + [c for c in keys if c not in part_cols])
+                # null keys are one key: they arrive as None, NaN or NaT, and NaN != NaN
+                k = tuple(None if pd.isna(v) else v for v in (rec[c] for c in key_cols))
                 if k != cur_key:
                     cur_key, state = k, fold.init(k)
                 state, out = fold.step(state, rec)
@@ -67,14 +70,31 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
     return ordered.mapInPandas(run, out_schema)
 
 
-def reset_segments(df: DataFrame, key: str, ts: str, gap_seconds: float, order: Sequence[str] = (), out: str = "segment") -> DataFrame:
+def reset_segments(df: DataFrame, key: str, ts: str, gap_seconds: float, order: Sequence[str] = (), out: str = "segment",
+                   bucket_seconds: int = 3600) -> DataFrame:
     """Segment id that increases whenever the gap to the previous row of the key is at
     least ``gap_seconds``; folds whose state is empty after such a gap can process
-    segments independently (and in parallel)."""
-    w = Window.partitionBy(key).orderBy(F.col(ts), *[F.col(c) for c in order])
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    new = F.when(F.lag(ts).over(w).isNull() | (gap >= int(gap_seconds * 1_000_000)), 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    segments independently (and in parallel).
+
+    No window spans a whole key: ``lag`` and the running count stay inside (key, time
+    bucket), and the last time and the number of segment starts of earlier buckets are
+    carried in from one row for each bucket. Null times form a bucket of their own in
+    front of the others."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    x = df.withColumn("__us", us).withColumn("__b", F.coalesce(F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)).cast("long"), F.lit(-(2**62))))
+    inside = Window.partitionBy(key, "__b").orderBy(F.col(ts), *[F.col(c) for c in order])
+    limit = round(gap_seconds * 1_000_000)
+    x = x.withColumn("__lag", F.lag("__us").over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    x = x.withColumn("__new", F.when(F.col("__first"), 0).when(F.col("__lag").isNull() | (F.col("__us") - F.col("__lag") >= limit), 1).otherwise(0))
+    x = x.withColumn("__local", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    per = x.groupBy(key, "__b").agg(F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), F.sum("__new").alias("__n"))
+    across = Window.partitionBy(key).orderBy("__b")
+    start = F.lag("__hi").over(across).isNull() | (F.col("__lo") - F.lag("__hi").over(across) >= limit)
+    per = per.withColumn("__start", start.cast("int")).withColumn(
+        "__offset", F.coalesce(F.sum(F.col("__n") + F.col("__start")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__start"))
+    per = per.select(F.col(key).alias("__k"), F.col("__b").alias("__kb"), "__offset")
+    return (x.join(per, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__kb")))
+            .withColumn(out, F.col("__offset") + F.col("__local")).drop("__us", "__b", "__lag", "__first", "__new", "__local", "__k", "__kb", "__offset"))
 
 
 def _secs(v) -> float:
@@ -187,7 +207,7 @@ def debounce(events: DataFrame, key: str, ts: str, event_id: str, quiet_seconds:
     w = Window.partitionBy(key).orderBy(F.col(ts), F.col(event_id))
     nxt = F.lead(ts).over(w)
     gap = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return events.withColumn("emitted", nxt.isNull() | (gap >= int(quiet_seconds * 1_000_000)))
+    return events.withColumn("emitted", nxt.isNull() | (gap >= round(quiet_seconds * 1_000_000)))
 
 
 # ----------------------------------------------------------------------------- E20

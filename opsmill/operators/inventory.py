@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from opsmill.functions.structured import capped_score
 from opsmill.functions.text import file_route_to_path, front_matter, normalize_path, quoted_phrases, spec_name
-from opsmill.operators.relational import closure
+from opsmill.session import bounded, cut_lineage
 
 ENDPOINT_COLS = ["repository", "method", "path", "auth", "source_kind"]
 
@@ -91,36 +91,30 @@ def nest_guard_auth(guards: Column, path: Column, webhook_paths: Sequence[str] =
 def nestjs_routes(corpus: DataFrame, global_prefix: str = "", exclude: Sequence[str] = ()) -> DataFrame:
     """``@Controller(base)`` classes and ``@Get/@Post/...`` handlers -> endpoint rows.
 
-    The file is split in front of every decorator (order kept by ``posexplode``); a
-    handler belongs to the last ``@Controller`` before it; ``@UseGuards`` between the
-    controller and its first handler guard the class, those after a handler decorator
-    (before the next one) guard that handler. Duplicate (path, method) keep the last
-    handler by (file, position)."""
-    f = corpus.filter(F.col("path").rlike(r"\.controller\.ts$|\.ts$") & F.col("content").contains("@Controller"))
-    parts = f.select("repository", "path", F.posexplode(F.split(F.col("content"), r"(?=@(?:Controller|Get|Post|Put|Patch|Delete|UseGuards)\b)"))
-                     .alias("pos", "piece"))
-    name = F.regexp_extract("piece", r"^@(\w+)", 1)
-    arg = F.regexp_extract("piece", r"^@\w+\(\s*(?:['\"`]([^'\"`]*)['\"`])?", 1)
-    x = parts.select("repository", "path", "pos", name.alias("name"), arg.alias("arg"),
-                     F.when(name == "UseGuards", F.regexp_extract("piece", r"^@UseGuards\(([^\n]*)\)", 1)).alias("guards"))
-    x = x.filter(F.col("name") != "")
+    Decorators stand in front of what they decorate, in any order: a class with its
+    decorators runs up to the brace that opens its body, and inside the body the decorators
+    of a handler run up to the brace behind its signature. The file is split at those places (order kept by
+    ``posexplode``); each piece then holds one class header or one handler with all of its
+    decorators. Guards of a handler replace those of its class. Only ``*.controller.ts``
+    files count, not their specs. Duplicate (path, method) keep the last handler by (file,
+    position)."""
+    f = corpus.filter(F.col("path").rlike(r"\.controller\.ts$") & F.col("content").contains("@Controller"))
+    # cut behind the brace that opens a class and behind the one that opens a body after a signature
+    cut = r"(?<=\bclass\s{1,9}[^{}]{1,300}\{)|(?<=\)[ \t\r\n]{0,20}(?::[^{}();@]{1,200})?\{)"
+    parts = f.select("repository", "path", F.posexplode(F.split(F.col("content"), cut)).alias("pos", "piece"))
+    arg = r"\(\s*(?:\{[^}]*?path\s*:\s*)?(?:['\"`]([^'\"`]*)['\"`])?"
+    verb = r"@(" + "|".join(_NEST_ROUTE) + r")\b"
+    x = parts.select(
+        "repository", "path", "pos", F.col("piece").contains("@Controller").alias("is_class"), F.regexp_extract("piece", r"(?s)@Controller\s*" + arg, 1).alias("base"),
+        F.regexp_extract("piece", verb, 1).alias("verb"), F.regexp_extract("piece", r"(?s)" + verb + r"\s*" + arg, 2).alias("arg"),
+        F.transform(F.regexp_extract_all("piece", F.lit(r"@UseGuards\s*\(((?:[^()]|\([^()]*\))*)\)"), 1), lambda g: F.trim(g)).alias("guards"))
+    x = x.filter(F.col("is_class") | (F.col("verb") != ""))
     w = Window.partitionBy("repository", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = (x.withColumn("ctrl_no", F.sum(F.when(F.col("name") == "Controller", 1).otherwise(0)).over(w))
-         .withColumn("route_no", F.sum(F.when(F.col("name").isin(_NEST_ROUTE), 1).otherwise(0)).over(w)))
-    ctrl = x.filter(F.col("name") == "Controller").select("repository", "path", "ctrl_no", F.col("arg").alias("base"),
-                                                           F.col("route_no").alias("ctrl_route_no"))
-    g = x.filter(F.col("name") == "UseGuards").join(ctrl, ["repository", "path", "ctrl_no"])
-    class_guards = (g.filter(F.col("route_no") == F.col("ctrl_route_no")).groupBy("repository", "path", "ctrl_no")
-                    .agg(F.collect_list("guards").alias("class_guards")))
-    method_guards = (g.filter(F.col("route_no") > F.col("ctrl_route_no")).groupBy("repository", "path", "route_no")
-                     .agg(F.collect_list("guards").alias("method_guards")))
-    routes = (x.filter(F.col("name").isin(_NEST_ROUTE)).join(ctrl, ["repository", "path", "ctrl_no"])
-              .join(class_guards, ["repository", "path", "ctrl_no"], "left").join(method_guards, ["repository", "path", "route_no"], "left"))
-    full = normalize_path(F.concat_ws("/", F.col("base"), F.col("arg")), prefix=global_prefix or None, exclude=exclude)
-    guards = F.concat(F.coalesce("method_guards", F.array().cast("array<string>")),
-                      F.coalesce("class_guards", F.array().cast("array<string>")))
-    r = routes.select("repository", F.upper("name").alias("method"), full.alias("path"), "pos", F.col("path").alias("__file"),
-                      guards.alias("__g"))
+    header = F.last(F.when(F.col("is_class"), F.struct("base", "guards")), ignorenulls=True).over(w)
+    r = x.withColumn("__c", header).filter(~F.col("is_class") & F.col("__c").isNotNull())
+    full = normalize_path(F.concat_ws("/", F.col("__c.base"), F.col("arg")), prefix=global_prefix or None, exclude=exclude)
+    guards = F.when(F.size("guards") > 0, F.col("guards")).otherwise(F.col("__c.guards"))
+    r = r.select("repository", F.upper("verb").alias("method"), full.alias("path"), "pos", F.col("path").alias("__file"), guards.alias("__g"))
     r = r.withColumn("auth", nest_guard_auth(F.col("__g"), F.col("path"))).withColumn("source_kind", F.lit("NestJS"))
     last = Window.partitionBy("repository", "method", "path").orderBy(F.col("__file").desc(), F.col("pos").desc())
     return _rows(r.withColumn("__rn", F.row_number().over(last)).filter(F.col("__rn") == 1))
@@ -128,21 +122,28 @@ def nestjs_routes(corpus: DataFrame, global_prefix: str = "", exclude: Sequence[
 
 # ----------------------------------------------------------------------------- C4 Go
 # Middleware names that indicate authentication.
-GO_AUTH_KEYWORDS = ["auth", "jwt", "bearer", "token", "apikey", "api_key", "api-key", "authorization", "authz"]
+GO_AUTH_KEYWORDS = ["auth", "jwt", "bearer", "token", "apikey", "api_key", "api-key", "authorization", "authz", "okta", "privy", "session"]
 
 
 def go_routes(corpus: DataFrame) -> DataFrame:
     """C4: inline Go routes: ``mux.Handle[Func]("[VERB ]/path", ...)`` and chi-style
     ``r.Get("/path", ...)`` (Handle/HandleFunc = GET); a path ending in ``/ws`` is a
-    WebSocket route. Auth from ``r.Use(...)`` middleware names: okta/admin -> okta,
-    api key -> api-key, other auth words -> jwt, none -> public."""
+    WebSocket route. Auth from the names of ``r.Use(...)`` middleware and of the middleware
+    that wraps the server's ``Handler:`` expression: okta/admin -> okta, api key -> api-key,
+    other auth words -> jwt, none -> public."""
     f = corpus.filter(F.col("path").endswith(".go"))
     mux = F.regexp_extract_all(F.col("content"), F.lit(
         r"\bmux\.Handle(?:Func)?\s*\(\s*['\"`]((?:(?:GET|POST|PUT|PATCH|DELETE)\s+)?[^'\"`]+)['\"`]"), 1)
     chi = F.regexp_extract_all(F.col("content"), F.lit(
         r"\b(?:r|R|router|mux)\.((?:Get|Post|Put|Patch|Delete|Handle|HandleFunc)\s*\(\s*['\"`][^'\"`]+)['\"`]"), 1)
     uses = F.regexp_extract_all(F.col("content"), F.lit(r"\b(?:r|router|R)\.Use\s*\(\s*([^)]+)\s*\)"), 1)
-    hits = F.filter(uses, lambda u: F.exists(F.array(*[F.lit(k) for k in GO_AUTH_KEYWORDS]), lambda k: F.lower(u).contains(k)))
+    # the server's Handler field, followed through one local variable, and the middleware it is wrapped in
+    field = F.trim(F.regexp_extract("content", r"\bHandler\s*:\s*([^,\n]+)", 1))
+    local = F.regexp_extract_all(F.col("content"), F.lit(r"\b(\w+)\s*:=\s*[^\n]+"), 1)
+    value = F.regexp_extract_all(F.col("content"), F.lit(r"\b\w+\s*:=\s*([^\n]+)"), 1)
+    chain = F.when(F.array_position(local, field) > 0, F.element_at(value, F.greatest(F.array_position(local, field), F.lit(1)).cast("int"))).otherwise(field)
+    wraps = F.regexp_extract_all(chain, F.lit(r"\b(\w*[Mm]iddleware)\s*\("), 1)
+    hits = F.filter(F.concat(uses, wraps), lambda u: F.exists(F.array(*[F.lit(k) for k in GO_AUTH_KEYWORDS]), lambda k: F.lower(u).contains(k)))
     low = F.lower(F.array_join(hits, ", "))
     auth = (F.when(F.size(hits) == 0, "public").when(low.contains("okta") | low.contains("admin"), "okta")
             .when(_has_any(low, ["apikey", "api_key", "api-key", "serviceapikey"]), "api-key").otherwise("jwt"))
@@ -207,11 +208,11 @@ def asyncapi_channels(corpus: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- C9 YAML keys
-def yaml_key_scan(corpus: DataFrame, max_indent: int = 40) -> DataFrame:
+def yaml_key_scan(corpus: DataFrame) -> DataFrame:
     """Every ``key:`` line of a YAML file -> (path, line, indent, key, value,
     parent_line). The parent is the nearest earlier key line with a smaller indent: for
-    each indent level a running ``last`` over the lines keeps the latest line at that
-    level, so no line is compared with every other line."""
+    each indent that occurs in the corpus a running ``last`` over the lines keeps the latest
+    line at that indent, so no line is compared with every other line and no depth is cut."""
     lines = corpus.filter(F.col("path").rlike(r"\.ya?ml$")).select("repository", "path", F.posexplode(F.split("content", "\n")).alias(
         "i", "text"))
     rx = r"^(\s*)(?:-\s+)?(\"[^\"]+\"|'[^']+'|[^\s:#][^:#]*?)\s*:(?:\s+(.*))?$"
@@ -220,10 +221,10 @@ def yaml_key_scan(corpus: DataFrame, max_indent: int = 40) -> DataFrame:
         F.regexp_replace(F.regexp_extract("text", rx, 2), r"^['\"]|['\"]$", "").alias("key"),
         F.trim(F.regexp_extract("text", rx, 3)).alias("value"))
     w = Window.partitionBy("repository", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = F.array(*[F.last(F.when(F.col("indent") == lvl, F.col("line")), ignorenulls=True).over(w) for lvl in range(max_indent + 1)])
-    k = k.withColumn("__lasts", lasts)
-    parent = F.array_max(F.filter(F.slice("__lasts", 1, F.col("indent")), lambda x: x.isNotNull()))
-    return k.withColumn("parent_line", F.when(F.col("indent") > 0, parent)).drop("__lasts")
+    levels = sorted(r["indent"] for r in k.select("indent").distinct().collect())  # one value for each depth in use
+    seen = [F.when(F.col("indent") > lvl, F.last(F.when(F.col("indent") == lvl, F.col("line")), ignorenulls=True).over(w)) for lvl in levels]
+    parent = F.array_max(F.filter(F.array(*seen), lambda x: x.isNotNull())) if seen else F.lit(None).cast("int")
+    return k.withColumn("parent_line", parent)
 
 
 def openapi_yaml_paths(corpus: DataFrame) -> DataFrame:
@@ -240,7 +241,13 @@ def openapi_yaml_paths(corpus: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- C6 FastAPI
-def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_depth: int = 16) -> DataFrame:
+# Parts of a dependency's name that mark a signature or shared-secret check,
+# and parts of a header's name that mark an API key.
+FASTAPI_VERIFIERS = ["_secret", "_signature", "_hmac", "_webhook"]
+FASTAPI_HEADERS = ["api-key", "api_key", "apikey", "authorization", "token", "secret", "signature"]
+
+
+def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = ()) -> DataFrame:
     """FastAPI apps and routers in Python modules.
 
     Objects: ``x = FastAPI(...)`` (roots) and ``x = APIRouter(prefix='/p')``; edges:
@@ -248,9 +255,11 @@ def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_dept
     name imported with ``from mod import name [as alias]``; routes:
     ``@obj.get('/path', ...)`` decorators. Full prefixes are composed from the roots
     along the include edges (iterative join, cycle-safe: a router already on the path is
-    not entered again). Auth precedence per route: ``require_admin`` -> okta, signature
-    verifier -> signature, ``Header(...)`` API key -> api-key, ``get_current_user`` ->
-    jwt, path on the allow list -> public, otherwise jwt."""
+    not entered again). A function whose first parameter is ``app`` mounts at the root.
+    Auth precedence per route, by the names in ``Depends(...)`` with the module's aliases
+    expanded: ``require_admin`` -> okta, a signature verifier -> signature, an API-key
+    ``Header(...)`` -> api-key, ``get_current_user`` -> jwt, path on the allow list ->
+    public, otherwise jwt."""
     py = corpus.filter(F.col("path").endswith(".py")).withColumn("module", F.regexp_replace(
         F.regexp_replace("path", r"\.py$", ""), "/", "."))
     objs = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
@@ -258,6 +267,10 @@ def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_dept
     objs = objs.select("repository", "module", F.regexp_extract("decl", r"^\s*(\w+)", 1).alias("var"),
                        F.regexp_extract("decl", r"FastAPI", 0).alias("is_app"),
                        F.regexp_extract("decl", r"prefix\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("own_prefix"))
+    # a helper whose first parameter is the app mounts routers on it: that name is a root too
+    helpers = py.filter(F.col("content").rlike(r"def\s+\w+\(\s*app\b") & F.col("content").contains("app.include_router")).select(
+        "repository", "module", F.lit("app").alias("var"), F.lit("FastAPI").alias("is_app"), F.lit("").alias("own_prefix"))
+    objs = objs.unionByName(helpers.join(objs.filter("var = 'app'").select("repository", "module").distinct(), ["repository", "module"], "left_anti"))
     imports = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
         r"(?m)^\s*from\s+([\w.]+)\s+import\s+(\w+)(?:\s+as\s+(\w+))?"), 0)).alias("imp"))
     imports = imports.select("repository", "module", F.regexp_extract("imp", r"from\s+([\w.]+)", 1).alias("src_module"),
@@ -265,9 +278,9 @@ def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_dept
                              F.coalesce(F.nullif(F.regexp_extract("imp", r"\s+as\s+(\w+)", 1), F.lit("")),
                                         F.regexp_extract("imp", r"import\s+(\w+)", 1)).alias("alias"))
     inc = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"(\w+)\.include_router\(\s*(\w+)[^)]*\)"), 0)).alias("call"))
+        r"(\w+)\.include_router\(\s*([\w.]+)[^)]*\)"), 0)).alias("call"))
     inc = inc.select("repository", "module", F.regexp_extract("call", r"^(\w+)", 1).alias("parent"),
-                     F.regexp_extract("call", r"include_router\(\s*(\w+)", 1).alias("child"),
+                     F.regexp_extract("call", r"include_router\(\s*([\w.]+)", 1).alias("child"),
                      F.regexp_extract("call", r"prefix\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("inc_prefix"))
     # resolve the child name: a local object, else an imported one
     local = objs.select("repository", "module", F.col("var").alias("child"), F.col("module").alias("c_module"))
@@ -278,18 +291,25 @@ def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_dept
         "repository", F.concat_ws(":", "module", "parent").alias("src"), F.concat_ws(":", "c_module", "child").alias("dst"), "inc_prefix")
     e2 = inc.join(via_import, ["repository", "module", "child"]).select(
         "repository", F.concat_ws(":", "module", "parent").alias("src"), F.concat_ws(":", "c_module", "c_var").alias("dst"), "inc_prefix")
-    edges = e1.unionByName(e2).distinct()
+    # ``module.router`` of an imported module
+    dotted = inc.filter(F.col("child").contains(".")).select(
+        "*", F.regexp_extract("child", r"^(.*)\.\w+$", 1).alias("alias"), F.regexp_extract("child", r"(\w+)$", 1).alias("attr"))
+    e3 = dotted.join(imports, ["repository", "module", "alias"]).select(
+        "repository", F.concat_ws(":", "module", "parent").alias("src"),
+        F.concat_ws(":", F.concat_ws(".", "src_module", "src_var"), "attr").alias("dst"), "inc_prefix")
+    edges = e1.unionByName(e2).unionByName(e3).distinct()
     o = objs.select("repository", F.concat_ws(":", "module", "var").alias("obj"), (F.col("is_app") != "").alias("is_app"), "own_prefix")
     # prefix walk from the apps: (obj, prefix, visited)
     frontier = o.filter("is_app").select("repository", "obj", F.col("own_prefix").alias("prefix"), F.array("obj").alias("visited"))
     reach = frontier
-    for _ in range(max_depth):
+    while True:  # ends when no router is entered any more: a path never visits one twice
         step = (frontier.join(edges.withColumnRenamed("src", "obj"), ["repository", "obj"])
                 .filter(~F.array_contains("visited", F.col("dst")))
                 .join(o.select("repository", F.col("obj").alias("dst"), "own_prefix"), ["repository", "dst"])
                 .select("repository", F.col("dst").alias("obj"),
                         F.concat("prefix", F.coalesce("inc_prefix", F.lit("")), F.coalesce("own_prefix", F.lit(""))).alias("prefix"),
                         F.concat("visited", F.array("dst")).alias("visited")))
+        step = cut_lineage(step)
         if step.isEmpty():
             break
         reach = reach.unionByName(step)
@@ -301,16 +321,27 @@ def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = (), max_dept
                        F.upper(F.regexp_extract("d", r"^@\w+\.(\w+)", 1)).alias("method"),
                        F.regexp_extract("d", r"^@\w+\.\w+\(\s*['\"]([^'\"]*)['\"]", 1).alias("sub"),
                        F.lower("d").alias("sig"))
+    # dependency names of a signature, aliases of the module expanded (``Admin = Annotated[..., Depends(require_admin)]``)
+    alias = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
+        r"(?m)^(\w+)\s*=\s*(?:Annotated\[[^\n]*?)?Depends\(\s*\w+"), 0)).alias("a"))
+    alias = (alias.select("repository", "module", F.struct(F.lower(F.regexp_extract("a", r"^(\w+)", 1)).alias("name"),
+                                                           F.lower(F.regexp_extract("a", r"Depends\(\s*(\w+)", 1)).alias("dep")).alias("a"))
+             .groupBy("repository", "module").agg(F.collect_set("a").alias("aliases")))  # the aliases of one file
+    deco = deco.withColumn("module", F.regexp_extract("obj", r"^(.*):", 1)).join(alias, ["repository", "module"], "left")
+    named = F.regexp_extract_all("sig", F.lit(r"[\w.]+\s*:\s*(\w+)"), 1)
+    expanded = F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<struct<name:string,dep:string>>")),
+                                    lambda a: F.array_contains(named, a["name"])), lambda a: a["dep"])
+    deco = deco.withColumn("deps", F.concat(F.regexp_extract_all("sig", F.lit(r"depends\(\s*(\w+)"), 1), expanded)).drop("module", "aliases")
     r = reach.join(deco, ["repository", "obj"])
     full = normalize_path(F.concat("prefix", "sub"))
     allowed = F.lit(False)
     from opsmill.functions.text import glob_match
     if allow_public:
         allowed = glob_match(full, allow_public)
-    auth = (F.when(F.col("sig").contains("require_admin"), "okta")
-            .when(F.col("sig").rlike(r"verify_\w*signature|verify_internal_secret|hmac"), "signature")
-            .when(F.col("sig").rlike(r"header\(\s*[^)]*(api[_-]?key|x-[\w-]*key)"), "api-key")
-            .when(F.col("sig").contains("get_current_user"), "jwt").when(allowed, "public").otherwise("jwt"))
+    verifier = F.exists("deps", lambda d: d.startswith("verify_") | _has_any(d, FASTAPI_VERIFIERS))
+    header = F.exists(F.regexp_extract_all("sig", F.lit(r"(\w+\s*:[^,=]*=\s*header\([^)]*\))"), 1), lambda h: _has_any(h, FASTAPI_HEADERS))
+    auth = (F.when(F.array_contains("deps", "require_admin"), "okta").when(verifier, "signature").when(header, "api-key")
+            .when(F.array_contains("deps", "get_current_user"), "jwt").when(allowed, "public").otherwise("jwt"))
     return _rows(r.select("repository", "method", full.alias("path"), auth.alias("auth"), F.lit("FastAPI").alias("source_kind")).distinct())
 
 
@@ -436,7 +467,7 @@ def quality_bands(metrics: DataFrame, bands: DataFrame, metric_cols: Sequence[st
     join against a small threshold table (metric, lo, hi, band)."""
     long = metrics.select(*key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                    for m in metric_cols])).alias("m")).select(*key, "m.*")
-    b = F.broadcast(bands)
+    b = bounded(bands, 1000)
     return long.join(b, (long["metric"] == b["metric"]) & (long["value"] >= b["lo"]) & (long["value"] < b["hi"])).drop(b["metric"]).drop(
         "lo", "hi")
 
@@ -460,11 +491,16 @@ def concept_tags(corpus: DataFrame, rules: dict[str, str], text: str = "content"
     return corpus.withColumn("concepts", F.array_sort(tags))
 
 
-def static_findings(lines: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """C20: rule table (rule_id, pattern, severity, cwe) x source lines -> findings.
-    The rule table is small and broadcast; each line is tested against every rule with
-    ``rlike`` (a regex per rule row)."""
-    return lines.join(F.broadcast(rules), F.expr(f"{text} rlike pattern")).drop("pattern")
+def static_findings(lines: DataFrame, rules: Sequence[tuple[str, str, str, str]], text: str = "text") -> DataFrame:
+    """C20: source lines against (rule_id, pattern, severity, cwe) rules -> findings.
+
+    The rules are literals of the plan: each line is read once, every pattern is compiled
+    once, and the rules that match are exploded - no join of lines with rules."""
+    hits = [F.when(F.col(text).rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(cwe).alias("cwe"))) for i, p, sev, cwe in rules]
+    if not hits:
+        return lines.select("*", F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("cwe")).limit(0)
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return lines.select("*", F.explode(found).alias("__h")).select(*lines.columns, "__h.*")
 
 
 # Finding weights per severity (unknown severities weigh 0 but are counted).
@@ -501,16 +537,22 @@ def large_functions(corpus: DataFrame, max_lines: int = 50) -> DataFrame:
 def affected_projects(changed: DataFrame, projects: DataFrame, deps: DataFrame, file_col: str = "file", root_col: str = "root",
                       project_col: str = "project") -> DataFrame:
     """Changed files -> owning projects -> every project that depends on them,
-    transitively (reverse-edge closure). A file belongs to the project whose root
+    transitively. A file belongs to the project whose root
     (``a/b/``) is one of the file's directory prefixes: the prefixes are exploded (as
     many as the path is deep) and equi-joined to the roots - no prefix scan of the
-    project table."""
+    project table. Dependents come from a breadth-first search whose frontier starts at
+    the changed projects."""
     parts = F.split(F.col(file_col), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
                            lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     pre = changed.select(F.explode(prefixes).alias(root_col)).distinct()
     direct = pre.join(projects.select(root_col, project_col), root_col).select(project_col).distinct()
-    rev = deps.select(F.col("dependency").alias("src"), F.col("dependent").alias("dst"))
-    cl = closure(rev, "src", "dst")
-    dependents = cl.join(direct.withColumnRenamed(project_col, "src"), "src").select(F.col("dst").alias(project_col))
-    return direct.unionByName(dependents).distinct()
+    rev = deps.select(F.col("dependency").alias("src"), F.col("dependent").alias(project_col)).distinct()
+    reached = frontier = cut_lineage(direct)
+    while True:  # breadth first from the changed projects only; each edge is followed once
+        step = (frontier.withColumnRenamed(project_col, "src").join(rev, "src").select(project_col).distinct()
+                .join(reached, project_col, "left_anti"))
+        frontier = cut_lineage(step)
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)

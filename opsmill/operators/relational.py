@@ -331,19 +331,18 @@ def as_of_join(probes: DataFrame, events: DataFrame, key: str, probe_ts: str, ts
                        F.struct(*probes.columns).alias("__probe"))
     ev = ev.withColumn("__probe", F.lit(None).cast(pr.schema["__probe"].dataType))
     u = ev.unionByName(pr)
+    order = ["__t", "__is_ev", *value_cols]  # equal times: the greatest values win, with and without buckets
     if bucket_seconds is None:
-        w = Window.partitionBy(key).orderBy("__t", "__is_ev").rowsBetween(Window.unboundedPreceding, 0)
-        for c in value_cols:
-            u = u.withColumn(c, F.last(c, ignorenulls=True).over(w))
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        u = u.select("__is_ev", "__probe", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
         return u.filter(F.col("__is_ev") == 2).select("__probe.*", *value_cols)
     b = F.floor(F.unix_micros(F.col("__t").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
     u = u.withColumn("__b", b).withColumn("__seen", F.when(F.col("__is_ev") == 1, F.lit(1)))
-    w_in = Window.partitionBy(key, "__b").orderBy("__t", "__is_ev").rowsBetween(Window.unboundedPreceding, 0)
-    for c in [*value_cols, "__seen"]:
-        u = u.withColumn(c, F.last(c, ignorenulls=True).over(w_in))
+    w_in = Window.partitionBy(key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.select(*[c for c in u.columns if c not in (*value_cols, "__seen")], *[F.last(c, ignorenulls=True).over(w_in).alias(c) for c in [*value_cols, "__seen"]])
     # last event of each bucket, and for every probe bucket the nearest earlier one
     last_ev = (u.filter(F.col("__is_ev") == 1).groupBy(key, "__b")
-               .agg(F.max_by(F.struct(*value_cols), F.struct("__t")).alias("__v")))
+               .agg(F.max_by(F.struct(*value_cols), F.struct("__t", *value_cols)).alias("__v")))
     probe_b = u.filter(F.col("__is_ev") == 2).select(key, "__b").distinct()
     bu = (last_ev.select(key, "__b", F.lit(1).alias("__k"), "__v")
           .unionByName(probe_b.select(key, "__b", F.lit(2).alias("__k"), F.lit(None).cast(last_ev.schema["__v"].dataType).alias("__v"))))
@@ -449,8 +448,10 @@ def rate(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], exact: bool = True) -> DataFrame:
-    """Exact (``percentile``) or approximate (``percentile_approx``) quantiles."""
+def percentiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], exact: bool = False) -> DataFrame:
+    """Quantiles by a mergeable sketch of bounded size (``percentile_approx``, exact up to
+    10,000 distinct values in a group), or on request by ``percentile``, whose buffer holds
+    every distinct value of a group."""
     aggs = []
     for q in qs:
         name = f"p{int(round(q * 100))}"
@@ -500,31 +501,19 @@ def count_over_partition(df: DataFrame, key: str, out: str = "n_in_group") -> Da
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]]) -> DataFrame:
     """``DISTINCT ON (keys) ... ORDER BY order`` = first row per key.
 
-    ``order`` holds column names (ascending) or ``Column.asc()/.desc()`` sort orders. When
-    all of them sort the same way the first row is a ``min_by`` / ``max_by`` aggregate -
-    partial aggregation collapses a hot key before the shuffle; mixed directions fall back
-    to ``row_number`` over a window."""
-    names, dirs = [], []
-    for o in order:
-        if isinstance(o, str):
-            names.append(o)
-            dirs.append("asc")
-            continue
-        text = str(o)
-        m = re.search(r"Column<'(.+?) (ASC|DESC)", text)
-        if not m:
-            names, dirs = None, None
-            break
-        names.append(m.group(1).strip("`"))
-        dirs.append(m.group(2).lower())
-    if names and len(set(dirs)) == 1 and all(n in df.columns for n in names):
+    ``order`` holds column names (ascending) or ``(name, "asc" | "desc")`` pairs. When all of
+    them sort the same way the first row is a ``min_by`` / ``max_by`` aggregate - partial
+    aggregation collapses a hot key before the shuffle; mixed directions use
+    ``row_number`` over a window."""
+    pairs = [(o, "asc") if isinstance(o, str) else (o[0], o[1].lower()) for o in order]
+    if len({d for _, d in pairs}) == 1:
         others = [c for c in df.columns if c not in keys]
-        pick = F.min_by if dirs[0] == "asc" else F.max_by
-        return df.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*names)).alias("__r")).select(*keys, "__r.*")
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
+        pick = F.min_by if pairs[0][1] == "asc" else F.max_by
+        return df.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*[n for n, _ in pairs])).alias("__r")).select(*keys, "__r.*")
+    w = Window.partitionBy(*keys).orderBy(*[F.col(n).asc() if d == "asc" else F.col(n).desc() for n, d in pairs])
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
@@ -681,25 +670,26 @@ def cohort_retention(df: DataFrame, user: str, ts: str) -> DataFrame:
     return act.groupBy("cohort_month", off.alias("month_offset")).agg(F.countDistinct(user).alias("active_users"))
 
 
-def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n: int = 5) -> DataFrame:
+def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n: int = 5, accuracy: int = 10_000) -> DataFrame:
     """Recency / frequency / monetary scores 1..n.
 
     A global ``ntile`` would sort every user in one task; instead one aggregate computes the
-    n-quantile cut points (``percentile`` over the per-user rows) and each score counts the
-    cut points below the value - the same buckets, fully parallel."""
+    n-quantile cut points of all three values (mergeable sketches of bounded size,
+    ``percentile_approx``: exact up to ``accuracy`` distinct values, rank error at most
+    1 / accuracy beyond) and each score counts the cut points below the value."""
     per = df.groupBy(user).agg(F.datediff(F.to_date(F.lit(as_of)), F.to_date(F.max(ts))).alias("recency_days"),
                                F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
     qs = [i / n for i in range(1, n)]
-    x = per
-    for c in ("recency_days", "frequency", "monetary"):
-        x = x.withColumn(f"__q_{c}", per.select(F.percentile(c, qs)).scalar())  # one-row scalar subquery
+    names = ("recency_days", "frequency", "monetary")
+    cuts = per.agg(F.struct(*[F.percentile_approx(c, qs, accuracy).alias(c) for c in names]).alias("q")).scalar()  # one row
+    x = per.withColumn("__q", cuts)
 
     def score(c, reverse=False):
-        above = F.size(F.filter(F.col(f"__q_{c}"), lambda q: F.col(c) > q)).cast("long") + 1
+        above = F.size(F.filter(F.col("__q")[c], lambda q: F.col(c) > q)).cast("long") + 1
         return (F.lit(n + 1).cast("long") - above) if reverse else above
 
     return (x.withColumn("r_score", score("recency_days", reverse=True)).withColumn("f_score", score("frequency"))
-            .withColumn("m_score", score("monetary")).drop(*[f"__q_{c}" for c in ("recency_days", "frequency", "monetary")]))
+            .withColumn("m_score", score("monetary")).drop("__q"))
 
 
 # --------------------------------------------------------------------------- 2.6 sort / top-k
@@ -725,23 +715,43 @@ def offset_limit(df: DataFrame, order: Sequence[Column], offset: int, limit: int
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def value_buckets(df: DataFrame, order: Sequence[str], out: str = "__bucket", buckets: int | None = None) -> DataFrame:
+    """Number the rows' ranges of a total order by value: 0 for the first range, and so on.
+
+    Cut points are order tuples picked by a hash of their values (so every evaluation picks
+    the same), about 8 for each bucket, of which every eighth becomes a literal in the plan.
+    The bucket of a row is the number of cut points at or before it: a function of its
+    values alone, whatever partitions, adaptive plans or re-runs do. Joins on it are safe,
+    unlike joins on ``spark_partition_id``.
+    """
+    n = buckets or min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    total = df.count()
+    grain = 1_000_003
+    picked = df.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(grain)) < max(1, int(grain * min(1.0, 8 * n / max(total, 1)))))
+    cuts = [r["k"] for r in picked.orderBy("k").collect()][4::8]  # about 8 n rows
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    kind = picked.schema["k"].dataType
+    literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True)]) for c in cuts]
+    return df.withColumn(out, F.size(F.filter(F.array(*literals), lambda q: q <= key)))
+
+
 def ordered_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch_no") -> DataFrame:
     """T5: consecutive chunks of ``size`` rows in a total order.
 
-    The global position is computed without a single-partition window: rows are range
-    partitioned on the order key, each partition counts its rows, a running sum over the
-    (few) partition counts gives every partition its offset."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    with_pid = ordered.withColumn("__pid", F.spark_partition_id())
-    w_in = Window.partitionBy("__pid").orderBy(*order)
-    with_rn = with_pid.withColumn("__rn", F.row_number().over(w_in))
-    counts = with_pid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__off", F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
-        Window.unboundedPreceding, -1))).fillna(0, ["__off"])
-    return (with_rn.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+    The global position needs no single-partition window: rows are ranked inside value
+    buckets, and a running sum over the bucket counts (one row a bucket) gives each bucket
+    its offset. Rows that are equal in every order column get positions in no fixed order."""
+    x = value_buckets(df, order)
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    counts = x.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (x.withColumn("__rn", rank).join(F.broadcast(offsets), F.col("__bucket") == F.col("__b"))  # at most 256 rows
             .withColumn("position", F.col("__off") + F.col("__rn"))
             .withColumn(out, F.floor((F.col("position") - 1) / size).cast("long"))
-            .drop("__pid", "__rn", "__off"))
+            .drop("__bucket", "__b", "__rn", "__off"))
 
 
 def heavy_hitters(df: DataFrame, col: str, k: int, exact: bool = True) -> DataFrame:

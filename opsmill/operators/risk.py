@@ -146,21 +146,19 @@ def framework_controls(spark: SparkSession) -> DataFrame:
 
 
 def compliance_matrix(spark: SparkSession, requirements: DataFrame) -> DataFrame:
-    """Framework -> control -> requirements of the domains mapped to it (non-empty
-    controls only). Requirement counts per domain are aggregated before the join, so the
-    matrix never multiplies requirement rows by controls."""
-    per_domain = requirements.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    fc = framework_controls(spark)
-    j = fc.join(per_domain, "domain").groupBy("framework", "control").agg(F.sum("n").alias("requirements"))
-    return j.filter(F.col("requirements") > 0)
+    """The requirements behind each framework control, as rows (framework, domain, control,
+    req_id): those of the domain that the control is mapped to. The mapping is a literal
+    table of fixed size and the only side that may be broadcast."""
+    return F.broadcast(framework_controls(spark)).join(requirements.select("domain", "req_id"), "domain").select("framework", "domain", "control", "req_id")
 
 
 def compliance_gaps(spark: SparkSession, requirements: DataFrame) -> DataFrame:
-    """Per (framework, domain, control) entry: missing (no requirement) or weak (one)."""
-    per_domain = requirements.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    """Per (framework, domain, control) entry: missing (no requirement) or weak (one, whose
+    id is given)."""
+    per_domain = requirements.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("req_id").alias("one"))
     fc = framework_controls(spark)
     per_control = fc.join(per_domain, "domain", "left").groupBy("framework", "control").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("matching"))
+        F.coalesce(F.sum("n"), F.lit(0)).alias("matching"), F.min("one").alias("req_id"))
     gaps = fc.join(per_control, ["framework", "control"]).withColumn(
         "gap", F.when(F.col("matching") == 0, "missing_controls").when(F.col("matching") < 2, "weak_coverage"))
     return gaps.filter(F.col("gap").isNotNull())
@@ -207,16 +205,16 @@ def critical_gaps(gaps: DataFrame, threats: DataFrame, threat_id: str = "threat_
     return gaps.join(crit, threat_id, "left_semi")
 
 
-def recommend_counts(threats: DataFrame, mc: DataFrame, control_categories: DataFrame, threat_id: str = "threat_id") -> DataFrame:
-    """Controls for the threat's category minus those already mapped - as counts per
-    threat (category totals minus mapped-in-category), so no threat x control pairs are
-    materialised."""
-    per_cat = control_categories.groupBy("category_no").agg(F.countDistinct("control_id").alias("available"))
-    mapped_in_cat = (mc.select(threat_id, "control_id").join(control_categories, "control_id")
-                     .join(threats.select(threat_id, "category_no"), [threat_id, "category_no"])
-                     .groupBy(threat_id).agg(F.countDistinct("control_id").alias("existing")))
-    return (threats.select(threat_id, "category_no").join(per_cat, "category_no", "left").join(mapped_in_cat, threat_id, "left")
-            .select(threat_id, (F.coalesce("available", F.lit(0)) - F.coalesce("existing", F.lit(0))).alias("recommended")))
+def recommend_controls(threats: DataFrame, mc: DataFrame, control_categories: DataFrame, threat_id: str = "threat_id") -> DataFrame:
+    """Per threat the ids of the controls for its category that are not mapped to it yet, as
+    a sorted array. A category's controls are a catalogue entry (one array a category); each
+    threat subtracts its own mapped controls from it, so threats and controls are never
+    joined pair by pair."""
+    catalogue = control_categories.groupBy("category_no").agg(F.array_sort(F.collect_set("control_id")).alias("__all"))
+    own = mc.groupBy(threat_id).agg(F.collect_set("control_id").alias("__own"))
+    empty = F.array().cast("array<long>")
+    return (threats.select(threat_id, "category_no").join(catalogue, "category_no", "left").join(own, threat_id, "left")
+            .select(threat_id, F.array_except(F.coalesce("__all", empty), F.coalesce("__own", empty)).alias("recommended_ids")))
 
 
 def phase_roadmap(gaps: DataFrame, threats: DataFrame, control_categories: DataFrame, controls: DataFrame, per_phase: int = 5,
@@ -253,16 +251,17 @@ def _children_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tree_id", F.col("parent").alias("node_id")).agg(F.count(F.lit(1)).alias("__n_children"))
 
 
-def _resolve(nodes: DataFrame, edges: DataFrame, leaf_values: DataFrame, combine, max_levels: int = 64) -> DataFrame:
+def _resolve(nodes: DataFrame, edges: DataFrame, leaf_values: DataFrame, combine) -> DataFrame:
     """Bottom-up level loop. ``leaf_values`` holds (tree_id, node_id, <value cols>) for the
     leaves (and childless inner nodes); ``combine(grouped_children, node_type)`` returns
     the value columns of a parent from its resolved children. Each round resolves the
-    nodes whose children are all resolved."""
+    nodes whose children are all resolved, whatever the depth; only the new level is
+    written, earlier levels are read again as they are."""
     nc = _children_counts(edges)
     inner = nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select(
         "tree_id", "node_id", "node_type", "__n_children")
     resolved = cut_lineage(leaf_values)
-    for _ in range(max_levels):
+    while True:
         child = edges.join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
         todo = inner.join(resolved.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
         ready = combine(child.join(todo.withColumnRenamed("node_id", "parent"), ["tree_id", "parent"]))
@@ -270,8 +269,7 @@ def _resolve(nodes: DataFrame, edges: DataFrame, leaf_values: DataFrame, combine
         ready = cut_lineage(ready.withColumnRenamed("parent", "node_id"))
         if ready.isEmpty():
             return resolved
-        resolved = cut_lineage(resolved.unionByName(ready))
-    raise RuntimeError("attack tree deeper than max_levels")
+        resolved = resolved.unionByName(ready)
 
 
 def tree_rollup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -314,48 +312,45 @@ def best_path(nodes: DataFrame, edges: DataFrame, metric: str = "difficulty") ->
     return _resolve(nodes, edges, leaf_vals, combine)
 
 
-def attack_paths(nodes: DataFrame, edges: DataFrame, max_paths_per_node: int = 100_000) -> DataFrame:
+def attack_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All root-to-leaf attack paths as node-id arrays. OR: each child path prefixed
     by the node; AND: the cartesian product of the children's path sets (a single child's
     paths pass through unchanged), prefixed by the node.
 
-    Paths are rows: an OR node expands by a join (no collection). An AND node must combine
-    its children's path sets; the product size is computed first and the job fails
-    loudly if it exceeds ``max_paths_per_node`` rather than truncating."""
+    Paths are rows throughout. An OR node expands by one join; an AND node folds its
+    children in order, one join by (tree, node) for each child position, so no path set is
+    ever collected into a value. Levels go up until no node is ready: neither the depth nor
+    the number of paths has a limit (the result itself has one row for each path)."""
     nc = _children_counts(edges)
     inner = nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select("tree_id", "node_id", "node_type",
                                                                                                "__n_children")
     leaves = nodes.join(nc, ["tree_id", "node_id"], "left").filter((F.col("node_type") == "leaf") | F.col("__n_children").isNull())
     resolved = cut_lineage(leaves.select("tree_id", "node_id", F.array(F.col("node_id")).alias("path")))
-    done = resolved.select("tree_id", "node_id").distinct()
-    for _ in range(64):
+    done = cut_lineage(resolved.select("tree_id", "node_id").distinct())
+    turn = F.row_number().over(Window.partitionBy("tree_id", "parent").orderBy("pos", "child"))
+    numbered = cut_lineage(edges.withColumn("__k", turn))
+    while True:
         todo = inner.join(done, ["tree_id", "node_id"], "left_anti")
         got = edges.join(done.withColumnRenamed("node_id", "child"), ["tree_id", "child"]).groupBy("tree_id", "parent").agg(
             F.count(F.lit(1)).alias("__got"))
-        ready = (todo.withColumnRenamed("node_id", "parent").join(got, ["tree_id", "parent"])
-                 .filter(F.col("__got") == F.col("__n_children")).select("tree_id", "parent", "node_type"))
+        ready = cut_lineage(todo.withColumnRenamed("node_id", "parent").join(got, ["tree_id", "parent"])
+                            .filter(F.col("__got") == F.col("__n_children")).select("tree_id", "parent", "node_type", "__n_children"))
         if ready.isEmpty():
-            break
-        cp = edges.join(ready, ["tree_id", "parent"]).join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
-        or_paths = cp.filter(F.col("node_type") == "or").select("tree_id", F.col("parent").alias("node_id"),
-                                                               F.concat(F.array("parent"), "path").alias("path"))
-        per_child = (cp.filter(F.col("node_type") == "and").groupBy("tree_id", "parent", "pos")
-                     .agg(F.collect_list("path").alias("paths")))
-        per_node = per_child.groupBy("tree_id", "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "paths"))).alias("kids"))
-        sizes = per_node.select(F.aggregate(F.transform("kids", lambda k: F.size(k["paths"]).cast("long")), F.lit(1).cast("long"),
-                                            lambda a, s: a * s).alias("n"))
-        biggest = sizes.agg(F.max("n")).first()[0]
-        if biggest is not None and biggest > max_paths_per_node:
-            raise RuntimeError(f"AND node expands to {biggest} paths (limit {max_paths_per_node})")
-        init = F.array(F.array().cast("array<long>"))
-        product = F.aggregate(F.transform("kids", lambda k: k["paths"]), init,
-                              lambda acc, paths: F.flatten(F.transform(acc, lambda a: F.transform(paths, lambda p: F.concat(a, p)))))
-        and_paths = per_node.select("tree_id", F.col("parent").alias("node_id"), F.explode(product).alias("p")).select(
-            "tree_id", "node_id", F.concat(F.array("node_id"), "p").alias("path"))
-        new = cut_lineage(or_paths.unionByName(and_paths))
-        resolved = cut_lineage(resolved.unionByName(new))
-        done = cut_lineage(done.unionByName(ready.select("tree_id", F.col("parent").alias("node_id"))))
-    return resolved
+            return resolved
+        cp = numbered.join(ready, ["tree_id", "parent"]).join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
+        new = cp.filter(F.col("node_type") == "or").select("tree_id", "parent", "path")
+        kids = cp.filter(F.col("node_type") == "and")
+        folded = kids.filter("__k = 1").select("tree_id", "parent", "path")
+        widest = ready.filter(F.col("node_type") == "and").agg(F.max("__n_children")).first()[0] or 1
+        for k in range(2, widest + 1):
+            nxt = kids.filter(F.col("__k") == k).select("tree_id", "parent", F.col("path").alias("__next"))
+            folded = folded.join(nxt, ["tree_id", "parent"], "left").select(
+                "tree_id", "parent", F.concat("path", F.coalesce("__next", F.array().cast("array<long>"))).alias("path"))
+            if k % 8 == 0:
+                folded = cut_lineage(folded)
+        new = new.unionByName(folded).select("tree_id", F.col("parent").alias("node_id"), F.concat(F.array("parent"), "path").alias("path"))
+        resolved = resolved.unionByName(cut_lineage(new))
+        done = done.unionByName(ready.select("tree_id", F.col("parent").alias("node_id")))
 
 
 def root_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Vector retrieval and context operators.
 
-Exact top-k similarity: the query set is small and size-checked, broadcast once; every
+Exact top-k similarity: the queries are broadcast in blocks of bounded size; every
 partition of the vector table computes ``X @ Q.T`` with numpy inside ``mapInPandas`` and
 keeps only its local top-k per query, and a window over those few candidates gives the
 global top-k. No (vector, query) pair table is ever materialised. For large query sets
-use ``ann_search`` (random-projection LSH with exact re-ranking).
+use ``ann_search`` (sign sketches with exact re-ranking of the nearest share).
 """
 
 from __future__ import annotations
@@ -17,81 +17,135 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_QUERIES = 10_000
+QUERY_BLOCK = 10_000
 
 
 def centroids(df: DataFrame, key: str, vec: str, out: str = "embedding") -> DataFrame:
-    """Mean vector per key (dimension-wise average, one aggregate over (key, dim))."""
-    ex = df.select(key, F.posexplode(vec).alias("dim", "v"))
-    per = ex.groupBy(key, "dim").agg(F.avg("v").alias("v"))
-    return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("__p")).select(
-        key, F.transform("__p", lambda p: p["v"]).alias(out))
+    """Mean vector per key: one vector-valued aggregate, combined before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = df.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
+    return v.groupBy(key).agg(Summarizer.mean(F.col("__v")).alias("__m")).select(key, vector_to_array("__m").alias(out))
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5,
-                min_similarity: float = 0.75, max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                min_similarity: float = 0.75, query_block: int = QUERY_BLOCK) -> DataFrame:
     """V1: for every query, the k most similar vectors (cosine, ties by vector id) with
-    similarity >= min_similarity."""
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} queries exceed the broadcast bound {max_queries}; use ann_search")
-    qpdf = queries.select(query_id, query_vec).toPandas()
-    q_ids = qpdf[query_id].to_numpy()
-    Q = np.stack(qpdf[query_vec].to_numpy()).astype(np.float64) if n_q else np.zeros((0, 1))
-    Q /= np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)
-    bq = vectors.sparkSession.sparkContext.broadcast((q_ids, Q))
-    id_type = vectors.schema[vec_id].dataType
-    qid_type = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField(query_id, qid_type), T.StructField(vec_id, id_type),
+    similarity >= min_similarity. Queries are broadcast in blocks of ``query_block``; each
+    block is one scan of the vectors, so their number has no limit."""
+    sc = vectors.sparkSession.sparkContext
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(vec_id, vectors.schema[vec_id].dataType),
                            T.StructField("similarity", T.DoubleType())])
 
-    def local_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, QQ = bq.value
-        best: dict = {}
-        for pdf in batches:
-            if pdf.empty or len(qids) == 0:
-                continue
-            X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            X /= np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
-            S = X @ QQ.T
-            ids = pdf[vec_id].to_numpy()
-            for j in range(len(qids)):
-                s = S[:, j]
-                keep = s >= min_similarity
-                if not keep.any():
+    def block_topk(ids: list, rows: list) -> DataFrame:
+        matrix = np.array(rows, dtype=np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        shared = sc.broadcast((ids, matrix))
+
+        def local_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, q = shared.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for pdf in batches:
+                if pdf.empty:
                     continue
-                cand = pd.DataFrame({vec_id: ids[keep], "similarity": s[keep]})
-                prev = best.get(j)
-                cand = cand if prev is None else pd.concat([prev, cand])
-                best[j] = cand.sort_values(["similarity", vec_id], ascending=[False, True]).head(k)
-        rows = [b.assign(**{query_id: qids[j]}) for j, b in best.items()]
-        if rows:
-            yield pd.concat(rows)[[query_id, vec_id, "similarity"]]
-
-    local = vectors.select(vec_id, vec).mapInPandas(local_topk, schema)
+                x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                own = pdf[vec_id].to_numpy()
+                scores = x @ q.T
+                for j in range(len(qids)):
+                    s = scores[:, j]
+                    at = np.flatnonzero(s >= min_similarity)
+                    if len(at) > k:  # all at or above the k-th score: ties stay for the id order
+                        at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+                    if len(at):
+                        prev = best.get(j, (s[:0], own[:0]))
+                        s_all, id_all = np.concatenate([prev[0], s[at]]), np.concatenate([prev[1], own[at]])
+                        order = np.lexsort((id_all, -s_all))[:k]
+                        best[j] = s_all[order], id_all[order]
+            for j, (s, own) in best.items():
+                yield pd.DataFrame({query_id: [qids[j]] * len(s), vec_id: own, "similarity": s})
+
+        return vectors.select(vec_id, vec).mapInPandas(local_topk, schema)
+
+    parts, ids, rows = [], [], []
+    for r in queries.select(query_id, query_vec).toLocalIterator():  # a block at a time on the driver
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == query_block:
+            parts.append(block_topk(ids, rows))
+            ids, rows = [], []
+    if ids:
+        parts.append(block_topk(ids, rows))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long"))
+    local = parts[0]
+    for p in parts[1:]:
+        local = local.unionByName(p)
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(vec_id).asc())
     return local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5,
-               bucket_length: float = 2.0, num_tables: int = 8, max_distance: float = 1.5, seed: int = 7) -> DataFrame:
-    """V2: approximate neighbours with random-projection LSH over unit vectors, then
-    exact cosine re-ranking of the candidates. Recall is measured against ``cosine_topk``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc, vc):
-        n = F.sqrt(F.aggregate(F.transform(vc, lambda x: x * x), F.lit(0.0).cast("double"), lambda a, x: a + x))
-        return df.select(F.col(idc).alias("id"), array_to_vector(F.transform(vc, lambda x: x / n)).alias("features"))
-
-    xv, qv = unit(vectors, vec_id, vec), unit(queries, query_id, query_vec)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(xv)
-    pairs = lsh.approxSimilarityJoin(qv, xv, max_distance, distCol="dist")
-    res = pairs.select(F.col("datasetA.id").alias(query_id), F.col("datasetB.id").alias(vec_id),
-                       (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(vec_id).asc())
-    return res.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5, bits: int = 1024,
+               share: float = 0.08, seed: int = 7, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """V2: approximate neighbours by sign sketches, with exact cosine re-ranking.
+
+    Every vector is reduced to the signs of ``bits`` random projections; the share of equal
+    signs of two sketches estimates their angle. Each task orders its vectors by that
+    estimate and takes the exact cosine of the nearest ``share`` only, so at most that part
+    of all (query, vector) pairs are candidates, whatever the partitioning. Every vector is
+    looked at by its sketch, so no cell or bucket hides a neighbour; recall is measured
+    against ``cosine_topk``. Result: (query, vector, similarity, rank, candidates), the last
+    being the number of vectors that were re-ranked for the query."""
+    sc = vectors.sparkSession.sparkContext
+    q_type, v_type = queries.schema[query_id].dataType, vectors.schema[vec_id].dataType
+    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(vec_id, v_type), T.StructField("similarity", T.DoubleType()),
+                           T.StructField("looked", T.LongType())])
+
+    def block_search(ids: list, rows: list) -> DataFrame:
+        matrix = np.array(rows, dtype=np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bits))
+        signs = np.where(matrix @ planes >= 0, 1, -1).astype(np.float32)
+        shared = sc.broadcast((ids, matrix, planes, signs))
+
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, q, p, s = shared.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                own = pdf[vec_id].to_numpy()
+                agree = np.where(x @ p >= 0, 1, -1).astype(np.float32) @ s.T
+                m = max(1, int(share * len(own)))
+                for j in range(len(qids)):
+                    near = np.argpartition(-agree[:, j], m - 1)[:m]
+                    exact = x[near] @ q[j]
+                    order = np.lexsort((own[near], -exact))[:k]
+                    yield pd.DataFrame({query_id: [qids[j]] * len(order), vec_id: own[near][order], "similarity": exact[order],
+                                        "looked": [m] + [0] * (len(order) - 1)})
+
+        return vectors.select(vec_id, vec).mapInPandas(local, schema)
+
+    parts, ids, rows = [], [], []
+    for r in queries.select(query_id, query_vec).toLocalIterator():  # a block at a time on the driver
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == query_block:
+            parts.append(block_search(ids, rows))
+            ids, rows = [], []
+    if ids:
+        parts.append(block_search(ids, rows))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema).select(
+            query_id, vec_id, "similarity", F.lit(0).cast("long").alias("rank"), F.col("looked").alias("candidates"))
+    found = parts[0]
+    for p_ in parts[1:]:
+        found = found.unionByName(p_)
+    w = Window.partitionBy(query_id)
+    ranked = found.withColumn("rank", F.row_number().over(w.orderBy(F.col("similarity").desc(), F.col(vec_id).asc())).cast("long"))
+    return ranked.withColumn("candidates", F.sum("looked").over(w)).drop("looked").filter(F.col("rank") <= k)
 
 
 def composite_rank(df: DataFrame, similarity: str, age_days: str, weight: str, w_sim: float = 0.6, w_age: float = 0.25,
@@ -145,8 +199,8 @@ def reciprocal_rank_fusion(rankings: dict[str, DataFrame], key: str, k: int = 60
     return u.groupBy(key).agg(F.sum("rrf").alias("rrf_score"), F.count(F.lit(1)).alias("sources"))
 
 
-def rank_by(df: DataFrame, key: str, order: Sequence[Column], top: int | None = None) -> DataFrame:
-    """Helper: dense 1-based rank in a total order (top-n first when ``top`` is set)."""
-    src = df.orderBy(*order).limit(top) if top else df
+def rank_by(df: DataFrame, key: str, order: Sequence[Column], top: int) -> DataFrame:
+    """Helper: 1-based rank of the first ``top`` rows of a total order (a top-k, then a window
+    over those few rows; ranks of a whole table come from ``relational.ordered_batches``)."""
     w = Window.orderBy(*order)
-    return src.withColumn("rank", F.row_number().over(w)).select(key, "rank")
+    return df.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(w)).select(key, "rank")

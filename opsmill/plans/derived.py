@@ -72,10 +72,10 @@ SELECT l_partkey AS resource_id, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_r
   CAST(l_shipdate AS DATE) AS day, l_extendedprice AS amount FROM lineitem""",
     "tree_nodes": """
 SELECT o_orderkey AS tree_id, CAST(0 AS BIGINT) AS node_id, CASE WHEN o_orderstatus = 'F' THEN 'and' ELSE 'or' END AS node_type,
-  0 AS difficulty, 0 AS cost, 0 AS detection_risk, 0.0 AS time_hours, false AS requires_insider, false AS requires_physical, false AS mitigated
+  0 AS difficulty, 0 AS cost, 0 AS detection_risk, CAST(0 AS DOUBLE) AS time_hours, false AS requires_insider, false AS requires_physical, false AS mitigated
 FROM orders
 UNION ALL SELECT DISTINCT l_orderkey, CAST(1000 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT),
-  CASE WHEN l_returnflag = 'N' THEN 'and' ELSE 'or' END, 0, 0, 0, 0.0, false, false, false FROM lineitem
+  CASE WHEN l_returnflag = 'N' THEN 'and' ELSE 'or' END, 0, 0, 0, CAST(0 AS DOUBLE), false, false, false FROM lineitem
 UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity),
   'leaf', CAST(l_partkey % 5 + 1 AS INT), CAST(l_suppkey % 5 AS INT), CAST((l_partkey + l_suppkey) % 5 AS INT), l_quantity,
   l_partkey % 7 = 0, l_suppkey % 11 = 0, l_linestatus = 'F' FROM lineitem""",

@@ -386,12 +386,16 @@ def q_d21(spark, sf):
     return t.groupBy("similar_to").agg(F.count(F.lit(1)).alias("suspicious"))
 
 
-@register("d22_sbom_export", sql=sql_with("packages") + """
-SELECT package_id, 'pkg:npm/' || name || '@' || version AS purl FROM packages
+@register("d22_sbom_export", sql="""
+WITH c AS (SELECT p_brand AS brand, p_name AS name, concat(CAST(p_size % 5 AS VARCHAR), '.', CAST(p_partkey % 10 AS VARCHAR), '.', CAST(p_partkey % 7 AS VARCHAR)) AS version FROM part)
+SELECT brand, '{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{"timestamp":"2001-09-01T00:00:00"},"components":[' ||
+  string_agg('{"type":"library","name":"' || name || '","version":"' || version || '","purl":"pkg:npm/' || name || '@' || version || '"}', ',' ORDER BY name, version) || ']}' AS document
+FROM c GROUP BY brand
 """)
 def q_d22(spark, sf):
-    p = Tables(spark, sf).derived.packages
-    return p.select("package_id", D.purl(F.lit("npm"), "name", "version").alias("purl"))
+    t = Tables(spark, sf)
+    p = t.derived.packages.join(t.part.select(F.col("p_partkey").alias("package_id"), F.col("p_brand").alias("brand")), "package_id")
+    return D.sbom_documents(p, "brand", F.lit("npm"), "name", "version", "2001-09-01T00:00:00")
 
 
 @register("d23_sarif_export", sql=sql_with("advisories") + """

@@ -379,14 +379,15 @@ def q_e17(spark, sf):
 
 
 @register("e25_late_data_policy", sql="""
-WITH x AS (SELECT epoch_us(ts) AS t, max(epoch_us(ts)) OVER (ORDER BY (user_id % 4) * 1000000000 + event_id
+WITH x AS (SELECT *, epoch_us(ts) AS t, max(epoch_us(ts)) OVER (ORDER BY (user_id % 4) * 1000000000 + event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events)
-SELECT CAST(count_if(coalesce(t < seen - 86400000000, false)) AS BIGINT) AS late_events, count(*) AS events FROM x
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props, (user_id % 4) * 1000000000 + event_id AS arrival,
+  coalesce(seen - 86400000000, -1) AS watermark_us, coalesce(t < seen - 86400000000, false) AS late FROM x
 """)
 def q_e25(spark, sf):
     """Producers deliver in bursts (one user group after another): arrival position =
     group x 10^9 + event id. Events more than one day behind the latest event time already
     delivered would be dropped by a one-day watermark."""
-    e = Tables(spark, sf).events.select("event_id", "ts", ((F.col("user_id") % 4) * 1000000000 + F.col("event_id")).alias("arrival"))
-    lt = ev.late_events(e, "arrival", "ts", 86400)
-    return lt.agg(F.count_if("late").alias("late_events"), F.count(F.lit(1)).alias("events"))
+    e = Tables(spark, sf).events.withColumn("arrival", (F.col("user_id") % 4) * 1000000000 + F.col("event_id"))
+    late = ev.late_events(e, "arrival", "ts", 86400)
+    return late.withColumn("ts", ts_text("ts")).withColumn("watermark_us", F.coalesce("watermark_us", F.lit(-1)))

@@ -97,8 +97,7 @@ STATIC_RULES = [("hardcoded-credential", r"(?i)(token|secret|password)\s*=\s*\""
 
 def _findings(spark, t):
     lines = INV.code_lines(_doc_corpus(t))
-    rules = spark.createDataFrame(STATIC_RULES, "rule_id string, pattern string, severity string, cwe string")
-    return INV.static_findings(lines, rules)
+    return INV.static_findings(lines, STATIC_RULES)
 
 
 FINDINGS_SQL = """

@@ -257,19 +257,36 @@ def q_c12(spark, sf):
 
 @register("c12_repeated_lines", sql="""
 WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
-SELECT sha256(line) AS line_hash, count(DISTINCT doc_id) AS docs, min(line) AS line FROM l WHERE length(line) >= 20 GROUP BY 1
+SELECT sha256(line) AS line_hash, count(DISTINCT doc_id) AS docs, min(line) AS line FROM l WHERE line <> '' GROUP BY 1
 HAVING count(DISTINCT doc_id) >= 2
 """)
 def q_c12l(spark, sf):
     return DOC.repeated_lines(Tables(spark, sf).documents)
 
 
-@register("c12_near_duplicates")
+#: Links of equal shingle sets to their smallest id, and of different sets by brute force.
+NEAR_SQL = """
+WITH RECURSIVE toks AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) >= 5
+  THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) ELSE [array_to_string(t, ' ')] END)) AS s FROM toks WHERE len(t) > 0),
+cls AS (SELECT s, min(doc_id) AS rep FROM sh GROUP BY s),
+copies AS (SELECT cls.rep AS a, sh.doc_id AS b, 1.0::DOUBLE AS jaccard FROM sh JOIN cls ON sh.s = cls.s WHERE doc_id <> rep),
+x AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM cls),
+p AS (SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS i FROM x JOIN x y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+links AS (SELECT a, b, i / (na + nb - i) AS jaccard FROM p WHERE i / (na + nb - i) >= 0.8 UNION ALL SELECT * FROM copies)
+"""
+
+
+@register("c12_near_duplicates", sql=NEAR_SQL + "SELECT a, b, round(jaccard, 6) AS jaccard FROM links")
 def q_c12n(spark, sf):
-    return DOC.near_duplicates(Tables(spark, sf).documents)
+    return DOC.near_duplicates(Tables(spark, sf).documents).select("a", "b", r("jaccard", 6).alias("jaccard"))
 
 
-@register("v10_entity_resolution")
+@register("v10_entity_resolution", sql=NEAR_SQL + """
+, both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a)
+SELECT label, count(*) AS members FROM (SELECT a, least(a, min(b)) AS label FROM reach GROUP BY a) GROUP BY label
+""")
 def q_v10(spark, sf):
     links = DOC.near_duplicates(Tables(spark, sf).documents)
     comps = DOC.connected_components(links)

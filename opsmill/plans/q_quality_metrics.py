@@ -227,8 +227,8 @@ def q_m2(spark, sf):
 
 @register("m3_golden_signals", sql=sql_with("metric_samples") + f"""
 SELECT strftime(date_trunc('day', ts), {TS}) AS window_start, service, count(*) AS traffic,
-  round(avg(CASE WHEN code = '500' THEN 100.0 ELSE 0.0 END), 4) AS error_pct, round(quantile_cont(latency, 0.5), 4) AS p50,
-  round(quantile_cont(latency, 0.99), 4) AS p99, round(count(*) / 50.0, 4) AS saturation FROM metric_samples GROUP BY 1, 2
+  round(avg(CASE WHEN code = '500' THEN 100.0 ELSE 0.0 END), 4) AS error_pct, round(quantile_disc(latency, 0.5), 4) AS p50,
+  round(quantile_disc(latency, 0.99), 4) AS p99, round(count(*) / 50.0, 4) AS saturation FROM metric_samples GROUP BY 1, 2
 """)
 def q_m3(spark, sf):
     m = Tables(spark, sf).derived.metric_samples

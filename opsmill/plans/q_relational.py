@@ -564,7 +564,7 @@ def q_a11(spark, sf):
 
 
 @register("a12_percentiles", sql="""
-SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.99), 4) AS p99
+SELECT event_type, round(quantile_disc(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.99), 4) AS p99
 FROM events GROUP BY event_type
 """)
 def q_a12(spark, sf):
@@ -620,7 +620,7 @@ SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_cust
 """)
 def q_w1d(spark, sf):
     o = Tables(spark, sf).orders.select("o_custkey", "o_orderkey", "o_orderdate")
-    return rel.distinct_on(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select(
+    return rel.distinct_on(o, ["o_custkey"], [("o_orderdate", "desc"), ("o_orderkey", "desc")]).select(
         "o_custkey", "o_orderkey")
 
 
@@ -779,8 +779,8 @@ def q_w12m(spark, sf):
 @register("w12_rfm_segments", sql="""
 WITH per AS (SELECT o_custkey, datediff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-09-01') AS recency_days,
   count(*) AS frequency, sum(o_totalprice) AS monetary FROM orders GROUP BY 1),
-q AS (SELECT quantile_cont(recency_days, [0.2, 0.4, 0.6, 0.8]) AS qr, quantile_cont(frequency, [0.2, 0.4, 0.6, 0.8]) AS qf,
-  quantile_cont(monetary, [0.2, 0.4, 0.6, 0.8]) AS qm FROM per)
+q AS (SELECT quantile_disc(recency_days, [0.2, 0.4, 0.6, 0.8]) AS qr, quantile_disc(frequency, [0.2, 0.4, 0.6, 0.8]) AS qf,
+  quantile_disc(monetary, [0.2, 0.4, 0.6, 0.8]) AS qm FROM per)
 SELECT o_custkey, 6 - (len(list_filter(qr, lambda x: recency_days > x)) + 1) AS r_score,
   len(list_filter(qf, lambda x: frequency > x)) + 1 AS f_score, len(list_filter(qm, lambda x: monetary > x)) + 1 AS m_score FROM per, q
 """)
@@ -824,12 +824,13 @@ def q_t4(spark, sf):
 
 
 @register("t5_ordered_batches", sql="""
-SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS position,
-  CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 50) AS BIGINT) AS batch_no FROM customer
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+  CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS position,
+  CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 50) AS BIGINT) AS batch_no FROM orders
 """)
 def q_t5(spark, sf):
-    b = rel.ordered_batches(Tables(spark, sf).customer.select("c_custkey"), ["c_custkey"], 50)
-    return b.select("c_custkey", F.col("position").cast("long").alias("position"), "batch_no")
+    b = rel.ordered_batches(Tables(spark, sf).orders, ["o_orderkey"], 50)
+    return b.withColumn("o_orderdate", ts_text("o_orderdate")).withColumn("position", F.col("position").cast("long"))
 
 
 @register("t6_approx_top_k_sketch")

@@ -100,23 +100,20 @@ def _fc_sql() -> str:
 
 
 @register("r5_compliance_matrix", sql=REQ_SQL + f"""
-, per_domain AS (SELECT domain, count(*) AS n FROM req GROUP BY 1)
-SELECT framework, control, CAST(sum(n) AS BIGINT) AS requirements FROM {_fc_sql()} JOIN per_domain USING (domain) GROUP BY 1, 2
-HAVING sum(n) > 0
+SELECT framework, domain, control, req_id FROM {_fc_sql()} JOIN req USING (domain)
 """)
 def q_r5(spark, sf):
-    m = R.compliance_matrix(spark, _requirements(spark, Tables(spark, sf)))
-    return m.select("framework", "control", F.col("requirements").cast("long").alias("requirements"))
+    return R.compliance_matrix(spark, _requirements(spark, Tables(spark, sf)))
 
 
 @register("r6_compliance_gaps", sql=REQ_SQL + f"""
-, per_domain AS (SELECT domain, count(*) AS n FROM req GROUP BY 1),
-per_control AS (SELECT framework, control, coalesce(sum(n), 0) AS matching FROM {_fc_sql()} LEFT JOIN per_domain USING (domain) GROUP BY 1, 2)
-SELECT framework, domain, control, CASE WHEN matching = 0 THEN 'missing_controls' ELSE 'weak_coverage' END AS gap
+, per_domain AS (SELECT domain, count(*) AS n, min(req_id) AS one FROM req GROUP BY 1),
+per_control AS (SELECT framework, control, coalesce(sum(n), 0) AS matching, min(one) AS req_id FROM {_fc_sql()} LEFT JOIN per_domain USING (domain) GROUP BY 1, 2)
+SELECT framework, domain, control, CASE WHEN matching = 0 THEN 'missing_controls' ELSE 'weak_coverage' END AS gap, req_id
 FROM {_fc_sql()} JOIN per_control USING (framework, control) WHERE matching < 2
 """)
 def q_r6(spark, sf):
-    return R.compliance_gaps(spark, _requirements(spark, Tables(spark, sf))).select("framework", "domain", "control", "gap")
+    return R.compliance_gaps(spark, _requirements(spark, Tables(spark, sf))).select("framework", "domain", "control", "gap", "req_id")
 
 
 COVERAGE_SQL = sql_with("mappings", "controls") + f"""
@@ -175,16 +172,15 @@ def _control_categories(t):
 
 
 @register("r11_recommend_controls", sql=sql_with("mappings", "controls", "threats") + """
-, cc AS (SELECT control_id, control_id % 6 AS category_no FROM controls),
-per_cat AS (SELECT category_no, count(DISTINCT control_id) AS available FROM cc GROUP BY 1),
-existing AS (SELECT m.threat_id, count(DISTINCT m.control_id) AS existing FROM mappings m JOIN cc USING (control_id)
-  JOIN threats t ON t.threat_id = m.threat_id AND t.category_no = cc.category_no GROUP BY 1)
-SELECT threat_id, coalesce(available, 0) - coalesce(existing, 0) AS recommended FROM threats LEFT JOIN per_cat USING (category_no)
-  LEFT JOIN existing USING (threat_id)
+, cc AS (SELECT control_id % 6 AS category_no, list_sort(list(DISTINCT control_id)) AS ids FROM controls GROUP BY 1),
+own AS (SELECT threat_id, list(DISTINCT control_id) AS ids FROM mappings JOIN controls USING (control_id) GROUP BY 1)
+SELECT t.threat_id, array_to_string(list_filter(coalesce(cc.ids, []), lambda x: NOT list_contains(coalesce(own.ids, []), x)), ',') AS recommended_ids
+FROM threats t LEFT JOIN cc USING (category_no) LEFT JOIN own USING (threat_id)
 """)
 def q_r11(spark, sf):
     t = Tables(spark, sf)
-    return R.recommend_counts(t.derived.threats, _mc(t), _control_categories(t))
+    rec = R.recommend_controls(t.derived.threats, _mc(t), _control_categories(t))
+    return rec.select("threat_id", F.array_join(F.col("recommended_ids").cast("array<string>"), ",").alias("recommended_ids"))
 
 
 @register("r13_phase_roadmap", sql=_with_threats("""
@@ -271,19 +267,40 @@ def _root_paths(t):
     return R.root_paths(paths, nodes.filter(F.col("node_id") == 0)), nodes
 
 
-@register("r17_attack_paths", sql=TREE_SQL + """
-SELECT r.tree_id, CAST(CASE WHEN count(m.mid) = 0 THEN 1 WHEN root_type = 'or' THEN sum(n_paths)
-  ELSE round(exp(sum(ln(n_paths)))) END AS BIGINT) AS paths FROM roots r LEFT JOIN mids m USING (tree_id) GROUP BY r.tree_id, root_type
-""")
+#: Every root path of the two-level trees: middle nodes give one path a leaf (or) or one of all
+#: leaves (and); an and-root strings one path of each middle node together, in order.
+PATH_SQL = TREE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, midpaths AS (SELECT l.tree_id, l.mid, m.mid_pos, [l.mid, l.leaf] AS path FROM leaves l JOIN mids m ON m.tree_id = l.tree_id AND m.mid = l.mid WHERE mid_type = 'or'
+  UNION ALL SELECT l.tree_id, l.mid, m.mid_pos, list_prepend(l.mid, list(l.leaf ORDER BY l.pos)) FROM leaves l JOIN mids m ON m.tree_id = l.tree_id AND m.mid = l.mid
+    WHERE mid_type <> 'or' GROUP BY l.tree_id, l.mid, m.mid_pos),
+placed AS (SELECT p.*, r.root_type, dense_rank() OVER (PARTITION BY p.tree_id ORDER BY mid_pos, mid) AS k FROM midpaths p JOIN roots r USING (tree_id)),
+depth AS (SELECT tree_id, max(k) AS n FROM placed GROUP BY 1),
+prod AS (SELECT tree_id, k, path FROM placed WHERE root_type <> 'or' AND k = 1
+  UNION ALL SELECT p.tree_id, q.k, p.path || q.path FROM prod p JOIN placed q ON q.tree_id = p.tree_id AND q.k = p.k + 1),
+allpaths AS (SELECT tree_id, list_prepend(0, path) AS path FROM placed WHERE root_type = 'or'
+  UNION ALL SELECT p.tree_id, list_prepend(0, path) FROM prod p JOIN depth d ON d.tree_id = p.tree_id AND d.n = p.k
+  UNION ALL SELECT r.tree_id, [0] FROM roots r WHERE r.tree_id NOT IN (SELECT tree_id FROM mids)),
+paths AS (SELECT tree_id, sha256(array_to_string(path, ',')) AS path_id, path FROM allpaths),
+steps AS (SELECT tree_id, path_id, unnest(path) AS node_id FROM paths)
+"""
+
+
+@register("r17_attack_paths", sql=PATH_SQL + "SELECT tree_id, path_id, array_to_string(path, ',') AS path FROM paths")
 def q_r17(spark, sf):
     paths, _ = _root_paths(Tables(spark, sf))
-    return paths.groupBy("tree_id").agg(F.count(F.lit(1)).alias("paths"))
+    return paths.select("tree_id", "path_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@register("r19_path_metrics")
+@register("r19_path_metrics", sql=PATH_SQL + """
+SELECT s.tree_id, path_id, count(*) AS steps, CAST(sum(difficulty) AS BIGINT) AS total_difficulty, round(avg(difficulty), 6) AS avg_difficulty,
+  CAST(sum(cost) AS BIGINT) AS total_cost, round(sum(time_hours), 6) AS total_time_hours, max(detection_risk) AS max_detection_risk,
+  bool_or(requires_insider) AS requires_insider, bool_or(requires_physical) AS requires_physical
+FROM steps s JOIN tree_nodes n ON n.tree_id = s.tree_id AND n.node_id = s.node_id AND n.node_type = 'leaf' GROUP BY s.tree_id, path_id
+""")
 def q_r19(spark, sf):
     paths, nodes = _root_paths(Tables(spark, sf))
-    return R.path_metrics(paths, nodes)
+    m = R.path_metrics(paths, nodes)
+    return m.withColumn("avg_difficulty", r("avg_difficulty", 6)).withColumn("total_time_hours", r("total_time_hours", 6))
 
 
 @register("r20_critical_nodes", sql=TREE_SQL + """
@@ -299,7 +316,13 @@ def q_r20(spark, sf):
     return R.critical_nodes(paths)
 
 
-@register("r21_path_coverage")
+@register("r21_path_coverage", sql=PATH_SQL + """
+, blocked AS (SELECT DISTINCT s.tree_id, s.path_id FROM steps s JOIN tree_nodes n ON n.tree_id = s.tree_id AND n.node_id = s.node_id
+  WHERE n.node_type = 'leaf' AND n.mitigated),
+p AS (SELECT p.tree_id, p.path_id, b.path_id IS NOT NULL AS blocked FROM paths p LEFT JOIN blocked b ON b.tree_id = p.tree_id AND b.path_id = p.path_id)
+SELECT tree_id, count(*) AS total_paths, CAST(count_if(blocked) AS BIGINT) AS blocked_paths, CAST(count_if(NOT blocked) AS BIGINT) AS open_paths,
+  round(count_if(blocked) / count(*) * 100, 4) AS coverage_percentage, CAST(least(5, count_if(NOT blocked)) AS INTEGER) AS n_open_listed FROM p GROUP BY 1
+""")
 def q_r21(spark, sf):
     paths, nodes = _root_paths(Tables(spark, sf))
     mitigated = nodes.filter((F.col("node_type") == "leaf") & F.col("mitigated")).select("tree_id", "node_id")
@@ -308,11 +331,15 @@ def q_r21(spark, sf):
                       F.size("first_open_paths").alias("n_open_listed"))
 
 
-@register("r22_mitigation_priority")
+@register("r22_mitigation_priority", sql=PATH_SQL + """
+, total AS (SELECT tree_id, count(*) AS n FROM paths GROUP BY 1)
+SELECT s.tree_id, s.node_id, count(*) AS paths_blocked, round(count(*) / any_value(t.n) * 100, 6) AS coverage_impact FROM steps s
+JOIN tree_nodes n ON n.tree_id = s.tree_id AND n.node_id = s.node_id AND n.node_type = 'leaf' AND n.mitigated JOIN total t ON t.tree_id = s.tree_id GROUP BY 1, 2
+""")
 def q_r22(spark, sf):
     paths, nodes = _root_paths(Tables(spark, sf))
     mitigable = nodes.filter((F.col("node_type") == "leaf") & F.col("mitigated")).select("tree_id", "node_id")
-    return R.mitigation_priority(paths, mitigable)
+    return R.mitigation_priority(paths, mitigable).withColumn("coverage_impact", r("coverage_impact", 6))
 
 
 @register("r23_unmitigated_leaves", sql=sql_with("tree_nodes") + """

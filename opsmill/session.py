@@ -101,22 +101,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side whose size is bounded by construction (literal rule tables).
+    """Hint a broadcast of a side that holds at most ``max_rows`` rows, by measure.
 
-    Data-derived sides are never broadcast by hand; adaptive execution converts a join to
-    a broadcast join only after measuring the shuffle output against
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+    The rows are counted up to the bound (rule and price tables end there at once). A larger
+    side gets no hint: the planner shuffles both sides, and adaptive execution still turns
+    that into a broadcast if the measured bytes allow it.
     """
-    if max_rows > 100_000:
-        raise ValueError("bounded() is for literal rule tables only")
-    return F.broadcast(df)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread CPU-heavy per-row work (regexes over whole texts, tokenising) over the
     cluster's cores when the input yields fewer partitions than there are cores (a
     single-row-group file). On a large input the scan already has many more partitions
-    than cores and this returns ``df`` unchanged - no extra shuffle at scale."""
+    than cores and this returns ``df`` unchanged - no extra shuffle at scale. Only the
+    placement of rows differs; results are the same in either form."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
