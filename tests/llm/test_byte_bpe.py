@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 import regex
 
+from llm_cases import none, odd  # noqa: F401
 from opsmill.llm import arrays as A
 from opsmill.llm import byte_bpe as B
 from opsmill.llm.queries import rank_file

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm_cases import prose
+from llm_cases import none, odd, prose  # noqa: F401
 from opsmill.llm import arrays as A
 from opsmill.llm import language_id as L
 from opsmill.llm import quality_gbt as G

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm_cases import prose
+from llm_cases import none, prose  # noqa: F401
 from opsmill.llm import arrays as A
 from opsmill.llm import jaccard_join as J
 

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from llm_cases import prose
+from llm_cases import none, odd, prose  # noqa: F401
 from opsmill.llm import line_dedup as D
 
 SPACE = " \t\n\r\x0b\x0c"

@@ -3,6 +3,7 @@ import re
 
 import pyarrow as pa
 
+from llm_cases import none, odd  # noqa: F401
 from opsmill.llm import arrays as A
 from opsmill.llm import quality_rules as Q
 
