@@ -144,7 +144,9 @@ def span_self_time(spans: DataFrame, span: str = "span_id", parent: str = "paren
 def trace_sample(df: DataFrame, trace: str, per_mille: int) -> DataFrame:
     """M9: deterministic head sampling by trace id hash - a trace is kept or dropped whole.
     This is a sampling operator: dropping rows is its purpose."""
-    return df.filter(F.pmod(F.xxhash64(F.col(trace)), F.lit(1000)) < per_mille)
+    from opsmill.operators.synth import seeded
+
+    return df.filter(F.pmod(seeded("trace", F.col(trace)), F.lit(1000)) < per_mille)
 
 
 def label_cardinality(df: DataFrame, labels: Sequence[str], limit: int, exact: bool = False) -> DataFrame:

@@ -13,8 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def seeded(salt: str, *key: Column) -> Column:
+    """A non-negative 60-bit integer from the md5 of the key's parts and a salt: the same in any
+    engine that knows md5."""
+    text = F.concat_ws("|", *[k.cast("string") for k in key], F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _h(key: Column, salt: str) -> Column:
-    return F.xxhash64(key, F.lit(salt))
+    return seeded(salt, key)
 
 
 def pick(key: Column, salt: str, values: Sequence[str]) -> Column:
@@ -47,5 +54,5 @@ def synthetic_relations(base: DataFrame, key: str, targets: int, min_n: int = 1,
     k = F.col(key)
     n = int_between(k, seed + "n", min_n, max_n)
     x = base.select(k.alias(key), F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("i"))
-    tgt = F.pmod(F.xxhash64(F.col(key), F.col("i"), F.lit(seed)), F.lit(targets))
+    tgt = F.pmod(seeded(seed, F.col(key), F.col("i")), F.lit(targets))
     return x.select(key, tgt.alias("target")).distinct()

@@ -303,7 +303,9 @@ def q_m8(spark, sf):
     return s.groupBy("service").agg(F.count(F.lit(1)).alias("spans"), r(F.sum("self_time")).alias("self_time"))
 
 
-@register("m9_trace_sampling")
+@register("m9_trace_sampling", sql=sql_with("spans") + """
+SELECT trace_id, count(*) AS spans FROM spans WHERE CAST('0x' || substr(md5(CAST(trace_id AS VARCHAR) || '|trace'), 1, 15) AS BIGINT) % 1000 < 100 GROUP BY 1
+""")
 def q_m9(spark, sf):
     s = M.trace_sample(Tables(spark, sf).derived.spans, "trace_id", 100)
     return s.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))

@@ -202,7 +202,14 @@ def q_v13(spark, sf):
                     r("z", 6).alias("z"), "enough_samples")
 
 
-@register("v13_ab_significance")
+@register("v13_ab_significance", sql="""
+WITH g AS (SELECT lang, count(*) AS n, avg(n_chars) AS mean, var_samp(n_chars) AS var FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1),
+a AS (SELECT n AS n_a, mean AS mean_a, var AS var_a FROM g WHERE lang = 'en'), b AS (SELECT n AS n_b, mean AS mean_b, var AS var_b FROM g WHERE lang = 'fr'),
+s AS (SELECT n_a, n_b, (mean_b - mean_a) / sqrt(var_a / n_a + var_b / n_b) AS z FROM a, b),
+t AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM s),
+p AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p FROM t)
+SELECT n_a, n_b, round(z, 6) AS z, round(p, 6) AS p_value, n_a >= 100 AND n_b >= 100 AND p < 0.05 AS significant FROM p
+""")
 def q_v13p(spark, sf):
     s = EV.ab_test(Tables(spark, sf).documents, "lang", "n_chars", "en", "fr")
     return s.select("n_a", "n_b", r("z", 6).alias("z"), r("p_value", 6).alias("p_value"), "significant")
@@ -311,15 +318,25 @@ def q_v21(spark, sf):
     return a.groupBy("key").agg(F.count(F.lit(1)).alias("days"), F.count_if("anomaly").alias("anomalies"))
 
 
-@register("v22_synthetic_rows")
+_SEEDED = "CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|{}'), 1, 15) AS BIGINT)"
+
+
+@register("v22_synthetic_rows", sql=f"""
+SELECT c_custkey, 'user' || CAST({_SEEDED.format('s0e')} % 1000000 AS VARCHAR) || '@example.com' AS email,
+  substr(sha256(CAST(c_custkey AS VARCHAR) || 's0'), 1, 8) || '-' || substr(sha256(CAST(c_custkey AS VARCHAR) || 's0'), 9, 4) AS public_id,
+  ['active', 'inactive', 'pending'][{_SEEDED.format('s0s')} % 3 + 1] AS status, ({_SEEDED.format('s0a')} % 99901 + 100) / 100.0 AS amount,
+  strftime(DATE '2024-01-01' + CAST({_SEEDED.format('s0d')} % 365 AS INTEGER), '%Y-%m-%d') AS created_on FROM customer
+""")
 def q_v22(spark, sf):
     s = SY.synthetic_rows(Tables(spark, sf).customer.select("c_custkey"), "c_custkey")
-    return s.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("email").alias("emails"))
+    return s.withColumn("created_on", F.date_format("created_on", "yyyy-MM-dd"))
 
 
-@register("v23_synthetic_relations")
+@register("v23_synthetic_relations", sql=f"""
+WITH x AS (SELECT c_custkey, unnest(range(1, {_SEEDED.format('r0n')} % 5 + 2)) AS i FROM customer)
+SELECT DISTINCT c_custkey, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|r0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM part) AS target FROM x
+""")
 def q_v23(spark, sf):
     t = Tables(spark, sf)
     n_parts = t.part.count()  # targets are part keys; the count sizes the key space
-    rel_df = SY.synthetic_relations(t.customer.select("c_custkey"), "c_custkey", n_parts)
-    return rel_df.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("targets"))
+    return SY.synthetic_relations(t.customer.select("c_custkey"), "c_custkey", n_parts)

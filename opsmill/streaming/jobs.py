@@ -121,10 +121,12 @@ class VersionedTable:
     """A read model stored as numbered versions (``v=<batch id>``). A micro-batch reads
     the newest version below its own id, merges its delta and writes ``v=<batch id>``;
     replaying a batch rewrites the same version, and readers always take the newest
-    complete one (a ``_SUCCESS`` marker is written last by Spark)."""
+    complete one (a ``_SUCCESS`` marker is written last by Spark). Once a version is
+    complete, all but the newest ``keep`` are dropped: the one before it is what a replay
+    of the last batch reads."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path, keep
 
     def versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -145,6 +147,10 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        jvm = self.spark._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for old in [v for v in self.versions() if v <= version][:-self.keep]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
 
 
 def projection_writer(table: VersionedTable, fold: Callable[[DataFrame], DataFrame],
@@ -189,7 +195,10 @@ def _saga_fn(timeout_ms: int):
         if state.hasTimedOut:
             steps = json.loads(state.get[0]) if state.exists else {}
             running = [int(s) for s, v in steps.items() if v == "executing"]
-            state.remove()
+            settled = any(v == "failed" for v in steps.values()) or all(v == "completed" for v in steps.values())
+            state.remove()  # a settled saga that has been quiet for the timeout just ends
+            if settled:
+                return
             yield pd.DataFrame([{"saga_id": saga_id, "state": "compensating", "steps": len(steps),
                                  "failed_step": min(running) if running else None}])
             return
@@ -205,8 +214,7 @@ def _saga_fn(timeout_ms: int):
         else:
             st = "running"
         state.update((json.dumps(steps), 0))
-        if st == "running":
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
         yield pd.DataFrame([{"saga_id": saga_id, "state": st, "steps": len(steps), "failed_step": failed[0] if failed else None}])
     return fn
 
@@ -214,7 +222,8 @@ def _saga_fn(timeout_ms: int):
 def saga_stream(steps: DataFrame, watermark: str = "10 minutes", timeout_seconds: int = 300) -> DataFrame:
     """Saga state per saga from a stream of step updates (saga_id, step_no,
     status, ts), kept in the state store; a saga that stays running for ``timeout``
-    beyond the watermark times out and turns compensating."""
+    beyond the watermark times out and turns compensating; the state of a completed or
+    compensating one is dropped after the same quiet time."""
     return (event_time(steps, "ts").withWatermark("ts", watermark).groupBy("saga_id")
             .applyInPandasWithState(_saga_fn(timeout_seconds * 1000), SAGA_OUT, SAGA_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
@@ -225,31 +234,41 @@ FOLD_STATE = T.StructType([T.StructField("blob", T.StringType())])
 
 
 def fold_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fold, schema: T.StructType,
-                watermark: tuple[str, str] | None = None) -> DataFrame:
+                watermark: tuple[str, str] | None = None, idle_seconds: int | None = None) -> DataFrame:
     """Any ``folds.Fold`` (breaker, rate limit, throttle, budget, hash chain) on a stream:
     per key, each micro-batch's rows are sorted by ``order`` and stepped through the fold,
     starting from the state left by the previous micro-batch (kept in the state store).
-    Rows of one key must arrive in order across micro-batches (a bus partitioned by the
-    key gives that); within a micro-batch they are sorted."""
+    A key's rows of one micro-batch may come in several Arrow chunks; they are sorted
+    together, so a task holds one key's share of a micro-batch. Rows of one key must arrive
+    in order across micro-batches (a bus partitioned by the key gives that). With a
+    watermark and ``idle_seconds`` the state of a key ends once it has been quiet so long;
+    without them it is kept."""
     import base64
     import pickle
 
     keys, order = list(keys), list(order)
     out_cols = [f.name for f in schema.fields]
+    if idle_seconds is not None and watermark is None:
+        raise ValueError("idle_seconds needs a watermark")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         st = pickle.loads(base64.b64decode(state.get[0])) if state.exists else fold.init(tuple(key))
         rows = []
-        for pdf in pdfs:
-            for rec in pdf.sort_values(order).to_dict("records"):
-                st, out = fold.step(st, rec)
-                if out is not None:
-                    rows.append(out)
+        for rec in pd.concat(list(pdfs)).sort_values(order, kind="stable").to_dict("records"):
+            st, out = fold.step(st, rec)
+            if out is not None:
+                rows.append(out)
         state.update((base64.b64encode(pickle.dumps(st)).decode(),))
+        if idle_seconds is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_seconds * 1000)
         if rows:
             yield pd.DataFrame(rows, columns=out_cols)
 
     s = stream
     if watermark is not None:
         s = event_time(s, watermark[0]).withWatermark(*watermark)
-    return s.groupBy(*keys).applyInPandasWithState(fn, schema, FOLD_STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_seconds is not None else GroupStateTimeout.NoTimeout
+    return s.groupBy(*keys).applyInPandasWithState(fn, schema, FOLD_STATE, "append", timeout)
