@@ -9,7 +9,8 @@ temporaries of a task whatever the batch size. Texts are never cut.
 
 from __future__ import annotations
 
-import itertools
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -193,7 +195,7 @@ def scan(df: DataFrame, keep: Sequence[str], text: str, out: Sequence[tuple[str,
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v) for v in (got[n] for n in names)]
                 yield pa.RecordBatch.from_arrays(arrays, names=keep + names)
 
-    return src.mapInArrow(run, schema)
+    return small_batches(src).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -206,5 +208,29 @@ def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(first - sums(n)[:-1], n)
 
 
-def chain(parts: Iterable) -> list:
-    return list(itertools.chain.from_iterable(parts))
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the bytes of an Arrow batch in its session.
+
+    Texts are long rows: the default bound of a batch lets one hold tens of megabytes in the
+    executor and again in its Python worker. A lower setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(conf.get(name)) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(text: str) -> int:
+    number = text.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(number[-1:], 0)
+    return int(number[:-1] if unit else number) << unit
+
+
+def released(batches: Iterable) -> Iterator:
+    """Pass batches on; after the last one, hand free memory back to the system, because Spark
+    keeps Python workers for later tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from opsmill.llm import arrays as A
 
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 SLICE = 1 << 19
 L, N, O, SPACE, BREAK, BLANK, SHORT, LONG = range(8)
 #: States: what the code points so far have left open.
@@ -207,25 +207,42 @@ class PairTable:
         return out
 
 
+def read_ranks(rank_lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x)}
+
+
+class TokenBytes:
+    """The bytes of each token id: all that decoding needs."""
+
+    def __init__(self, rank_lines: bytes):
+        ranks = read_ranks(rank_lines)
+        parts = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            parts[rank] = token
+        self.bytes_at = A.sums(np.array([len(p) for p in parts]))
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, and the bytes of each id."""
+        first, size = self.bytes_at[ids], self.bytes_at[ids + 1] - self.bytes_at[ids]
+        return self.bytes[A.expand(first, size)], size
+
+
 class Vocabulary:
-    """Ranks of a public rank file, with a cache from slice to ids and the bytes of each token."""
+    """Ranks of a public rank file, with a cache from slice to ids."""
 
     def __init__(self, rank_lines: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x)}
+        self.ranks = read_ranks(rank_lines)
         self.pairs = PairTable(self.ranks)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.number = list(range(max(self.ranks.values()) + 1))  # one int object an id, shared by all cached slices
         self.cache: dict[bytes, tuple[int, ...]] = {}
-        size = max(self.ranks.values()) + 1
-        parts = [b""] * size
-        for token, rank in self.ranks.items():
-            parts[rank] = token
-        self.bytes_at = A.sums(np.array([len(p) for p in parts]))
-        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each slice. All slices merge together, one merge a slice and round: the pair of
         lowest rank, the leftmost of equals. A slice that is itself a token is that token."""
-        out = [(self.ranks[p],) if p in self.ranks else None for p in pieces]
+        number = self.number.__getitem__
+        out = [(number(self.ranks[p]),) if p in self.ranks else None for p in pieces]
         todo = [i for i, ids in enumerate(out) if ids is None]
         if not todo:
             return out
@@ -241,7 +258,7 @@ class Vocabulary:
             over = least == _NO_RANK
             if over.any():
                 for k in np.flatnonzero(over).tolist():
-                    out[owner[k]] = tuple(ids[first[k]:first[k] + size[k]].tolist())
+                    out[owner[k]] = tuple(map(number, ids[first[k]:first[k] + size[k]].tolist()))
                 stay = np.repeat(~over, size)
                 ids, rank, owner, least, size = ids[stay], rank[stay], owner[~over], least[~over], size[~over]
                 if not len(size):
@@ -284,21 +301,15 @@ class Vocabulary:
         row = np.searchsorted(texts.at, begin, "right") - 1
         return ids, np.bincount(row, weights=each, minlength=texts.n).astype(np.int64), each, row
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of the ids, and the bytes of each id."""
-        first, size = self.bytes_at[ids], self.bytes_at[ids + 1] - self.bytes_at[ids]
-        return self.bytes[A.expand(first, size)], size
-
 
-_OPEN: dict[str, Vocabulary] = {}
+_OPEN: dict[type, tuple[str, Vocabulary | TokenBytes]] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
-    """One vocabulary (and cache) for each worker process and broadcast."""
-    if shared.id not in _OPEN:
-        _OPEN.clear()
-        _OPEN[shared.id] = Vocabulary(shared.value)
-    return _OPEN[shared.id]
+def _open(kind: type, shared) -> Vocabulary | TokenBytes:
+    """One table of a kind for each worker process; a vocabulary keeps its cache across tasks."""
+    if kind not in _OPEN or _OPEN[kind][0] != shared.id:
+        _OPEN[kind] = shared.id, kind(shared.value)
+    return _OPEN[kind][1]
 
 
 class _Shared:
@@ -321,7 +332,7 @@ def encode(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), tex
     out = [("ids", T.ArrayType(T.IntegerType(), False))] + ([("offsets", T.ArrayType(T.IntegerType(), False))] if offsets else [])
 
     def make():
-        vocabulary = _vocabulary(shared)
+        vocabulary = _open(Vocabulary, shared)
 
         def part(texts: A.Texts, rows) -> dict:
             ids, n, each, row = vocabulary.encode(texts)
@@ -343,7 +354,7 @@ def decode(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), ids
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        vocabulary = _vocabulary(shared)
+        vocabulary = _open(TokenBytes, shared)
         for batch in batches:
             column = batch.column(len(keep))
             size = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
@@ -358,13 +369,28 @@ def decode(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), ids
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw.cast(pa.binary())], names=[*keep, "decoded"])
                 lo = hi
 
-    return src.mapInArrow(run, schema)
+    return A.small_batches(src).mapInArrow(lambda batches: A.released(run(batches)), schema)
 
 
 def digest(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Encode, then decode the ids; counts and hashes of both."""
-    coded = encode(df, rank_file, keep, text, offsets=False)
-    named = coded.select(*keep, F.size("ids").cast("long").alias("n_tokens"),
-                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode(named, rank_file, [*keep, "n_tokens", "ids_sha256"]).select(
-        *keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode, then decode the ids, in one task: ``keep`` columns, the number of ids, and the
+    hashes of the ids (decimal, joined by commas) and of the decoded bytes."""
+    shared = _Shared(df.sparkSession, rank_file)
+
+    def make():
+        vocabulary, table = _open(Vocabulary, shared), _open(TokenBytes, shared)
+        decimal = [b"%d" % i for i in vocabulary.number]
+
+        def part(texts: A.Texts, rows) -> dict:
+            ids, n, _, _ = vocabulary.encode(texts)
+            data, size = table.decode(ids)
+            at = A.sums(n)
+            ends = A.sums(size)[at]
+            names = list(map(decimal.__getitem__, ids.tolist()))
+            data = data.tobytes()
+            cuts = list(zip(at.tolist(), at.tolist()[1:], ends.tolist(), ends.tolist()[1:], strict=False))
+            return {"n_tokens": n, "ids_sha256": pa.array([hashlib.sha256(b",".join(names[a:b])).hexdigest() for a, b, _, _ in cuts], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(data[c:d]).hexdigest() for _, _, c, d in cuts], pa.string())}
+        return part
+
+    return A.scan(df, keep, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make)

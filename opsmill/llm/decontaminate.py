@@ -205,5 +205,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     arrays[at] = pa.array(column, part.column(at).type)
                     yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names).filter(pa.array(kept))
 
-        result = result.mapInArrow(run, docs.schema)
+        result = A.small_batches(result).mapInArrow(run, docs.schema)
     return result

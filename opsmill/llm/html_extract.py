@@ -324,7 +324,7 @@ def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", samp
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
                                               pa.array(list(found.values()), pa.int64())], names=["f", "y", "n"])
 
-    got = rows.select("html").mapInArrow(count, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect()
+    got = A.small_batches(rows.select("html")).mapInArrow(count, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, list[float]] = {}
     pairs = np.zeros((3, 3))
     for r in got:

@@ -54,7 +54,7 @@ FREQUENT_LIMIT = 1_000_000
 MOST_MATCHES = 3
 STARS = 4
 BROADCAST_IDS = 2_000_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 KEYS_A_RANGE = 2_000_000
 
 
@@ -145,7 +145,7 @@ def frequent_ngrams(docs: DataFrame, n: int, ranges: Ranges, few: int, limit: in
         at = np.uint64(table["range"][0].as_py()) << np.uint64(32)
         return pa.table({"key": pa.array((at | twice[keep].astype(np.uint64)).view(np.int64)), "n": pa.array(total[keep])})
 
-    counted = docs.select("text").mapInArrow(pack, "range int, once binary, many binary, counts binary").groupBy("range").applyInArrow(add, "key long, n long").checkpoint()
+    counted = A.small_batches(docs.select("text")).mapInArrow(lambda batches: A.released(pack(batches)), "range int, once binary, many binary, counts binary").groupBy("range").applyInArrow(add, "key long, n long").checkpoint()
     # the smallest threshold whose list fits
     steps = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     size = sum(r["n"] for r in steps)
@@ -267,7 +267,7 @@ def bounded_candidates(sig: DataFrame, percent: int, ranges: Ranges) -> DataFram
         return pa.table({**{c: pa.array(both[c].copy()) for c in ("a", "b", "k")}, "shared": pa.array(n.astype(np.int64))})
 
     posts = sig.select("doc_id", "n", "k", F.slice("prefix", 1, F.col("rare")).alias("prefix"))
-    return (posts.mapInArrow(pack, "range int, rows binary").groupBy("range").applyInArrow(pairs, "a long, b long, k long, shared long")
+    return (A.small_batches(posts).mapInArrow(pack, "range int, rows binary").groupBy("range").applyInArrow(pairs, "a long, b long, k long, shared long")
             .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("k").alias("k")).filter("shared >= k").select("a", "b"))
 
 

@@ -140,7 +140,7 @@ def train(sample: DataFrame, text: str = "__text", lang: str = "__lang") -> Mode
 
     sample = sample.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).persist()
     try:
-        rows = (sample.mapInArrow(count, "l string, k int, b int, n long").groupBy("l", "k", "b").agg(F.sum("n").alias("n"))
+        rows = (A.small_batches(sample).mapInArrow(count, "l string, k int, b int, n long").groupBy("l", "k", "b").agg(F.sum("n").alias("n"))
                 .groupBy("l", "k").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n")).collect())
         languages = sorted({r["l"] for r in rows})
         counts = np.zeros((len(languages), 2, size))

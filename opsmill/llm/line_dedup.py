@@ -66,7 +66,7 @@ def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
                      pa.array(n.astype(np.int64))], names=["host", "line", "size", "pages"])
 
     return (docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "host string, line long, size long, pages long")
+            .transform(A.small_batches).mapInArrow(run, "host string, line long, size long, pages long")
             .groupBy("host", "line", "size").agg(F.sum("pages").alias("pages")))
 
 
@@ -143,7 +143,7 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
 
                     yield rebuilt(part, dropped_in)
 
-        return docs.mapInArrow(run, schema)
+        return A.small_batches(docs).mapInArrow(run, schema)
 
     flag = "__bad"
     while flag in columns:
@@ -164,4 +164,4 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
 
                 yield rebuilt(part, dropped_in)
 
-    return joined.mapInArrow(run_joined, schema)
+    return A.small_batches(joined).mapInArrow(run_joined, schema)

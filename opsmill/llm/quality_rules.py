@@ -140,7 +140,7 @@ def measure(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sa
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), *(pa.array(got[:, j]) for j in range(3))],
                                              names=["rule", "cost", "hits", "n"])
 
-    sums = picked.mapInArrow(run, "rule int, cost double, hits double, n double").groupBy("rule").agg(
+    sums = A.small_batches(picked).mapInArrow(run, "rule int, cost double, hits double, n double").groupBy("rule").agg(
         *[F.sum(c).alias(c) for c in ("cost", "hits", "n")])
     return {rules[r["rule"]].name: {"cost": r["cost"] / max(r["n"], 1), "selectivity": r["hits"] / max(r["n"], 1)}
             for r in sums.collect()}
@@ -193,4 +193,4 @@ def filter_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
                 if kept.any():
                     yield part.filter(pa.array(kept))
 
-    return df.mapInArrow(run, schema)
+    return A.small_batches(df).mapInArrow(lambda batches: A.released(run(batches)), schema)
