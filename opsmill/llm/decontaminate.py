@@ -18,8 +18,7 @@ repeated rows each get a row; without items every document is clean.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,22 +94,19 @@ def cover(hits, n_words: int) -> np.ndarray:
     return hit
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_windows: int) -> list[list[tuple[object, str | None]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, block_windows: int) -> Iterator[list[tuple[object, str | None]]]:
     """Item rows in blocks whose word count (a bound on their windows) is limited; a longer item
-    is a block of its own. Reads one block at a time from Spark."""
-    blocks, size = [[]], 0
+    is a block of its own. One block at a time is on the driver; there is at least one."""
+    block, size, given = [], 0, False
     for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(words_of(r["t"]))
-        if blocks[-1] and size + n > block_windows:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(("null" if r["i"] is None else r["i"], r["t"]))
+        if block and size + n > block_windows:
+            yield block
+            block, size, given = [], 0, True
+        block.append(("null" if r["i"] is None else r["i"], r["t"]))
         size += n
-    return blocks
-
-
-def _digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    if block or not given:
+        yield block
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",

@@ -301,11 +301,11 @@ class Model:
 
 
 def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Counts over a sample of about ``sample_pages`` pages, cut by a hash of the id."""
+    """Counts over a sample of about ``sample_pages`` pages, cut by a hash of id and page."""
     total = pages.count()
     rows = pages.select(F.col(html).cast("string").alias("html"), F.col(id_column).cast("string").alias("id"))
     if total > sample_pages:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * sample_pages / total))
+        rows = rows.filter(F.pmod(F.xxhash64("id", "html"), F.lit(1_000_003)) < int(1_000_003 * sample_pages / total))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

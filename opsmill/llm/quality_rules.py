@@ -117,13 +117,13 @@ def measure(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sa
     """Cost and selectivity of each rule on a sample of at most about ``sample_rows`` texts.
 
     Every sampled text that passes the base test runs through every rule (no short cut), in
-    tasks; only one row of sums for each task and rule comes back. The sample is spread over
-    the table by a hash of the text, so it needs no second pass over the rows.
+    tasks; only one row of sums for each batch and rule is shuffled. Each row is in the sample
+    by its own chance, so copies of a text cannot fill it.
     """
     total = df.count()
     picked = df.select(F.col(text).alias("__text"))
     if total > sample_rows:
-        picked = picked.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < int(1_000_003 * sample_rows / total))
+        picked = picked.sample(fraction=sample_rows / total, seed=7)
 
     def run(batches):
         for batch in batches:

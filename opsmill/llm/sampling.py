@@ -7,6 +7,8 @@ is the documented bound whatever the size of the table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ def remainder(id_column: str, mod: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(mod)), F.lit(-1))
 
 
-def bounded(df: DataFrame, id_column: str, by: str, rows_each: int) -> DataFrame:
-    """About ``rows_each`` rows of each value of ``by`` (all, where there are fewer)."""
+def bounded(df: DataFrame, id_column: str | Sequence[str], by: str, rows_each: int) -> DataFrame:
+    """About ``rows_each`` rows of each value of ``by`` (all, where there are fewer). The id
+    columns together should tell rows apart: equal ones are in or out together."""
+    ids = [id_column] if isinstance(id_column, str) else list(id_column)
     sizes = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(_GRAIN)
     for value, n in sorted(sizes.items(), key=lambda x: str(x[0])):
         if n > rows_each:
             share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(int(_GRAIN * rows_each / n))).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("sample")), F.lit(_GRAIN)) < share)
+    return df.filter(F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in ids], F.lit("sample")), F.lit(_GRAIN)) < share)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, mod: int, held: int, rows_each: int) -> DataFrame:

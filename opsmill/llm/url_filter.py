@@ -81,10 +81,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     ``labelled`` is the caller's bounded sample. ``key`` is the rule's rarest token.
     """
     baskets = labelled.filter("label is not null").select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.persist())
-    rules = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= max_tokens)
+    baskets = baskets.persist()
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= max_tokens)
                                           & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1_000).alias("label"), "support", "confidence")
+    # both tables are small and used several times; mining runs once for each
+    rules = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1_000).alias("label"), "support", "confidence").checkpoint()
+    often = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").checkpoint()
+    baskets.unpersist()
     # a more general rule of the same label that is as confident makes a longer one useless
     one = rules.select(F.posexplode("tokens").alias("_", "t"), F.col("tokens").alias("sub"), F.col("label").alias("sub_label"),
                        F.col("confidence").alias("sub_confidence")).filter("_ = 0").drop("_")
@@ -92,7 +96,6 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     useless = wide.join(one, "t").filter((F.col("sub_label") == F.col("label")) & (F.size("sub") < F.size("tokens")) & (F.col("sub_confidence") >= F.col("confidence"))
                                          & (F.size(F.array_except("sub", "tokens")) == 0)).select("tokens", "label").distinct()
     rules = rules.join(useless, ["tokens", "label"], "left_anti")
-    often = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     keyed = (rules.select("*", F.explode("tokens").alias("t")).join(often, "t")
              .groupBy("tokens", "label", "support", "confidence").agg(F.min(F.struct("freq", "t"))["t"].alias("key")))
     return keyed
@@ -119,8 +122,8 @@ def judge(pages: DataFrame, id_column: str = "page_id", url: str = "url", rules:
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_column), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", fixed_rule(F.col("host"), F.col("path"), rules).alias("rule"))
-    known = rows.filter("rule is not null").select("__url", "host", "path", verdict_of(F.col("rule"), rules).alias("label"))
-    sample = sampling.bounded(known, "__url", "label", sample_rows_each)
+    known = rows.filter("rule is not null").select(F.col(id_column).alias("__id"), "__url", "host", "path", verdict_of(F.col("rule"), rules).alias("label"))
+    sample = sampling.bounded(known, ["__id", "__url"], "label", sample_rows_each)
     mined = mine(sample.select(url_tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens"), "label"))
     # equal URLs get equal verdicts: each distinct open URL is matched once
     open_urls = rows.filter("rule is null").select("__url", "host", "path").distinct()
