@@ -3,7 +3,7 @@ duplicate detection, full-text ranking, chunking, link checks (SURVEY G7-G9, C11
 F9, V8, V10).
 
 Texts are processed whole. Work is distributed by document; the only shuffles are keyed
-by hashes (exact duplicates), by terms (document frequencies) or by LSH bands
+by hashes (exact duplicates), by terms (document frequencies) or by rare shingles
 (near-duplicate candidates), and hot keys in those shuffles are split as described on
 each function.
 """

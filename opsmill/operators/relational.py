@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

@@ -1,6 +1,5 @@
 """Sources, sinks and write-side operators on temporary folders."""
 
-import json
 import os
 
 from conftest import rows
