@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmill.llm import arrays as A
-from opsmill.llm import sampling
 from opsmill.llm.quality_rules import ASCII_LETTERS, LETTERS, SYMBOLS, UPPER, base_counts
 
 DIGITS = A.byte_class((0x30, 0x39))
