@@ -305,6 +305,13 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_
     return both.select("a", "b", inter.alias("i"), (F.size("ga") + F.size("gb")).alias("s")).filter(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
 
 
+def _several(groups: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The groups with two members or more, as a table of their own: broadcast if its counted size
+    allows. Else it joins as a plain shuffled side, which lets Spark split a hot group's rows."""
+    own = groups.filter("members > 1").drop("members").checkpoint()
+    return F.broadcast(own) if own.count() <= broadcast_rows else own
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     return A.ragged(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), np.fromiter(map(len, sets), np.int64, len(sets)), pa.int64())
 
@@ -319,7 +326,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n
     linkable = sig.filter("doc_id is not null and n > 0")
 
     # equal sets: every document knows the smallest id of its class, which stands for it
-    first = linkable.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    first = _several(linkable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), broadcast_ids)
     links = linkable.select("doc_id", "class").join(first, "class").filter("doc_id != rep").select(F.col("doc_id").alias("copy"), "rep").distinct().checkpoint()
     light = bounded_candidates(linkable, percent, ranges)
     for side in ("a", "b"):
@@ -329,7 +336,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n
     # hot documents: distinct sets, stars, then pairs across components
     hot = linkable.filter("hot").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "k", "prefix", "stars"), "doc_id").alias("r")).select("r.*").checkpoint()
     keys = hot.select("doc_id", "n", F.posexplode("stars").alias("j", "key"))
-    centre = keys.groupBy("j", "key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("c"))
+    centre = _several(keys.groupBy("j", "key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("c"), F.count(F.lit(1)).alias("members")), broadcast_ids)
     stars = (keys.join(centre, ["j", "key"]).filter(f"doc_id != c.doc_id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
              .select(F.col("doc_id").alias("b"), F.col("c.doc_id").alias("a")).distinct())
     starred = verified(stars, docs, n, percent, broadcast_ids).checkpoint()
