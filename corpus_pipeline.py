@@ -37,8 +37,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with counts and hashes of ids and decoded bytes."""
-    return byte_bpe.digest(docs, rank_file(), keep=("doc_id", "lang", "source"))
+    """Token ids of every document that is left, with their number and hashes of the ids and of the
+    decoded bytes."""
+    return byte_bpe.digest(docs, rank_file(), keep=("doc_id", "lang", "source"), with_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates),

@@ -372,10 +372,12 @@ def decode(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), ids
     return A.small_batches(src).mapInArrow(lambda batches: A.released(run(batches)), schema)
 
 
-def digest(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Encode, then decode the ids, in one task: ``keep`` columns, the number of ids, and the
-    hashes of the ids (decimal, joined by commas) and of the decoded bytes."""
+def digest(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, then decode the ids, in one task: ``keep`` columns, the number of ids, the hashes of
+    the ids (decimal, joined by commas) and of the decoded bytes, and the ids if asked for."""
     shared = _Shared(df.sparkSession, rank_file)
+    out = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    out += [("ids", T.ArrayType(T.IntegerType(), False))] if with_ids else []
 
     def make():
         vocabulary, table = _open(Vocabulary, shared), _open(TokenBytes, shared)
@@ -389,8 +391,9 @@ def digest(df: DataFrame, rank_file: str, keep: Sequence[str] = ("doc_id",), tex
             names = list(map(decimal.__getitem__, ids.tolist()))
             data = data.tobytes()
             cuts = list(zip(at.tolist(), at.tolist()[1:], ends.tolist(), ends.tolist()[1:], strict=False))
-            return {"n_tokens": n, "ids_sha256": pa.array([hashlib.sha256(b",".join(names[a:b])).hexdigest() for a, b, _, _ in cuts], pa.string()),
+            got = {"ids": A.ragged(ids, n, pa.int32())} if with_ids else {}
+            return got | {"n_tokens": n, "ids_sha256": pa.array([hashlib.sha256(b",".join(names[a:b])).hexdigest() for a, b, _, _ in cuts], pa.string()),
                     "decoded_sha256": pa.array([hashlib.sha256(data[c:d]).hexdigest() for _, _, c, d in cuts], pa.string())}
         return part
 
-    return A.scan(df, keep, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make)
+    return A.scan(df, keep, text, out, make)

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from llm_cases import prose
+from opsmill.llm import byte_bpe
 from opsmill.llm import decontaminate as D
 from opsmill.llm import jaccard_join as J
 from opsmill.llm import line_dedup as LD
@@ -41,6 +43,11 @@ def test_stages_in_order_and_their_effects(spark, folder):
     assert not seen["quality_rules"] & {200, 201, 202, 203} and set(range(60)) <= seen["quality_rules"]
     assert seen["line_dedup"] == seen["quality_rules"]
     assert set(range(60)) <= seen["ngram_jaccard_join"] and not seen["ngram_jaccard_join"] & set(range(100, 110))
+    table = byte_bpe.TokenBytes(open(queries.rank_file(), "rb").read())
+    texts = {r["doc_id"]: r["text"] for r in D.remove_spans(J.keep_first(LD.drop_lines(Q.filter_documents(spark.read.parquet(f"{folder}/documents.parquet"))), n=5, percent=80),
+                                                            bench).collect()}
+    for r in docs.collect():  # the tokens give the cleaned text back
+        assert table.decode(np.array(r["ids"]))[0].tobytes().decode() == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
     assert 300 in seen["byte_level_bpe"] and 301 not in seen["benchmark_decontamination"]
     kept = Q.filter_documents(spark.read.parquet(f"{folder}/documents.parquet"))
     lines = LD.drop_lines(kept)
