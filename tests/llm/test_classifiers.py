@@ -147,7 +147,7 @@ def test_toxicity_finds_passages_on_held_out_rows(corpus, odd, none):
 
 def test_copies_do_not_make_a_lexicon(spark):
     rng = random.Random(1)
-    rows = [(i, prose(rng, 60), 0) for i in range(80)] + [(100 + i, prose(random.Random(99), 60, [f"u{k}" for k in range(50)]), 1) for i in range(40)]
+    rows = [(i, prose(rng, 60), 0) for i in range(80)] + [(100 + i, " ".join(f"u{k % 30}" for k in range(60)), 1) for i in range(40)]
     sample = spark.createDataFrame(rows, "__id long, __text string, __label int")
     words, stems = X.train(sample).words, X.train(sample).stems
     assert not len(words[0]) and not len(stems[0])
