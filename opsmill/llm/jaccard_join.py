@@ -342,7 +342,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n
     starred = verified(stars, docs, n, percent, broadcast_ids).checkpoint()
     groups = connected_components(starred).select(F.col("node").alias("member"), F.col("label"))
     hot = hot.join(groups, hot["doc_id"] == groups["member"], "left").select("doc_id", "n", "k", "prefix", F.coalesce("label", "doc_id").alias("g"))
-    found = verified(light.unionByName(hot_candidates(hot, percent)), docs, n, percent, broadcast_ids)
+    found = verified(light.unionByName(hot_candidates(hot, percent)), docs, n, percent, broadcast_ids).checkpoint()  # read twice below
 
     label = connected_components(links.select(F.col("copy").alias("a"), F.col("rep").alias("b")).unionByName(starred).unionByName(found)).select(F.col("node").alias("member"), "label")
     return (sig.select("doc_id", "n").join(label, sig["doc_id"] == label["member"], "left")
