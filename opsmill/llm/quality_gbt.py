@@ -3,7 +3,7 @@
 Each text becomes a row of statistics (lengths, symbol, case and digit shares, repetition),
 computed for whole slices of texts at once. Spark ML's histogram trees (feature values in
 ``maxBins`` bins, gradient boosting on the logistic loss) are fitted on a bounded sample
-of labelled rows. The fitted trees are flattened into arrays (feature, threshold, left,
+of labelled rows, weighted back to the class mix of the table. The fitted trees are flattened into arrays (feature, threshold, left,
 right, value), and all texts of a slice walk down all trees together in numpy.
 
 Defined results: null and empty texts have all statistics zero and get the score of such
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmill.llm import arrays as A
+from opsmill.llm import sampling
 from opsmill.llm.quality_rules import ASCII_LETTERS, LETTERS, SYMBOLS, UPPER, base_counts
 
 DIGITS = A.byte_class((0x30, 0x39))
@@ -102,14 +103,14 @@ def featurised(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
 
 
 def train(sample: DataFrame, trees: int = 12, depth: int = 4, bins: int = 64) -> Forest:
-    """Fit on a bounded sample of (__text, __label)."""
-    rows = featurised(sample, ["__label"], "__text")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select(F.col("__label").cast("double").alias("y"), "x").persist()
+    """Fit on a bounded sample of (__text, __label) and, where classes were cut, __weight."""
+    rows = featurised(sampling.weighted(sample), ["__label", "__weight"], "__text")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select(F.col("__label").cast("double").alias("y"), F.col("__weight").alias("weight"), "x").persist()
     try:
         sizes = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(sizes) < 2:
             return Forest([], [], [], [], [], [], 0, float(next(iter(sizes))) if sizes else 0.5)
-        model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.3,
+        model = GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.3,
                               minInstancesPerNode=5, seed=7, maxMemoryInMB=256).fit(rows.coalesce(4))
         return flatten(model)
     finally:

@@ -16,7 +16,8 @@ s or more at a rate of K exp(-lambda s) a word (extreme-value law; lambda solves
 E[exp(lambda s)] = 1 over clean words, K comes from the segments of clean training texts),
 so a segment's E-value in a text of n words is K n exp(-lambda s). Segments with an
 E-value under ``SIGNIFICANT`` are passages; the text's evidence is the sum of their
--log(E-value), and a logistic curve fitted on the sample turns it into a probability.
+-log(E-value), and a logistic curve fitted on the sample, weighted back to the class mix of
+the table, turns it into a probability.
 
 Defined results: null, empty and clean texts have no passages and get the score of zero
 evidence; without labels, or with one class only, that score is the share of label 1 (0
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmill.llm import arrays as A
+from opsmill.llm import sampling
 
 SAMPLE_ROWS_EACH = 6_000
 STEM = 4
@@ -169,14 +171,14 @@ def _odds(counts: DataFrame, share: float) -> tuple[dict[int, float], dict[int,
     return as_table(words, "word"), as_table(stems, "stem")
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """One-dimensional logistic regression with a light ridge, by Newton steps."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """One-dimensional weighted logistic regression with a light ridge, by Newton steps."""
     w = np.zeros(2)
     z = np.column_stack([np.ones(len(x)), x])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + 0.01 * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
+        g = z.T @ (weight * (p - y)) + 0.01 * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -185,8 +187,9 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(sample: DataFrame) -> Lexicon:
-    """Fit on a bounded sample of (__text, __label); everything collected is bounded by it."""
-    sample = sample.persist()
+    """Fit on a bounded sample of (__text, __label) and, where classes were cut, __weight;
+    everything collected is bounded by it."""
+    sample = sampling.weighted(sample).persist()
     try:
         sizes = {r["__label"]: r["n"] for r in sample.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -202,20 +205,20 @@ def train(sample: DataFrame) -> Lexicon:
             counts.unpersist()
         raw = Lexicon(words, stems, gap=0.25)
         # clean texts: how often do lexicon words and segments come up by chance?
-        found = A.scan(sample, ["__label"], "__text", [("n", T.LongType()), ("s", T.ArrayType(T.DoubleType())), ("w", T.ArrayType(T.DoubleType()))],
+        found = A.scan(sample, ["__label", "__weight"], "__text", [("n", T.LongType()), ("s", T.ArrayType(T.DoubleType())), ("w", T.ArrayType(T.DoubleType()))],
                        lambda: lambda texts, rows: _segment_columns(texts, raw)).persist()
         try:
             clean = found.filter("__label = 0")
             n = clean.agg(F.sum("n").alias("n")).first()["n"] or 1
             words_found, segments = ([r["x"] for r in clean.select(F.explode(c).alias("x")).collect()] for c in ("w", "s"))
             raw.lam, raw.k = _extreme_value(words_found, segments, n, raw.gap)
-            rows = found.select("__label", "n", "s").collect()
+            rows = found.select("__label", "__weight", "n", "s").collect()
         finally:
             found.unpersist()
         x = np.array([raw.evidence([(0, 0, s) for s in r["s"]], r["n"])[0] for r in rows])
         y = np.array([r["__label"] for r in rows], float)
-        # classes were sampled at shares of their own: the curve is fitted as sampled
-        raw.curve = _fit_curve(x, y)
+        # classes were sampled at shares of their own: the weights undo that
+        raw.curve = _fit_curve(x, y, np.array([r["__weight"] for r in rows], float))
         return raw
     finally:
         sample.unpersist()

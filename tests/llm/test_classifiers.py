@@ -153,6 +153,32 @@ def test_copies_do_not_make_a_lexicon(spark):
     assert not len(words[0]) and not len(stems[0])
 
 
+def test_scores_agree_with_and_without_the_cut(spark):
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(12000):
+        odd_one = i % 5 == 0
+        words = prose(rng, 30).split()
+        if odd_one:
+            words[rng.randrange(1, 30)] = "vequta"
+            words = [*words, "###", "%%%"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(rng.random() < (0.7 if odd_one else 0.97)), int(rng.random() < (0.6 if odd_one else 0.02))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").persist()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stumps = lambda sample: G.train(sample, depth=2)  # noqa: E731, deeper trees fit the noise of so few rows
+    for label, train, score in (("quality", stumps, G.classify), ("toxic", X.train, X.score)):
+        got = []
+        for rows_each in (400, 100_000):
+            sample = S.labelled(docs, labels, label, "doc_id", "text", 5, 0, rows_each)
+            sizes = {r["__label"]: (r["n"], r["w"]) for r in sample.groupBy("__label").agg(F.count("*").alias("n"), F.sum("__weight").alias("w")).collect()}
+            got.append((sizes, [score(docs.filter(f"doc_id % 5 {op} 0"), train(sample)).agg(F.avg("score")).first()[0] for op in ("=", "<>")]))
+        (cut, a), (whole, b) = got
+        assert all(cut[y][0] < 0.8 * whole[y][0] and whole[y][0] == whole[y][1] for y in (0, 1))
+        assert all(abs(cut[y][1] - whole[y][1]) < 0.15 * whole[y][1] for y in (0, 1))
+        assert np.allclose(a, b, atol=0.12), (label, a, b)
+
+
 LANGS = {"aa": ["the", "and", "with", "thing", "tion"], "bb": ["und", "der", "schen", "keit", "über"], "cc": ["que", "el", "ción", "año", "los"], "dd": ["le", "été", "aux", "ment", "où"]}
 
 
