@@ -164,42 +164,78 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     Each run of hit words goes, from its first word to its last, with the text between. A
     document of which more than ``drop_ratio`` of the words are hit goes as a whole. Other
-    rows, null texts included, pass unchanged.
+    rows, null texts included, pass unchanged. The number of blocks does not change the result.
     """
     sc = docs.sparkSession.sparkContext
-    at = docs.columns.index(text)
-    result = docs
-    for block in _blocks(benchmark, item, item_text, block_windows):
-        shared = sc.broadcast(ItemWindows(block, n))
-
-        def run(batches, shared=shared):
-            windows = shared.value
+    columns, at = docs.columns, docs.columns.index(text)
+    blocks = [sc.broadcast(ItemWindows(b, n)) for b in _blocks(benchmark, item, item_text, block_windows)]
+
+    def cut(part: pa.RecordBatch, texts: A.Texts, spans: A.Spans, hit: np.ndarray) -> pa.RecordBatch:
+        kept = np.ones(texts.n, dtype=bool)
+        column = part.column(at).to_pylist()
+        for r in np.unique(spans.row[np.flatnonzero(hit)]).tolist():
+            f, t = spans.first[r], spans.first[r + 1]
+            own = hit[f:t]
+            if own.sum() > drop_ratio * len(own):
+                kept[r] = False
+                continue
+            edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
+            left = bytearray(texts.row(r))
+            base = texts.at[r]
+            for a, b in reversed(list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))):
+                del left[spans.start[f + a] - base:spans.end[f + b - 1] - base]
+            column[r] = left.decode()
+        arrays = part.columns[:len(columns)]
+        arrays[at] = pa.array(column, part.column(at).type)
+        return pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(kept))
+
+    if len(blocks) == 1:
+        def run(batches):
+            windows = blocks[0].value
             for batch in batches:
                 for lo, hi in A.slices(batch.column(at)):
                     part = batch.slice(lo, hi - lo)
                     texts = A.texts_of(part.column(at))
                     spans, hits = find_hits(texts, windows)
-                    if not hits:
-                        yield part
-                        continue
-                    hit = cover(hits, len(spans.start))
-                    kept = np.ones(texts.n, dtype=bool)
-                    column = part.column(at).to_pylist()
-                    for r in {h[0] for h in hits}:
-                        f, t = spans.first[r], spans.first[r + 1]
-                        own = hit[f:t]
-                        if own.sum() > drop_ratio * len(own):
-                            kept[r] = False
-                            continue
-                        edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-                        cut = bytearray(texts.row(r))
-                        base = texts.at[r]
-                        for a, b in reversed(list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))):
-                            del cut[spans.start[f + a] - base:spans.end[f + b - 1] - base]
-                        column[r] = cut.decode()
-                    arrays = part.columns
-                    arrays[at] = pa.array(column, part.column(at).type)
-                    yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names).filter(pa.array(kept))
-
-        result = A.small_batches(result).mapInArrow(run, docs.schema)
-    return result
+                    yield cut(part, texts, spans, cover(hits, len(spans.start))) if hits else part
+
+        return A.small_batches(docs).mapInArrow(run, docs.schema)
+
+    # several blocks: the hits of all on the original texts, merged by row, then the ratio and the cuts once
+    row, found = "__row", "__found"
+    while {row, found} & set(columns):
+        row, found = row + "_", found + "_"
+    flat = docs.withColumn(row, F.monotonically_increasing_id()).checkpoint()
+
+    def one(shared) -> DataFrame:
+        def make():
+            windows = shared.value
+
+            def fn(texts: A.Texts, rows) -> dict:
+                spans, hits = find_hits(texts, windows)
+                where = np.flatnonzero(cover(hits, len(spans.start)))
+                own = spans.row[where] if len(where) else where
+                return {found: A.ragged(where - spans.first[own], np.bincount(own, minlength=texts.n), pa.int32())}
+            return fn
+
+        return A.scan(flat, [row], text, [(found, T.ArrayType(T.IntegerType()))], make).filter(F.size(found) > 0)
+
+    parts = [one(b) for b in blocks]
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    merged = hits.groupBy(row).agg(F.array_distinct(F.flatten(F.collect_list(found))).alias(found))  # at most one row a block for each document
+    joined = flat.join(merged, row, "left").select(*(flat[c] for c in columns), found)
+
+    def run_joined(batches):
+        for batch in batches:
+            for lo, hi in A.slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                texts = A.texts_of(part.column(at))
+                spans, lists = texts.spans(A.ALNUM), part.column(len(columns))
+                hit = np.zeros(len(spans.start), dtype=bool)
+                for r in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
+                    hit[spans.first[r] + np.array(lists[r].as_py(), np.int64)] = True
+                yield cut(part, texts, spans, hit)
+
+    return A.small_batches(joined).mapInArrow(run_joined, docs.schema)

@@ -57,6 +57,27 @@ def test_spans_go_and_clean_rows_stay(spark):
         assert D.digest(D.mark(out, bench)).filter("contaminated").count() == 0
 
 
+def test_spans_of_several_blocks_are_cut_once(spark):
+    rng = random.Random(4)
+    own, one, two = ([f"{c}{i}" for i in range(40)] for c in "abc")
+    left, right = " ".join(own[:20]), " ".join(own[20:])
+    items = [(1, " ".join(one[:12])), (2, " ".join(two[:12])), (3, " ".join(one[6:16])), (4, " ".join([*one[30:35], *two[30:35]]))]
+    docs = [(1, " ".join(one[:12] + own[:16] + two[:12])),  # 30 % hit by each of two blocks
+            (2, f"{left} {' '.join(one[:16])} {right}"),  # overlapping passages
+            (3, f"{left} {' '.join(one[30:35])} {' '.join(two[:12])} {' '.join(two[30:35])} {right}"),  # a cut would join its neighbours
+            (4, prose(rng, 30)), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, __row int")
+    got = {}
+    for block in (D.BLOCK_WINDOWS, 12):
+        out = D.remove_spans(table, bench, block_windows=block)
+        assert out.schema == table.schema
+        got[block] = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[12] == got[D.BLOCK_WINDOWS]
+    assert 1 not in got[12] and got[12][2] == f"{left}  {right}"
+    assert got[12][3] == f"{left} {' '.join(one[30:35])}  {' '.join(two[30:35])} {right}" and got[12][4] == docs[3][1] and got[12][5] is None
+
+
 def test_empty_tables(spark):
     docs, bench, rows, _ = cases(spark)
     assert D.mark(docs.limit(0), bench).count() == 0
