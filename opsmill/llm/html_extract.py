@@ -12,7 +12,9 @@ Counts come from labelled pages: pages that mark their own main part with <artic
 <main> (a bounded sample), where a block is content if it stands in that part and in no
 part named as a menu, notice, advert, form or comment. The counts are added to prior
 counts for the tags and names in ``PRIOR``, so parts that the sample lacks are known too.
-Scripts, styles, form controls and other elements without running text are never read.
+Scripts, styles, form controls and other elements without running text are never read. An
+unclosed one ends with its parent, or where a block-level element starts; a head ends where
+the first text or element starts that cannot stand in it.
 
 Defined results: a null or empty page, or one without a content block, has an empty text;
 unclosed and unmatched tags never fail (an element ends with its parent); a page of any
@@ -39,13 +41,20 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PIECE = re.compile(r"[a-z]+")
 #: Elements whose content is not running text.
-SILENT = frozenset("script style noscript template head title iframe object svg canvas math select option button textarea datalist video audio map".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas select option button textarea datalist video audio map".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction annotation annotation-xml menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+                   "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements that an opening tag closes implicitly, up to the nearest container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: What an unclosed element without running text cannot hold, and what a head holds besides RAW.
+BLOCK = ENDS_P | frozenset("caption dd dt li tbody td tfoot th thead tr".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta".split())
+#: Tags of elements without running text, outside comments and raw elements.
+SCOPE = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?</\1\s*>|<(/?)({'|'.join(sorted(SILENT - RAW))})(?=[\s/>])", re.S | re.I)
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body blockquote".split())
 MAIN = ("article", "main")
 #: Names of parts that are not the article, and of parts that are.
@@ -99,10 +108,26 @@ def _block_features(text: str, linked: int) -> list[str]:
     return ["tag=#text", f"size={size}", f"linked={min(4 * linked // max(n, 1), 4)}", f"stops={min(stops, 4)}"]
 
 
+def _closed(source: str) -> set[int]:
+    """Places of the tags in ``SILENT`` that have a closing tag of their own."""
+    open_at: dict[str, list[int]] = {}
+    out = set()
+    for m in SCOPE.finditer(source):
+        if m[3]:
+            places = open_at.setdefault(m[3].lower(), [])
+            if not m[2]:
+                places.append(m.start())
+            elif places:
+                out.add(places.pop())
+    return out
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open non-inline elements: tag, node
-    silent: list[str] = []
+    inner: list[tuple[str, int]] = []  # open inline elements: tag, open non-inline elements
+    silent: list[tuple[str, bool]] = []  # an element without running text and those in it: tag, has a closing tag
+    with_end: set[int] | None = None
     buffer: list[str] = []
     links = linked = 0
 
@@ -119,6 +144,16 @@ def parse(source: str) -> Page:
     def close(depth: int) -> None:
         flush()
         del stack[depth:]
+        while inner and inner[-1][1] > depth:
+            inner.pop()
+
+    def drop_last(tags: list, tag: str, rest: bool) -> bool:
+        """Take the last ``tag`` off, with the ``rest`` after it."""
+        for k in range(len(tags) - 1, -1, -1):
+            if tags[k][0] == tag:
+                del tags[k:len(tags) if rest else k + 1]
+                return True
+        return False
 
     at, end = 0, len(source)
     while at < end:
@@ -126,6 +161,8 @@ def parse(source: str) -> Page:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if m[4] is not None and silent and silent[0][0] == "head" and m[4].strip():
+                silent.clear()
             if m[4] is not None and not silent:
                 buffer.append(m[4])
                 if links:
@@ -134,11 +171,13 @@ def parse(source: str) -> Page:
         tag = tag.lower()
         if m[1]:  # closing
             if silent:
-                if tag in silent:
-                    del silent[len(silent) - 1 - silent[::-1].index(tag):]
-            elif tag == "a":
-                links = max(0, links - 1)
-            elif tag not in INLINE:
+                if drop_last(silent, tag, True) or not any(tag == t for t, _ in (*stack, *inner)):
+                    continue
+                silent.clear()
+            if tag in INLINE:
+                drop_last(inner, tag, False)
+                links = max(0, links - 1) if tag == "a" else links
+            else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         close(k)
@@ -146,8 +185,21 @@ def parse(source: str) -> Page:
                 else:
                     flush()
             continue
-        if silent:
+        ended = m[3].rstrip().endswith("/")
+        in_svg = tag == "svg" or any(t == "svg" for t, _ in silent)
+        if ended and in_svg:
             continue
+        if silent and tag not in RAW:
+            if silent[0][0] == "head":
+                if tag in IN_HEAD:
+                    continue
+                silent.clear()
+            elif tag == "body" or tag in BLOCK and not any(has_end for _, has_end in silent):
+                silent.clear()
+            else:
+                if tag not in VOID:
+                    silent.append((tag, m.start() in with_end))
+                continue
         if tag in RAW:  # its content is not markup
             flush()
             close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -157,16 +209,16 @@ def parse(source: str) -> Page:
             if tag != "wbr" and tag != "img":
                 flush()
             continue
-        if m[3].rstrip().endswith("/") and tag in INLINE:
+        if ended and tag in INLINE:
             continue
         if tag in SILENT:
             flush()
-            silent.append(tag)
-            continue
-        if tag == "a":
-            links += 1
+            with_end = _closed(source) if with_end is None else with_end
+            silent.append((tag, m.start() in with_end))
             continue
         if tag in INLINE:
+            inner.append((tag, len(stack)))
+            links += tag == "a"
             continue
         flush()
         closed = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())

@@ -68,6 +68,29 @@ def test_other_layouts(model, name):
     assert want is None or got == want
 
 
+BODY = "<article><h1>Title</h1><p>First text. Of the page.</p><p>Second text. The end.</p></article>"
+UNCLOSED = {
+    "head": "<html><head><title>t</title><meta charset=x>" + BODY, "head_body": "<html><head><title>t</title><body>" + BODY + "</body></html>",
+    "script_in_head": "<head><script>var a = '<!--';</script><style>p{}</style></head><body>" + BODY, "svg_void": "<body><svg/>" + BODY,
+    **{f"{x}_before": f"<body><{x}>menu" + BODY for x in ("button", "select", "svg", "object", "video", "canvas")},
+    **{f"{x}_parent": f"<body><div class=nav><{x}>menu</div>" + BODY for x in ("button", "select", "svg", "object", "video", "canvas")},
+    "inline_parent": "<body><p class=nav><a><svg><path d=x></a></p>" + BODY, "next_closes": "<body><button>a" + BODY + "<button>b</button>",
+    "blocks_inside": "<body><button><div>a</div><p>b</p></button><object><object></object><p>no</p></object>" + BODY,
+    "svg_parts": "<body><svg><title/><g><path/><title>x</title></g><style/></svg>" + BODY,
+}
+
+
+@pytest.mark.parametrize("name", UNCLOSED)
+def test_silent_elements_end(name):
+    assert [t for t in H.parse(UNCLOSED[name]).text if t] == ["Title", "First text. Of the page.", "Second text. The end."]
+
+
+def test_head_ends_at_text_and_formulas_stay():
+    assert [t for t in H.parse("<head><title>t</title>\n Plain <b>text</b>. <p>More").text if t] == ["Plain text.", "More"]
+    formula = "<article><p>Mass <math><mi>E</mi><mo>=</mo><mrow><mn>2</mn></mrow></math> holds.</p></article>"
+    assert [t for t in H.parse(formula).text if t] == ["Mass E=2 holds."]
+
+
 def test_marginals_equal_enumeration(model):
     """Sum-product on a small tree against the sum over all assignments."""
     p = H.parse("<div><p>One text. Here.</p><nav><a>x</a></nav></div><p>Two.</p>")
