@@ -13,8 +13,10 @@ is broadcast; its size is bounded by raising the threshold ``few`` until it fits
 **Prefix.** Linked sets of sizes a and b share at least o = ceil(p (a + b) / (100 + p))
 n-grams, so for every k the first a - o + k n-grams of the one and the first b - o + k of
 the other share at least k. A document starts with k = 1 and lengthens its prefix while
-the estimated cost of the next n-gram (the documents it would be compared with) is small;
-each step asks for one more shared prefix n-gram before a pair is verified. A pair must
+the next n-gram is outside the frequent list (a fixed bound on the documents it would be
+compared with, ``FEW`` as a rule; their number is not weighed otherwise), up to
+``MOST_MATCHES``; each step asks for one more shared prefix n-gram before a pair is
+verified. Documents with frequent n-grams in the first prefix stay at k = 1. A pair must
 share min(k) n-grams at places that still leave o - min(k) + 1 n-grams after them.
 
 **Candidates.** Prefix n-grams outside the frequent list occur in at most ``few``
