@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmill.operators.relational import islands
+from opsmill.operators.relational import islands, rank_quantiles
 
 
 def counter_increase(samples: DataFrame, series: Sequence[str], ts: str, value: str, tie: str | None = None,
@@ -86,13 +86,15 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
 
 def golden_signals(requests: DataFrame, service: str, ts: str, latency: str, is_error: Column, window: str,
                    capacity_per_window: float | None = None) -> DataFrame:
-    """M3: traffic, error %, p50 / p99 latency (sketches of bounded size) and saturation per
+    """M3: traffic, error %, p50 / p99 latency (by rank, exactly) and saturation per
     (window, service)."""
-    g = requests.groupBy(F.window(ts, window).alias("w"), service).agg(
-        F.count(F.lit(1)).alias("traffic"), (F.avg(F.when(is_error, 100.0).otherwise(0.0))).alias("error_pct"),
-        F.percentile_approx(latency, 0.5, 10_000).alias("p50"), F.percentile_approx(latency, 0.99, 10_000).alias("p99"))
+    rows = requests.select(F.window(ts, window)["start"].alias("window_start"), F.col(service), F.col(latency), is_error.alias("__error"))
+    g = rows.groupBy("window_start", service).agg(
+        F.count(F.lit(1)).alias("traffic"), (F.avg(F.when(F.col("__error"), 100.0).otherwise(0.0))).alias("error_pct"))
+    q = rank_quantiles(rows, ["window_start", service], latency, {"p50": 0.5, "p99": 0.99}).withColumnsRenamed({"window_start": "__start", service: "__service"})
+    g = g.join(q, (F.col("window_start") == F.col("__start")) & F.col(service).eqNullSafe(F.col("__service")))
     sat = (F.col("traffic") / capacity_per_window) if capacity_per_window else F.lit(None).cast("double")
-    return g.select(F.col("w.start").alias("window_start"), service, "traffic", "error_pct", "p50", "p99", sat.alias("saturation"))
+    return g.select("window_start", service, "traffic", "error_pct", "p50", "p99", sat.alias("saturation"))
 
 
 def error_ratio(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:

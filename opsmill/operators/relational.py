@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmill.session import bounded
+from opsmill.session import bounded, cut_lineage
 
 
 def _c(x) -> Column:
@@ -448,14 +448,46 @@ def rate(cond: Column) -> Column:
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], exact: bool = False) -> DataFrame:
-    """Quantiles by a mergeable sketch of bounded size (``percentile_approx``, exact up to
-    10,000 distinct values in a group), or on request by ``percentile``, whose buffer holds
-    every distinct value of a group."""
-    aggs = []
-    for q in qs:
-        name = f"p{int(round(q * 100))}"
-        aggs.append((F.percentile(col, q) if exact else F.percentile_approx(col, q, 10000)).alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+    """Quantiles that are values of the column (``rank_quantiles``), or with ``exact`` the
+    interpolated ones of ``percentile``, whose buffer holds every distinct value of a group."""
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    if exact:
+        return df.groupBy(*keys).agg(*[F.percentile(col, q).alias(n) for q, n in zip(qs, names, strict=True)])
+    return rank_quantiles(df, keys, col, dict(zip(names, qs, strict=True)))
+
+
+def rank_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str, float]) -> DataFrame:
+    """Per group, the values at rank ceil(q * rows) of the non-null values, exactly.
+
+    Counts of distinct values are summed by value bucket, and only the buckets that hold a
+    wanted rank are ranked inside, so no group is sorted or held as a whole. Groups without
+    values get nulls; null keys form a group."""
+    keys = list(keys)
+    counts = df.groupBy(*keys, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = cut_lineage(value_buckets(counts, ["__v"]))  # joined with its own sums
+    valid = F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0))
+    sums = placed.groupBy(*keys, "__bucket").agg(valid.alias("__in"))  # at most one row a bucket for each group
+    w = Window.partitionBy(*keys)
+    sums = (sums.withColumn("__upto", F.sum("__in").over(w.orderBy("__bucket"))).withColumn("__all", F.sum("__in").over(w))
+            .withColumn("__before", F.col("__upto") - F.col("__in")))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(q)) * F.col("__all"), 6))).cast("long").alias("rank"))
+                      for name, q in qs.items()])
+    wanted = (sums.withColumn("__q", F.filter(ranks, lambda x: (x["rank"] > F.col("__before")) & (x["rank"] <= F.col("__upto"))))
+              .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), "__before", "__q"))
+    same = F.col("__bucket") == F.col("__b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    # groups without values keep one row of a null value, for which no rank is found
+    held = placed.join(wanted, same).filter((F.size("__q") > 0) | F.col("__v").isNull())
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__v")
+    n = F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)
+    held = held.withColumn("__upto", F.col("__before") + F.sum(n).over(inside)).withColumn("__from", F.col("__upto") - n)
+
+    def value(name: str) -> Column:
+        here = F.exists("__q", lambda x: (x["name"] == name) & (x["rank"] > F.col("__from")) & (x["rank"] <= F.col("__upto")))
+        return F.max(F.when(here, F.col("__v"))).alias(name)
+
+    return held.groupBy(*keys).agg(*[value(name) for name in qs])
 
 
 def statistical_aggregates(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -669,26 +701,26 @@ def cohort_retention(df: DataFrame, user: str, ts: str) -> DataFrame:
     return act.groupBy("cohort_month", off.alias("month_offset")).agg(F.countDistinct(user).alias("active_users"))
 
 
-def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n: int = 5, accuracy: int = 10_000) -> DataFrame:
+def rfm_segments(df: DataFrame, user: str, ts: str, amount: str, as_of: str, n: int = 5) -> DataFrame:
     """Recency / frequency / monetary scores 1..n.
 
-    A global ``ntile`` would sort every user in one task; instead one aggregate computes the
-    n-quantile cut points of all three values (mergeable sketches of bounded size,
-    ``percentile_approx``: exact up to ``accuracy`` distinct values, rank error at most
-    1 / accuracy beyond) and each score counts the cut points below the value."""
+    A global ``ntile`` would sort every user in one task; instead the n-quantile cut points of
+    each value are found by rank inside value buckets (``rank_quantiles``) and each score
+    counts the cut points below the value."""
     per = df.groupBy(user).agg(F.datediff(F.to_date(F.lit(as_of)), F.to_date(F.max(ts))).alias("recency_days"),
                                F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
-    qs = [i / n for i in range(1, n)]
-    names = ("recency_days", "frequency", "monetary")
-    cuts = per.agg(F.struct(*[F.percentile_approx(c, qs, accuracy).alias(c) for c in names]).alias("q")).scalar()  # one row
-    x = per.withColumn("__q", cuts)
+    qs = {f"q{i}": i / n for i in range(1, n)}
+    x = per
+    for c in ("recency_days", "frequency", "monetary"):
+        cuts = rank_quantiles(per.select(F.lit(0).alias("__g"), c), ["__g"], c, qs).select(F.array(*qs)).scalar()  # one row
+        x = x.withColumn(f"__{c}", cuts)
 
     def score(c, reverse=False):
-        above = F.size(F.filter(F.col("__q")[c], lambda q: F.col(c) > q)).cast("long") + 1
+        above = F.size(F.filter(F.col(f"__{c}"), lambda q: F.col(c) > q)).cast("long") + 1
         return (F.lit(n + 1).cast("long") - above) if reverse else above
 
     return (x.withColumn("r_score", score("recency_days", reverse=True)).withColumn("f_score", score("frequency"))
-            .withColumn("m_score", score("monetary")).drop("__q"))
+            .withColumn("m_score", score("monetary")).drop("__recency_days", "__frequency", "__monetary"))
 
 
 # --------------------------------------------------------------------------- 2.6 sort / top-k

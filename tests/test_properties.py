@@ -133,3 +133,14 @@ def test_late_events_equal_global_window(spark):
         "late", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) < F.col("seen") - 3600 * 1000000, F.lit(False)))
     assert rows(got, "event_id", "late") == rows(ref, "event_id", "late")
     assert got.filter("late").count() > 0
+
+
+def test_quantiles_are_exact_beyond_ten_thousand_values(spark):
+    values = {"a": [(i * 7919) % 60_013 / 7 for i in range(60_000)], None: [float(i // 3) for i in range(1000)], "none": []}
+    data = [(k, v) for k, vs in values.items() for v in vs] + [("none", None)] * 3 + [("a", None)] * 500
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    qs = [0.01, 0.2, 0.5, 0.77, 0.99]
+    got = {r["k"]: list(r)[1:] for r in rel.percentiles(df, ["k"], "v", qs).collect()}
+    want = {k: [sorted(vs)[-(-round(100 * q) * len(vs) // 100) - 1] if vs else None for q in qs] for k, vs in values.items()}
+    assert got == want
+    assert rel.percentiles(df.limit(0), ["k"], "v", qs).count() == 0
