@@ -1,4 +1,4 @@
-"""The ten operator queries over their whole tables, and their SQL twins where SQL can say it."""
+"""The operator queries over their whole tables, and their SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsmill.llm import (
     byte_bpe,
+    conversation_repair,
     decontaminate,
     html_extract,
     jaccard_join,
@@ -109,6 +110,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (sampling.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversation_repair.digest(rows, conversation_repair.repair(conversation_repair.damage(rows)))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op3_quality_rules"] = r"""
@@ -197,3 +204,51 @@ select d.doc_id, len(d.ws)::bigint as n_words, coalesce(words.n_hit, 0)::bigint
        sha256(coalesce(items.ids, '')) as items_sha256, coalesce(words.n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)
 """.replace("LOWERED", _LOWER)
+
+ORACLE["op13_conversation_repair"] = r"""
+with recursive
+k as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+d as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, row_number() over () as r,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+                         lambda a, x: xor(a >> 8, k.t[(xor(a, x) & 255) + 1])), 4294967295) % 20 as act
+  from conversations, k),
+e as (
+  select conv_id, turn, case when act = 4 then 'user' else role end as role,
+         case when act = 1 then '' when act = 2 then translate(text, '.!?', '') else text end as text, unnest(case when act = 3 then [1, 2] else [1] end) as copy
+  from d where act <> 0),
+o as (
+  select dense_rank() over (order by conv_id nulls first) as g, *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from e),
+f as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by g, role, text order by i) > 1 then 2
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 3 else 0 end as fault,
+         lag(role[1]) over (partition by g order by i) || role[1] as pair
+  from o),
+n as (
+  select g, any_value(conv_id) as conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 1) as blank, count_if(fault = 2) as duplicate,
+         count_if(fault = 3) as truncated, count_if(pair not in ('su', 'ua', 'au')) as illegal
+  from f group by g),
+walk as (
+  select g, 0::bigint as i, [{c: 0::bigint, a: '', s: 0, t: ''}] as l from n
+  union all
+  select g, i, list_filter(list_transform([0, 1, 2, 3], lambda s: list_min(list_filter(x, lambda y: y.s = s))), lambda y: y is not null) as l from (
+    select g, i, list_concat(
+        list_transform(l3, lambda y: {c: y.c + 2, a: y.a || 'D', s: y.s, t: y.t}),
+        case when fault in (1, 2) then [] else list_concat(
+          list_transform(l3, lambda y: {c: y.c + 1 + late, a: y.a || 'R', s: case when y.s = 2 then 3 else 2 end,
+                                        t: y.t || case when y.t = '' then '' else chr(10) end || case when y.s = 2 then 'assistant:' else 'user:' end || text}),
+          list_transform(list_filter(l3, lambda y: (y.s = 0 and role[1] = 's') or (y.s <> 2 and role[1] = 'u') or (y.s = 2 and role[1] = 'a')),
+                         lambda y: {c: y.c + late, a: y.a || 'K', s: case role[1] when 's' then 1 when 'u' then 2 else 3 end,
+                                    t: y.t || case when y.t = '' then '' else chr(10) end || role || ':' || text})) end) as x
+    from (
+      select g, i, fault, role, text, case when fault = 3 then 5 else 0 end as late, list_concat(l2, list_transform(l1, INS)) as l3 from (
+        select *, list_concat(l, l1) as l2 from (
+          select walk.g, walk.i + 1 as i, f.fault, f.role, f.text, walk.l, list_transform(walk.l, INS) as l1 from walk join f on f.g = walk.g and f.i = walk.i + 1))))),
+done as (
+  select n.*, list_min(list_filter(list_concat(l, list_transform(l, INS), list_transform(list_transform(l, INS), INS)), lambda y: y.s in (0, 3))) as b
+  from n join walk on walk.g = n.g and walk.i = n.n)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(b.t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join done on done.conv_id is not distinct from c.conv_id
+""".replace("INS", "lambda z: {c: z.c + 5, a: z.a || 'I', s: case when z.s = 2 then 3 else 2 end, t: z.t || case when z.t = '' then '' else chr(10) end || case when z.s = 2 then 'assistant:' else 'user:' end}")
