@@ -14,10 +14,12 @@ from opsmill.llm import (
     html_extract,
     jaccard_join,
     language_id,
+    lexical_search,
     line_dedup,
     quality_gbt,
     quality_rules,
     sampling,
+    secret_scan,
     toxicity,
     url_filter,
 )
@@ -110,6 +112,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (sampling.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
@@ -205,6 +218,27 @@ select d.doc_id, len(d.ws)::bigint as n_words, coalesce(words.n_hit, 0)::bigint
 from d left join words using (r) left join items using (r)
 """.replace("LOWERED", _LOWER)
 
+ORACLE["op11_lexical_search"] = r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (
+  select item_id, row_number() over () as k, unnest(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (
+  select count(*) as docs, sum(len(ws))::bigint as terms from d where len(ws) > 0),
+tf as (
+  select r, term, count(*) as tf from (select r, unnest(ws) as term from d) group by r, term),
+w as (
+  select term, floor(1000 * ln((2 * s.docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, s group by term, s.docs),
+m as (
+  select r, doc_id, 100 - 75 + ((75 * len(ws) * s.docs) // s.terms) as m from d, s where len(ws) > 0),
+x as (
+  select b.k, b.item_id, m.doc_id, m.r, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)))::bigint as score
+  from b join tf using (term) join w using (term) join m using (r) group by all),
+ranked as (
+  select *, row_number() over (partition by k order by score desc, doc_id nulls last) as rank from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+""".replace("LOWERED", _LOWER)
+
 ORACLE["op13_conversation_repair"] = r"""
 with recursive
 k as (
