@@ -1,12 +1,11 @@
-"""Code and document inventory jobs.
+"""Code and document inventory jobs.
 
 Input is a corpus DataFrame ``(repository, path, content)`` - one row per file, whole
-text (``sources.files.read_text_corpus``). Every extractor is a set of regular
-expressions and window functions over that corpus; results are rows of the endpoint
-table ``(repository, method, path, auth, source_kind)``. Decorator and key order inside
-a file comes from ``posexplode`` positions, never from a Python parse of the file.
-The survey lists Python AST and YAML parsers as not rebuilt: the FastAPI and YAML jobs
-cover the decorator / ``key:`` forms documented below.
+text (``sources.files.read_text_corpus``). Every job is a set of regular expressions and
+window functions over that corpus; results of the spec readers are rows of the endpoint
+table ``(repository, method, path, auth, source_kind)``; the extractors of source files
+(C2-C6) are in ``routes``. Line and key order inside a file comes from ``posexplode``
+positions. The survey lists a YAML parser as not rebuilt: the YAML job covers ``key:`` lines.
 """
 
 from __future__ import annotations
@@ -17,170 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmill.functions.structured import capped_score
-from opsmill.functions.text import file_route_to_path, front_matter, normalize_path, quoted_phrases, spec_name
+from opsmill.functions.text import front_matter, quoted_phrases, spec_name
 from opsmill.session import bounded, cut_lineage
 
 ENDPOINT_COLS = ["repository", "method", "path", "auth", "source_kind"]
-
-# Access-gate labels, weakest to strongest.
-AUTH_PRIORITY = {"unspecified": 0, "public": 1, "jwt": 2, "okta": 3, "api-key": 4, "signature": 5}
 HTTP_VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 
 
-def _low(c: str = "content") -> Column:
-    return F.lower(F.col(c))
-
-
-def _has_any(col: Column, words: Sequence[str]) -> Column:
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | col.contains(w)
-    return cond
-
-
 def _rows(df: DataFrame) -> DataFrame:
     return df.select(*ENDPOINT_COLS)
 
 
-# ----------------------------------------------------------------------------- C2 Next.js
-# Keywords that reveal a handler-level check in a route module.
-NEXT_SIGNATURE = ["hmac"]
-NEXT_API_KEY = ["x-service-api-key", "service_api_key", "landingapikey"]
-NEXT_JWT = ["requireauth", "getserversession", "verify_jwt"]
-
-
-def nextjs_routes(corpus: DataFrame, app_dir: str = "app") -> DataFrame:
-    """``<app>/**/route.(ts|tsx|js|mjs)`` files -> one row per exported HTTP verb.
-
-    URL from the folder path (groups and slots dropped, ``[id]`` -> ``{id}``); verbs from
-    ``export [async] function VERB``, ``export const VERB =`` and ``export { a as VERB }``;
-    auth from keywords in the handler (hmac > api-key header > session/JWT > public)."""
-    rx = rf"(?:^|/){app_dir}/(.*?)/?route\.(?:ts|tsx|js|mjs)$"
-    f = corpus.filter(F.col("path").rlike(rx)).withColumn("__dir", F.regexp_extract("path", rx, 1))
-    direct = F.regexp_extract_all(F.col("content"), F.lit(
-        r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"), 1)
-    consts = F.regexp_extract_all(F.col("content"), F.lit(
-        r"export\s+(?:const|let|var)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s*="), 1)
-    lists = F.regexp_extract_all(F.col("content"), F.lit(r"export\s+\{\s*([^}]+)\s*\}"), 1)
-    listed = F.flatten(F.transform(lists, lambda s: F.transform(F.split(s, ","),
-                                                                 lambda t: F.trim(F.element_at(F.split(t, " as "), -1)))))
-    verbs = F.array_sort(F.array_distinct(F.filter(F.concat(direct, consts, listed), lambda v: v.isin(HTTP_VERBS))))
-    low = _low()
-    auth = (F.when(_has_any(low, NEXT_SIGNATURE), "signature").when(_has_any(low, NEXT_API_KEY), "api-key")
-            .when(_has_any(low, NEXT_JWT), "jwt").otherwise("public"))
-    out = f.select("repository", F.explode(verbs).alias("method"), file_route_to_path(F.col("__dir")).alias("path"),
-                   auth.alias("auth"), F.lit("Next.js").alias("source_kind"))
-    return _rows(out)
-
-
-# ----------------------------------------------------------------------------- C3 NestJS
-# Webhook routes whose signature is checked inside the handler.
-NEST_WEBHOOK_PATHS = ["/api/stripe/webhook", "/api/anthropic-status/webhook"]
-_NEST_ROUTE = ["Get", "Post", "Put", "Patch", "Delete"]
-
-
-def nest_guard_auth(guards: Column, path: Column, webhook_paths: Sequence[str] = NEST_WEBHOOK_PATHS) -> Column:
-    """Classify the guards protecting a route (method guards + class guards)."""
-    low = F.lower(F.array_join(guards, ", "))
-    return (F.when(path.isin(list(webhook_paths)), "signature").when(F.size(guards) == 0, "public")
-            .when(low.contains("okta"), "okta")
-            .when(_has_any(low, ["agenticapikey", "landingapikey", "serviceapikey", "apikey"]), "api-key")
-            .otherwise("jwt"))
-
-
-def nestjs_routes(corpus: DataFrame, global_prefix: str = "", exclude: Sequence[str] = ()) -> DataFrame:
-    """``@Controller(base)`` classes and ``@Get/@Post/...`` handlers -> endpoint rows.
-
-    Decorators stand in front of what they decorate, in any order: a class with its
-    decorators runs up to the brace that opens its body, and inside the body the decorators
-    of a handler run up to the brace behind its signature. The file is split at those places (order kept by
-    ``posexplode``); each piece then holds one class header or one handler with all of its
-    decorators. Guards of a handler replace those of its class. Only ``*.controller.ts``
-    files count, not their specs. Duplicate (path, method) keep the last handler by (file,
-    position)."""
-    f = corpus.filter(F.col("path").rlike(r"\.controller\.ts$") & F.col("content").contains("@Controller"))
-    # cut behind the brace that opens a class and behind the one that opens a body after a signature
-    cut = r"(?<=\bclass\s{1,9}[^{}]{1,300}\{)|(?<=\)[ \t\r\n]{0,20}(?::[^{}();@]{1,200})?\{)"
-    parts = f.select("repository", "path", F.posexplode(F.split(F.col("content"), cut)).alias("pos", "piece"))
-    arg = r"\(\s*(?:\{[^}]*?path\s*:\s*)?(?:['\"`]([^'\"`]*)['\"`])?"
-    verb = r"@(" + "|".join(_NEST_ROUTE) + r")\b"
-    x = parts.select(
-        "repository", "path", "pos", F.col("piece").contains("@Controller").alias("is_class"), F.regexp_extract("piece", r"(?s)@Controller\s*" + arg, 1).alias("base"),
-        F.regexp_extract("piece", verb, 1).alias("verb"), F.regexp_extract("piece", r"(?s)" + verb + r"\s*" + arg, 2).alias("arg"),
-        F.transform(F.regexp_extract_all("piece", F.lit(r"@UseGuards\s*\(((?:[^()]|\([^()]*\))*)\)"), 1), lambda g: F.trim(g)).alias("guards"))
-    x = x.filter(F.col("is_class") | (F.col("verb") != ""))
-    w = Window.partitionBy("repository", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.last(F.when(F.col("is_class"), F.struct("base", "guards")), ignorenulls=True).over(w)
-    r = x.withColumn("__c", header).filter(~F.col("is_class") & F.col("__c").isNotNull())
-    full = normalize_path(F.concat_ws("/", F.col("__c.base"), F.col("arg")), prefix=global_prefix or None, exclude=exclude)
-    guards = F.when(F.size("guards") > 0, F.col("guards")).otherwise(F.col("__c.guards"))
-    r = r.select("repository", F.upper("verb").alias("method"), full.alias("path"), "pos", F.col("path").alias("__file"), guards.alias("__g"))
-    r = r.withColumn("auth", nest_guard_auth(F.col("__g"), F.col("path"))).withColumn("source_kind", F.lit("NestJS"))
-    last = Window.partitionBy("repository", "method", "path").orderBy(F.col("__file").desc(), F.col("pos").desc())
-    return _rows(r.withColumn("__rn", F.row_number().over(last)).filter(F.col("__rn") == 1))
-
-
-# ----------------------------------------------------------------------------- C4 Go
-# Middleware names that indicate authentication.
-GO_AUTH_KEYWORDS = ["auth", "jwt", "bearer", "token", "apikey", "api_key", "api-key", "authorization", "authz", "okta", "privy", "session"]
-
-
-def go_routes(corpus: DataFrame) -> DataFrame:
-    """C4: inline Go routes: ``mux.Handle[Func]("[VERB ]/path", ...)`` and chi-style
-    ``r.Get("/path", ...)`` (Handle/HandleFunc = GET); a path ending in ``/ws`` is a
-    WebSocket route. Auth from the names of ``r.Use(...)`` middleware and of the middleware
-    that wraps the server's ``Handler:`` expression: okta/admin -> okta, api key -> api-key,
-    other auth words -> jwt, none -> public."""
-    f = corpus.filter(F.col("path").endswith(".go"))
-    mux = F.regexp_extract_all(F.col("content"), F.lit(
-        r"\bmux\.Handle(?:Func)?\s*\(\s*['\"`]((?:(?:GET|POST|PUT|PATCH|DELETE)\s+)?[^'\"`]+)['\"`]"), 1)
-    chi = F.regexp_extract_all(F.col("content"), F.lit(
-        r"\b(?:r|R|router|mux)\.((?:Get|Post|Put|Patch|Delete|Handle|HandleFunc)\s*\(\s*['\"`][^'\"`]+)['\"`]"), 1)
-    uses = F.regexp_extract_all(F.col("content"), F.lit(r"\b(?:r|router|R)\.Use\s*\(\s*([^)]+)\s*\)"), 1)
-    # the server's Handler field, followed through one local variable, and the middleware it is wrapped in
-    field = F.trim(F.regexp_extract("content", r"\bHandler\s*:\s*([^,\n]+)", 1))
-    local = F.regexp_extract_all(F.col("content"), F.lit(r"\b(\w+)\s*:=\s*[^\n]+"), 1)
-    value = F.regexp_extract_all(F.col("content"), F.lit(r"\b\w+\s*:=\s*([^\n]+)"), 1)
-    chain = F.when(F.array_position(local, field) > 0, F.element_at(value, F.greatest(F.array_position(local, field), F.lit(1)).cast("int"))).otherwise(field)
-    wraps = F.regexp_extract_all(chain, F.lit(r"\b(\w*[Mm]iddleware)\s*\("), 1)
-    hits = F.filter(F.concat(uses, wraps), lambda u: F.exists(F.array(*[F.lit(k) for k in GO_AUTH_KEYWORDS]), lambda k: F.lower(u).contains(k)))
-    low = F.lower(F.array_join(hits, ", "))
-    auth = (F.when(F.size(hits) == 0, "public").when(low.contains("okta") | low.contains("admin"), "okta")
-            .when(_has_any(low, ["apikey", "api_key", "api-key", "serviceapikey"]), "api-key").otherwise("jwt"))
-    a = f.select("repository", auth.alias("auth"), F.explode(mux).alias("spec")).select(
-        "repository", "auth", F.coalesce(F.nullif(F.regexp_extract("spec", r"^(GET|POST|PUT|PATCH|DELETE)\s+", 1), F.lit("")),
-                                          F.lit("GET")).alias("method"),
-        F.trim(F.regexp_replace("spec", r"^(GET|POST|PUT|PATCH|DELETE)\s+", "")).alias("path"))
-    b = f.select("repository", auth.alias("auth"), F.explode(chi).alias("spec")).select(
-        "repository", "auth", F.regexp_extract("spec", r"^(\w+)", 1).alias("verb"),
-        F.trim(F.regexp_extract("spec", r"['\"`]([^'\"`]+)$", 1)).alias("path"))
-    b = b.filter(F.col("path").startswith("/")).select("repository", "auth", F.when(F.col("verb").isin("Handle", "HandleFunc"), "GET")
-                                                       .otherwise(F.upper("verb")).alias("method"), "path")
-    u = a.unionByName(b)
-    u = u.withColumn("method", F.when((F.col("path") == "/ws") | F.col("path").endswith("/ws"), "WS").otherwise(F.col("method")))
-    return _rows(u.withColumn("source_kind", F.lit("Go net/http")))
-
-
-# ----------------------------------------------------------------------------- C5 MCP
-def mcp_tools(corpus: DataFrame, servers_dir: str = "servers") -> DataFrame:
-    """Two HTTP rows per server folder (POST /<server>/mcp, GET /<server>/validate)
-    plus one row per hyphenated tool name (``name: 'srv-action'``) in its tool files;
-    a tool name already seen in the repository is skipped (first occurrence wins by
-    file path, then position)."""
-    rx = rf"(?:^|/){servers_dir}/([^/]+)/"
-    f = corpus.filter(F.col("path").rlike(rx)).withColumn("server", F.regexp_extract("path", rx, 1))
-    servers = f.select("repository", "server").distinct()
-    http = servers.select("repository", F.lit("POST").alias("method"), F.concat(F.lit("/"), "server", F.lit("/mcp")).alias("path")).unionByName(
-        servers.select("repository", F.lit("GET").alias("method"), F.concat(F.lit("/"), "server", F.lit("/validate")).alias("path")))
-    http = http.withColumn("source_kind", F.lit("MCP HTTP"))
-    tool_files = f.filter(F.col("path").rlike(r"/src/tools/.*\.ts$|tool[^/]*\.ts$") & ~F.col("path").rlike(r"\.(spec|test)\.ts$"))
-    names = tool_files.select("repository", "path", F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(
-        r"\bname\s*:\s*['\"`]([A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)+)['\"`]"), 1)).alias("pos", "tool"))
-    first = names.groupBy("repository", "tool").agg(F.min(F.struct("path", "pos")).alias("__f"))
-    tools = first.select("repository", F.lit("MCP").alias("method"), F.col("tool").alias("path"), F.lit("MCP tool").alias("source_kind"))
-    return _rows(http.unionByName(tools).withColumn("auth", F.lit("api-key")))
-
-
 # ----------------------------------------------------------------------------- C7 / C8 specs
 def openapi_paths(corpus: DataFrame) -> DataFrame:
     """JSON OpenAPI specs: every (path, verb) of ``paths`` -> a row with auth
@@ -210,9 +56,8 @@ def asyncapi_channels(corpus: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- C9 YAML keys
 def yaml_key_scan(corpus: DataFrame) -> DataFrame:
     """Every ``key:`` line of a YAML file -> (path, line, indent, key, value,
-    parent_line). The parent is the nearest earlier key line with a smaller indent: for
-    each indent that occurs in the corpus a running ``last`` over the lines keeps the latest
-    line at that indent, so no line is compared with every other line and no depth is cut."""
+    parent_line). The parent is the nearest earlier key line with a smaller indent, by one
+    window for each indent of the file, so no line is compared with every other line and no depth is cut."""
     lines = corpus.filter(F.col("path").rlike(r"\.ya?ml$")).select("repository", "path", F.posexplode(F.split("content", "\n")).alias(
         "i", "text"))
     rx = r"^(\s*)(?:-\s+)?(\"[^\"]+\"|'[^']+'|[^\s:#][^:#]*?)\s*:(?:\s+(.*))?$"
@@ -220,11 +65,20 @@ def yaml_key_scan(corpus: DataFrame) -> DataFrame:
         "repository", "path", (F.col("i") + 1).alias("line"), F.length(F.regexp_extract("text", rx, 1)).alias("indent"),
         F.regexp_replace(F.regexp_extract("text", rx, 2), r"^['\"]|['\"]$", "").alias("key"),
         F.trim(F.regexp_extract("text", rx, 3)).alias("value"))
-    w = Window.partitionBy("repository", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted(r["indent"] for r in k.select("indent").distinct().collect())  # one value for each depth in use
-    seen = [F.when(F.col("indent") > lvl, F.last(F.when(F.col("indent") == lvl, F.col("line")), ignorenulls=True).over(w)) for lvl in levels]
-    parent = F.array_max(F.filter(F.array(*seen), lambda x: x.isNotNull())) if seen else F.lit(None).cast("int")
-    return k.withColumn("parent_line", parent)
+    return _at_own_level(k, "line", F.last(F.when(F.col("indent") < F.col("level"), F.col("line")), ignorenulls=True), before=True, out="parent_line")
+
+
+def _at_own_level(rows: DataFrame, order: str, value: Column, before: bool, out: str) -> DataFrame:
+    """``value`` over the earlier (or later) rows of a file, seen from a row's own indent.
+
+    A row takes part at each indent of its file from its own upwards (as many rows as the file is deep), so
+    every level is a window of its own and no row is compared with all others."""
+    of_file = Window.partitionBy("repository", "path")
+    spread = rows.withColumn("levels", F.collect_set("indent").over(of_file))
+    spread = spread.withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("indent")))).drop("levels")
+    w = Window.partitionBy("repository", "path", "level").orderBy(order)
+    w = w.rowsBetween(Window.unboundedPreceding, -1) if before else w.rowsBetween(1, Window.unboundedFollowing)
+    return spread.withColumn(out, value.over(w)).filter("level = indent").drop("level")
 
 
 def openapi_yaml_paths(corpus: DataFrame) -> DataFrame:
@@ -240,111 +94,6 @@ def openapi_yaml_paths(corpus: DataFrame) -> DataFrame:
                           F.col("url").alias("path"), F.lit("unspecified").alias("auth"), F.lit("OpenAPI spec").alias("source_kind")))
 
 
-# ----------------------------------------------------------------------------- C6 FastAPI
-# Parts of a dependency's name that mark a signature or shared-secret check,
-# and parts of a header's name that mark an API key.
-FASTAPI_VERIFIERS = ["_secret", "_signature", "_hmac", "_webhook"]
-FASTAPI_HEADERS = ["api-key", "api_key", "apikey", "authorization", "token", "secret", "signature"]
-
-
-def fastapi_routes(corpus: DataFrame, allow_public: Sequence[str] = ()) -> DataFrame:
-    """FastAPI apps and routers in Python modules.
-
-    Objects: ``x = FastAPI(...)`` (roots) and ``x = APIRouter(prefix='/p')``; edges:
-    ``parent.include_router(child, prefix='/q')`` where ``child`` is a local name or a
-    name imported with ``from mod import name [as alias]``; routes:
-    ``@obj.get('/path', ...)`` decorators. Full prefixes are composed from the roots
-    along the include edges (iterative join, cycle-safe: a router already on the path is
-    not entered again). A function whose first parameter is ``app`` mounts at the root.
-    Auth precedence per route, by the names in ``Depends(...)`` with the module's aliases
-    expanded: ``require_admin`` -> okta, a signature verifier -> signature, an API-key
-    ``Header(...)`` -> api-key, ``get_current_user`` -> jwt, path on the allow list ->
-    public, otherwise jwt."""
-    py = corpus.filter(F.col("path").endswith(".py")).withColumn("module", F.regexp_replace(
-        F.regexp_replace("path", r"\.py$", ""), "/", "."))
-    objs = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"(?m)^\s*(\w+)\s*=\s*(?:fastapi\.)?(?:FastAPI|APIRouter)\s*\(([^)]*)\)"), 0)).alias("decl"))
-    objs = objs.select("repository", "module", F.regexp_extract("decl", r"^\s*(\w+)", 1).alias("var"),
-                       F.regexp_extract("decl", r"FastAPI", 0).alias("is_app"),
-                       F.regexp_extract("decl", r"prefix\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("own_prefix"))
-    # a helper whose first parameter is the app mounts routers on it: that name is a root too
-    helpers = py.filter(F.col("content").rlike(r"def\s+\w+\(\s*app\b") & F.col("content").contains("app.include_router")).select(
-        "repository", "module", F.lit("app").alias("var"), F.lit("FastAPI").alias("is_app"), F.lit("").alias("own_prefix"))
-    objs = objs.unionByName(helpers.join(objs.filter("var = 'app'").select("repository", "module").distinct(), ["repository", "module"], "left_anti"))
-    imports = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"(?m)^\s*from\s+([\w.]+)\s+import\s+(\w+)(?:\s+as\s+(\w+))?"), 0)).alias("imp"))
-    imports = imports.select("repository", "module", F.regexp_extract("imp", r"from\s+([\w.]+)", 1).alias("src_module"),
-                             F.regexp_extract("imp", r"import\s+(\w+)", 1).alias("src_var"),
-                             F.coalesce(F.nullif(F.regexp_extract("imp", r"\s+as\s+(\w+)", 1), F.lit("")),
-                                        F.regexp_extract("imp", r"import\s+(\w+)", 1)).alias("alias"))
-    inc = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"(\w+)\.include_router\(\s*([\w.]+)[^)]*\)"), 0)).alias("call"))
-    inc = inc.select("repository", "module", F.regexp_extract("call", r"^(\w+)", 1).alias("parent"),
-                     F.regexp_extract("call", r"include_router\(\s*([\w.]+)", 1).alias("child"),
-                     F.regexp_extract("call", r"prefix\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("inc_prefix"))
-    # resolve the child name: a local object, else an imported one
-    local = objs.select("repository", "module", F.col("var").alias("child"), F.col("module").alias("c_module"))
-    via_import = imports.join(objs.select("repository", F.col("module").alias("src_module"), F.col("var").alias("src_var")),
-                              ["repository", "src_module", "src_var"]).select(
-        "repository", "module", F.col("alias").alias("child"), F.col("src_module").alias("c_module"), F.col("src_var").alias("c_var"))
-    e1 = inc.join(local, ["repository", "module", "child"]).select(
-        "repository", F.concat_ws(":", "module", "parent").alias("src"), F.concat_ws(":", "c_module", "child").alias("dst"), "inc_prefix")
-    e2 = inc.join(via_import, ["repository", "module", "child"]).select(
-        "repository", F.concat_ws(":", "module", "parent").alias("src"), F.concat_ws(":", "c_module", "c_var").alias("dst"), "inc_prefix")
-    # ``module.router`` of an imported module
-    dotted = inc.filter(F.col("child").contains(".")).select(
-        "*", F.regexp_extract("child", r"^(.*)\.\w+$", 1).alias("alias"), F.regexp_extract("child", r"(\w+)$", 1).alias("attr"))
-    e3 = dotted.join(imports, ["repository", "module", "alias"]).select(
-        "repository", F.concat_ws(":", "module", "parent").alias("src"),
-        F.concat_ws(":", F.concat_ws(".", "src_module", "src_var"), "attr").alias("dst"), "inc_prefix")
-    edges = e1.unionByName(e2).unionByName(e3).distinct()
-    o = objs.select("repository", F.concat_ws(":", "module", "var").alias("obj"), (F.col("is_app") != "").alias("is_app"), "own_prefix")
-    # prefix walk from the apps: (obj, prefix, visited)
-    frontier = o.filter("is_app").select("repository", "obj", F.col("own_prefix").alias("prefix"), F.array("obj").alias("visited"))
-    reach = frontier
-    while True:  # ends when no router is entered any more: a path never visits one twice
-        step = (frontier.join(edges.withColumnRenamed("src", "obj"), ["repository", "obj"])
-                .filter(~F.array_contains("visited", F.col("dst")))
-                .join(o.select("repository", F.col("obj").alias("dst"), "own_prefix"), ["repository", "dst"])
-                .select("repository", F.col("dst").alias("obj"),
-                        F.concat("prefix", F.coalesce("inc_prefix", F.lit("")), F.coalesce("own_prefix", F.lit(""))).alias("prefix"),
-                        F.concat("visited", F.array("dst")).alias("visited")))
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        reach = reach.unionByName(step)
-        frontier = step
-    # route decorators with the text of the decorated function signature
-    deco = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"@(\w+)\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]*)['\"][^\n]*\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+\w+\(([^)]*(?:\([^)]*\)[^)]*)*)\)"), 0)).alias("d"))
-    deco = deco.select("repository", F.concat_ws(":", "module", F.regexp_extract("d", r"^@(\w+)", 1)).alias("obj"),
-                       F.upper(F.regexp_extract("d", r"^@\w+\.(\w+)", 1)).alias("method"),
-                       F.regexp_extract("d", r"^@\w+\.\w+\(\s*['\"]([^'\"]*)['\"]", 1).alias("sub"),
-                       F.lower("d").alias("sig"))
-    # dependency names of a signature, aliases of the module expanded (``Admin = Annotated[..., Depends(require_admin)]``)
-    alias = py.select("repository", "module", F.explode(F.regexp_extract_all("content", F.lit(
-        r"(?m)^(\w+)\s*=\s*(?:Annotated\[[^\n]*?)?Depends\(\s*\w+"), 0)).alias("a"))
-    alias = (alias.select("repository", "module", F.struct(F.lower(F.regexp_extract("a", r"^(\w+)", 1)).alias("name"),
-                                                           F.lower(F.regexp_extract("a", r"Depends\(\s*(\w+)", 1)).alias("dep")).alias("a"))
-             .groupBy("repository", "module").agg(F.collect_set("a").alias("aliases")))  # the aliases of one file
-    deco = deco.withColumn("module", F.regexp_extract("obj", r"^(.*):", 1)).join(alias, ["repository", "module"], "left")
-    named = F.regexp_extract_all("sig", F.lit(r"[\w.]+\s*:\s*(\w+)"), 1)
-    expanded = F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<struct<name:string,dep:string>>")),
-                                    lambda a: F.array_contains(named, a["name"])), lambda a: a["dep"])
-    deco = deco.withColumn("deps", F.concat(F.regexp_extract_all("sig", F.lit(r"depends\(\s*(\w+)"), 1), expanded)).drop("module", "aliases")
-    r = reach.join(deco, ["repository", "obj"])
-    full = normalize_path(F.concat("prefix", "sub"))
-    allowed = F.lit(False)
-    from opsmill.functions.text import glob_match
-    if allow_public:
-        allowed = glob_match(full, allow_public)
-    verifier = F.exists("deps", lambda d: d.startswith("verify_") | _has_any(d, FASTAPI_VERIFIERS))
-    header = F.exists(F.regexp_extract_all("sig", F.lit(r"(\w+\s*:[^,=]*=\s*header\([^)]*\))"), 1), lambda h: _has_any(h, FASTAPI_HEADERS))
-    auth = (F.when(F.array_contains("deps", "require_admin"), "okta").when(verifier, "signature").when(header, "api-key")
-            .when(F.array_contains("deps", "get_current_user"), "jwt").when(allowed, "public").otherwise("jwt"))
-    return _rows(r.select("repository", "method", full.alias("path"), auth.alias("auth"), F.lit("FastAPI").alias("source_kind")).distinct())
-
-
 # ----------------------------------------------------------------------------- C1 / J8 / J9
 def link_specs(rows: DataFrame, impl: DataFrame) -> DataFrame:
     """Spec rows with auth 'unspecified' take the auth of the implementer row
@@ -521,15 +270,14 @@ def finding_risk(findings: DataFrame, key: Sequence[str], severity: str = "sever
 
 def large_functions(corpus: DataFrame, max_lines: int = 50) -> DataFrame:
     """Functions longer than ``max_lines``: a function runs from its ``def`` line to
-    the line before the next ``def``/``class`` at the same or a lower indent (``lead``
-    over definition lines; the last runs to the end of the file)."""
+    the line before the next ``def``/``class`` at the same or a lower indent, over nested
+    definitions; the last runs to the end of the file."""
     lines = code_lines(corpus)
     total = lines.groupBy("repository", "path").agg(F.max("line_no").alias("last_line"))
     defs = lines.filter(F.col("text").rlike(r"^\s*(?:async\s+)?(?:def|class)\s+\w+")).select(
         "repository", "path", "line_no", "indent", F.regexp_extract("text", r"(?:def|class)\s+(\w+)", 1).alias("name"),
         F.col("text").rlike(r"^\s*class\s").alias("is_class"))
-    w = Window.partitionBy("repository", "path").orderBy("line_no")
-    d = defs.withColumn("next_line", F.lead("line_no").over(w)).join(total, ["repository", "path"])
+    d = _at_own_level(defs, "line_no", F.min("line_no"), before=False, out="next_line").join(total, ["repository", "path"])
     d = d.filter(~F.col("is_class")).withColumn("length", F.coalesce(F.col("next_line") - 1, F.col("last_line")) - F.col("line_no") + 1)
     return d.filter(F.col("length") > max_lines).select("repository", "path", "name", "line_no", "length")
 

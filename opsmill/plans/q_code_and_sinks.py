@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from opsmill.operators import folds
 from opsmill.operators import inventory as INV
+from opsmill.operators import routes
 from opsmill.operators import quality as QUAL
 from opsmill.plans.registry import register, ts_text
 from opsmill.session import scratch_path
@@ -35,7 +36,7 @@ SELECT p_brand AS repository, m AS method, '/parts/' || CAST(p_partkey AS VARCHA
 FROM part, (VALUES ('GET'), ('POST')) v(m) WHERE m = 'GET' OR p_size % 2 = 1
 """)
 def q_c2(spark, sf):
-    return INV.nextjs_routes(_corpus(spark, sf, "concat('web/app/(shop)/parts/', k, '/[id]/route.ts')", """concat(
+    return routes.nextjs_routes(_corpus(spark, sf, "concat('web/app/(shop)/parts/', k, '/[id]/route.ts')", """concat(
       'export async function GET(req) { return ', CASE p_partkey % 4 WHEN 0 THEN 'checkHmac(req)' WHEN 1 THEN 'req.headers["x-service-api-key"]'
       WHEN 2 THEN 'getServerSession()' ELSE 'ok()' END, ' }\\n', CASE WHEN p_size % 2 = 1 THEN 'export const POST = async (req) => ok()\\n' ELSE '' END)"""))
 
@@ -46,7 +47,7 @@ SELECT p_brand AS repository, m AS method, '/p' || CAST(p_partkey AS VARCHAR) ||
   'NestJS' AS source_kind FROM part, (VALUES ('GET'), ('POST')) v(m)
 """)
 def q_c3(spark, sf):
-    return INV.nestjs_routes(_corpus(spark, sf, "concat('src/p', k, '.controller.ts')", """concat(
+    return routes.nestjs_routes(_corpus(spark, sf, "concat('src/p', k, '.controller.ts')", """concat(
       CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN "@UseGuards(AuthGuard('jwt'))\\n" ELSE '@UseGuards(OktaGuard)\\n' END,
       "@Controller('p", k, "')\\nexport class C", k, " {\\n  @Get(':id')\\n  find(id: string) { return this.x(id) }\\n\\n",
       CASE WHEN p_partkey % 5 = 0 THEN '  @UseGuards(ServiceApiKeyGuard)\\n' ELSE '' END, '  @Post()\\n  async create(@Body() dto: Dto): Promise<Dto> { return dto }\\n}\\n')"""))
@@ -58,19 +59,41 @@ SELECT p_brand AS repository, m AS method, CASE m WHEN 'GET' THEN '/p/' ELSE '/q
 FROM part, (VALUES ('GET'), ('POST'), ('WS')) v(m)
 """)
 def q_c4(spark, sf):
-    return INV.go_routes(_corpus(spark, sf, "concat('cmd/', k, '/main.go')", """concat('package main\\nfunc main() {\\n',
+    return routes.go_routes(_corpus(spark, sf, "concat('cmd/', k, '/main.go')", """concat('package main\\nfunc main() {\\n',
       CASE p_partkey % 5 WHEN 0 THEN '  r.Use(middleware.Logger)\\n' WHEN 1 THEN '  r.Use(sessionMiddleware)\\n' WHEN 2 THEN '  r.Use(oktaMiddleware)\\n'
       WHEN 3 THEN '  h := corsMiddleware(apiKeyMiddleware(mux))\\n  s := &http.Server{\\n    Handler: h,\\n  }\\n' ELSE '  s := &http.Server{Handler: jwtMiddleware(mux)}\\n' END,
       '  mux.HandleFunc("GET /p/', k, '", get)\\n  r.Post("/q/', k, '", post)\\n  r.HandleFunc("/q/', k, '/ws", ws)\\n}\\n')"""))
 
 
+@register("c4_go_spec_mounts", sql="""
+SELECT p_brand || '-' || CAST(p_partkey AS VARCHAR) AS repository, m AS method,
+  CASE p_partkey % 3 WHEN 0 THEN '/lit' || CAST(p_size AS VARCHAR) WHEN 1 THEN '/const' || CAST(p_size AS VARCHAR) ELSE '' END || '/p/' || CAST(p_size AS VARCHAR) AS path,
+  CASE p_partkey % 2 WHEN 0 THEN 'jwt' ELSE 'public' END AS auth, 'Go OpenAPI handler' AS source_kind
+FROM part, (VALUES ('GET'), ('PUT')) v(m) WHERE m = 'GET' OR p_size % 3 = 0
+""")
+def q_c4_mounts(spark, sf):
+    """One repository a part: a main file that mounts a generated handler, its constants in a package
+    of their own, and the service's specification."""
+    def files(path, content):
+        return _corpus(spark, sf, path, content).withColumn("repository", F.concat_ws("-", "repository", F.regexp_extract("path", r"(\d+)", 1)))
+
+    main = files("concat('svc', k, '/cmd/api/main.go')", """concat('package main\\n\\nimport (\\n  gen "example.org/common/api/s', k, '/v1"\\n  "example.org/svc/paths"\\n)\\n\\nfunc main() {\\n',
+      CASE p_partkey % 2 WHEN 0 THEN '  r.Use(\\n    sessionMiddleware,\\n  )\\n' ELSE '  r.Use(middleware.Logger)\\n' END,
+      CASE p_partkey % 3 WHEN 0 THEN concat('  h := gen.HandlerFromMuxWithBaseURL(\\n    newServer(a, b), r, "/lit', CAST(p_size AS string), '",\\n  )\\n')
+      WHEN 1 THEN '  gen.HandlerWithOptions(srv, gen.ChiServerOptions{\\n    BaseURL: paths.Base,\\n    BaseRouter: r,\\n  })\\n' ELSE '' END, '}\\n')""")
+    consts = files("concat('svc', k, '/internal/paths/paths.go')", """concat('package paths\\n\\nconst (\\n  Base = "/const', CAST(p_size AS string), '"\\n)\\n')""")
+    specs = _corpus(spark, sf, "concat('specs/s', k, '-v1.json')", """concat('{"openapi": "3.0.0", "paths": {"/p/', CAST(p_size AS string), '": {"get": {}',
+      CASE WHEN p_size % 3 = 0 THEN ', "put": {}' ELSE '' END, '}}}')""")
+    return routes.mounted_spec_routes(INV.openapi_paths(specs), routes.go_spec_mounts(main.unionByName(consts)))
+
+
 @register("c5_mcp_tools", sql="""
 SELECT DISTINCT p_brand AS repository, m AS method, '/s' || CAST(p_size AS VARCHAR) || CASE m WHEN 'POST' THEN '/mcp' ELSE '/validate' END AS path,
   'api-key' AS auth, 'MCP HTTP' AS source_kind FROM part, (VALUES ('GET'), ('POST')) v(m)
 UNION ALL SELECT DISTINCT p_brand, 'MCP', 'tool-' || CAST(p_partkey // 2 AS VARCHAR), 'api-key', 'MCP tool' FROM part
 """)
 def q_c5(spark, sf):
-    return INV.mcp_tools(_corpus(spark, sf, "concat('servers/s', CAST(p_size AS string), '/src/tools/t', k, '.ts')",
+    return routes.mcp_tools(_corpus(spark, sf, "concat('servers/s', CAST(p_size AS string), '/src/tools/t', k, '.ts')",
                                  """concat("export const tools = [\\n  { name: 'tool-", CAST(p_partkey div 2 AS string), "', schema: { name: 'plain' } },\\n]\\n")"""))
 
 
@@ -84,10 +107,10 @@ def q_c6(spark, sf):
     main = _corpus(spark, sf, "concat('svc/main', k, '.py')", """concat('from fastapi import FastAPI\\nfrom svc.r', k, ' import router as items\\n',
       CASE WHEN p_partkey % 2 = 0 THEN concat('app = FastAPI()\\napp.include_router(items, prefix="/v', CAST(p_size AS string), '")\\n')
       ELSE concat('def register_routes(app):\\n    app.include_router(items, prefix="/v', CAST(p_size AS string), '")\\n') END)""")
-    routes = _corpus(spark, sf, "concat('svc/r', k, '.py')", """concat('from fastapi import APIRouter, Depends, Header\\nDep = Annotated[str, Depends(',
+    parts = _corpus(spark, sf, "concat('svc/r', k, '.py')", """concat('from fastapi import APIRouter, Depends, Header\\nDep = Annotated[str, Depends(',
       CASE p_partkey % 3 WHEN 0 THEN 'require_admin' WHEN 1 THEN 'get_current_user' ELSE 'verify_request' END, ')]\\nrouter = APIRouter(prefix="/items', k, '")\\n',
       '@router.get("/a")\\nasync def a(who: Dep):\\n    pass\\n\\n@router.post("/b")\\nasync def b(key: str = Header(alias="X-Api-Key")):\\n    pass\\n')""")
-    return INV.fastapi_routes(main.unionByName(routes))
+    return routes.fastapi_routes(main.unionByName(parts))
 
 
 # ----------------------------------------------------------------------------- C7-C9 specs

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from opsmill.operators import inventory as INV
+from opsmill.operators import routes as R
 
 NEXT_ROUTE = """
 import { NextResponse } from 'next/server'
@@ -126,27 +127,27 @@ def corpus(spark):
 
 
 def test_nextjs(spark):
-    out = rows(INV.nextjs_routes(corpus(spark)), "method", "path", "auth")
+    out = rows(R.nextjs_routes(corpus(spark)), "method", "path", "auth")
     assert out == [("GET", "/api/{id}", "signature"), ("GET", "/health", "public"), ("POST", "/api/{id}", "signature")]
 
 
 def test_nestjs_guards_and_webhook(spark):
-    out = rows(INV.nestjs_routes(corpus(spark)), "method", "path", "auth")
+    out = rows(R.nestjs_routes(corpus(spark), webhook_paths=["/api/stripe/webhook"]), "method", "path", "auth")
     assert out == [("GET", "/users/{id}", "jwt"), ("POST", "/api/stripe/webhook", "signature"), ("POST", "/users", "okta")]
 
 
 def test_go_routes(spark):
-    out = rows(INV.go_routes(corpus(spark)), "method", "path", "auth")
+    out = rows(R.go_routes(corpus(spark)), "method", "path", "auth")
     assert out == [("GET", "/health", "jwt"), ("GET", "/metrics", "jwt"), ("POST", "/orders/{id}", "jwt"), ("WS", "/sbm/v1/ws", "jwt")]
 
 
 def test_mcp(spark):
-    out = rows(INV.mcp_tools(corpus(spark)), "method", "path")
+    out = rows(R.mcp_tools(corpus(spark)), "method", "path")
     assert out == [("GET", "/pricing/validate"), ("MCP", "srv-get"), ("MCP", "srv-list"), ("POST", "/pricing/mcp")]
 
 
 def test_fastapi_prefixes_cycle_and_auth(spark):
-    out = rows(INV.fastapi_routes(corpus(spark)), "method", "path", "auth")
+    out = rows(R.fastapi_routes(corpus(spark)), "method", "path", "auth")
     assert ("GET", "/api/items/{item_id}", "jwt") in out
     assert ("POST", "/api/items", "jwt") in out
     assert ("DELETE", "/api/items/admin/purge", "okta") in out

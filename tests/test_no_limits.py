@@ -8,6 +8,7 @@ from opsmill.operators import documents as DOC
 from opsmill.operators import eventlog as EV
 from opsmill.operators import folds
 from opsmill.operators import inventory as INV
+from opsmill.operators import routes as R
 from opsmill.operators import relational as REL
 from opsmill.operators import risk
 from opsmill.operators import vectors as VEC
@@ -52,7 +53,7 @@ def test_router_chain_of_depth_20(spark):
         nxt = f"from svc.m{i + 1} import router as child\n" if i < 19 else ""
         inc = "router.include_router(child)\n" if i < 19 else ""
         mods.append(("r", f"svc/m{i}.py", f"from fastapi import APIRouter\n{nxt}router = APIRouter(prefix='/p{i}')\n{inc}@router.get('/x{i}')\nasync def f{i}():\n    pass\n"))
-    got = INV.fastapi_routes(spark.createDataFrame(mods, "repository string, path string, content string"))
+    got = R.fastapi_routes(spark.createDataFrame(mods, "repository string, path string, content string"))
     assert got.count() == 20
     assert got.filter(F.col("path").endswith("/p19/x19")).first()["path"] == "/a" + "".join(f"/p{i}" for i in range(20)) + "/x19"
 
@@ -66,7 +67,7 @@ def test_register_helpers_aliases_and_verifiers(spark):
          "@router.post('/c')\nasync def c(_=Depends(check_webhook_secret)):\n    pass\n"
          "@router.get('/d')\nasync def d(key: str = Header(alias='X-Api-Key')):\n    pass\n"
          "@router.get('/e')\nasync def e(u=Depends(get_current_user)):\n    pass\n")]
-    got = rows(INV.fastapi_routes(spark.createDataFrame(mods, "repository string, path string, content string")), "path", "auth")
+    got = rows(R.fastapi_routes(spark.createDataFrame(mods, "repository string, path string, content string")), "path", "auth")
     assert got == [("/v1/items/a", "okta"), ("/v1/items/b", "signature"), ("/v1/items/c", "signature"), ("/v1/items/d", "api-key"), ("/v1/items/e", "jwt")]
 
 
@@ -101,13 +102,13 @@ export class SvcController {
 """
     corpus = spark.createDataFrame([("r", "src/a.controller.ts", code), ("r", "src/a.controller.spec.ts", code.replace("svc", "spec")), ("r", "src/b.ts", code.replace("svc", "no"))],
                                    "repository string, path string, content string")
-    assert rows(INV.nestjs_routes(corpus), "method", "path", "auth") == [("GET", "/svc/a", "api-key"), ("GET", "/svc/b", "okta"), ("POST", "/svc/c", "jwt")]
+    assert rows(R.nestjs_routes(corpus), "method", "path", "auth") == [("GET", "/svc/a", "api-key"), ("GET", "/svc/b", "okta"), ("POST", "/svc/c", "jwt")]
 
 
 def test_go_middleware_words_and_wrapped_handlers(spark):
     def auth(body):
         code = 'package main\nfunc main() {\n' + body + '\n  mux.HandleFunc("GET /x", x)\n}\n'
-        return INV.go_routes(spark.createDataFrame([("r", "main.go", code)], "repository string, path string, content string")).first()["auth"]
+        return R.go_routes(spark.createDataFrame([("r", "main.go", code)], "repository string, path string, content string")).first()["auth"]
 
     assert auth("  r.Use(oktaMiddleware)") == "okta"
     assert auth("  r.Use(sessionMiddleware)") == "jwt"
