@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 class Fold:
     """A per-key state machine: ``init(key)`` -> state; ``step(state, row)`` -> (state,
-    output dict or None)."""
+    output dict, list of them or None); ``finish(state)`` -> outputs after the key's last row."""
 
     def init(self, key):  # pragma: no cover - interface
         raise NotImplementedError
@@ -39,6 +40,13 @@ class Fold:
     def step(self, state, row: dict):  # pragma: no cover - interface
         raise NotImplementedError
 
+    def finish(self, state) -> list[dict]:
+        return []
+
+
+def _outputs(out) -> list[dict]:
+    return out if isinstance(out, list) else [] if out is None else [out]
+
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: T.StructType | str,
                  partition_by: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
@@ -53,19 +61,23 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
     key_cols = part_cols + [c for c in keys if c not in part_cols]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, state = object(), None
+        cur_key, state = None, None
         for pdf in batches:
             rows = []
             for rec in pdf.to_dict("records"):
                 # null keys are one key: they arrive as None, NaN or NaT, and NaN != NaN
                 k = tuple(None if pd.isna(v) else v for v in (rec[c] for c in key_cols))
                 if k != cur_key:
+                    if cur_key is not None:
+                        rows += fold.finish(state)
                     cur_key, state = k, fold.init(k)
                 state, out = fold.step(state, rec)
-                if out is not None:
-                    rows.append(out)
+                rows += _outputs(out)
             if rows:
                 yield pd.DataFrame(rows, columns=out_cols)
+        rows = [] if cur_key is None else fold.finish(state)
+        if rows:
+            yield pd.DataFrame(rows, columns=out_cols)
 
     return ordered.mapInPandas(run, out_schema)
 
@@ -210,6 +222,215 @@ def debounce(events: DataFrame, key: str, ts: str, event_id: str, quiet_seconds:
     return events.withColumn("emitted", nxt.isNull() | (gap >= round(quiet_seconds * 1_000_000)))
 
 
+# ----------------------------------------------------------------------------- W11
+def pattern_positions(pattern: str) -> tuple[list[str], bool, set[int], set[int], dict[int, set[int]]]:
+    """Glushkov automaton of a row pattern: symbols by position, whether it matches no rows, the first and
+    the last positions, and what may follow each.
+
+    A pattern has symbol names, ``( )``, ``|``, and ``*``, ``+``, ``?``, ``{m}``, ``{m,}``, ``{m,n}`` behind a
+    part; parts beside each other follow each other."""
+    tokens = re.findall(r"\w+|\{\s*\d+\s*(?:,\s*\d*\s*)?\}|[()|*+?]", pattern)
+    if "".join(tokens).replace(" ", "") != re.sub(r"\s", "", pattern):
+        raise ValueError(f"not a row pattern: {pattern!r}")
+    names: list[str] = []
+    follow: dict[int, set[int]] = {}
+    at = 0
+
+    def leaf(name: str):
+        names.append(name)
+        follow[len(names) - 1] = set()
+        return False, {len(names) - 1}, {len(names) - 1}
+
+    def join(a, b):
+        for p in a[2]:
+            follow[p] |= b[1]
+        return a[0] and b[0], a[1] | (b[1] if a[0] else set()), b[2] | (a[2] if b[0] else set())
+
+    def loop(a):
+        for p in a[2]:
+            follow[p] |= a[1]
+        return a
+
+    def either():
+        nonlocal at
+        out = sequence()
+        while at < len(tokens) and tokens[at] == "|":
+            at += 1
+            b = sequence()
+            out = out[0] or b[0], out[1] | b[1], out[2] | b[2]
+        return out
+
+    def sequence():
+        out = (True, set(), set())
+        while at < len(tokens) and tokens[at] not in "|)":
+            out = join(out, repeated())
+        return out
+
+    def part():
+        nonlocal at
+        if tokens[at] == "(":
+            at += 1
+            out = either()
+            if at >= len(tokens):
+                raise ValueError(f"missing ) in {pattern!r}")
+            at += 1
+            return out
+        if not re.fullmatch(r"\w+", tokens[at]):
+            raise ValueError(f"nothing to repeat in {pattern!r}")
+        at += 1
+        return leaf(tokens[at - 1])
+
+    def repeated():
+        nonlocal at
+        start = at
+        out = part()
+        while at < len(tokens) and tokens[at][0] in "*+?{":
+            sign, after = tokens[at], at + 1
+            if sign[0] == "{":
+                low, *high = [int(x) if x.strip() else None for x in sign[1:-1].split(",")]
+                most = high[0] if high else low
+                copies = [out]
+                for _ in range(max(low, most or 0, 1) - 1):
+                    at = start
+                    copies.append(part())
+                if most is None:
+                    copies[-1] = loop(copies[-1])
+                if low == 0 and most is None:
+                    copies[-1] = (True, *copies[-1][1:])
+                copies = [c if i < low else (True, *c[1:]) for i, c in enumerate(copies)]
+                out = copies[0]
+                for c in copies[1:]:
+                    out = join(out, c)
+            else:
+                out = loop(out) if sign in "*+" else out
+                out = (out[0] or sign in "*?", out[1], out[2])
+            at = after
+        return out
+
+    empty, first, last = either()
+    if at < len(tokens):
+        raise ValueError(f"unexpected {tokens[at]!r} in {pattern!r}")
+    return names, empty, first, last, follow
+
+
+class RowPattern(Fold):
+    """Leftmost-longest, non-overlapping matches of a pattern over a key's consecutive rows.
+
+    One thread for each automaton position holds the earliest row that can have led there; a later one in
+    the same position has the same future and would only overlap. A match is final once no thread
+    that began as early is left; rows after its end are kept until then and read again. Empty
+    matches do not count."""
+
+    def __init__(self, pattern: str, symbol: str, keys: Sequence[str], measures: Sequence[tuple[str, str, str, str | None]]):
+        self.names, _, self.first, self.last, follow = pattern_positions(pattern)
+        self.before = {p: [q for q in follow if p in follow[q]] for p in follow}
+        self.symbol, self.keys, self.measures = symbol, list(keys), list(measures)
+
+    def init(self, key):
+        return {"n": 0, "threads": {}, "best": None, "kept": [], "matches": 0}
+
+    def _measured(self, old, row) -> tuple:
+        out = []
+        for i, (_, agg, column, only) in enumerate(self.measures):
+            was = old[i] if old else None
+            if only is not None and row[self.symbol] != only:
+                out.append(was if was is not None or agg != "count" else 0)
+                continue
+            v = None if agg == "count" or pd.isna(row[column]) else row[column]
+            if agg == "count":
+                out.append((was or 0) + 1)
+            elif agg == "first":
+                out.append(was if was is not None else v)
+            elif agg == "last":
+                out.append(v if v is not None else was)
+            elif v is None or was is None:
+                out.append(was if v is None else v)
+            else:
+                out.append(was + v if agg == "sum" else min(was, v) if agg == "min" else max(was, v))
+        return tuple(out)
+
+    def _feed(self, s, row) -> bool:
+        """One row; true if the best match has become final."""
+        no, symbol, old = s["n"], row[self.symbol], s["threads"]
+        s["n"] += 1
+        threads = {}
+        for p, name in enumerate(self.names):
+            if name != symbol:
+                continue
+            came = [old[q] for q in self.before[p] if q in old]
+            start, measured = min(came, key=lambda t: t[0]) if came else (no, None)
+            if came or p in self.first:
+                threads[p] = (start, self._measured(measured, row))
+        s["threads"] = threads
+        s["kept"].append((no, row))
+        done = [threads[p] for p in self.last if p in threads]
+        if done:
+            start, measured = min(done, key=lambda t: t[0])
+            if s["best"] is None or start <= s["best"][0]:
+                s["best"], s["kept"] = (start, no, measured), []
+        if s["best"] is None:
+            s["kept"] = []
+            return False
+        return all(t[0] > s["best"][0] for t in threads.values())
+
+    def _close(self, s) -> tuple[dict, list]:
+        start, end, measured = s["best"]
+        s["matches"] += 1
+        again = [row for _, row in s["kept"]]
+        s.update(threads={}, best=None, kept=[], n=end + 1)
+        out = {**s["key"], "match_no": s["matches"], "first_row": start + 1, "last_row": end + 1, **{m[0]: v for m, v in zip(self.measures, measured, strict=True)}}
+        return out, again
+
+    def step(self, s, row):
+        s["key"] = {k: row[k] for k in self.keys}
+        return s, self._read(s, deque([row]))
+
+    def _read(self, s, todo: deque) -> list[dict]:
+        out = []
+        while todo:
+            if self._feed(s, todo.popleft()):
+                match, again = self._close(s)
+                out.append(match)
+                todo.extendleft(reversed(again))
+        return out
+
+    def finish(self, s):
+        out = []
+        while s["best"] is not None:
+            match, again = self._close(s)
+            out += [match, *self._read(s, deque(again))]
+        return out
+
+
+def match_rows(df: DataFrame, key: str, order: Sequence[str], symbols: dict[str, Column], pattern: str, measures: Sequence[tuple[str, str, str, str | None]] = (),
+               ts: str | None = None, max_gap_seconds: float | None = None) -> DataFrame:
+    """Row pattern recognition: all non-overlapping matches of ``pattern`` over each key's rows.
+
+    ``symbols`` names conditions; a row has the first that holds, or none, which ends any match.
+    ``measures`` are (name, aggregate, column, symbol or None for all rows of the match) with the
+    aggregates first, last, sum, min, max and count. One row a match: the key, its segment, ``match_no``,
+    ``first_row`` and ``last_row`` in the segment, and the measures. With ``max_gap_seconds`` (and ``ts``) a
+    pause of that length ends any match too: the automaton starts anew there, so a hot key is
+    dealt out by its pauses; no row is compared across them."""
+    label = F.lit(None).cast("string")
+    for name, condition in reversed(symbols.items()):
+        label = F.when(condition, name).otherwise(label)
+    x = df.withColumn("__symbol", label)
+    seg = "__segment"
+    if max_gap_seconds is not None:
+        x = reset_segments(x, key, ts, max_gap_seconds, [c for c in order if c != ts], out=seg)
+    else:
+        x = x.withColumn(seg, F.lit(0).cast("long"))
+    fields = [df.schema[key], T.StructField("segment", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("match_no", "first_row", "last_row")]]
+    kinds = {"count": T.LongType()}
+    for name, agg, column, _ in measures:
+        kind = kinds.get(agg, df.schema[column].dataType if agg != "count" else None)
+        fields.append(T.StructField(name, T.LongType() if agg == "sum" and isinstance(kind, T.IntegerType) else kind))
+    x = x.withColumnRenamed(seg, "segment")
+    used = list(dict.fromkeys([key, "segment", *order, "__symbol", *[m[2] for m in measures if m[1] != "count"]]))
+    return ordered_fold(x.select(*used), [key, "segment"], order, RowPattern(pattern, "__symbol", [key, "segment"], measures), T.StructType(fields), partition_by=[key, "segment"])
+
+
 # ----------------------------------------------------------------------------- E20
 class CircuitBreaker(Fold):
     """closed / open / half_open over ordered call outcomes.

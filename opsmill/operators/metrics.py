@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opsmill.session import cut_lineage
 
 from opsmill.operators.relational import islands, rank_quantiles
 
@@ -143,6 +146,94 @@ def span_self_time(spans: DataFrame, span: str = "span_id", parent: str = "paren
             .withColumn("self_time", F.greatest(F.col(duration) - F.col("children_time"), F.lit(0.0))))
 
 
+def _climb(rows: DataFrame, key: Sequence[str], up: str, joined: dict[str, Column]) -> DataFrame:
+    """Pointer jumping: while a row points up, it takes over what ``joined`` says from the row there
+    (its columns prefixed ``p_``) and that row's pointer. Rounds grow with the logarithm of the depth.
+    Rows on a cycle never end and are left out, as are rows whose pointer leads nowhere."""
+    done = cut_lineage(rows.filter(F.col(up).isNull()))
+    todo = cut_lineage(rows.filter(F.col(up).isNotNull()))
+    cols = rows.columns
+    trace, node = key
+    while True:
+        at = done.unionByName(todo).select(*[F.col(c).alias(f"p_{c}") for c in cols])
+        # many rows point at one: the side they are joined to has one row for each pointer
+        moved = todo.join(at, (F.col(trace) == F.col(f"p_{trace}")) & (F.col(up) == F.col(f"p_{node}")))
+        moved = cut_lineage(moved.select(*[joined.get(c, F.col(f"p_{up}") if c == up else F.col(c)).alias(c) for c in cols]))
+        ended = moved.filter(F.col(up).isNull())
+        if ended.isEmpty():
+            return done  # the rest goes round in circles
+        done, todo = done.unionByName(ended), moved.filter(F.col(up).isNotNull())
+
+
+def critical_path(spans: DataFrame, trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """M8: the longest blocking chain of every trace: the spans that its duration waits for.
+
+    From a span's end backwards, the child that finishes last is on the path; before that child's start,
+    the child that finishes last by then, and so on; the same holds inside each of them. A child
+    counts inside its parent's time only (clocks differ, and some outlive it); one that lies outside does not
+    count. Ties go to the child that really ends last, then to the longer one, then to the smaller id.
+
+    The choice among siblings depends on ancestors only by their latest start and earliest end, so it is made
+    for all parents at once: these climb the tree by pointer jumping, one ordered fold per parent picks the
+    chain (state: a cursor), and a second climb keeps the spans all of whose ancestors were picked.
+    Rounds grow with the logarithm of the depth. A span without its parent is a root; of several roots the
+    longest (then the smallest id) is the trace's. A span id that is repeated in its trace counts
+    once (longest first); spans on a cycle are left out.
+
+    Result: trace, span, parent, ``from_ms``, ``to_ms`` (its part of the path), ``path_ms`` (time on the path in
+    which no picked child runs) and ``share`` of the trace's duration; the shares of a trace sum to 1."""
+    from opsmill.operators import folds
+
+    s = spans.select(F.col(trace).alias("trace"), F.col(span).alias("span"), F.col(parent).alias("parent"), F.col(start).cast("long").alias("s"),
+                     F.greatest(F.col(start), F.col(end)).cast("long").alias("e"))
+    s = s.groupBy("trace", "span").agg(F.max_by(F.struct("parent", "s", "e"), F.struct(F.col("e") - F.col("s"), F.col("e"), F.col("parent"))).alias("x")).select("trace", "span", "x.*")
+    known = s.select(F.col("trace").alias("k_trace"), F.col("span").alias("k_span"))
+    s = s.join(known, (F.col("trace") == F.col("k_trace")) & (F.col("parent") == F.col("k_span")) & (F.col("parent") != F.col("span")), "left")
+    s = cut_lineage(s.select("trace", "span", F.col("k_span").alias("parent"), "s", "e"))
+
+    # over a span and its ancestors: latest start (s) and earliest end (low); the ancestors' end (above); the root
+    rows = s.select("trace", "span", "parent", "s", "e", F.col("parent").alias("up"), F.col("e").alias("low"), F.lit(None).cast("long").alias("above"), F.col("span").alias("root"))
+    tree = _climb(rows, ("trace", "span"), "up", {"s": F.greatest("s", "p_s"), "low": F.least("low", "p_low"), "above": F.least("above", "p_low"), "root": F.col("p_root")})
+    tree = cut_lineage(tree.drop("up"))
+    root = tree.filter(F.col("parent").isNull()).groupBy("trace").agg(F.min_by(F.struct("span", (F.col("e") - F.col("s")).alias("total")), F.struct(F.col("s") - F.col("e"), F.col("span"))).alias("r"))
+    root = root.select("trace", F.col("r.span").alias("root"), "r.total")
+    tree = tree.join(root, ["trace", "root"])
+
+    # children by falling end: picked if they end before the cursor, which moves to their start
+    children = tree.filter(F.col("parent").isNotNull() & (F.col("s") <= F.col("low"))).select(
+        "trace", "parent", "span", "s", "low", "above", "total", (-F.col("low")).alias("o1"), (-F.col("e")).alias("o2"))
+    schema = T.StructType([*[children.schema[c] for c in ("trace", "span", "parent", "s", "low", "total")]])
+    picked = folds.ordered_fold(children, ["trace", "parent"], ["o1", "o2", "s", "span"], _LastFinishing(schema.names), schema)
+    tops = tree.filter(F.col("parent").isNull()).select("trace", "span", "parent", "s", "low", "total")
+    chain = cut_lineage(picked.unionByName(tops))
+    path = _climb(chain.withColumn("up", F.col("parent")), ("trace", "span"), "up", {}).drop("up")
+    inner = path.filter("parent is not null").groupBy("trace", F.col("parent").alias("span")).agg(F.sum(F.col("low") - F.col("s")).alias("inner"))
+    own = F.col("low") - F.col("s") - F.coalesce("inner", F.lit(0))
+    out = path.join(inner, ["trace", "span"], "left")
+    return out.select(F.col("trace").alias(trace), F.col("span").alias(span), F.col("parent").alias(parent), F.col("s").alias("from_ms"), F.col("low").alias("to_ms"),
+                      own.alias("path_ms"), F.try_divide(own.cast("double"), F.col("total").cast("double")).alias("share"))
+
+
+class _LastFinishing:
+    """Fold over siblings by falling end: those that finish before the last picked one began."""
+
+    def __init__(self, columns: Sequence[str]):
+        self.columns = list(columns)
+
+    def init(self, key):
+        return None
+
+    def step(self, cursor, row):
+        if cursor is None:
+            cursor = row["above"]
+        if row["low"] > cursor:
+            return cursor, None
+        return row["s"], {c: row[c] for c in self.columns}
+
+    def finish(self, state) -> list[dict]:
+        return []
+
+
 def trace_sample(df: DataFrame, trace: str, per_mille: int) -> DataFrame:
     """M9: deterministic head sampling by trace id hash - a trace is kept or dropped whole.
     This is a sampling operator: dropping rows is its purpose."""

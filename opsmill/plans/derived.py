@@ -35,6 +35,13 @@ SELECT user_id % 8 AS service, ts, event_id,
     "spans": """
 SELECT user_id AS trace_id, event_id AS span_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_id,
   user_id % 8 AS service, ts, value AS duration FROM events""",
+    "trace_spans": """
+SELECT a.trace_id, a.span_id, b.span_id AS parent_id, a.service, a.start_ms, a.end_ms FROM (
+  SELECT *, (length(bin(rn)) - 1) * 100 + span_id % 90 + (rn % 2) * (span_id % 400) AS start_ms,
+    (length(bin(rn)) - 1) * 100 + span_id % 90 + (rn % 2) * (span_id % 400) + 100 + (span_id * 7) % 600 + CASE WHEN rn = 1 THEN 2000 ELSE 0 END AS end_ms FROM (
+    SELECT user_id AS trace_id, event_id AS span_id, user_id % 8 AS service, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)) a
+LEFT JOIN (SELECT user_id AS trace_id, event_id AS span_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) b
+  ON a.trace_id = b.trace_id AND b.rn = a.rn // 2""",
     "threats": """
 SELECT o_orderkey AS threat_id, o_orderkey % 6 AS category_no, o_orderkey % 4 + 1 AS impact, o_custkey % 4 + 1 AS likelihood FROM orders""",
     "controls": """
@@ -172,6 +179,16 @@ class Derived:
                         F.lag("event_id").over(w).alias("parent_id"), (F.col("user_id") % 8).alias("service"),
                         "ts", F.col("value").alias("duration"))
 
+    @cached_property
+    def trace_spans(self) -> DataFrame:
+        """Events of a user as a binary tree of overlapping spans: the parent of the n-th is the (n / 2)-th."""
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        e = self.t.events.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), (F.col("user_id") % 8).alias("service"), F.row_number().over(w).cast("long").alias("rn"))
+        start = (F.length(F.bin("rn")) - 1) * 100 + F.col("span_id") % 90 + (F.col("rn") % 2) * (F.col("span_id") % 400)
+        x = e.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + 100 + (F.col("span_id") * 7) % 600 + F.when(F.col("rn") == 1, 2000).otherwise(0))
+        p = e.select("trace_id", F.col("rn").alias("up"), F.col("span_id").alias("parent_id"))
+        return x.withColumn("up", F.floor(F.col("rn") / 2).cast("long")).join(p, ["trace_id", "up"], "left").select("trace_id", "span_id", "parent_id", "service", "start_ms", "end_ms")
+
     @cached_property
     def threats(self) -> DataFrame:
         o = self.t.orders

@@ -303,6 +303,33 @@ def q_m8(spark, sf):
     return s.groupBy("service").agg(F.count(F.lit(1)).alias("spans"), r(F.sum("self_time")).alias("self_time"))
 
 
+@register("m8_critical_path", sql=sql_with("trace_spans").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, root AS (SELECT trace_id, span_id, start_ms, end_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ms - end_ms, span_id) AS r FROM trace_spans WHERE parent_id IS NULL) WHERE r = 1),
+path AS (
+  SELECT trace_id, span_id, CAST(-1 AS BIGINT) AS parent_id, end_ms, start_ms AS from_ms, end_ms AS to_ms, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high FROM root
+  UNION ALL
+  SELECT trace_id, span_id, parent_id, end_ms, from_ms, to_ms, low, high FROM (
+    SELECT *, row_number() OVER (PARTITION BY trace_id, parent_id, from_span ORDER BY to_ms DESC, end_ms DESC, from_ms, span_id) AS r FROM (
+      -- the last child to finish in a span of the path
+      SELECT c.trace_id, c.span_id, c.parent_id, c.end_ms, greatest(c.start_ms, p.from_ms) AS from_ms, least(c.end_ms, p.to_ms) AS to_ms, p.from_ms AS low, p.to_ms AS high, p.span_id AS from_span
+      FROM path p JOIN trace_spans c ON c.trace_id = p.trace_id AND c.parent_id = p.span_id WHERE greatest(c.start_ms, p.from_ms) <= least(c.end_ms, p.to_ms)
+      UNION ALL
+      -- the last sibling to finish before a span of the path began
+      SELECT c.trace_id, c.span_id, c.parent_id, c.end_ms, greatest(c.start_ms, p.low), least(c.end_ms, p.high), p.low, p.high, p.span_id
+      FROM path p JOIN trace_spans c ON c.trace_id = p.trace_id AND c.parent_id = p.parent_id
+      WHERE greatest(c.start_ms, p.low) <= least(c.end_ms, p.high) AND least(c.end_ms, p.high) <= p.from_ms
+        AND [-least(c.end_ms, p.high), -c.end_ms, greatest(c.start_ms, p.low), c.span_id] > [-p.to_ms, -p.end_ms, p.from_ms, p.span_id])) WHERE r = 1),
+inside AS (SELECT trace_id, parent_id AS span_id, sum(to_ms - from_ms) AS inner_ms FROM path WHERE parent_id >= 0 GROUP BY ALL)
+SELECT p.trace_id, p.span_id, p.parent_id, p.from_ms, p.to_ms, CAST(p.to_ms - p.from_ms - coalesce(inner_ms, 0) AS BIGINT) AS path_ms,
+  round((p.to_ms - p.from_ms - coalesce(inner_ms, 0)) / (root.end_ms - root.start_ms), 6) AS share
+FROM path p JOIN root USING (trace_id) LEFT JOIN inside i ON i.trace_id = p.trace_id AND i.span_id = p.span_id
+""")
+def q_m8_path(spark, sf):
+    p = M.critical_path(Tables(spark, sf).derived.trace_spans)
+    return p.withColumn("share", r("share", 6)).withColumn("parent_id", F.coalesce("parent_id", F.lit(-1).cast("long")))
+
+
 @register("m9_trace_sampling", sql=sql_with("spans") + """
 SELECT trace_id, count(*) AS spans FROM spans WHERE CAST('0x' || substr(md5(CAST(trace_id AS VARCHAR) || '|trace'), 1, 15) AS BIGINT) % 1000 < 100 GROUP BY 1
 """)

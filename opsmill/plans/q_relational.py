@@ -754,6 +754,35 @@ def q_w11(spark, sf):
                  F.count("reached_2").alias("purchased"))
 
 
+@register("w11_row_pattern", sql=r"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, ts, value, CASE event_type WHEN 'signup' THEN 's' WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'p' ELSE 'x' END AS t,
+    lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 259200000000 AS anew
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(anew::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM e),
+k AS (SELECT user_id, segment, string_agg(t, '' ORDER BY ts, event_id) AS s, list(event_id ORDER BY ts, event_id) AS ids, list(value ORDER BY ts, event_id) AS vals FROM g GROUP BY ALL),
+walk AS (
+  SELECT user_id, segment, s, 0 AS pos, 0 AS match_no, 0 AS a, 0 AS b FROM k
+  UNION ALL
+  SELECT user_id, segment, s, (pos + length(pre) + length(hit))::int, match_no + 1, (pos + length(pre) + 1)::int, (pos + length(pre) + length(hit))::int FROM (
+    SELECT *, regexp_extract(substr(s, pos + 1), '^(.*?)(s?[vc][vc]+p{0,2}|s(?:pp?))', 1) AS pre, regexp_extract(substr(s, pos + 1), '^(.*?)(s?[vc][vc]+p{0,2}|s(?:pp?))', 2) AS hit FROM walk)
+  WHERE hit <> '')
+SELECT w.user_id, w.match_no::BIGINT AS match_no, (w.b - w.a + 1)::BIGINT AS n_rows, k.ids[w.a] AS first_event, k.ids[w.b] AS last_event,
+  length(regexp_replace(k.s[w.a:w.b], '[^v]', '', 'g'))::BIGINT AS views, round(list_max(k.vals[w.a:w.b]), 2) AS top_value, md5(k.s[w.a:w.b]) AS shape
+FROM walk w JOIN k ON k.user_id = w.user_id AND k.segment = w.segment WHERE w.match_no > 0
+""".replace("md5(k.s[w.a:w.b]) AS shape", "(length(regexp_replace(k.s[w.a:w.b], '[^p]', '', 'g')))::BIGINT AS purchases"))
+def q_w11p(spark, sf):
+    """Visits: two or more views or clicks (after a signup or not), then up to two purchases; or purchases right
+    after a signup. A pause of three days ends a visit."""
+    from opsmill.operators.folds import match_rows
+
+    symbols = {v: F.col("event_type") == v for v in ("signup", "view", "click", "purchase")}
+    m = match_rows(Tables(spark, sf).events, "user_id", ["ts", "event_id"], symbols, "signup? (view | click) (view | click)+ purchase{0,2} | signup purchase{1,2}",
+                   [("first_event", "first", "event_id", None), ("last_event", "last", "event_id", None), ("views", "count", "event_id", "view"),
+                    ("top_value", "max", "value", None), ("purchases", "count", "event_id", "purchase")], ts="ts", max_gap_seconds=3 * 86400.0)
+    return m.select("user_id", "match_no", (F.col("last_row") - F.col("first_row") + 1).alias("n_rows"), "first_event", "last_event", "views", F.round("top_value", 2).alias("top_value"), "purchases")
+
+
 @register("w12_cohort_retention", sql="""
 WITH a AS (SELECT DISTINCT o_custkey, date_trunc('year', o_orderdate) AS y FROM orders),
 f AS (SELECT o_custkey, min(y) AS cohort FROM a GROUP BY 1)

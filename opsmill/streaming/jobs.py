@@ -11,6 +11,7 @@ per-key state machines keep their state in the state store with event-time timeo
 from __future__ import annotations
 
 import os
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file source with a declared schema (the bus source has the same shape)."""
+    """A file source with a declared schema (the bus source has the same shape).
+
+    With ``max_files_per_trigger`` files are taken by modification time, ties in any order: a
+    watermark then needs each file to be written (as one) after those with earlier events."""
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -62,6 +67,20 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, watermark: str) ->
     return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events", "last_event")
 
 
+def debounce_stream(stream: DataFrame, ts: str, key: str, event_id: str, quiet_seconds: float, watermark: str) -> DataFrame:
+    """The last event of each burst, with all its columns: a session of the key closes after
+    ``quiet`` of silence and carries its latest event (by time, then id) as its state. On a batch
+    table the same rows come out as from ``folds.debounce`` with ``emitted``; on a stream a burst's
+    event comes once the watermark has passed its quiet time."""
+    # a pause of exactly ``quiet`` ends a burst, and sessions that touch are merged: the gap is one microsecond less
+    gap = f"{round(quiet_seconds * 1_000_000) - 1} microseconds"
+    s = event_time(stream, ts)
+    event = F.struct(*[F.col(c) for c in s.columns])
+    s = s.withColumn("__event", event).withWatermark(ts, watermark)
+    g = s.groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.max_by("__event", F.struct(F.col(ts), F.col(event_id))).alias("e"))
+    return g.select("e.*")
+
+
 # ----------------------------------------------------------------------------- E14 / E25-E27
 def dedupe_stream(stream: DataFrame, id_col: str, ts: str, watermark: str) -> DataFrame:
     """At-least-once delivery made idempotent: a repeated id inside the watermark is
@@ -259,8 +278,7 @@ def fold_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fo
         rows = []
         for rec in pd.concat(list(pdfs)).sort_values(order, kind="stable").to_dict("records"):
             st, out = fold.step(st, rec)
-            if out is not None:
-                rows.append(out)
+            rows += out if isinstance(out, list) else [] if out is None else [out]
         state.update((base64.b64encode(pickle.dumps(st)).decode(),))
         if idle_seconds is not None:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_seconds * 1000)
@@ -272,3 +290,99 @@ def fold_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], fo
         s = event_time(s, watermark[0]).withWatermark(*watermark)
     timeout = GroupStateTimeout.EventTimeTimeout if idle_seconds is not None else GroupStateTimeout.NoTimeout
     return s.groupBy(*keys).applyInPandasWithState(fn, schema, FOLD_STATE, "append", timeout)
+
+
+# ----------------------------------------------------------------------------- E25 / X4: in order
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_typed_state(spark: SparkSession) -> None:
+    """List and value states with timers need the RocksDB state store: set it for the queries that the
+    session starts from now on."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, "") != _ROCKS:
+        spark.conf.set(name, _ROCKS)
+
+
+class _Reorder(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then steps them through a fold in order."""
+
+    def __init__(self, ts: str, order: Sequence[str], fold, columns: Sequence[str]):
+        self.ts, self.order, self.fold, self.columns = ts, list(order), fold, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, row binary")
+        self.folded = handle.getValueState("folded", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, late, kept, due = timerValues.getCurrentWatermarkInMs(), [], [], set()
+        for pdf in rows:
+            for rec in pdf.to_dict("records"):
+                us = None if pd.isna(rec["event_us"]) else int(rec["event_us"])
+                if us is None or us < now * 1000:
+                    late.append({c: rec.get(c) for c in self.columns} | {"late": True})
+                else:
+                    kept.append((us, pickle.dumps(rec)))
+                    due.add(us // 1000 + 1)
+        if kept:
+            self.waiting.appendList(kept)
+        for ms in due:
+            self.handle.registerTimer(ms)
+        yield pd.DataFrame(late, columns=[*self.columns, "late"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in held if r[0] < now]
+        out: list[dict] = []
+        if ready:
+            rest = [tuple(r) for r in held if r[0] >= now]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            st = pickle.loads(bytes(self.folded.get()[0])) if self.folded.exists() else self.fold.init(tuple(key))
+            frame = pd.DataFrame([pickle.loads(bytes(r[1])) for r in ready])
+            for rec in frame.sort_values(["event_us", *self.order], kind="stable").to_dict("records"):
+                st, got = self.fold.step(st, rec)
+                out += got if isinstance(got, list) else [] if got is None else [got]
+            self.folded.update((pickle.dumps(st),))
+        frame = pd.DataFrame(out, columns=self.columns)
+        frame["late"] = False
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_stream(stream: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], fold, schema: T.StructType, watermark: str) -> DataFrame:
+    """Any ``folds.Fold`` over events that arrive out of order: the fold's rows (and ``late``).
+
+    A row waits in the key's list state until the watermark (the latest event time less
+    ``watermark``) has passed it; an event-time timer then steps the waiting rows through the fold by (event
+    time, ``order``), so any arrival order within the watermark gives the batch fold's rows. A row that
+    arrives behind the watermark, or without an event time, is not folded: it comes out at once with
+    ``late`` true and those of the fold's columns that it has (``split_late`` sends it to a table of its own).
+    State of a key: its rows of the last ``watermark`` and the fold's state."""
+    use_typed_state(stream.sparkSession)
+    us = F.unix_micros(F.col(ts))
+    # the watermark's own column stays behind, so that late rows are not dropped before the processor sees them
+    s = event_time(stream, ts).withWatermark(ts, watermark)
+    s = s.select(*[F.col(c) for c in s.columns if c != ts], F.timestamp_micros(us).alias(ts), us.alias("event_us"))
+    out = T.StructType([*schema.fields, T.StructField("late", T.BooleanType())])
+    processor = _Reorder(ts, order, fold, [f.name for f in schema.fields])
+    return s.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def split_late(folded: str, late: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer for ``ordered_stream``: folded rows to one table, late ones to another; a
+    replayed batch overwrites its own files."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            for path, rows in ((folded, held.filter("not late")), (late, held.filter("late"))):
+                rows.drop("late").write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+        finally:
+            held.unpersist()
+    return write

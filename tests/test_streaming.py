@@ -42,13 +42,13 @@ def test_late_and_duplicate_events(spark, tmpdir_path):
     second = [(2, base + dt.timedelta(hours=5)),            # duplicate delivery
               (3, base - dt.timedelta(hours=3)),            # behind the 1-hour watermark
               (4, base + dt.timedelta(hours=6))]
-    spark.createDataFrame(first, schema).write.parquet(os.path.join(tmpdir_path, "in", "a"))
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(tmpdir_path, "in", "a"))
     s = J.file_stream(spark, os.path.join(tmpdir_path, "in", "*"), schema, max_files_per_trigger=1)
     out = J.dedupe_stream(s, "event_id", "ts", "1 hour")
     q = (out.writeStream.format("memory").queryName("dedup_out").option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
          .outputMode("append").start())
     q.processAllAvailable()
-    spark.createDataFrame(second, schema).write.parquet(os.path.join(tmpdir_path, "in", "b"))
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(os.path.join(tmpdir_path, "in", "b"))
     q.processAllAvailable()
     q.stop()
     ids = sorted(r[0] for r in spark.sql("SELECT event_id FROM dedup_out").collect())
@@ -139,3 +139,59 @@ def test_breaker_fold_stream_equals_batch(spark, tmpdir_path):
     got = spark.sql("SELECT * FROM breaker_stream")
     batch = folds.circuit_breaker(e, "service", "ts", "event_id", "ok", failure_threshold=3, timeout_seconds=3600.0)
     assert rows(got, "event_id", "state", "allowed") == rows(batch, "event_id", "state", "allowed")
+
+
+def _shuffled_files(spark, rows, schema, folder, jitter, seed):
+    """Rows in four files by a jittered time: within a file and across neighbours they are out of order."""
+    import random
+    rng = random.Random(seed)
+    order = sorted(rows, key=lambda r: r[0] + dt.timedelta(seconds=rng.uniform(0, jitter)))
+    size = (len(order) + 3) // 4
+    for k in range(4):
+        part = order[k * size:(k + 1) * size]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(folder, f"f{k}"))
+
+
+def test_out_of_order_rows_are_folded_in_order(spark, tmpdir_path):
+    from pyspark.sql import types as T
+
+    from opsmill.operators import folds
+
+    e = spark.read.parquet(f"{SF}/events.parquet").select("ts", (F.col("user_id") % 4).alias("service"), "event_id", (F.col("event_type") != "error").alias("ok"))
+    data = [tuple(r) for r in e.collect()]
+    last = max(r[0] for r in data)
+    schema = "ts timestamp_ntz, service long, event_id long, ok boolean"
+    _shuffled_files(spark, data, schema, os.path.join(tmpdir_path, "in"), 86400, 1)
+    fold = folds.CircuitBreaker("ts", "ok", ["service", "event_id"], failure_threshold=3, timeout=3600.0)
+    out_schema = T.StructType([T.StructField("service", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("state", T.StringType()), T.StructField("allowed", T.BooleanType())])
+    s = J.file_stream(spark, os.path.join(tmpdir_path, "in", "*"), schema, max_files_per_trigger=1)
+    out = J.ordered_stream(s, ["service"], "ts", ["event_id"], fold, out_schema, "15 days")
+    folded, late = os.path.join(tmpdir_path, "folded"), os.path.join(tmpdir_path, "late")
+    q = out.writeStream.option("checkpointLocation", os.path.join(tmpdir_path, "ck")).foreachBatch(J.split_late(folded, late)).outputMode("append").start()
+    q.processAllAvailable()
+    # the first row moves the watermark past all others; then one row behind it
+    for k, extra in enumerate([[(last + dt.timedelta(days=40), 99, -1, True)], [(last, 2, -2, True), (None, 2, -3, True)]]):
+        spark.createDataFrame(extra, schema).coalesce(1).write.parquet(os.path.join(tmpdir_path, "in", f"x{k}"))
+        q.processAllAvailable()
+    q.stop()
+    batch = folds.circuit_breaker(e, "service", "ts", "event_id", "ok", failure_threshold=3, timeout_seconds=3600.0)
+    got = spark.read.parquet(folded)
+    assert rows(got, "event_id", "state", "allowed") == rows(batch, "event_id", "state", "allowed")
+    assert sorted(r["event_id"] for r in spark.read.parquet(late).collect()) == [-3, -2]
+
+
+def test_debounced_stream_equals_batch(spark, tmpdir_path):
+    from opsmill.operators import folds
+
+    base = dt.datetime(2024, 1, 1)
+    data = [(base + dt.timedelta(seconds=t), k, i) for i, (k, t) in enumerate([(1, 0), (1, 5), (1, 15), (1, 15), (1, 24), (2, 3), (2, 100), (1, 34), (1, 43.999999), (2, 109), (2, 119)])]
+    schema = "ts timestamp_ntz, key long, event_id long"
+    batch = folds.debounce(spark.createDataFrame(data, schema), "key", "ts", "event_id", 10.0).filter("emitted")
+    direct = J.debounce_stream(spark.createDataFrame(data, schema), "ts", "key", "event_id", 10.0, "1 minute")
+    assert rows(direct, "key", "event_id") == rows(batch, "key", "event_id")
+    _shuffled_files(spark, data, schema, os.path.join(tmpdir_path, "in"), 30, 2)
+    spark.createDataFrame([(base + dt.timedelta(days=1), 9, 99)], schema).coalesce(1).write.parquet(os.path.join(tmpdir_path, "in", "z"))
+    s = J.file_stream(spark, os.path.join(tmpdir_path, "in", "*"), schema, max_files_per_trigger=1)
+    J.run_available_now(J.debounce_stream(s, "ts", "key", "event_id", 10.0, "2 minutes"), os.path.join(tmpdir_path, "ck"), name="debounced")
+    assert rows(spark.sql("SELECT * FROM debounced"), "key", "event_id") == rows(batch, "key", "event_id")
