@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsmill.operators import folds
 from opsmill.plans.derived import sql_with
-from opsmill.plans.registry import register
+from opsmill.plans.registry import register, ts_text
 from opsmill.tables import Tables
 
 CHAIN_SECRET = "audit-secret"
@@ -79,6 +80,45 @@ def q_e28(spark, sf):
     return folds.debounce(calls, "service", "ts", "event_id", 900.0).select("service", "event_id", "emitted")
 
 
+@register("e28_debounce_bursts", sql=sql_with("call_log") + """
+SELECT service, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ok FROM (
+  SELECT *, lead(ts) OVER w IS NULL OR epoch_us(lead(ts) OVER w) - epoch_us(ts) >= 900000000 AS emitted FROM call_log WINDOW w AS (PARTITION BY service ORDER BY ts, event_id))
+WHERE emitted
+""")
+def q_e28_bursts(spark, sf):
+    """The session form that also runs on a stream: the last call of each burst with its columns."""
+    from opsmill.streaming import jobs as J
+
+    b = J.debounce_stream(Tables(spark, sf).derived.call_log, "ts", "service", "event_id", 900.0, "1 hour")
+    return b.select("service", "event_id", ts_text("ts").alias("ts"), "ok")
+
+
+@register("e25_ordered_stream", sql="""
+WITH c AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < (SELECT max(ts) FROM events))
+SELECT user_id, event_id, emitted FROM (
+  WITH RECURSIVE walk(user_id, rn, event_id, emitted, last) AS (
+    SELECT user_id, rn, event_id, true, t FROM c WHERE rn = 1
+    UNION ALL
+    SELECT c.user_id, c.rn, c.event_id, c.t - w.last >= 86400.0, CASE WHEN c.t - w.last >= 86400.0 THEN c.t ELSE w.last END
+    FROM walk w JOIN c ON c.user_id = w.user_id AND c.rn = w.rn + 1)
+  SELECT * FROM walk)
+""")
+def q_e25_ordered(spark, sf):
+    """The event table as a stream, throttled in event order: each row waits for the watermark, which ends
+    at the latest event (whose own rows still wait)."""
+    from opsmill.session import scratch_path
+    from opsmill.streaming import jobs as J
+
+    place = scratch_path(spark, "ordered")
+    table = spark.read.parquet(f"{sf}/events.parquet").select("ts", "user_id", "event_id")
+    table.write.parquet(f"{place}/in")  # a stream reads folders
+    s = J.file_stream(spark, f"{place}/in", table.schema)
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("emitted", T.BooleanType())])
+    out = J.ordered_stream(s, ["user_id"], "ts", ["event_id"], folds.ThrottleFirst("ts", ["user_id", "event_id"], 86400.0), schema, "0 seconds")
+    J.run_available_now(out, f"{place}/checkpoint", J.split_late(f"{place}/folded", f"{place}/late"))
+    return spark.read.parquet(f"{place}/folded").drop("batch")
+
+
 def _breaker_sql(variant: str, failures: int = 3, timeout: float = 3600.0, successes: int = 2) -> str:
     """Recursive replay of the breaker: state (st, f, s, opened) is carried row by row."""
     strict = variant == "strict"
