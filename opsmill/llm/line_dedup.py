@@ -3,21 +3,20 @@
 Rows are grouped by host. For each line (without white space at its ends) the pages of the
 host that contain it are counted, once a page, and divided by the host's pages. Lines on
 more than ``ratio`` of them, and on at least ``least_pages``, are boilerplate of that host
-and are dropped from its pages. Counts cover all rows; equal lines of a slice are summed
-before the shuffle, so a host or a line that holds a third of all rows is only a few
-partial sums for each task. Lines travel as 64-bit hashes with their length.
-
-A page that would lose more than ``most_loss`` of its characters is left as it is: it
-consists of shared lines (a copy of another page, for instance) and is a matter for
-near-duplicate removal, not for boilerplate.
+and are dropped from its pages, all of them, however much of a page that is. Exact copies of a page
+(within a host) count as one page, in both numbers, so a group of copies does not lift its own lines
+over the ratio; near copies are separate pages (finding them is another operator's matter). Counts
+cover all rows; equal lines of a slice are summed before the shuffle, each with the weight 1 / copies
+of its page, so a host or a line that holds a third of all rows is only a few partial sums for
+each task. Lines travel as 64-bit hashes with their length.
 
 At most 1 / ratio times the mean lines a page are boilerplate on a host, so the table of
 one host is bounded by its page length. The table of all hosts is broadcast only when its
 counted size is under ``broadcast_lines``; beyond it, each host's lines join its pages.
 
-Defined results: null and empty texts pass unchanged but count as pages; rows with a null
-host form one host of their own; blank lines are never counted or dropped; repeated rows
-count as pages of their own; other columns pass unchanged, whatever their names.
+Defined results: null and empty texts pass unchanged but count as a page (one a host); rows with a
+null host form one host of their own; blank lines are never counted or dropped; repeated rows
+count as one page and each come out; a page of boilerplate alone has an empty text; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmill.llm import arrays as A
+from opsmill.session import bounded
 
-RATIO, LEAST_PAGES, MOST_LOSS = 0.1, 3, 0.5
+RATIO, LEAST_PAGES = 0.1, 3
 BROADCAST_LINES = 500_000
+BROADCAST_COPIED = 500_000
 
 
 class Lines:
@@ -50,42 +51,51 @@ class Lines:
         self.size = spans.end - spans.start
 
 
-def line_counts(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """(host, line, size, pages): pages of the host that contain the line."""
+def pages_of(docs: DataFrame, host: str, text: str, broadcast_copied: int = BROADCAST_COPIED) -> DataFrame:
+    """(host, text, copies): every row with the number of rows of its host that have its text.
+
+    Only texts that occur more than once join; they travel as a hash and a count."""
+    rows = docs.select(F.col(host).cast("string").alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.unhex(F.md5("text")))
+    copied = rows.groupBy(F.col("host").alias("c_host"), F.col("mark").alias("c_mark")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").checkpoint()
+    return (rows.join(bounded(copied, broadcast_copied), F.col("host").eqNullSafe(F.col("c_host")) & (F.col("mark") == F.col("c_mark")), "left")
+            .select("host", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")))
+
+
+def line_counts(pages: DataFrame) -> DataFrame:
+    """(host, line, size, pages): different pages of the host that contain the line."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in A.slices(batch.column(1)):
                 lines = Lines(A.texts_of(batch.column(1).slice(lo, hi - lo)))
                 hosts = batch.column(0).slice(lo, hi - lo).dictionary_encode()
                 code = np.asarray(hosts.indices.fill_null(-1), np.int64)[lines.row]
+                weight = 1.0 / np.asarray(batch.column(2).slice(lo, hi - lo), np.int64)[lines.row]
                 _, once = np.unique(A.keyed(lines.hash.view(np.uint64), lines.row), return_index=True)  # once a page
-                _, first, n = np.unique(A.keyed(lines.hash.view(np.uint64)[once], code[once] + 1), return_index=True, return_counts=True)
+                _, first, group = np.unique(A.keyed(lines.hash.view(np.uint64)[once], code[once] + 1), return_index=True, return_inverse=True)
                 own = once[first]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(lines.row[own])), pa.array(lines.hash[own]), pa.array(lines.size[own]),
-                     pa.array(n.astype(np.int64))], names=["host", "line", "size", "pages"])
+                     pa.array(np.bincount(group, weights=weight[once], minlength=len(own)))], names=["host", "line", "size", "pages"])
 
-    return (docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
-            .transform(A.small_batches).mapInArrow(run, "host string, line long, size long, pages long")
-            .groupBy("host", "line", "size").agg(F.sum("pages").alias("pages")))
+    return (A.small_batches(pages).mapInArrow(run, "host string, line long, size long, pages double")
+            .groupBy("host", "line", "size").agg(F.round(F.sum("pages")).cast("long").alias("pages")))
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, line, size, pages, host_pages): the lines of each host over the ratio."""
-    totals = docs.groupBy(F.col(host).cast("string").alias("host_")).agg(F.count(F.lit(1)).alias("host_pages"))
-    often = line_counts(docs, host, text).filter(F.col("pages") >= least_pages)
+    pages = pages_of(docs, host, text)
+    totals = pages.groupBy(F.col("host").alias("host_")).agg(F.round(F.sum(1.0 / F.col("copies"))).cast("long").alias("host_pages"))
+    often = line_counts(pages).filter(F.col("pages") >= least_pages)
     return (often.join(totals, F.col("host").eqNullSafe(F.col("host_")))
             .filter(F.col("pages") > F.lit(float(ratio)) * F.col("host_pages")).drop("host_"))
 
 
-def _clean(part: pa.RecordBatch, at: int, dropped_in, most_loss: float) -> tuple[pa.Array, np.ndarray]:
+def _clean(part: pa.RecordBatch, at: int, dropped_in) -> tuple[pa.Array, np.ndarray]:
     """The text column without dropped lines, and the lines dropped of each row."""
     texts = A.texts_of(part.column(at))
     lines = Lines(texts)
     drop = dropped_in(lines)
-    lost = np.bincount(lines.row[drop], weights=lines.size[drop], minlength=texts.n)
-    total = np.bincount(lines.row, weights=lines.size, minlength=texts.n)
-    drop &= (lost <= most_loss * total)[lines.row]
     n = np.bincount(lines.row[drop], minlength=texts.n)
     if not drop.any():
         return part.column(at), n
@@ -107,14 +117,14 @@ def _clean(part: pa.RecordBatch, at: int, dropped_in, most_loss: float) -> tuple
 
 
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
-               most_loss: float = MOST_LOSS, broadcast_lines: int = BROADCAST_LINES, count_as: str | None = None) -> DataFrame:
+               broadcast_lines: int = BROADCAST_LINES, count_as: str | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed; ``count_as`` adds the number of lines dropped."""
     bad = boilerplate(docs, host, text, ratio, least_pages).select("host", "line", "size").checkpoint()
     columns, at, host_at = docs.columns, docs.columns.index(text), docs.columns.index(host)
     schema = docs.schema if count_as is None else docs.select("*", F.lit(0).cast("long").alias(count_as)).schema
 
     def rebuilt(part: pa.RecordBatch, dropped_in) -> pa.RecordBatch:
-        cleaned, n = _clean(part, at, dropped_in, most_loss)
+        cleaned, n = _clean(part, at, dropped_in)
         arrays = part.columns[:len(columns)]
         arrays[at] = cleaned
         return pa.RecordBatch.from_arrays(arrays + ([pa.array(n.astype(np.int64))] if count_as else []), names=schema.names)

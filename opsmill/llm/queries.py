@@ -171,21 +171,18 @@ _LINES = r"""
 d as (
   select doc_id, source, text, row_number() over () as r from documents),
 l as (
-  select r, source, whole, line, i from (
-    select r, source, unnest(string_split(text, chr(10))) as whole, generate_subscripts(string_split(text, chr(10)), 1) as i,
+  select r, source, text, whole, line, i from (
+    select r, source, text, unnest(string_split(text, chr(10))) as whole, generate_subscripts(string_split(text, chr(10)), 1) as i,
            regexp_replace(unnest(string_split(text, chr(10))), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line from d)),
 h as (
-  select source, count(*) as pages from d group by source),
+  select source, count(distinct coalesce(text, '')) as pages from d group by source),
 bad as (
-  select s.source, s.line from (select source, line, count(distinct r) as n from l where line <> '' group by source, line) s
+  select s.source, s.line from (select source, line, count(distinct text) as n from l where line <> '' group by source, line) s
   join h on s.source is not distinct from h.source where s.n >= 3 and s.n > 0.1 * h.pages),
 m as (
   select l.*, bad.line is not null as drop_it from l left join bad on l.source is not distinct from bad.source and l.line = bad.line),
-loss as (
-  select r, sum(case when drop_it then strlen(line) else 0 end) <= 0.5 * sum(strlen(line)) as ok from m group by r),
 done as (
-  select m.r, string_agg(whole, chr(10) order by i) filter (where not (drop_it and ok)) as text, count_if(drop_it and ok) as n_dropped
-  from m join loss using (r) group by m.r)"""
+  select r, string_agg(whole, chr(10) order by i) filter (where not drop_it) as text, count_if(drop_it) as n_dropped from m group by r)"""
 
 ORACLE["op5_line_dedup"] = f"""
 with {_LINES}
