@@ -2,10 +2,12 @@
 
 A URL's tokens are the labels of its host (``h:``), the pieces of its path (``p:``) and the
 names of its query parameters (``q:``); pieces without a letter do not count. Spark's
-FP-growth finds frequent token sets in a bounded sample of labelled URLs, with the label
-as one more token, and yields rules {tokens} -> label. Rules are pruned by support,
-confidence and lift over the label's share, and a rule is dropped when a shorter rule
-inside it, with the same label, is as confident.
+FP-growth finds frequent token sets in a bounded sample of all different URLs, with the label
+as one more token (``open`` where no label is known), and yields rules {tokens} -> label. Support
+and confidence are then counted anew over all different URLs that hold the tokens, labelled or
+not: a token that labelled URLs share with an open majority says little, and only combinations that
+tell them apart stay. Rules are pruned by support, confidence and lift over the label's share, and
+a rule is dropped when a shorter rule inside it, with the same label, is as confident.
 
 Matching uses an inverted index: each rule is filed under its rarest token, a URL looks up
 its own tokens in the index, and only the rules found there are tested in full. Of the
@@ -17,8 +19,7 @@ without a hint.
 A fixed rule list (host, path prefix, verdict) takes precedence; the longest rule wins.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule
-and the default verdict; without labels, or with one label only, nothing is mined; ties
-are broken as said; repeated rows each get a row; columns besides those named are ignored.
+and the default verdict; without labels nothing is mined; ties are broken as said; repeated rows each get a row; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIXED_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SAMPLE_ROWS_EACH = 20_000
+SAMPLE_URLS = 60_000
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.002, 0.9, 1.2, 3
 LABEL = "verdict="
+OPEN = "open"
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -76,15 +78,16 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
          max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Pruned rules (tokens, label, support, confidence, key) from (tokens, label) rows.
+    """Rules (tokens, label, support, confidence, key) from (tokens, label) rows, pruned.
 
-    ``labelled`` is the caller's bounded sample. ``key`` is the rule's rarest token.
+    ``labelled`` is the caller's bounded sample. ``key`` is the rule's rarest token. No rule leads
+    to ``OPEN``, whose rows count against the others.
     """
     baskets = labelled.filter("label is not null").select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label")))).alias("items"))
     baskets = baskets.persist()
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= max_tokens)
-                                          & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift))
+                                          & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift) & (F.col("consequent")[0] != LABEL + OPEN))
     # both tables are small and used several times; mining runs once for each
     rules = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1_000).alias("label"), "support", "confidence").checkpoint()
     often = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq").checkpoint()
@@ -101,6 +104,21 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return keyed
 
 
+def recount(urls: DataFrame, rules: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """``rules`` with support and confidence over all ``urls`` (tokens, label), those that still pass."""
+    totals = urls.groupBy(F.col("label").alias("t_label")).agg(F.count(F.lit(1)).alias("t")).checkpoint()  # a row a label
+    n = totals.agg(F.sum("t")).first()[0] or 0
+    side = rules.select("key", F.col("tokens").alias("r_tokens"), F.col("label").alias("r_label"))
+    hits = (urls.select(F.col("tokens").alias("own"), F.col("label").alias("own_label"), F.explode("tokens").alias("key")).join(side, "key")
+            .filter(F.size(F.array_except("r_tokens", "own")) == 0))
+    counted = hits.groupBy("key", "r_tokens", "r_label").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("own_label") == F.col("r_label")).alias("right"))
+    share = F.col("t") / F.lit(float(max(n, 1)))
+    x = counted.join(F.broadcast(totals), F.col("r_label") == F.col("t_label"))
+    x = x.select(F.col("r_tokens").alias("tokens"), F.col("r_label").alias("label"), (F.col("right") / F.lit(float(max(n, 1)))).alias("support"), (F.col("right") / F.col("held")).alias("confidence"),
+                 "key", share.alias("share"))
+    return x.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share"))).drop("share")
+
+
 def match(urls: DataFrame, rules: DataFrame, id_column: str, tokens: str = "tokens") -> DataFrame:
     """(id, label, confidence, rule) of each URL that a rule fits: the best rule by the order above."""
     hits = (urls.select(F.col(id_column).alias("__id"), F.col(tokens).alias("__own"), F.explode(tokens).alias("key")).join(rules, "key")
@@ -111,23 +129,23 @@ def match(urls: DataFrame, rules: DataFrame, id_column: str, tokens: str = "toke
 
 
 def judge(pages: DataFrame, id_column: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = FIXED_RULES,
-          default: str = "allow", sample_rows_each: int = SAMPLE_ROWS_EACH) -> DataFrame:
+          default: str = "allow", sample_urls: int = SAMPLE_URLS) -> DataFrame:
     """id, host, path, rule, verdict, mined_rule and confidence of every URL.
 
-    URLs that a fixed rule fits are the labelled ones, and mining learns from a bounded
-    sample of them; the rest get the verdict of the mined rules, or ``default``.
+    URLs that a fixed rule fits are the labelled ones. Rules are mined from a bounded sample of all
+    different URLs and counted anew over all of them; URLs without a fixed rule get the verdict of
+    the mined rules, or ``default``.
     """
-    from opsmill.llm import sampling
-
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_column), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", fixed_rule(F.col("host"), F.col("path"), rules).alias("rule"))
-    known = rows.filter("rule is not null").select(F.col(id_column).alias("__id"), "__url", "host", "path", verdict_of(F.col("rule"), rules).alias("label"))
-    sample = sampling.bounded(known, ["__id", "__url"], "label", sample_rows_each)
-    mined = mine(sample.select(url_tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens"), "label"))
-    # equal URLs get equal verdicts: each distinct open URL is matched once
-    open_urls = rows.filter("rule is null").select("__url", "host", "path").distinct()
-    found = match(open_urls.select("__url", url_tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens")), mined, "__url")
+    # equal URLs count once and get equal verdicts: each is matched once
+    own = rows.select("__url", "host", "path", F.coalesce(verdict_of(F.col("rule"), rules), F.lit(OPEN)).alias("label")).distinct()
+    own = own.select("__url", url_tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens"), "label").checkpoint()
+    total = own.count()
+    sample = own if total <= sample_urls else own.filter(F.pmod(F.xxhash64(F.col("__url"), F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * sample_urls / total))
+    mined = recount(own, mine(sample.select("tokens", "label"))).checkpoint()
+    found = match(own.filter(F.col("label") == OPEN), mined, "__url")
     found = found.select(F.col("__id").alias("__found"), "label", "confidence", F.col("rule").alias("mined_rule"))
     joined = rows.join(found, (rows["__url"] == found["__found"]) & rows["rule"].isNull(), "left")
     return joined.select(id_column, "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "label", F.lit(default)).alias("verdict"),

@@ -67,6 +67,36 @@ def test_matching_equals_brute_force(spark):
         assert got.get(i) == (best["label"] if best else None)
 
 
+def test_a_token_of_one_rule_cannot_judge_other_paths(spark):
+    """``h:com`` is on every blocked page of example.com/de/, but also on open pages that nobody listed."""
+    rows = [f"http://www.example.com/de/{i}" for i in range(60)] + [f"http://shop{i % 7}.com/es/{i}" for i in range(90)] + [f"http://a.org/fr/{i}" for i in range(60)]
+    rows += [f"http://other.org/de/x{i}" for i in range(80)] + [f"http://b{i % 5}.net/x/{i}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = U.judge(pages).collect()
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow"}
+    assert sum(r["verdict"] == "block" for r in got) == 120
+
+
+def test_combinations_reach_open_pages_and_counts_cover_all_urls(spark):
+    fixed = [("spam.com/win/", "block"), ("spam.org/win/", "block"), ("good.com/", "allow")]
+    rows = [f"http://h{i % 3}.spam.com/win/prize{i}" for i in range(50)] + [f"http://spam.org/win/{i}" for i in range(40)] + [f"http://good.com/win/{i}" for i in range(40)]
+    rows += [f"http://spam.net/win/{i}" for i in range(6)] + [f"http://blog.net/spam/{i}" for i in range(30)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = [r for r in U.judge(pages, rules=fixed).collect() if r["rule"] is None]
+    blocked = {r["page_id"] for r in got if r["verdict"] == "block"}
+    assert blocked == set(range(130, 136))
+    for r in got:
+        if r["page_id"] in blocked:
+            assert abs(r["confidence"] - 90 / 96) < 1e-9  # over all that hold the tokens, the six open ones too
+
+
+def test_recount_equals_brute_force(spark):
+    urls = [(["a", "b"], "block")] * 9 + [(["a", "b"], "open")] + [(["a"], "open")] * 20 + [(["b", "c"], "allow")] * 10
+    rules = spark.createDataFrame([(["a", "b"], "block", 0.5, 1.0, "b"), (["a"], "block", 0.5, 1.0, "a"), (["c"], "allow", 0.1, 0.9, "c")], "tokens array<string>, label string, support double, confidence double, key string")
+    got = {(tuple(r["tokens"]), r["label"]): (r["support"], r["confidence"]) for r in U.recount(spark.createDataFrame(urls, "tokens array<string>, label string"), rules).collect()}
+    assert got == {(("a", "b"), "block"): (9 / 40, 0.9), (("c",), "allow"): (10 / 40, 1.0)}
+
+
 def test_nothing_to_learn_from(spark):
     pages = spark.createDataFrame([(1, "http://example.com/es/1"), (1, "http://example.com/es/1"), (2, None)], "page_id long, url string")
     assert [r["verdict"] for r in U.judge(pages).collect()] == ["allow"] * 3
