@@ -2,16 +2,21 @@
 
 A page becomes a tree: elements, and text blocks (the text between two block-level tags).
 Every node has a hidden state: away (menus and the like), mixed (a wrapper) or content; a
-block is one of the outer two. A node's own evidence is a naive-Bayes log-odds of its
-features (tag, pieces of class and id, and for blocks the length, the share of linked
-text and the sentence marks); a 3 x 3 potential connects each node with its parent. Sum-product messages go up from the leaves and down from the root, level by
-level for all pages of a slice at once, and give each node's marginal. The text blocks
-whose marginal is content, in page order, are the main text.
-
-Counts come from labelled pages: pages that mark their own main part with <article> or
-<main> (a bounded sample), where a block is content if it stands in that part and in no
-part named as a menu, notice, advert, form or comment. The counts are added to prior
-counts for the tags and names in ``PRIOR``, so parts that the sample lacks are known too.
+block is one of the outer two. A node's own evidence is a naive-Bayes log-odds of its features:
+for elements the tag, the tokens of class, id and role as a whole, and the part that a compound
+token names (``site-nav`` names a nav; ``has-sidebar`` names nothing); for blocks the length, the share
+of linked text, the sentence marks, the place in the page and how many short blocks stand beside it in
+the same way. A 3 x 3 potential connects each node with its parent. Sum-product messages go up from the
+leaves and down from the root, level by level for all pages of a slice at once, and give each node's
+marginal. The text blocks whose marginal is content, in page order, are the main text.
+
+Evidence and potentials are learned from labelled pages: pages that mark their own main part with
+<article> or <main> (a bounded sample), where a block is content if it stands in that part and in no
+part named as a menu, header, footer, sidebar, notice, advert, form or comments. Pages of one template (the
+same set of tags and names) say the same thing, so what they say is averaged: counts are numbers
+of templates. They are added to prior counts worth ``PRIOR`` templates for the few tags and
+names that HTML and common usage define, so a sample of one template leaves those in force and a
+sample of many overrules them. A <header> inside the article belongs to it; any other does not.
 Scripts, styles, form controls and other elements without running text are never read. An
 unclosed one ends with its parent, or where a block-level element starts; a head ends where
 the first text or element starts that cannot stand in it.
@@ -23,6 +28,7 @@ size is read as a whole; repeated rows each get a row; extra columns are not rea
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -57,22 +63,27 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta".split())
 SCOPE = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?</\1\s*>|<(/?)({'|'.join(sorted(SILENT - RAW))})(?=[\s/>])", re.S | re.I)
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer form body blockquote".split())
 MAIN = ("article", "main")
-#: Names of parts that are not the article, and of parts that are.
-AWAY = frozenset("nav navbar navigation menu header masthead footer aside sidebar side rail ad ads advert advertisement adverts sponsor sponsored promo promotion banner "
-                 "cookie cookies consent notice notices alert popup modal overlay form signup subscribe newsletter search login share sharing social comment comments "
-                 "reply replies respond disqus discussion related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal complementary "
-                 "contentinfo toc tags".split())
-HERE = frozenset("article main content post entry story body text articlebody maincontent".split())
+#: Names of parts that are not the article, by kind, and of parts that are.
+AWAY = frozenset("nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social header masthead banner footer copyright contentinfo sidebar aside complementary "
+                 "widget cookie cookies consent notice notices alert popup modal overlay ad ads advert adverts advertisement sponsor sponsored promo promotion form signup subscribe newsletter "
+                 "search login comment comments commentlist reply replies respond disqus discussion".split())
+HERE = frozenset("article main content post entry story articlebody maincontent article-body article-content entry-content main-content page-content post-body post-content story-body".split())
+#: First parts of compound names that say what a part has or belongs to, not what it is, and last parts that say nothing.
+ABOUT = frozenset("has have with without no not is hide show category tag type format by in on for js".split())
+SHAPES = frozenset("area bar block box container group inner item items list section wrap wrapper".split())
+WRAPPERS = frozenset("div section center table tbody tr td ul ol li dl".split())
+AWAY_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 #: States of a node.
 AWAY_STATE, MIXED, CONTENT = range(3)
-PRIOR_WEIGHT, SMOOTH = 1e5, 0.5
-LEARNED_WEIGHT = 400.0
-#: Most that one block's length and sentence marks may speak against and for content, so
-#: that the structure decides where names and tags are known.
-TEXT_RANGE = (-0.2, 0.5)
-#: Pseudo-counts of (parent, child) states: parts that are away hold nothing else, content
+#: Strength of prior counts in templates, of a <header> (its place decides), what they leave for the
+#: other states, and the smoothing of features without a prior.
+PRIOR, HEADER_PRIOR, REST, SMOOTH = 40.0, 10.0, 0.02, 4.0
+#: Most that one element's feature may say, and a block's features for content and, besides its links, against it.
+ELEMENT_RANGE, FOR_CONTENT, AGAINST_CONTENT = 8.0, 1.0, 1.0
+#: Pseudo-counts of (parent, child) states: parts that are away hold hardly anything else, content
 #: parts hold little else, mixed parts hold anything.
-PAIR_PRIOR = ((2000.0, 2.0, 2.0), (90.0, 70.0, 40.0), (10.0, 2.0, 2000.0))
+PAIR_PRIOR = ((2000.0, 20.0, 8.0), (90.0, 70.0, 40.0), (120.0, 2.0, 2000.0))
+SHORT = 40
 
 
 class Page:
@@ -97,10 +108,22 @@ class Page:
 def _names(attributes: str) -> list[str]:
     out = []
     for m in ATTRIBUTE.finditer(attributes):
-        out += PIECE.findall((m[2] or m[3] or m[4] or "").lower())
+        out += (m[2] or m[3] or m[4] or "").lower().split()
     return out
 
 
+def named_part(name: str) -> str | None:
+    """The kind of part that a class or id token names, if it is one of ``AWAY``."""
+    if name in AWAY:
+        return name
+    pieces = PIECE.findall(name)
+    if len(pieces) < 2 or pieces[0] in ABOUT:
+        return None
+    while len(pieces) > 1 and pieces[-1] in SHAPES:
+        pieces.pop()
+    return pieces[-1] if pieces[-1] in AWAY else None
+
+
 def _block_features(text: str, linked: int) -> list[str]:
     n = len(text)
     size = min(n.bit_length(), 12)
@@ -108,6 +131,43 @@ def _block_features(text: str, linked: int) -> list[str]:
     return ["tag=#text", f"size={size}", f"linked={min(4 * linked // max(n, 1), 4)}", f"stops={min(stops, 4)}"]
 
 
+def _place_features(page: "Page") -> None:
+    """Add to each block its place in the page, the number of short blocks that stand as it does, and, inside a part
+    that is named (as away, or as the article), the number of the part's blocks: against the name they speak
+    with one voice, however many. An element around a single other one says nothing by its tag."""
+    n = len(page.parent)
+    children, part, inside, kind = [0] * n, [0] * n, [0] * n, [""] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        children[up] += 1
+        if page.text[i] is None:
+            tag = page.features[i][0][4:]
+            if tag in AWAY_TAGS or any(f.startswith("part=") for f in page.features[i]):
+                kind[i] = "voices_away"
+            elif tag in MAIN or any(f[5:] in HERE for f in page.features[i][1:]):
+                kind[i] = "voices_here"
+        part[i] = i if kind[i] else part[up]
+        inside[part[i]] += page.text[i] is not None
+    for i in range(1, n):
+        if page.text[i] is None and children[i] == 1 and page.features[i][0][4:] in WRAPPERS and page.features[i + 1][0] != "tag=#text":
+            page.features[i] = ["tag=-", *page.features[i][1:]]
+    blocks = [i for i, t in enumerate(page.text) if t is not None]
+
+    def way(i: int) -> tuple[int, str]:
+        up = page.parent[i]
+        return page.parent[up], page.features[up][0]
+
+    short: dict[tuple[int, str], int] = {}
+    for i in blocks:
+        if len(page.text[i]) < SHORT:
+            short[way(i)] = short.get(way(i), 0) + 1
+    for k, i in enumerate(blocks):
+        page.features[i].append("place=only" if len(blocks) == 1 else "place=first" if k == 0 else "place=last" if k == len(blocks) - 1 else "place=within")
+        if part[i]:
+            page.features[i].append(f"{kind[part[i]]}={inside[part[i]]}")
+        page.features[i].append(f"alike={min(short.get(way(i), 0), 4) if len(page.text[i]) < SHORT else 0}")
+
+
 def _closed(source: str) -> set[int]:
     """Places of the tags in ``SILENT`` that have a closing tag of their own."""
     open_at: dict[str, list[int]] = {}
@@ -228,23 +288,40 @@ def parse(source: str) -> Page:
             elif stack[k][0] in CONTAINERS:
                 break
         parent = stack[-1][1]
-        names = _names(m[3]) if m[3] else []
-        away = page.away[parent] or tag in AWAY or any(x in AWAY for x in names)
+        names = list(dict.fromkeys(_names(m[3]))) if m[3] else []
+        parts = list(dict.fromkeys(x for x in map(named_part, names) if x))
         main = page.main[parent] or tag in MAIN or "main" in names and "role" in m[3]
-        stack.append((tag, page.add(parent, ["tag=" + tag] + ["name=" + x for x in dict.fromkeys(names)], None, main, away)))
+        away = page.away[parent] or tag in AWAY_TAGS or tag == "header" and not main or bool(parts)
+        stack.append((tag, page.add(parent, ["tag=" + tag] + ["name=" + x for x in names] + ["part=" + x for x in parts], None, main, away)))
         links = 0 if tag in CONTAINERS else links
     flush()
+    _place_features(page)
     return page
 
 
+def template_of(page: Page) -> int:
+    """Pages with the same set of tags and names have one template."""
+    return hash_of("\n".join(sorted({" ".join(f) for f, t in zip(page.features, page.text, strict=True) if t is None})))
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def prior_counts() -> dict[str, tuple[float, float, float]]:
-    """Pseudo-counts [away, mixed, content] of the fixed names and tags above."""
-    out = {"name=" + x: (0.0, 0.0, 20.0) for x in HERE}
-    out |= {"name=" + x: (PRIOR_WEIGHT, 0.0, 0.0) for x in AWAY}
-    out |= {"tag=" + x: (PRIOR_WEIGHT, 0.0, 0.0) for x in ("nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset")}
-    out |= {"tag=" + x: (0.0, 20.0, PRIOR_WEIGHT) for x in MAIN}
+    """Pseudo-counts [away, mixed, content], in templates, of what HTML and common usage define."""
+    out = {"name=" + x: (0.5, PRIOR / 4, PRIOR / 2) for x in HERE}
+    out |= {"part=" + x: (PRIOR, REST, REST) for x in AWAY}
+    out |= {"tag=" + x: (PRIOR, REST, REST) for x in AWAY_TAGS} | {"tag=header": (HEADER_PRIOR, 0.5, 0.5)}
+    out |= {"tag=article": (REST, PRIOR / 8, PRIOR), "tag=main": (REST, PRIOR / 2, PRIOR)}
     out |= {"tag=" + x: (1.0, 400.0, 1.0) for x in ("root", "html", "body")}
-    out |= {f"linked={k}": (20.0 * 4**k, 0.0, 20.0 * 4**(4 - k)) for k in range(5)}
+    out |= {"tag=" + x: (2.0, 0.5, 8.0) for x in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption")}
+    out |= {f"linked={k}": x for k, x in enumerate([(10.0, 1.0, 15.0), (10.0, 1.0, 10.0), (20.0, 1.0, 10.0), (60.0, 1.0, 10.0), (200.0, 1.0, 10.0)])}
+    # a few characters say little for content, some hundred say much; the same for sentences
+    out |= {f"size={k}": (12.0, 1.0, 12.0 * 2.0 ** min((k - 5.5) / 3, 3)) for k in range(1, 13)}
+    out |= {f"stops={k}": (12.0, 1.0, 8.0 * 2.0 ** min(k, 2)) for k in range(5)}
+    out |= {"place=first": (15.0, 1.0, 10.0), "place=last": (20.0, 1.0, 10.0)}
+    out |= {f"alike={k}": (10.0 + 3 * k, 1.0, 10.0) for k in range(3, 5)}
     return out
 
 
@@ -275,47 +352,44 @@ def labels_of(page: Page) -> list[int] | None:
 
 
 class Model:
-    """Evidence of each feature for the three states, and the parent-child potential.
+    """Evidence of each feature for the three states, relative to content, and the parent-child potential.
 
-    Names, and the tags with a prior, speak for themselves; other tags carry no evidence of
-    their own, because a tag's use is a matter of the page's template and the sample may
-    hold one template only. They get their state from their parent and their text.
+    ``counts`` has, by feature, the templates (in shares) in which it stands in each state. A prior is a
+    statement about the states alike; learned counts are relative to how often elements or
+    blocks have each state at all.
     """
 
     def __init__(self, counts: dict[str, Sequence[float]], pairs: np.ndarray):
-        nodes = {"tag": np.ones(3), "name": np.ones(3), "text": np.ones(3)}
-        for f, c in counts.items():
-            kind = f.partition("=")[0]
-            if f == "tag=#text":
-                nodes["text"] = np.maximum(np.array(c, float), 1)
-            elif kind == "tag":
-                nodes["tag"] = nodes["tag"] + np.array(c, float)
-        nodes["name"] = nodes["tag"]
+        usual = {True: np.array(counts.get("all=text", (0, 0, 0)), float), False: np.array(counts.get("all=element", (0, 0, 0)), float)}
+        usual = {k: (v + 1) / (v + 1).mean() for k, v in usual.items()}
         prior = prior_counts()
         self.evidence: dict[str, np.ndarray] = {}
         for f in prior.keys() | counts.keys():
-            kind = f.partition("=")[0]
-            if kind == "tag" and f not in prior:
-                continue
-            rate = np.array(counts.get(f, (0, 0, 0)), float) / nodes.get(kind, nodes["text"])
-            e = np.log(LEARNED_WEIGHT * rate + np.array(prior.get(f, (0, 0, 0)), float) + SMOOTH)
-            self.evidence[f] = e - e[CONTENT]
+            text = f.partition("=")[0] in ("size", "linked", "stops", "place", "alike")
+            seen = np.array(counts.get(f, (0, 0, 0)), float)
+            e = np.log(seen / usual[text] + np.array(prior.get(f, (SMOOTH,) * 3), float))
+            self.evidence[f] = np.clip(e - e[CONTENT], -ELEMENT_RANGE, ELEMENT_RANGE)
+        for f in [f for f in self.evidence if f.startswith(("voices", "all=")) or f in ("tag=#text", "tag=-")]:
+            del self.evidence[f]
         self.pair = np.log((pairs + np.array(PAIR_PRIOR)) / (pairs + np.array(PAIR_PRIOR)).sum(axis=1, keepdims=True))
         self.top = np.log(np.array([0.1, 0.8, 0.1]))
 
     def own(self, features: Sequence[str], block: bool) -> np.ndarray:
         out = np.zeros(3)
-        if block:
-            text = sum((self.evidence[f][AWAY_STATE] for f in features if f[:4] in ("size", "stop") and f in self.evidence), 0.0)
-            out[AWAY_STATE] = -np.clip(-text, *TEXT_RANGE)
-            out[MIXED] = -1e3  # a block is content or not
-        for f in features:
-            if f[:4] not in ("size", "stop") and f in self.evidence:
-                e = self.evidence[f]
-                if block:
-                    out[AWAY_STATE] += np.clip(e[AWAY_STATE], -3, 3)
-                else:
-                    out += e
+        if not block:
+            for f in features:
+                if f in self.evidence:
+                    out += self.evidence[f]
+            return out
+        said = {f: self.evidence[f][AWAY_STATE] for f in features if f in self.evidence}
+        linked = sum(e for f, e in said.items() if f.startswith("linked="))
+        rest = min(sum(said.values()) - linked, AGAINST_CONTENT)
+        within = next((f.split("=") for f in features if f.startswith("voices")), None)
+        if within and within[0] == "voices_here":
+            rest = rest / int(within[1]) if rest > 0 else rest
+        most = FOR_CONTENT / int(within[1]) if within and within[0] == "voices_away" else FOR_CONTENT
+        out[AWAY_STATE] = max(linked + rest, -most)
+        out[MIXED] = -1e3  # a block is content or not
         return out
 
     def marginals(self, pages: Sequence[Page]) -> np.ndarray:
@@ -353,7 +427,7 @@ class Model:
 
 
 def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Counts over a sample of about ``sample_pages`` pages, cut by a hash of id and page."""
+    """Shares by template over a sample of about ``sample_pages`` pages, cut by a hash of id and page."""
     total = pages.count()
     rows = pages.select(F.col(html).cast("string").alias("html"), F.col(id_column).cast("string").alias("id"))
     if total > sample_pages:
@@ -361,22 +435,26 @@ def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", samp
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], int] = {}
+            out: list[tuple[int, str, int, float]] = []
             for source in batch.column(0):
                 page = parse(source.as_py() or "")
                 labels = labels_of(page)
                 if labels is None:
                     continue
+                found: dict[str, list[int]] = {}
                 for i, y in enumerate(labels):
-                    for f in page.features[i]:
-                        found[f, y] = found.get((f, y), 0) + 1
+                    named = [*page.features[i], "all=element" if page.text[i] is None else "all=text"]
                     if i:
-                        key = (f"pair={labels[page.parent[i]]}", y)
-                        found[key] = found.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
-                                              pa.array(list(found.values()), pa.int64())], names=["f", "y", "n"])
-
-    got = A.small_batches(rows.select("html")).mapInArrow(count, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect()
+                        named.append(f"pair={labels[page.parent[i]]}")
+                    for f in named:
+                        found.setdefault(f, [0, 0, 0])[y] += 1
+                template = template_of(page)
+                out += [(template, f, y, n / sum(c)) for f, c in found.items() for y, n in enumerate(c)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int32()),
+                                              pa.array([r[3] for r in out], pa.float64())], names=["template", "f", "y", "share"])
+
+    by_template = A.small_batches(rows.select("html")).mapInArrow(count, "template long, f string, y int, share double").groupBy("template", "f", "y").agg(F.avg("share").alias("share"))
+    got = by_template.groupBy("f", "y").agg(F.sum("share").alias("n")).collect()  # the features of about sample_pages pages
     counts: dict[str, list[float]] = {}
     pairs = np.zeros((3, 3))
     for r in got:

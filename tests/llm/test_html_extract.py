@@ -35,6 +35,26 @@ OTHER = {
 }
 
 
+LONG = "This paragraph has enough words to be read as running text. It even has a second sentence, and a third. Here it is."
+#: Layouts labelled by hand: (page, main text).
+LABELLED = {
+    "names_about_the_page": (f"<body><article class='post has-sidebar category-ads'><h1>Title</h1><p>{LONG}</p><p>Short.</p></article>", f"Title {LONG} Short."),
+    "parts_of_the_article": (f"<article><h1>T</h1><p class='legal'>Section 4 applies.</p><div class='tags'>one, two</div><div class='side-by-side'><p>Left.</p><p>Right.</p></div><p>{LONG}</p></article>",
+                             f"T Section 4 applies. one, two Left. Right. {LONG}"),
+    "header_of_the_article": (f"<body><header><p>My site</p></header><article><header><h1>The title</h1><p>By someone.</p></header><p>{LONG}</p></article>", f"The title By someone. {LONG}"),
+    "plain_divs": (f"<html><body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div><div>All rights reserved</div></body></html>",
+                   f"The title {LONG} {LONG}"),
+    "tables": (f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td><h2>The title</h2>{LONG} {LONG}<br>{LONG}</td></tr><tr><td>All rights reserved</td></tr></table>",
+               f"The title {LONG} {LONG} {LONG}"),
+    "columns": (f"<body class='has-sidebar'><div class='site-header'><p>The site of someone. Welcome here.</p></div><div class='row'><div class='col-8'><h1>The title</h1><p>{LONG}</p><ul><li>one</li>"
+                f"<li>two</li></ul><p>{LONG}</p></div><div class='col-4 sidebar-area'><h3>Popular</h3><p>Another post. Read it.</p></div></div><div id='cookie-notice'>We use cookies. Accept them.</div>",
+                f"The title {LONG} one two {LONG}"),
+    "blog": (f"<div id=page><ul class=main-menu><li><a href=1>One</a><li><a href=2>Two</a></ul><div class='entry-content'><p>{LONG}</p><blockquote>Quoted words.</blockquote></div>"
+             f"<ol class=commentlist><li><p>{LONG}</p></li></ol><div class='search-form'><p>Search this site. Go.</p></div><div class=footer-widget><p>{LONG}</p></div></div>", f"{LONG} Quoted words."),
+    "menu_without_links": (f"<body><ul><li>Home</li><li>News</li><li>Contact</li><li>About</li><li>Jobs</li></ul><div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div>", f"The title {LONG} {LONG}"),
+}
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rng = random.Random(4)
@@ -68,6 +88,33 @@ def test_other_layouts(model, name):
     assert want is None or got == want
 
 
+@pytest.mark.parametrize("name", LABELLED)
+def test_labelled_layouts(model, name):
+    """By a model that has seen one template only, which has none of these forms."""
+    source, want = LABELLED[name]
+    p = H.parse(source)
+    got = " ".join(t for t, c in zip(p.text, model.marginals([p]), strict=True) if t is not None and c > 0.5)
+    assert got == want
+
+
+def test_names_are_read_as_a_whole():
+    assert [H.named_part(x) for x in ("sidebar", "site-nav", "cookie_notice", "comments-area", "footerLinks".lower(), "has-sidebar", "category-ads", "side-by-side", "header-image", "adsense", "col-4")] == [
+        "sidebar", "nav", "notice", "comments", None, None, None, None, None, None, None]
+
+
+def test_many_templates_overrule_a_prior(spark):
+    """Pages of many templates whose article is a part called ad."""
+    rng = random.Random(6)
+    rows = [(i, f"<body><div class=x{i}><p>{prose(rng, 4)}</p></div><main><div class='ad'><p>{prose(rng, 30)}. {prose(rng, 20)}.</p></div></main>") for i in range(150)]
+    docs = spark.createDataFrame(rows, "page_id long, html string")
+    before, after = H.Model({}, np.zeros((3, 3))), H.train(docs)
+    assert before.evidence["part=ad"][H.AWAY_STATE] > 4
+    counts = {"part=ad": (0.0, 0.0, 150.0)}
+    assert H.Model(counts, np.zeros((3, 3))).evidence["part=ad"][H.AWAY_STATE] < 0 < after.evidence["part=ad"][H.AWAY_STATE] + 5
+    one = [H.template_of(H.parse(h)) for _, h in rows[:2]]
+    assert one[0] != one[1] and H.template_of(H.parse("<p class=a>x")) == H.template_of(H.parse("<p class=a>y z<p class=a>."))
+
+
 BODY = "<article><h1>Title</h1><p>First text. Of the page.</p><p>Second text. The end.</p></article>"
 UNCLOSED = {
     "head": "<html><head><title>t</title><meta charset=x>" + BODY, "head_body": "<html><head><title>t</title><body>" + BODY + "</body></html>",
