@@ -30,11 +30,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsmill.session import bounded
+
 FIXED_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SAMPLE_URLS = 60_000
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.002, 0.9, 1.2, 3
 LABEL = "verdict="
 OPEN = "open"
+MOST_RULES = 100_000  # rules that may be broadcast; more are joined
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -106,12 +109,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 def recount(urls: DataFrame, rules: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """``rules`` with support and confidence over all ``urls`` (tokens, label), those that still pass."""
-    totals = urls.groupBy(F.col("label").alias("t_label")).agg(F.count(F.lit(1)).alias("t")).checkpoint()  # a row a label
+    urls = urls.groupBy(F.array_sort("tokens").alias("tokens"), "label").agg(F.count(F.lit(1)).alias("times"))  # a hot host has few token sets
+    totals = urls.groupBy(F.col("label").alias("t_label")).agg(F.sum("times").alias("t")).checkpoint()  # a row a label
     n = totals.agg(F.sum("t")).first()[0] or 0
     side = rules.select("key", F.col("tokens").alias("r_tokens"), F.col("label").alias("r_label"))
-    hits = (urls.select(F.col("tokens").alias("own"), F.col("label").alias("own_label"), F.explode("tokens").alias("key")).join(side, "key")
+    hits = (urls.select(F.col("tokens").alias("own"), F.col("label").alias("own_label"), "times", F.explode("tokens").alias("key")).join(bounded(side, MOST_RULES), "key")
             .filter(F.size(F.array_except("r_tokens", "own")) == 0))
-    counted = hits.groupBy("key", "r_tokens", "r_label").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("own_label") == F.col("r_label")).alias("right"))
+    counted = hits.groupBy("key", "r_tokens", "r_label").agg(F.sum("times").alias("held"), F.sum(F.when(F.col("own_label") == F.col("r_label"), F.col("times")).otherwise(0)).alias("right"))
     share = F.col("t") / F.lit(float(max(n, 1)))
     x = counted.join(F.broadcast(totals), F.col("r_label") == F.col("t_label"))
     x = x.select(F.col("r_tokens").alias("tokens"), F.col("r_label").alias("label"), (F.col("right") / F.lit(float(max(n, 1)))).alias("support"), (F.col("right") / F.col("held")).alias("confidence"),
