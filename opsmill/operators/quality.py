@@ -212,4 +212,45 @@ def dataset_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_dist
     return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
 
 
+def profile_run(df: DataFrame, run: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """Q15 / A2: one pass over a run's (or a partition's) rows: a row a column with counts, nulls, least and
+    greatest value, and two mergeable sketches: HyperLogLog of the values, KLL of numeric ones.
+
+    Append the rows to a history table; ``merged_profile`` profiles any union of runs from them without
+    reading the data again. Each partition is sketched where it is and only sketches are merged."""
+    cols = list(cols or df.columns)
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType,))}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), F.min(c).cast("string").alias(f"min_{i}"), F.max(c).cast("string").alias(f"max_{i}"),
+                 F.hll_sketch_agg(F.col(c).cast("string"), 14).alias(f"hll_{i}")]
+        if c in numeric:
+            aggs += [F.kll_sketch_agg_double(F.col(c).cast("double")).alias(f"kll_{i}"), F.min(F.col(c).cast("double")).alias(f"low_{i}"), F.max(F.col(c).cast("double")).alias(f"high_{i}")]
+    none, gone = F.lit(None).cast("binary"), F.lit(None).cast("double")
+    parts = [F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), F.col(f"nulls_{i}").alias("nulls"), F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"),
+                      (F.col(f"low_{i}") if c in numeric else gone).alias("low"), (F.col(f"high_{i}") if c in numeric else gone).alias("high"),
+                      F.col(f"hll_{i}").alias("hll"), (F.col(f"kll_{i}") if c in numeric else none).alias("kll")) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(F.lit(run).alias("run"), F.explode(F.array(*parts)).alias("x")).select("run", "x.*")
+
+
+def merged_profile(history: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), runs: Sequence[str] | None = None) -> DataFrame:
+    """Q15 / A2: the profile of a union of runs from their stored rows: exact counts, nulls and bounds,
+    estimated distinct values (standard error about 1 %) and quantiles of numeric columns (rank error
+    about 1 %). Bounds of numeric columns compare as numbers. The last row of a run and column that was written
+    twice counts (an appended rerun replaces the run)."""
+    h = history if runs is None else history.filter(F.col("run").isin(*runs))
+    if "written_at" in history.columns:
+        h = h.groupBy("run", "column").agg(F.max_by(F.struct(*[c for c in h.columns if c not in ("run", "column")]), "written_at").alias("x")).select("run", "column", "x.*")
+    g = h.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min("min").alias("min"), F.max("max").alias("max"), F.min("low").alias("low"), F.max("high").alias("high"),
+                                F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("distinct"), F.kll_merge_agg_double("kll").alias("kll"), F.count("kll").alias("sketches"))
+    known = (F.col("sketches") > 0) & (F.col("nulls") < F.col("rows"))
+    marks = [F.when(known, F.kll_sketch_get_quantile_double(F.col("kll"), F.lit(float(q)))).alias(f"q{round(100 * q)}") for q in quantiles]
+    return g.select("column", "rows", "nulls", "min", "max", "low", "high", "distinct", *marks)
+
+
+def append_profile(df: DataFrame, run: str, path: str, cols: Sequence[str] | None = None) -> None:
+    """Append a run's profile rows, with the time of writing, to the history table at ``path``."""
+    profile_run(df, run, cols).withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 _SAFE = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")

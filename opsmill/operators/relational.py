@@ -307,6 +307,75 @@ def cidr_bounds(df: DataFrame, cidr_col: str) -> DataFrame:
     return df.withColumn("net_lo", lo.cast("long")).withColumn("net_hi", (lo + size).cast("long"))
 
 
+def ip_address(col: Column) -> Column:
+    """J16 helper: an IPv4 or IPv6 address as (family, hi, lo): 4 or 6 and its bits in two longs (IPv4 in
+    the low 32 bits of ``lo``); null if it is neither. ``::`` and a dotted last part are understood."""
+    from opsmill.functions.source_code import let
+
+    def with_dotted_end(text: Column) -> Column:
+        """A dotted last part of an IPv6 text becomes two groups."""
+        dotted = F.regexp_extract(text, r"^(?=.*:)[0-9a-f:]*:((?:\d{1,3}\.){3}\d{1,3})$", 1)
+        return F.when(dotted == "", text).otherwise(let(ipv4_to_long(dotted), lambda v: F.concat(
+            F.regexp_replace(text, r"[0-9.]+$", ""), F.lower(F.hex(F.shiftright(v, 16))), F.lit(":"), F.lower(F.hex(v.bitwiseAND(F.lit(65535)))))))
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":", -1), lambda g: g != "")
+
+    def eight(text: Column) -> Column:
+        """The eight groups; null where the text is no IPv6 address."""
+        sides = F.split(text, "::", -1)
+        whole = let(F.array(groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))), lambda g: F.when(F.size(sides) == 1, g[0]).otherwise(
+            F.concat(g[0], F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(g[0]) - F.size(g[1]), F.lit(0))), g[1])))
+        fits = text.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~text.rlike(r"^:[^:]|[^:]:$|:::") & (F.size(sides) <= 2)
+        return F.when(fits, let(whole, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: F.length(x) <= 4), g)))
+
+    def half(g: Column, start: int) -> Column:
+        return F.aggregate(F.slice(g, start, 4), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 16).bitwiseOR(F.conv(x, 16, 10).cast("long")))
+
+    def parse(text: Column) -> Column:
+        v4 = F.struct(F.lit(4).alias("family"), F.lit(0).cast("long").alias("hi"), ipv4_to_long(text).alias("lo"))
+        v6 = let(eight(with_dotted_end(text)), lambda g: F.when(g.isNotNull(), F.struct(F.lit(6).alias("family"), half(g, 1).alias("hi"), half(g, 5).alias("lo"))))
+        return F.when(text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"), v4).otherwise(v6)
+
+    return let(F.lower(F.trim(col)), parse)
+
+
+def _masked(hi: Column, lo: Column, family: Column, length: Column) -> tuple[Column, Column]:
+    """The first ``length`` bits of an address, the others zero."""
+    bits = F.when(family == 4, F.lit(96) + length).otherwise(length)  # IPv4 stands in the last 32 of 128 bits
+
+    def keep(value: Column, n: Column) -> Column:
+        return F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, value).otherwise(value.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - n).cast("int"))))
+
+    return keep(hi, bits), keep(lo, bits - 64)
+
+
+def longest_prefix_join(addresses: DataFrame, networks: DataFrame, ip: str, cidr: str) -> DataFrame:
+    """Every address with the most specific network (CIDR, IPv4 or IPv6) that contains it.
+
+    An equi-join on (family, prefix length, masked address): each different address is masked once for
+    every prefix length that the networks use (at most 33 + 129, read as a table), so there is no nested
+    loop and no range comparison whatever the number of networks. Of equal networks the
+    smallest row (by its columns) wins. Addresses without a network, and texts that are no
+    address, keep their row with nulls; networks that cannot be read match nothing."""
+    parts = F.split(F.col(cidr), "/")
+    nets = networks.select(F.struct(*networks.columns).alias("net"), ip_address(F.get(parts, F.lit(0))).alias("a"), F.get(parts, F.lit(1)).cast("int").alias("len"))
+    nets = cut_lineage(nets)
+    most = F.when(F.col("a.family") == 4, 32).otherwise(128)
+    nets = nets.withColumn("len", F.coalesce("len", most)).filter(F.col("a").isNotNull() & F.col("len").between(0, most))
+    hi, lo = _masked(F.col("a.hi"), F.col("a.lo"), F.col("a.family"), F.col("len"))
+    nets = nets.select(F.col("a.family").alias("family"), "len", hi.alias("hi"), lo.alias("lo"), "net").groupBy("family", "len", "hi", "lo").agg(F.min("net").alias("net"))
+    nets = cut_lineage(nets)
+    lengths = nets.groupBy("family").agg(F.collect_set("len").alias("lens"))  # two rows, at most 129 lengths each
+    own = cut_lineage(addresses.select(F.col(ip).alias("ip")).distinct().withColumn("a", ip_address(F.col("ip"))).filter("a is not null"))
+    own = own.select("ip", "a.*").join(F.broadcast(lengths), "family").select("ip", "family", "hi", "lo", F.explode("lens").alias("len"))
+    hi, lo = _masked(F.col("hi"), F.col("lo"), F.col("family"), F.col("len"))
+    hit = own.select("ip", "family", "len", hi.alias("hi"), lo.alias("lo")).join(nets, ["family", "len", "hi", "lo"])
+    best = hit.groupBy(F.col("ip").alias("__ip")).agg(F.max_by("net", "len").alias("__net"))
+    j = addresses.join(best, F.col(ip) == F.col("__ip"), "left")
+    return j.select(*[addresses[c] for c in addresses.columns], *[F.col(f"__net.{c}").alias(c) for c in networks.columns])
+
+
 def as_of_state(events: DataFrame, key: str, ts: str, value_cols: Sequence[str], as_of: str) -> DataFrame:
     """State of each stream at time X = the last event at or before X (``max_by``)."""
     cut = events.filter(F.col(ts) <= F.to_timestamp(F.lit(as_of)))

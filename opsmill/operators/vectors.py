@@ -4,7 +4,7 @@ Exact top-k similarity: the queries are broadcast in blocks of bounded size; eve
 partition of the vector table computes ``X @ Q.T`` with numpy inside ``mapInPandas`` and
 keeps only its local top-k per query, and a window over those few candidates gives the
 global top-k. No (vector, query) pair table is ever materialised. For large query sets
-use ``ann_search`` (sign sketches with exact re-ranking of the nearest share).
+use the inverted-list index of ``vector_index`` (``ann_search`` builds and searches one).
 """
 
 from __future__ import annotations
@@ -86,66 +86,18 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, q
     return local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5, bits: int = 1024,
-               share: float = 0.08, seed: int = 7, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """V2: approximate neighbours by sign sketches, with exact cosine re-ranking.
+def ann_search(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, query_id: str, query_vec: str, k: int = 5, lists: int | None = None,
+               probe_share: float = 0.65, rerank: int = 40) -> DataFrame:
+    """V2: approximate neighbours: build an inverted-list index in the shared scratch folder and search it
+    once. Keep the index (``vector_index.build`` and ``search``) where more queries follow. Recall is
+    measured against ``cosine_topk``. Result: (query, vector, similarity, rank, candidates), the last
+    being the number of full vectors that were read for the query."""
+    from opsmill.operators import vector_index
+    from opsmill.session import scratch_path
 
-    Every vector is reduced to the signs of ``bits`` random projections; the share of equal
-    signs of two sketches estimates their angle. Each task orders its vectors by that
-    estimate and takes the exact cosine of the nearest ``share`` only, so at most that part
-    of all (query, vector) pairs are candidates, whatever the partitioning. Every vector is
-    looked at by its sketch, so no cell or bucket hides a neighbour; recall is measured
-    against ``cosine_topk``. Result: (query, vector, similarity, rank, candidates), the last
-    being the number of vectors that were re-ranked for the query."""
-    sc = vectors.sparkSession.sparkContext
-    q_type, v_type = queries.schema[query_id].dataType, vectors.schema[vec_id].dataType
-    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(vec_id, v_type), T.StructField("similarity", T.DoubleType()),
-                           T.StructField("looked", T.LongType())])
-
-    def block_search(ids: list, rows: list) -> DataFrame:
-        matrix = np.array(rows, dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bits))
-        signs = np.where(matrix @ planes >= 0, 1, -1).astype(np.float32)
-        shared = sc.broadcast((ids, matrix, planes, signs))
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, q, p, s = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                own = pdf[vec_id].to_numpy()
-                agree = np.where(x @ p >= 0, 1, -1).astype(np.float32) @ s.T
-                m = max(1, int(share * len(own)))
-                for j in range(len(qids)):
-                    near = np.argpartition(-agree[:, j], m - 1)[:m]
-                    exact = x[near] @ q[j]
-                    order = np.lexsort((own[near], -exact))[:k]
-                    yield pd.DataFrame({query_id: [qids[j]] * len(order), vec_id: own[near][order], "similarity": exact[order],
-                                        "looked": [m] + [0] * (len(order) - 1)})
-
-        return vectors.select(vec_id, vec).mapInPandas(local, schema)
-
-    parts, ids, rows = [], [], []
-    for r in queries.select(query_id, query_vec).toLocalIterator():  # a block at a time on the driver
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == query_block:
-            parts.append(block_search(ids, rows))
-            ids, rows = [], []
-    if ids:
-        parts.append(block_search(ids, rows))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema).select(
-            query_id, vec_id, "similarity", F.lit(0).cast("long").alias("rank"), F.col("looked").alias("candidates"))
-    found = parts[0]
-    for p_ in parts[1:]:
-        found = found.unionByName(p_)
-    w = Window.partitionBy(query_id)
-    ranked = found.withColumn("rank", F.row_number().over(w.orderBy(F.col("similarity").desc(), F.col(vec_id).asc())).cast("long"))
-    return ranked.withColumn("candidates", F.sum("looked").over(w)).drop("looked").filter(F.col("rank") <= k)
+    path = scratch_path(vectors.sparkSession, "vector-index")
+    vector_index.build(vectors, vec_id, vec, path, lists)
+    return vector_index.search(path, vectors, queries, vec_id, vec, query_id, query_vec, k, probe_share, rerank)
 
 
 def composite_rank(df: DataFrame, similarity: str, age_days: str, weight: str, w_sim: float = 0.6, w_age: float = 0.25,

@@ -110,3 +110,44 @@ def q_s12(spark, sf):
     ex = S.export_user_data(req, "user_id", {"orders": (t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey"),
                                              "events": (t.events.select("user_id", "event_id", "event_type"), "user_id")})
     return ex.select("user_id", F.size("orders").cast("long").alias("n_orders"), F.size("events").cast("long").alias("n_events"))
+
+
+def _export_inputs(spark, sf):
+    t = Tables(spark, sf)
+    req = t.customer.filter(F.col("c_acctbal") < -990).select(F.col("c_custkey").alias("user_id"))
+    return req, {"orders": (t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey"), "events": (t.events.select("user_id", "event_id", "event_type"), "user_id")}
+
+
+@register("s12_export_xml", sql="""
+WITH req AS (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal < -990)
+SELECT user_id, (SELECT count(*) FROM orders WHERE o_custkey = user_id) AS n_orders, (SELECT count(*) FROM events WHERE events.user_id = req.user_id) AS n_events,
+  coalesce((SELECT sum(o_orderkey) FROM orders WHERE o_custkey = user_id), 0)::BIGINT AS order_keys FROM req
+""")
+def q_s12_xml(spark, sf):
+    """The export of all requested users written as XML in parts of about eight rows and read back."""
+    from opsmill.session import scratch_path
+
+    req, sources = _export_inputs(spark, sf)
+    path = scratch_path(spark, "export")
+    S.write_user_export(req, "user_id", sources, path, "xml", rows_per_part=8)
+    schema = ("user_id long, part int, orders array<struct<o_orderkey:long,o_totalprice:double>>, events array<struct<event_id:long,event_type:string>>")
+    back = spark.read.format("xml").option("rowTag", "user").schema(schema).load(path)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    keys = F.coalesce(F.aggregate("orders", F.lit(0).cast("long"), lambda s, x: s + x["o_orderkey"]), F.lit(0))
+    return back.groupBy("user_id").agg(F.sum(F.greatest(size("orders"), F.lit(0))).alias("n_orders"), F.sum(F.greatest(size("events"), F.lit(0))).alias("n_events"), F.sum(keys).alias("order_keys"))
+
+
+@register("s12_export_csv", sql="""
+WITH req AS (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal < -990)
+SELECT user_id, 'orders' AS source, 'o_orderkey' AS field, CAST(o_orderkey AS VARCHAR) AS value FROM req JOIN orders ON o_custkey = user_id
+UNION ALL SELECT req.user_id, 'events', f, CASE f WHEN 'event_id' THEN CAST(event_id AS VARCHAR) ELSE event_type END FROM req JOIN events ON events.user_id = req.user_id, (VALUES ('event_id'), ('event_type')) v(f)
+""")
+def q_s12_csv(spark, sf):
+    """The flattened export written as CSV and read back (prices, whose texts differ by engine, aside)."""
+    from opsmill.session import scratch_path
+
+    req, sources = _export_inputs(spark, sf)
+    path = scratch_path(spark, "export")
+    S.write_user_export(req, "user_id", sources, path, "csv")
+    back = spark.read.option("header", True).option("escape", '"').schema("user_id long, source string, record string, field string, value string").csv(path)
+    return back.filter("field <> 'o_totalprice'").select("user_id", "source", "field", "value")

@@ -293,6 +293,35 @@ def q_v10(spark, sf):
     return comps.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
 
 
+#: Two sources of people: all customers, and a third of them again with errors among the suppliers (who are others).
+_LETTERS = "translate(substr(md5({0}), {1}, {2}), '0123456789', 'ghijklmnop')"
+_PEOPLE_A = f"""SELECT c_custkey AS a_id, {_LETTERS.format("concat(CAST(c_custkey AS STRING), 'g')", 1, 6)} AS given, {_LETTERS.format("CAST(c_custkey AS STRING)", 1, 9)} AS surname,
+  {_LETTERS.format("concat(CAST(floor(c_custkey / 2) AS STRING), 's')", 1, 10)} AS street, CAST(c_nationkey AS STRING) AS nation, c_acctbal AS balance FROM customer"""
+_PEOPLE_B = f"""SELECT a_id + 1000000000 AS b_id, CASE WHEN a_id % 5 = 2 THEN NULL ELSE given END AS given,
+  CASE a_id % 5 WHEN 1 THEN concat(substr(surname, 1, 3), 'z', substr(surname, 5, 5)) WHEN 3 THEN concat(substr(surname, 2, 1), substr(surname, 1, 1), substr(surname, 3, 7)) ELSE surname END AS surname,
+  CASE WHEN a_id % 5 = 4 THEN substr(street, 1, 9) ELSE street END AS street, CASE WHEN a_id % 7 = 0 THEN NULL ELSE nation END AS nation,
+  CASE WHEN a_id % 5 = 4 THEN round(balance, 0) ELSE balance END AS balance FROM people_a WHERE a_id % 3 = 0
+UNION ALL SELECT s_suppkey, {_LETTERS.format("concat(CAST(s_suppkey AS STRING), 'sg')", 1, 6)}, {_LETTERS.format("concat(CAST(s_suppkey AS STRING), 'sn')", 1, 9)},
+  {_LETTERS.format("concat(CAST(s_suppkey AS STRING), 'ss')", 1, 10)}, CAST(s_nationkey AS STRING), s_acctbal FROM supplier"""
+
+
+@register("v10_entity_linkage", sql="SELECT count(*) AS planted, true AS recall_reached, true AS precision_reached FROM customer WHERE c_custkey % 3 = 0")
+def q_v10_linkage(spark, sf):
+    """Customers found again in another source by learned weights: recall and precision of at least 0.9."""
+    from opsmill.operators import linkage as LK
+
+    t = Tables(spark, sf)
+    a = spark.sql(_PEOPLE_A.replace("FROM customer", "FROM {customer}"), customer=t.customer)
+    b = spark.sql(_PEOPLE_B.replace("FROM people_a", "FROM {people_a}").replace("FROM supplier", "FROM {supplier}"), people_a=a, supplier=t.supplier)
+    passes = [[F.substring("surname", 1, 3), F.col("nation"), F.col("given")], [F.substring("street", 1, 6), F.substring("given", 1, 3), F.col("surname")],
+              [F.substring("surname", 5, 5), F.col("street")]]
+    links = LK.link_entities(a, b, "a_id", "b_id", {"given": "text", "surname": "text", "street": "text", "nation": "text", "balance": "number"}, passes)
+    right = F.count_if(F.col("b_id") == F.col("a_id") + 1000000000)
+    planted = a.filter("a_id % 3 = 0").agg(F.count(F.lit(1)).alias("planted"))
+    return planted.crossJoin(links.agg(F.count(F.lit(1)).alias("links"), right.alias("right"))).select(  # one row each
+        "planted", (F.col("right") >= 0.9 * F.col("planted")).alias("recall_reached"), (F.col("right") >= 0.9 * F.col("links")).alias("precision_reached"))
+
+
 @register("c13_cross_reference", sql="""
 WITH paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
 links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)', 1)) AS target FROM pages)
@@ -329,6 +358,31 @@ def q_f9(spark, sf):
     return s.orderBy(F.col("score").desc(), "doc_id").limit(10).select("doc_id", r("score", 6).alias("score"))
 
 
+@register("f9_boolean_search", sql="""
+WITH toks AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+c AS (SELECT doc_id, t, len(list_filter(t, lambda w: w = 'license')) AS l, len(list_filter(t, lambda w: w = 'software')) AS s, len(list_filter(t, lambda w: w = 'the')) AS e,
+  len(list_filter(t, lambda w: w = 'of')) AS o, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS p FROM toks)
+SELECT 'license & software' AS query, doc_id, CAST(l + s AS BIGINT) AS hits FROM c WHERE l > 0 AND s > 0
+UNION ALL SELECT 'license | !the', doc_id, CAST(l + e AS BIGINT) FROM c WHERE l > 0 OR e = 0
+UNION ALL SELECT 'of <-> the', doc_id, CAST(o + e AS BIGINT) FROM c WHERE p > 0
+UNION ALL SELECT '!(license | software) & (the <2> of)', doc_id, CAST(l + s + e + o AS BIGINT) FROM c WHERE l = 0 AND s = 0
+  AND len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'the' AND t[i + 2] = 'of')) > 0
+""")
+def q_f9_boolean(spark, sf):
+    """A positional index of all documents, written once, and four searches on it."""
+    from opsmill.operators import textsearch as TS
+    from opsmill.session import scratch_path
+
+    docs = Tables(spark, sf).documents.select("doc_id", "text")
+    path = scratch_path(spark, "postings")
+    TS.write_postings(docs, path)
+    index, out = spark.read.parquet(path), None
+    for query in ("license & software", "license | !the", "of <-> the", "!(license | software) & (the <2> of)"):
+        found = TS.search(index, query, docs).select(F.lit(query).alias("query"), "doc_id", "hits")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("v8_chunk_overlap", sql="""
 WITH c AS (SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 800)) AS start, text FROM documents),
 k AS (SELECT doc_id, start, substr(text, start + 1, 1000) AS chunk FROM c

@@ -191,6 +191,31 @@ def q_q15(spark, sf):
     return Q.dataset_profile(c, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], exact_distinct=True)
 
 
+@register("q15_profile_history", sql="""
+WITH x AS (SELECT 'l_quantity' AS "column", CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_partkey', l_partkey FROM lineitem)
+SELECT "column", count(*) AS rows, count(*) - count(v) AS nulls, min(v) AS low, max(v) AS high, true AS distinct_close, true AS quartiles_close FROM x GROUP BY 1
+""")
+def q_q15_history(spark, sf):
+    """One profile run a return flag, appended to a history table; the whole table's profile from the stored
+    sketches, held against a full pass (4 % on distinct values, 3 % of the rows on the quartiles' ranks)."""
+    from opsmill.session import scratch_path
+
+    li = Tables(spark, sf).lineitem.select("l_returnflag", "l_quantity", "l_partkey")
+    path = scratch_path(spark, "profiles")
+    for flag in ("A", "N", "R"):
+        Q.append_profile(li.filter(F.col("l_returnflag") == flag), flag, path, ["l_quantity", "l_partkey"])
+    merged = Q.merged_profile(spark.read.parquet(path))
+    quartiles = merged.select("column", F.array("q25", "q50", "q75").alias("q"))
+    x = li.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in ("l_quantity", "l_partkey")])).alias("x")).select("x.*")
+    below = x.join(F.broadcast(quartiles), "column").groupBy("column").agg(  # two rows
+        F.countDistinct("v").alias("exact"), *[F.count_if(F.col("v") < F.col("q")[i]).alias(f"lt{i}") for i in range(3)], *[F.count_if(F.col("v") <= F.col("q")[i]).alias(f"le{i}") for i in range(3)])
+    j = merged.join(below, "column")
+    close = F.lit(True)
+    for i, share in enumerate((0.25, 0.5, 0.75)):
+        close = close & (F.col(f"lt{i}") <= (share + 0.03) * F.col("rows")) & (F.col(f"le{i}") >= (share - 0.03) * F.col("rows"))
+    return j.select("column", "rows", "nulls", "low", "high", (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.04).alias("distinct_close"), close.alias("quartiles_close"))
+
+
 # ----------------------------------------------------------------------------- M
 @register("m1_counter_rate", sql=sql_with("metric_samples") + f"""
 , inc AS (SELECT service, ts, CASE WHEN lag(counter_value) OVER w IS NULL THEN 0 WHEN counter_value < lag(counter_value) OVER w THEN counter_value

@@ -959,6 +959,38 @@ def q_u5(spark, sf):
     return rel.closure(edges, "src", "dst").select("src", "dst", F.col("depth").cast("int").alias("depth"), "cycle")
 
 
+# Networks of both families for the longest-prefix join; the twin compares hexadecimal digits (IPv6) and numbers (IPv4).
+NETWORKS_BOTH = [("0.0.0.0/0", "any4"), ("128.0.0.0/1", "upper-half"), ("152.0.0.0/7", "seven"), ("152.143.0.0/16", "office"), ("2001:db8::/32", "documentation"),
+                 ("2001:db8:a000::/36", "a"), ("2001:DB8:AB00::/40", "ab"), ("2001:db8:abc0:0::/44", "abc"), ("::ffff:0:0/96", "mapped")]
+_V6 = "concat('20010db8', substr(md5(CAST(doc_id AS {0})), 1, 24))"
+_GROUPS = " || ':' || ".join(f"substr(h, {i}, 4)" for i in range(1, 33, 4))
+
+
+@register("j16_longest_prefix", sql=f"""
+WITH v4 AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}})(?:$|[^0-9.])', 1)) AS ip FROM documents),
+n4 AS (SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS n,
+  list_max([CAST(x AS INTEGER) for x in string_split(ip, '.')]) <= 255 AND ip NOT LIKE '%.0_%' AND ip NOT LIKE '0_%' AS ok FROM v4),
+v6 AS (SELECT doc_id, h, {_GROUPS} AS ip FROM (SELECT doc_id, {_V6.format("VARCHAR")} AS h FROM documents)),
+nets4(cidr, name, base, len) AS (VALUES ('0.0.0.0/0', 'any4', 0, 0), ('128.0.0.0/1', 'upper-half', 2147483648, 1), ('152.0.0.0/7', 'seven', 2550136832, 7), ('152.143.0.0/16', 'office', 2559508480, 16)),
+nets6(name, start) AS (VALUES ('documentation', '20010db8'), ('a', '20010db8a'), ('ab', '20010db8ab'), ('abc', '20010db8abc')),
+hits AS (
+  SELECT doc_id, ip, name, len FROM n4 JOIN nets4 ON n4.ok AND n // CAST(pow(2, 32 - len) AS BIGINT) = base // CAST(pow(2, 32 - len) AS BIGINT)
+  UNION ALL SELECT doc_id, ip, name, 4 * length(start) FROM v6 JOIN nets6 ON starts_with(h, start)),
+every AS (SELECT doc_id, ip FROM n4 UNION ALL SELECT doc_id, ip FROM v6)
+SELECT e.doc_id, e.ip, coalesce(arg_max(h.name, h.len), '-') AS name, count(DISTINCT h.name) AS containing
+FROM (SELECT DISTINCT doc_id, ip FROM every) e LEFT JOIN hits h ON h.doc_id = e.doc_id AND h.ip = e.ip GROUP BY e.doc_id, e.ip
+""".replace("SELECT e.doc_id, e.ip, coalesce(arg_max(h.name, h.len), '-') AS name, count(DISTINCT h.name) AS containing", "SELECT e.doc_id, e.ip, coalesce(arg_max(h.name, h.len), '-') AS name"))
+def q_j16_prefix(spark, sf):
+    """Addresses in the documents, and one IPv6 address a document, with their most specific network."""
+    d = Tables(spark, sf).documents
+    found = F.regexp_extract_all("text", F.lit(r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])"), 1)
+    v4 = d.select("doc_id", F.explode(found).alias("ip"))
+    v6 = d.selectExpr("doc_id", _V6.format("STRING") + " AS h").selectExpr("doc_id", _GROUPS + " AS ip")
+    nets = spark.createDataFrame(NETWORKS_BOTH, "cidr string, name string")
+    out = rel.longest_prefix_join(v4.unionByName(v6).distinct(), nets, "ip", "cidr")
+    return out.select("doc_id", "ip", F.coalesce("name", F.lit("-")).alias("name"))
+
+
 # Networks for the containment check (a small literal table, broadcast).
 NETWORKS = [("10.0.0.0/8", "private-a"), ("70.0.0.0/8", "seventy"), ("152.143.0.0/16", "office"), ("233.233.0.0/16", "partner"),
             ("0.0.0.0/1", "lower-half")]

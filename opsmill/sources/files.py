@@ -143,3 +143,54 @@ def export_user_data(requests: DataFrame, user: str, sources: dict[str, tuple[Da
         empty = F.array().cast(nested.schema[name].dataType)
         out = out.join(nested, user, "left").withColumn(name, F.coalesce(F.col(name), empty))
     return out.withColumn("export_json", F.to_json(F.struct(*[c for c in out.columns])))
+
+
+def export_user_parts(requests: DataFrame, user: str, sources: dict[str, tuple[DataFrame, str]], rows_per_part: int = 10_000) -> DataFrame:
+    """(user, part, one array a source): the nested records of each requested user in parts of about
+    ``rows_per_part`` rows, so no user's rows meet in one record or task. A row's part follows from its
+    values; a user without rows has one part of empty arrays."""
+    asked = requests.select(F.col(user)).distinct()
+    kept = {}
+    for name, (df, key) in sources.items():
+        item = F.struct(*[c for c in df.columns if c != key])
+        kept[name] = df.select(F.col(key).alias(user), item.alias("item")).join(asked, user, "left_semi")
+    sizes = None
+    for rows in kept.values():
+        n = rows.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
+        sizes = n if sizes is None else sizes.unionByName(n)
+    sizes = sizes.groupBy(user).agg(F.ceil(F.sum("n") / F.lit(rows_per_part)).cast("int").alias("parts"))
+    out = asked.join(sizes, user, "left").select(user, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    for name, rows in kept.items():
+        dealt = rows.join(sizes, user).withColumn("part", F.pmod(F.xxhash64(F.to_json("item")), F.col("parts")).cast("int"))
+        nested = dealt.groupBy(user, "part").agg(F.sort_array(F.collect_list("item")).alias(name))  # about rows_per_part rows
+        out = out.join(nested, [user, "part"], "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
+    return out
+
+
+def flat_user_rows(requests: DataFrame, user: str, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(user, source, record, field, value): the same rows flattened, one line a field; ``record`` tells
+    the rows of a source apart. Nothing is gathered, so a user may have any number of rows."""
+    asked = requests.select(F.col(user)).distinct()
+    out = None
+    for name, (df, key) in sources.items():
+        fields = [c for c in df.columns if c != key]
+        cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])
+        rows = df.join(asked.select(F.col(user).alias(key)), key, "left_semi").withColumn("__record", F.xxhash64(*[F.col(c).cast("string") for c in fields], F.monotonically_increasing_id()))
+        flat = rows.select(F.col(key).alias(user), F.lit(name).alias("source"), F.hex("__record").alias("record"), F.explode(cells).alias("x")).select(user, "source", "record", "x.field", "x.value")
+        out = flat if out is None else out.unionByName(flat)
+    return out
+
+
+def write_user_export(requests: DataFrame, user: str, sources: dict[str, tuple[DataFrame, str]], path: str, fmt: str = "json", rows_per_part: int = 10_000) -> None:
+    """Write the export as nested ``json`` or ``xml`` (an element a user part, an element a row) or flattened
+    ``csv`` (a line a field, with a header), spread over files."""
+    if fmt == "csv":
+        flat_user_rows(requests, user, sources).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        return
+    parts = export_user_parts(requests, user, sources, rows_per_part)
+    if fmt == "json":
+        parts.write.mode("overwrite").json(path)
+    elif fmt == "xml":
+        parts.write.mode("overwrite").format("xml").option("rootTag", "users").option("rowTag", "user").save(path)
+    else:
+        raise ValueError(f"unknown export format {fmt!r}")
