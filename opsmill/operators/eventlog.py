@@ -283,7 +283,7 @@ def late_events(events: DataFrame, arrival: str, ts: str, lateness_seconds: int)
     per = x.groupBy("__bucket").agg(F.max("__t").alias("__pmax"))
     earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(F.col("__bucket").alias("__b"), F.max("__pmax").over(earlier).alias("__carry"))
-    x = x.withColumn("__run", F.max("__t").over(before)).join(F.broadcast(carry), F.col("__bucket") == F.col("__b"))  # at most 256 rows
+    x = x.withColumn("__run", F.max("__t").over(before)).join(F.broadcast(carry), F.col("__bucket") == F.col("__b"))  # a row a bucket
     seen = F.greatest(F.col("__run"), F.col("__carry"))
     return (x.withColumn("watermark_us", seen - F.lit(lateness_seconds * 1_000_000))
             .withColumn("late", F.coalesce(F.col("__t") < F.col("watermark_us"), F.lit(False)))

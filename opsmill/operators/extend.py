@@ -10,7 +10,7 @@ process. Per-key stateful folds live in ``folds.ordered_fold`` (X4).
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,11 +95,54 @@ def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, cut: float = 0.
     return x.filter((F.col("__rn") > k) & (F.col("__rn") <= F.col("__n") - k)).groupBy(*keys).agg(F.avg(value).alias(out))
 
 
+def mergeable_aggregate(df: DataFrame, keys: Sequence[str], value: str, partial: Callable[[pd.Series], object], merge: Callable[[object, object], object],
+                     finish: Callable[[object], float], out: str) -> DataFrame:
+    """X6 (Python): any grouped reduction with a mergeable state, over groups of any size.
+
+    ``partial`` reduces the values of a group within one Arrow batch to a state, ``merge`` joins two
+    states, ``finish`` gives the result. Only pickled states are shuffled, and those of a group
+    are merged one after the other, so no task holds a group. Merging happens in no fixed order."""
+    import pickle
+
+    from opsmill.operators.folds import Fold, ordered_fold
+
+    keys = list(keys)
+    fields = [df.schema[k] for k in keys]
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(keys, dropna=False, sort=False)[value]:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                state = partial(rows)
+                states[key] = merge(states[key], state) if key in states else state
+            if len(states) > 100_000:
+                yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "state"])
+                states = {}
+        yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "state"])
+
+    class Merge(Fold):
+        def init(self, key):
+            return {}
+
+        def step(self, s, row):
+            state = pickle.loads(bytes(row["state"]))
+            s["row"], s["state"] = {k: row[k] for k in keys}, merge(s["state"], state) if "state" in s else state
+            return s, None
+
+        def finish(self, s):
+            return [{**s["row"], out: float(finish(s["state"]))}]
+
+    states = df.select(*keys, value).mapInPandas(reduce, T.StructType([*fields, T.StructField("state", T.BinaryType())]))
+    return ordered_fold(states, keys, [], Merge(), T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+
+
 def pandas_aggregate(df: DataFrame, keys: Sequence[str], value: str, fn: Callable[[pd.Series], float], out: str,
                      max_group_rows: int = 5_000_000) -> DataFrame:
     """X6 (Python): grouped-aggregate pandas UDF for arbitrary reductions. Such a UDF sees a
     whole group at once, so the largest group is measured first and the call refuses
-    groups above ``max_group_rows`` instead of risking an executor out of memory."""
+    groups above ``max_group_rows`` instead of risking an executor out of memory; a reduction with a
+    mergeable state has no such bound in ``mergeable_aggregate``."""
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if biggest > max_group_rows:
         raise ValueError(f"largest group has {biggest} rows (bound {max_group_rows}); express the aggregate with built-ins")

@@ -277,14 +277,30 @@ def interval_conflicts(df: DataFrame, key: str, start: str, end: str, order: Seq
             .drop("__b", "__in", "__carry"))
 
 
+#: Bucket width of ranges without a finite size.
+MOST_LEVEL = 1000
+
+
 def range_join(points: DataFrame, ranges: DataFrame, value: str, lo: str, hi: str, bucket: float | None = None) -> DataFrame:
     """``value <@ [lo, hi)``.
 
     With ``bucket`` set, both sides get an equi key on ``floor(x / bucket)`` (ranges are
     exploded over the buckets they span), so the join is a hash join instead of a nested
-    loop; without it the ranges side must be small (rule tables) and is broadcast."""
+    loop. Without it every range takes the bucket width of its own size, the next power of two, and
+    spans at most two such buckets; a point asks one bucket for each width in use. Empty ranges, and
+    null values or bounds, match nothing."""
     if bucket is None:
-        return points.join(bounded(ranges, 100_000), (F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi)))
+        wide = ranges.withColumn("__w", F.col(hi).cast("double") - F.col(lo).cast("double")).filter(F.col("__w") > 0)
+        level = F.when(F.col("__w") < 1e300, F.ceil(F.log2("__w"))).otherwise(MOST_LEVEL).cast("int")
+        wide = wide.withColumn("__level", F.greatest(level, F.lit(-1000)))
+
+        def place(x: Column) -> Column:  # one bucket holds everything at the highest level
+            return F.when(F.col("__level") >= MOST_LEVEL, F.lit(0.0)).otherwise(F.floor(x.cast("double") / F.pow(F.lit(2.0), F.col("__level"))).cast("double"))
+
+        r = wide.withColumn("__at", F.explode(F.array_distinct(F.array(place(F.col(lo)), place(F.col(hi)))))).drop("__w")
+        levels = wide.select("__level").distinct().agg(F.collect_set("__level").alias("__levels"))  # one row, at most some hundred widths
+        p = points.crossJoin(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels").withColumn("__at", place(F.col(value)))
+        return p.join(r, ["__level", "__at"]).filter((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("__level", "__at")
     b = F.lit(bucket)
     r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(lo) / b).cast("long"),
                                                       F.floor((F.col(hi) - F.lit(1e-9)) / b).cast("long"))))
@@ -815,26 +831,35 @@ def offset_limit(df: DataFrame, order: Sequence[Column], offset: int, limit: int
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 1 << 16
+
+
 def value_buckets(df: DataFrame, order: Sequence[str], out: str = "__bucket", buckets: int | None = None) -> DataFrame:
     """Number the rows' ranges of a total order by value: 0 for the first range, and so on.
 
     Cut points are order tuples picked by a hash of their values (so every evaluation picks
-    the same), about 8 for each bucket, of which every eighth becomes a literal in the plan.
-    The bucket of a row is the number of cut points at or before it: a function of its
+    the same), about 8 for each bucket, of which every eighth is kept (a scalar subquery). Buckets
+    grow in number with the rows, about ``BUCKET_ROWS`` each up to ``MOST_BUCKETS`` of them. The
+    bucket of a row is the number of cut points at or before it, by binary search: a function of its
     values alone, whatever partitions, adaptive plans or re-runs do. Joins on it are safe,
     unlike joins on ``spark_partition_id``.
     """
-    n = buckets or min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     total = df.count()
+    n = buckets or min(MOST_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ROWS))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     grain = 1_000_003
     picked = df.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(grain)) < max(1, int(grain * min(1.0, 8 * n / max(total, 1)))))
-    cuts = [r["k"] for r in picked.orderBy("k").collect()][4::8]  # about 8 n rows
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    kind = picked.schema["k"].dataType
-    literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True)]) for c in cuts]
-    return df.withColumn(out, F.size(F.filter(F.array(*literals), lambda q: q <= key)))
+    cuts = picked.agg(F.filter(F.array_sort(F.collect_list("k")), lambda _, i: i % 8 == 4).alias("c")).scalar()  # about 8 n keys in one task
+    row = df.withColumn("__cuts", cuts)
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = F.get("__cuts", mid) <= key
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(mid).alias("hi")))
+
+    steps = (8 * n).bit_length() + 1
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.size("__cuts").alias("hi")), halve)
+    return row.withColumn(out, found["lo"]).drop("__cuts")
 
 
 def ordered_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch_no") -> DataFrame:
@@ -848,7 +873,7 @@ def ordered_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "
     counts = x.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (x.withColumn("__rn", rank).join(F.broadcast(offsets), F.col("__bucket") == F.col("__b"))  # at most 256 rows
+    return (x.withColumn("__rn", rank).join(F.broadcast(offsets), F.col("__bucket") == F.col("__b"))  # a row a bucket
             .withColumn("position", F.col("__off") + F.col("__rn"))
             .withColumn(out, F.floor((F.col("position") - 1) / size).cast("long"))
             .drop("__bucket", "__b", "__rn", "__off"))

@@ -224,14 +224,33 @@ def phase_roadmap(gaps: DataFrame, threats: DataFrame, control_categories: DataF
     kind, control). A threat with several gaps lists its controls once per gap."""
     todo = controls.filter(F.col("status_no") == 0).select("control_id").join(control_categories, "control_id")
     g = gaps.join(threats.select(threat_id, "impact", "category_no"), threat_id).filter(F.col("impact").isin(3, 4))
-    g = g.withColumn("phase", F.when(F.col("impact") == 4, 1).otherwise(2))
-    cand = g.join(todo, "category_no")
+    g = g.withColumn("phase", F.when(F.col("impact") == 4, 1).otherwise(2)).select(threat_id, "gap_no", "category_no", "phase")
+    # a phase's first rows can only come from the first gaps and the first controls of each category
+    first_gaps = Window.partitionBy("phase", "category_no").orderBy(threat_id, "gap_no")
+    first_controls = Window.partitionBy("category_no").orderBy("control_id")
+    few = g.withColumn("n", F.row_number().over(first_gaps)).filter(F.col("n") <= per_phase).drop("n")
+    some = todo.withColumn("n", F.row_number().over(first_controls)).filter(F.col("n") <= per_phase).drop("n")
     w = Window.partitionBy("phase").orderBy(threat_id, "gap_no", "control_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= per_phase)
+    ranked = few.join(some, "category_no").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= per_phase)
     return ranked.select(threat_id, "control_id", "phase", F.when(F.col("phase") == 1, "Critical").otherwise("High").alias("priority"),
                          "rank")
 
 
+def recommendation_parts(threats: DataFrame, mc: DataFrame, control_categories: DataFrame, threat_id: str = "threat_id") -> tuple[DataFrame, DataFrame]:
+    """R11 at any size: the recommendations of all threats as two tables that grow with their inputs: the
+    catalogue (category, control) and the exceptions (threat, category, control): controls of a threat's own
+    category that are mapped to it already. A threat's recommendations are the catalogue of its
+    category without its exceptions; ``recommended_for`` lists them for the threats asked for."""
+    catalogue = control_categories.select("category_no", "control_id").distinct()
+    own = mc.select(threat_id, "control_id").distinct().join(threats.select(threat_id, "category_no").distinct(), threat_id)
+    return catalogue, own.join(catalogue, ["category_no", "control_id"], "left_semi").select(threat_id, "category_no", "control_id")
+
+
+def recommended_for(asked: DataFrame, catalogue: DataFrame, exceptions: DataFrame, threat_id: str = "threat_id") -> DataFrame:
+    """(threat, control) rows for the threats in ``asked`` (threat, category)."""
+    return asked.select(threat_id, "category_no").distinct().join(catalogue, "category_no").join(exceptions, [threat_id, "category_no", "control_id"], "left_anti").select(threat_id, "control_id")
+
+
 def layer_coverage(spark: SparkSession, mc: DataFrame) -> DataFrame:
     """Per layer, implemented or verified controls across mappings (all layers kept)."""
     layers = spark.createDataFrame([(i, n) for i, n in enumerate(LAYERS)], "layer_no long, layer string")
@@ -317,9 +336,8 @@ def attack_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by the node; AND: the cartesian product of the children's path sets (a single child's
     paths pass through unchanged), prefixed by the node.
 
-    Paths are rows throughout. An OR node expands by one join; an AND node folds its
-    children in order, one join by (tree, node) for each child position, so no path set is
-    ever collected into a value. Levels go up until no node is ready: neither the depth nor
+    Paths are rows throughout. An OR node expands by one join; an AND node joins its children's
+    paths in order, neighbours pairwise, so no path set is ever collected into a value. Levels go up until no node is ready: neither the depth nor
     the number of paths has a limit (the result itself has one row for each path)."""
     nc = _children_counts(edges)
     inner = nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select("tree_id", "node_id", "node_type",
@@ -340,14 +358,15 @@ def attack_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         cp = numbered.join(ready, ["tree_id", "parent"]).join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
         new = cp.filter(F.col("node_type") == "or").select("tree_id", "parent", "path")
         kids = cp.filter(F.col("node_type") == "and")
-        folded = kids.filter("__k = 1").select("tree_id", "parent", "path")
+        folded = kids.select("tree_id", "parent", F.col("__k").alias("at"), "path")
         widest = ready.filter(F.col("node_type") == "and").agg(F.max("__n_children")).first()[0] or 1
-        for k in range(2, widest + 1):
-            nxt = kids.filter(F.col("__k") == k).select("tree_id", "parent", F.col("path").alias("__next"))
-            folded = folded.join(nxt, ["tree_id", "parent"], "left").select(
-                "tree_id", "parent", F.concat("path", F.coalesce("__next", F.array().cast("array<long>"))).alias("path"))
-            if k % 8 == 0:
-                folded = cut_lineage(folded)
+        while widest > 1:  # neighbours are joined in pairs: the rounds grow with the logarithm of the children
+            right = folded.filter("at % 2 = 0").select("tree_id", "parent", (F.col("at") / 2).cast("long").alias("at"), F.col("path").alias("__next"))
+            left = folded.filter("at % 2 = 1").select("tree_id", "parent", ((F.col("at") + 1) / 2).cast("long").alias("at"), "path")
+            folded = left.join(right, ["tree_id", "parent", "at"], "left").select(
+                "tree_id", "parent", "at", F.concat("path", F.coalesce("__next", F.array().cast("array<long>"))).alias("path"))
+            widest = (widest + 1) // 2
+        folded = folded.select("tree_id", "parent", "path")
         new = new.unionByName(folded).select("tree_id", F.col("parent").alias("node_id"), F.concat(F.array("parent"), "path").alias("path"))
         resolved = resolved.unionByName(cut_lineage(new))
         done = done.unionByName(ready.select("tree_id", F.col("parent").alias("node_id")))
@@ -382,7 +401,6 @@ def path_coverage(paths: DataFrame, mitigated: DataFrame) -> DataFrame:
     hits = (paths.select("tree_id", "path_id", F.explode("path").alias("node_id")).join(mitigated, ["tree_id", "node_id"], "left_semi")
             .select("tree_id", "path_id").distinct().withColumn("blocked", F.lit(True)))
     p = paths.join(hits, ["tree_id", "path_id"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    w = Window.partitionBy("tree_id").orderBy("path_id")
     p = p.withColumn("__open_rank", F.when(~F.col("blocked"), F.row_number().over(
         Window.partitionBy("tree_id", "blocked").orderBy("path_id"))))
     return p.groupBy("tree_id").agg(

@@ -111,13 +111,13 @@ def q_d5(spark, sf):
 
 
 @register("d6_coverage_diff", sql="""
-WITH x AS (SELECT c_nationkey AS nation, year(o_orderdate) <= 1996 AS early, o_orderstatus, o_orderpriority, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
-m AS (SELECT nation, early, 'lines' AS metric, avg(CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 0.0 END) AS coverage FROM x GROUP BY 1, 2
-  UNION ALL SELECT nation, early, 'functions', avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 100.0 ELSE 0.0 END) FROM x GROUP BY 1, 2
-  UNION ALL SELECT nation, early, 'branches', avg(CASE WHEN o_totalprice > 100000 THEN 100.0 ELSE 0.0 END) FROM x GROUP BY 1, 2)
-SELECT b.nation, b.metric, round(b.coverage, 4) AS before, round(a.coverage, 4) AS after, round(a.coverage - b.coverage, 4) AS change,
-  CASE WHEN a.coverage - b.coverage > 0 THEN 'up' WHEN a.coverage - b.coverage < 0 THEN 'down' ELSE 'no change' END AS direction
-FROM m b JOIN m a ON a.nation = b.nation AND a.metric = b.metric AND b.early AND NOT a.early
+WITH x AS MATERIALIZED (SELECT c_nationkey AS nation, year(o_orderdate) <= 1996 AS early, CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 0.0 END AS a,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 100.0 ELSE 0.0 END AS b, CASE WHEN o_totalprice > 100000 THEN 100.0 ELSE 0.0 END AS c FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS MATERIALIZED (SELECT nation, avg(a) FILTER (WHERE early) AS a0, avg(a) FILTER (WHERE NOT early) AS a1, avg(b) FILTER (WHERE early) AS b0, avg(b) FILTER (WHERE NOT early) AS b1,
+  avg(c) FILTER (WHERE early) AS c0, avg(c) FILTER (WHERE NOT early) AS c1 FROM x GROUP BY nation),
+m AS (SELECT nation, 'lines' AS metric, a0 AS x0, a1 AS x1 FROM g UNION ALL SELECT nation, 'functions', b0, b1 FROM g UNION ALL SELECT nation, 'branches', c0, c1 FROM g)
+SELECT nation, metric, round(x0, 4) AS before, round(x1, 4) AS after, round(x1 - x0, 4) AS change,
+  CASE WHEN x1 - x0 > 0 THEN 'up' WHEN x1 - x0 < 0 THEN 'down' ELSE 'no change' END AS direction FROM m WHERE x0 IS NOT NULL AND x1 IS NOT NULL
 """)
 def q_d6(spark, sf):
     t = Tables(spark, sf)

@@ -112,6 +112,19 @@ def q_s12(spark, sf):
     return ex.select("user_id", F.size("orders").cast("long").alias("n_orders"), F.size("events").cast("long").alias("n_events"))
 
 
+@register("x6_mergeable_aggregate", sql="""
+SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean FROM lineitem GROUP BY 1
+""")
+def q_x6_mergeable(spark, sf):
+    """The geometric mean of three groups that hold the whole table, by (sum of logarithms, count) states."""
+    import numpy as np
+
+    li = Tables(spark, sf).lineitem
+    g = X.mergeable_aggregate(li, ["l_returnflag"], "l_extendedprice", lambda v: (float(np.log(v).sum()), len(v)), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+                           lambda s: float(np.exp(s[0] / s[1])), "geometric_mean")
+    return g.select("l_returnflag", r("geometric_mean", 4).alias("geometric_mean"))
+
+
 def _export_inputs(spark, sf):
     t = Tables(spark, sf)
     req = t.customer.filter(F.col("c_acctbal") < -990).select(F.col("c_custkey").alias("user_id"))

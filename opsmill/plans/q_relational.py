@@ -866,6 +866,15 @@ def q_t5(spark, sf):
     return b.withColumn("o_orderdate", ts_text("o_orderdate")).withColumn("position", F.col("position").cast("long"))
 
 
+@register("t6_sketch_recall", sql="SELECT CAST(count(DISTINCT event_type) AS BIGINT) AS listed, true AS right_order, true AS close_counts FROM events")
+def q_t6_recall(spark, sf):
+    """The sketch's most frequent event types against the exact ones: same values, counts within 5 %."""
+    e = Tables(spark, sf).events
+    exact, sketch = rel.heavy_hitters(e, "event_type", 10), rel.heavy_hitters(e, "event_type", 10, exact=False)
+    j = exact.join(sketch.select("event_type", F.col("n").alias("m")), "event_type", "left")
+    return j.agg(F.count(F.lit(1)).alias("listed"), (F.count("m") == F.count(F.lit(1))).alias("right_order"), F.bool_and(F.abs(F.col("m") / F.col("n") - 1) <= 0.05).alias("close_counts"))
+
+
 @register("t6_approx_top_k_sketch")
 def q_t6s(spark, sf):
     """Sketch form (approximate counts; no SQL twin)."""

@@ -183,6 +183,25 @@ def q_r11(spark, sf):
     return rec.select("threat_id", F.array_join(F.col("recommended_ids").cast("array<string>"), ",").alias("recommended_ids"))
 
 
+@register("r11_recommendation_parts", sql=sql_with("mappings", "controls", "threats") + """
+, own AS (SELECT DISTINCT threat_id, control_id FROM mappings JOIN controls USING (control_id))
+SELECT 'catalogue' AS part, control_id % 6 AS key, control_id FROM controls
+UNION ALL SELECT 'exception', t.threat_id, own.control_id FROM own JOIN threats t USING (threat_id) WHERE own.control_id % 6 = t.category_no
+UNION ALL SELECT 'asked', t.threat_id, c.control_id FROM threats t JOIN controls c ON c.control_id % 6 = t.category_no
+  WHERE t.threat_id % 1000 = 0 AND NOT EXISTS (SELECT 1 FROM own WHERE own.threat_id = t.threat_id AND own.control_id = c.control_id)
+""")
+def q_r11_parts(spark, sf):
+    """The two tables that hold every recommendation, and those of the threats asked for (one in a thousand)."""
+    t = Tables(spark, sf)
+    threats = t.derived.threats
+    catalogue, exceptions = R.recommendation_parts(threats, _mc(t), _control_categories(t))
+    asked = R.recommended_for(threats.filter("threat_id % 1000 = 0"), catalogue, exceptions)
+    parts = [catalogue.select(F.lit("catalogue").alias("part"), F.col("category_no").cast("long").alias("key"), "control_id"),
+             exceptions.select(F.lit("exception").alias("part"), F.col("threat_id").alias("key"), "control_id"),
+             asked.select(F.lit("asked").alias("part"), F.col("threat_id").alias("key"), "control_id")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("r13_phase_roadmap", sql=_with_threats("""
 , todo AS (SELECT control_id, control_id % 6 AS category_no FROM controls WHERE status_no = 0),
 cand AS (SELECT g.threat_id, g.gap_no, todo.control_id, CASE WHEN t.impact = 4 THEN 1 ELSE 2 END AS phase

@@ -133,6 +133,24 @@ def q_v7(spark, sf):
     return cl.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
 
 
+@register("v7_cluster_check", sql="SELECT count(*) AS vectors, true AS few_clusters, true AS nearest_centre, true AS tighter_than_one FROM embeddings")
+def q_v7_check(spark, sf):
+    """What k-means promises: every vector is with its nearest centre (nearly all of them after the last
+    step), and clusters are tighter than one cluster of all."""
+    t = Tables(spark, sf)
+    cl = VEC.vector_clusters(t.embeddings, "vec_id", "embedding", k=10)
+    x = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).join(cl, "vec_id")
+    centres = VEC.centroids(x, "cluster", "v", "c")
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, y: s + y)
+    all_one = VEC.centroids(x.withColumn("one", F.lit(1)), "one", "v", "mean").select("mean")
+    gathered = centres.agg(F.collect_list(F.struct("cluster", "c")).alias("cs")).crossJoin(all_one)  # ten centres and the mean
+    y = x.crossJoin(F.broadcast(gathered)).select("cluster", F.transform("cs", lambda k: F.struct(far(F.col("v"), k["c"]).alias("d"), k["cluster"])).alias("d"), far(F.col("v"), F.col("mean")).alias("d0"))
+    own = F.aggregate("d", F.lit(0.0), lambda s, k: s + F.when(k["cluster"] == F.col("cluster"), k["d"]).otherwise(0.0))
+    z = y.select(own.alias("own"), F.array_min(F.transform("d", lambda k: k["d"])).alias("least"), "d0", "cluster")
+    return z.agg(F.count(F.lit(1)).alias("vectors"), (F.countDistinct("cluster") <= 10).alias("few_clusters"), (F.avg((F.col("own") <= F.col("least") + 1e-9).cast("double")) >= 0.9).alias("nearest_centre"),
+                 (F.sum("own") < F.sum("d0")).alias("tighter_than_one"))
+
+
 HYBRID_QUERY = "license software the"
 
 
