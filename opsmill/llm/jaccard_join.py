@@ -3,8 +3,8 @@
 A document's set holds the hashes of its distinct word n-grams. Two documents link when
 ``100 * intersection >= percent * union``.
 
-**Order.** All sets are ordered alike: n-grams in at most ``FEW`` documents first, the
-frequent ones last, each part by hash. Which n-grams are frequent, and in how many
+**Order.** All sets are ordered alike: n-grams in at most ``FEW`` documents first, by hash, the
+frequent ones last, by their number of documents, then by hash. Which n-grams are frequent, and in how many
 documents, is counted over the whole corpus in packed form (a task sends the distinct
 keys of its texts by hash range, so no row per n-gram travels). The list of frequent ones
 is broadcast; its size is bounded by raising the threshold ``few`` until it fits
@@ -12,11 +12,12 @@ is broadcast; its size is bounded by raising the threshold ``few`` until it fits
 
 **Prefix.** Linked sets of sizes a and b share at least o = ceil(p (a + b) / (100 + p))
 n-grams, so for every k the first a - o + k n-grams of the one and the first b - o + k of
-the other share at least k. A document starts with k = 1 and lengthens its prefix while
-the next n-gram is outside the frequent list (a fixed bound on the documents it would be
-compared with, ``FEW`` as a rule; their number is not weighed otherwise), up to
-``MOST_MATCHES``; each step asks for one more shared prefix n-gram before a pair is
-verified. Documents with frequent n-grams in the first prefix stay at k = 1. A pair must
+the other share at least k. Each document's k is chosen by its estimated cost: a prefix whose
+n-grams have lists of L documents in all costs L postings and, since a candidate needs k of them,
+at most L / k verifications, each worth ``VERIFY`` postings. A longer prefix adds a list and asks for
+one more match; k, up to ``MOST_MATCHES``, is where L (1 + VERIFY / k) is least. Lists of frequent n-grams
+have their counted lengths; one outside the list is taken to have ``RARE``. A document whose prefix lies
+outside the frequent list does not lengthen it into that list. A pair must
 share min(k) n-grams at places that still leave o - min(k) + 1 n-grams after them.
 
 **Candidates.** Prefix n-grams outside the frequent list occur in at most ``few``
@@ -54,6 +55,7 @@ from opsmill.operators.documents import connected_components
 FEW = 16
 FREQUENT_LIMIT = 1_000_000
 MOST_MATCHES = 3
+VERIFY, RARE = 32.0, 4.0
 STARS = 4
 BROADCAST_IDS = 2_000_000
 FLUSH = 1_000_000
@@ -167,26 +169,36 @@ SIGNATURE = T.StructType([
     T.StructField("stars", T.ArrayType(T.LongType()))])
 
 
-def signatures(docs: DataFrame, n: int, percent: int, ranges: Ranges, frequent: np.ndarray) -> DataFrame:
+def matches_asked(lengths: np.ndarray, least: int, most: int) -> int:
+    """The k of least estimated cost, from the list lengths of a set's n-grams in order: at least ``least`` of
+    them are in the prefix, at most ``most``."""
+    k = np.arange(1, max(1, min(MOST_MATCHES, most - least + 1)) + 1)
+    total = np.cumsum(lengths[:least + len(k) - 1])[least - 1:]
+    return int(k[np.argmin(total * (1 + VERIFY / k))])
+
+
+def signatures(docs: DataFrame, n: int, percent: int, ranges: Ranges, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Per document: set size, class (hash of the whole set), matches asked for (k), whether the
     prefix runs into frequent n-grams (hot), its n-grams before those (rare), the prefix, and
     star keys of hot documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, np.minimum(counts, 2**32 - 1).astype(np.uint32)))  # at most FREQUENT_LIMIT n-grams
     seeds = [A.U64((2 * j + 1) * 0x9E3779B97F4A7C15 % 2**64) for j in range(STARS)]
 
     def make():
         import hashlib
 
-        often = shared.value
+        often, documents = shared.value
 
         def fn(texts: A.Texts, rows) -> dict:
             sets = ngram_sets(texts, n)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             if len(often) and len(every):
                 keys = ranges.joined(every)
-                common = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
+                place = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+                common = often[place] == keys
+                length = np.where(common, documents[place], RARE)
             else:
-                common = np.zeros(len(every), bool)
+                common, length = np.zeros(len(every), bool), np.full(len(every), RARE)
             at = A.sums(np.fromiter(map(len, sets), np.int64, len(sets)))
             size, k, hot, few_in, prefixes, stars, classes = [], [], [], [], [], [], []
             for i, s in enumerate(sets):
@@ -194,16 +206,15 @@ def signatures(docs: DataFrame, n: int, percent: int, ranges: Ranges, frequent:
                 if not len(s):
                     k.append(0), hot.append(False), few_in.append(0), prefixes.append(s), stars.append([]), classes.append(None)
                     continue
-                own = common[at[i]:at[i + 1]]
-                rare = s[~own]
+                own, lists = common[at[i]:at[i + 1]], length[at[i]:at[i + 1]]
                 least = len(s) - -(-percent * len(s) // 100) + 1  # prefix for k = 1 and any partner
-                ordered = np.concatenate([rare, s[own]]) if own.any() else s
-                # one more match for each further n-gram that few documents share
-                more = max(0, min(MOST_MATCHES - 1, len(rare) - least))
-                hot.append(len(rare) < least)
-                k.append(1 + more)
-                prefixes.append(ordered[:least + more])
-                few_in.append(min(len(rare), least + more))
+                order = np.lexsort((s, lists, own)) if own.any() else np.arange(len(s))
+                ordered, rare = s[order], len(s) - int(own.sum())
+                asked = matches_asked(lists[order], least, len(s) if rare < least else rare)
+                hot.append(rare < least)
+                k.append(asked)
+                prefixes.append(ordered[:least + asked - 1])
+                few_in.append(min(rare, least + asked - 1))
                 stars.append([int(A.mix(s * m).min().view(np.int64)) for m in seeds] if hot[-1] else [])
                 classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             return {"n": np.array(size, np.int64), "k": np.array(k, np.int32), "hot": np.array(hot, bool), "rare": np.array(few_in, np.int32), "class": pa.array(classes, pa.binary()),
@@ -323,8 +334,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranges = Ranges.of(docs)
-    often, _, _ = frequent_ngrams(docs, n, ranges, few, frequent_limit)
-    sig = signatures(docs, n, percent, ranges, often).checkpoint()
+    often, counts, _ = frequent_ngrams(docs, n, ranges, few, frequent_limit)
+    sig = signatures(docs, n, percent, ranges, often, counts).checkpoint()
     linkable = sig.filter("doc_id is not null and n > 0")
 
     # equal sets: every document knows the smallest id of its class, which stands for it

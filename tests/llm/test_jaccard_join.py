@@ -115,3 +115,38 @@ def test_short_texts_are_one_gram():
     sets = J.ngram_sets(A.texts_of(pa.array(["", "a", "A", "a b", "a b c d", "a b c d e", None], pa.string())), 4)
     assert [len(s) for s in sets] == [0, 1, 1, 1, 1, 2, 0]
     assert sets[1].tolist() == sets[2].tolist() != sets[3].tolist()
+
+
+def test_matches_are_chosen_by_cost():
+    def cost(lengths, least, k):
+        total = sum(lengths[:least + k - 1])
+        return total * (1 + J.VERIFY / k)
+
+    rng = random.Random(9)
+    for _ in range(300):
+        lengths = sorted(rng.choice([4, 4, 20, 100, 5000]) for _ in range(rng.randrange(1, 30)))
+        least = rng.randrange(1, len(lengths) + 1)
+        most = rng.randrange(least, len(lengths) + 1)
+        allowed = range(1, max(1, min(J.MOST_MATCHES, most - least + 1)) + 1)
+        got = J.matches_asked(np.array(lengths, float), least, most)
+        assert got in allowed and cost(lengths, least, got) <= min(cost(lengths, least, k) for k in allowed) * (1 + 1e-12)
+    # a cheap next list is worth one more match, a costly one is not
+    assert J.matches_asked(np.array([100.0, 100.0, 100.0, 100.0]), 2, 4) == 3 and J.matches_asked(np.array([4.0, 4.0, 5000.0]), 2, 3) == 1
+
+
+def test_hot_documents_lengthen_their_prefixes_too(spark):
+    """Copies of one text with changes: every n-gram is frequent, links equal brute force."""
+    rng = random.Random(10)
+    body = prose(rng, 120).split()
+    rows = []
+    for i in range(60):
+        own = list(body)
+        for _ in range(i % 6):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = J.Ranges.of(docs)
+    often, counts, _ = J.frequent_ngrams(docs, 4, ranges, J.FEW, J.FREQUENT_LIMIT)
+    sig = J.signatures(docs, 4, 85, ranges, often, counts).collect()
+    assert any(r["hot"] and r["k"] > 1 for r in sig)
+    assert sorted(tuple(r) for r in J.components(docs, n=4, percent=85).collect()) == brute(rows, 4, 85)
