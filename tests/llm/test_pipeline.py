@@ -63,6 +63,31 @@ def test_run_equals_the_stages(spark, folder):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    body = [prose(rng, 90) for _ in range(8)]
+    rows = [(i, body[i], "en", "s", 1, "x", True, "t", 5) for i in range(5)]
+    rows += [(2, body[2], "en", "s", 1, "x", True, "t", 5), (2, body[7], "de", "s", 1, "y", False, "t", 6), (None, body[5], None, None, None, None, None, None, None),
+             (9, None, "en", "s", 1, "x", True, "t", 5), (10, "", "en", "s", 1, "x", True, "t", 5), (11, " \n\t", "en", None, 1, "x", True, "t", 5)]
+    place = str(tmp_path)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept boolean, __text string, k int")
+    table.write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, place)
+        assert docs.columns == table.columns
+    got = corpus_pipeline.run(spark, place).collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, 0, 1, 2, 3, 4]
+
+
+def test_empty_table(spark, folder, tmp_path):
+    place = str(tmp_path)
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{place}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{place}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, place).count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == sorted(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
