@@ -3,17 +3,22 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet
 and read again as the next stage's ``docs``; all but the last return the columns of
 ``documents``. ``run`` chains the stages and writes between them to the shared folder of
-``spark.checkpoint.dir``.
+``spark.checkpoint.dir``; ``opsmill.session.remove_scratch`` deletes those tables afterwards.
+
+Defined results: a null, empty or blank text is no document of quality and goes in the first stage; a
+null id stays (it takes no part in links) unless a rule rejects its text; repeated rows of an id are one
+document after the third stage, whose kept row is any of them; further columns of ``documents``, whatever
+their names, pass all stages but the last, which returns the columns that it names; an empty table gives
+no rows; without benchmark items nothing is cut.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from opsmill.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 from opsmill.llm.queries import rank_file
+from opsmill.session import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    place = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
