@@ -278,8 +278,9 @@ def late_events(events: DataFrame, arrival: str, ts: str, lateness_seconds: int)
     from opsmill.operators.relational import value_buckets
 
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    x = value_buckets(events, [arrival]).withColumn("__t", t)
-    before = Window.partitionBy("__bucket").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    # rows that arrive together count by event time, so equal ones get equal flags in any order
+    x = value_buckets(events, [arrival, ts]).withColumn("__t", t)
+    before = Window.partitionBy("__bucket").orderBy(arrival, ts).rowsBetween(Window.unboundedPreceding, -1)
     per = x.groupBy("__bucket").agg(F.max("__t").alias("__pmax"))
     earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(F.col("__bucket").alias("__b"), F.max("__pmax").over(earlier).alias("__carry"))
