@@ -12,12 +12,15 @@ is broadcast; its size is bounded by raising the threshold ``few`` until it fits
 
 **Prefix.** Linked sets of sizes a and b share at least o = ceil(p (a + b) / (100 + p))
 n-grams, so for every k the first a - o + k n-grams of the one and the first b - o + k of
-the other share at least k. Each document's k is chosen by its estimated cost: a prefix whose
-n-grams have lists of L documents in all costs L postings and, since a candidate needs k of them,
-at most L / k verifications, each worth ``VERIFY`` postings. A longer prefix adds a list and asks for
-one more match; k, up to ``MOST_MATCHES``, is where L (1 + VERIFY / k) is least. Lists of frequent n-grams
-have their counted lengths; one outside the list is taken to have ``RARE``. A document whose prefix lies
-outside the frequent list does not lengthen it into that list. A pair must
+the other share at least k. Each document's k, up to ``MOST_MATCHES``, is chosen by its estimated
+cost: the postings that its prefix meets (the sum of the lists' lengths) and ``VERIFY`` times the
+candidates that are left. Lists of n-grams outside the frequent list are short and of different
+documents: together they leave at most their sum / k candidates that share k of them. Frequent n-grams come
+from passages and copies, so their lists hold the same documents: the documents in k of them are
+as many as the k-th longest. A longer prefix adds a list and asks for one more match; it pays where that saves
+more candidates than it meets postings, which it does for rare lists, and rarely does for frequent ones. Frequent
+n-grams have their counted lengths, others are taken to have ``RARE``. A document whose
+prefix lies outside the frequent list does not lengthen it into that list. A pair must
 share min(k) n-grams at places that still leave o - min(k) + 1 n-grams after them.
 
 **Candidates.** Prefix n-grams outside the frequent list occur in at most ``few``
@@ -169,12 +172,18 @@ SIGNATURE = T.StructType([
     T.StructField("stars", T.ArrayType(T.LongType()))])
 
 
-def matches_asked(lengths: np.ndarray, least: int, most: int) -> int:
-    """The k of least estimated cost, from the list lengths of a set's n-grams in order: at least ``least`` of
-    them are in the prefix, at most ``most``."""
-    k = np.arange(1, max(1, min(MOST_MATCHES, most - least + 1)) + 1)
-    total = np.cumsum(lengths[:least + len(k) - 1])[least - 1:]
-    return int(k[np.argmin(total * (1 + VERIFY / k))])
+def matches_asked(lengths: np.ndarray, rare: int, least: int, most: int) -> int:
+    """The k of least estimated cost, from the list lengths of a set's n-grams in order, of which the first
+    ``rare`` are outside the frequent list: at least ``least`` of them are in the prefix, at most ``most``."""
+    best, chosen = np.inf, 1
+    for k in range(1, max(1, min(MOST_MATCHES, most - least + 1)) + 1):
+        prefix = lengths[:least + k - 1]
+        often = prefix[rare:]  # in rising order
+        left = prefix[:rare].sum() / k + (often[-k] if len(often) >= k else 0)
+        cost = prefix.sum() + VERIFY * left
+        if cost < best:
+            best, chosen = cost, k
+    return chosen
 
 
 def signatures(docs: DataFrame, n: int, percent: int, ranges: Ranges, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -210,7 +219,7 @@ def signatures(docs: DataFrame, n: int, percent: int, ranges: Ranges, frequent:
                 least = len(s) - -(-percent * len(s) // 100) + 1  # prefix for k = 1 and any partner
                 order = np.lexsort((s, lists, own)) if own.any() else np.arange(len(s))
                 ordered, rare = s[order], len(s) - int(own.sum())
-                asked = matches_asked(lists[order], least, len(s) if rare < least else rare)
+                asked = matches_asked(lists[order], rare, least, len(s) if rare < least else rare)
                 hot.append(rare < least)
                 k.append(asked)
                 prefixes.append(ordered[:least + asked - 1])

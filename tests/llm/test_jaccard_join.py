@@ -118,35 +118,39 @@ def test_short_texts_are_one_gram():
 
 
 def test_matches_are_chosen_by_cost():
-    def cost(lengths, least, k):
-        total = sum(lengths[:least + k - 1])
-        return total * (1 + J.VERIFY / k)
+    def cost(lengths, rare, least, k):
+        prefix = lengths[:least + k - 1]
+        often = sorted(prefix[rare:], reverse=True)
+        return sum(prefix) + J.VERIFY * (sum(prefix[:rare]) / k + (often[k - 1] if len(often) >= k else 0))
 
     rng = random.Random(9)
     for _ in range(300):
-        lengths = sorted(rng.choice([4, 4, 20, 100, 5000]) for _ in range(rng.randrange(1, 30)))
+        rare = rng.randrange(12)
+        lengths = [J.RARE] * rare + sorted(rng.choice([20.0, 25.0, 100.0, 5000.0]) for _ in range(rng.randrange(1, 12)))
         least = rng.randrange(1, len(lengths) + 1)
-        most = rng.randrange(least, len(lengths) + 1)
+        most = len(lengths) if rare < least else max(rare, least)
         allowed = range(1, max(1, min(J.MOST_MATCHES, most - least + 1)) + 1)
-        got = J.matches_asked(np.array(lengths, float), least, most)
-        assert got in allowed and cost(lengths, least, got) <= min(cost(lengths, least, k) for k in allowed) * (1 + 1e-12)
-    # a cheap next list is worth one more match, a costly one is not
-    assert J.matches_asked(np.array([100.0, 100.0, 100.0, 100.0]), 2, 4) == 3 and J.matches_asked(np.array([4.0, 4.0, 5000.0]), 2, 3) == 1
+        got = J.matches_asked(np.array(lengths), rare, least, most)
+        assert got in allowed and cost(lengths, rare, least, got) <= min(cost(lengths, rare, least, k) for k in allowed) + 1e-9
+    # rare lists are worth more matches; lists of one passage are not, until a few are far longer than the next
+    assert J.matches_asked(np.full(30, J.RARE), 30, 8, 30) == 3 and J.matches_asked(np.array([J.RARE] * 4 + [1000.0] * 6), 4, 5, 10) == 1
+    assert J.matches_asked(np.array([J.RARE] * 9 + [20.0] * 3), 9, 10, 12) > 1
 
 
-def test_hot_documents_lengthen_their_prefixes_too(spark):
-    """Copies of one text with changes: every n-gram is frequent, links equal brute force."""
+def test_passages_and_copies_with_costs_equal_brute_force(spark):
+    """Copies of one text with changes, and texts that mostly consist of one passage."""
     rng = random.Random(10)
-    body = prose(rng, 120).split()
+    body, passage = prose(rng, 120).split(), prose(rng, 40)
     rows = []
     for i in range(60):
         own = list(body)
         for _ in range(i % 6):
             own[rng.randrange(len(own))] = f"x{rng.randrange(3)}"
         rows.append((i, " ".join(own)))
+    rows += [(100 + i, passage + " " + prose(rng, rng.randrange(0, 12))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ranges = J.Ranges.of(docs)
     often, counts, _ = J.frequent_ngrams(docs, 4, ranges, J.FEW, J.FREQUENT_LIMIT)
     sig = J.signatures(docs, 4, 85, ranges, often, counts).collect()
-    assert any(r["hot"] and r["k"] > 1 for r in sig)
+    assert any(r["hot"] for r in sig) and any(not r["hot"] and r["k"] > 1 for r in sig)
     assert sorted(tuple(r) for r in J.components(docs, n=4, percent=85).collect()) == brute(rows, 4, 85)
