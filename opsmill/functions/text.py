@@ -45,8 +45,8 @@ HTTP_VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 def exported_verbs(source) -> Column:
     """HTTP verbs exported by a route module (``export async function GET``,
     ``export const POST =``), distinct, in order of first appearance."""
-    pat = r"export\s+(?:async\s+)?(?:function\s+|const\s+)(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
-    return F.array_distinct(F.regexp_extract_all(_c(source), F.lit(pat), 1))
+    named = rf"\bexport(?:\s+[a-z]+){{1,2}}\s+({'|'.join(HTTP_VERBS)})\b"  # one or two keywords, then the name
+    return F.array_distinct(F.regexp_extract_all(_c(source), F.lit(named), 1))
 
 
 # ----------------------------------------------------------------------------- F2-F5

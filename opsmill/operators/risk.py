@@ -276,9 +276,10 @@ def _resolve(nodes: DataFrame, edges: DataFrame, leaf_values: DataFrame, combine
     the value columns of a parent from its resolved children. Each round resolves the
     nodes whose children are all resolved, whatever the depth; only the new level is
     written, earlier levels are read again as they are."""
+    edges = cut_lineage(edges)  # read again in every round
     nc = _children_counts(edges)
-    inner = nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select(
-        "tree_id", "node_id", "node_type", "__n_children")
+    inner = cut_lineage(nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select(
+        "tree_id", "node_id", "node_type", "__n_children"))
     resolved = cut_lineage(leaf_values)
     while True:
         child = edges.join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
@@ -336,36 +337,46 @@ def attack_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by the node; AND: the cartesian product of the children's path sets (a single child's
     paths pass through unchanged), prefixed by the node.
 
-    Paths are rows throughout. An OR node expands by one join; an AND node joins its children's
-    paths in order, neighbours pairwise, so no path set is ever collected into a value. Levels go up until no node is ready: neither the depth nor
-    the number of paths has a limit (the result itself has one row for each path)."""
-    nc = _children_counts(edges)
-    inner = nodes.filter(F.col("node_type") != "leaf").join(nc, ["tree_id", "node_id"]).select("tree_id", "node_id", "node_type",
-                                                                                               "__n_children")
-    leaves = nodes.join(nc, ["tree_id", "node_id"], "left").filter((F.col("node_type") == "leaf") | F.col("__n_children").isNull())
-    resolved = cut_lineage(leaves.select("tree_id", "node_id", F.array(F.col("node_id")).alias("path")))
-    done = cut_lineage(resolved.select("tree_id", "node_id").distinct())
+    Paths are rows throughout. An OR node expands by one join; an AND node whose children have one
+    path each strings them together, any other joins its children's paths in order, neighbours
+    pairwise, so no path set is ever collected into a value. Levels go up until no node is ready:
+    neither the depth nor the number of paths has a limit (the result itself has a row for each path)."""
+    # every round reads the tree: it is written once, with the children's positions
     turn = F.row_number().over(Window.partitionBy("tree_id", "parent").orderBy("pos", "child"))
     numbered = cut_lineage(edges.withColumn("__k", turn))
+    kinds = nodes.join(_children_counts(numbered), ["tree_id", "node_id"], "left").select("tree_id", "node_id", "node_type", "__n_children")
+    kinds = cut_lineage(kinds)
+    end = (F.col("node_type") == "leaf") | F.col("__n_children").isNull()
+    inner = kinds.filter(~end)
+    resolved = cut_lineage(kinds.filter(end).select("tree_id", "node_id", F.array(F.col("node_id")).alias("path")))
+    done = resolved.select("tree_id", "node_id")
     while True:
         todo = inner.join(done, ["tree_id", "node_id"], "left_anti")
-        got = edges.join(done.withColumnRenamed("node_id", "child"), ["tree_id", "child"]).groupBy("tree_id", "parent").agg(
+        got = numbered.join(done.withColumnRenamed("node_id", "child"), ["tree_id", "child"]).groupBy("tree_id", "parent").agg(
             F.count(F.lit(1)).alias("__got"))
         ready = cut_lineage(todo.withColumnRenamed("node_id", "parent").join(got, ["tree_id", "parent"])
                             .filter(F.col("__got") == F.col("__n_children")).select("tree_id", "parent", "node_type", "__n_children"))
         if ready.isEmpty():
             return resolved
         cp = numbered.join(ready, ["tree_id", "parent"]).join(resolved.withColumnRenamed("node_id", "child"), ["tree_id", "child"])
+        paths_below = F.count(F.lit(1)).over(Window.partitionBy("tree_id", "parent"))
+        cp = cut_lineage(cp.select("tree_id", "parent", "node_type", "__n_children", "__k", "path", paths_below.alias("__paths")))
         new = cp.filter(F.col("node_type") == "or").select("tree_id", "parent", "path")
         kids = cp.filter(F.col("node_type") == "and")
-        folded = kids.select("tree_id", "parent", F.col("__k").alias("at"), "path")
-        widest = ready.filter(F.col("node_type") == "and").agg(F.max("__n_children")).first()[0] or 1
-        while widest > 1:  # neighbours are joined in pairs: the rounds grow with the logarithm of the children
+        # one path a child: they follow each other
+        row = F.transform(F.array_sort(F.collect_list(F.struct("__k", "path"))), lambda x: x["path"])
+        new = new.unionByName(kids.filter("__paths = __n_children").groupBy("tree_id", "parent").agg(F.flatten(row).alias("path")))
+        # several: neighbours are joined in pairs, so the rounds grow with the logarithm of the children
+        several = kids.filter("__paths > __n_children")
+        folded = several.select("tree_id", "parent", F.col("__k").alias("at"), "path")
+        widest = several.agg(F.max("__n_children")).first()[0] or 0
+        while widest > 1:
             right = folded.filter("at % 2 = 0").select("tree_id", "parent", (F.col("at") / 2).cast("long").alias("at"), F.col("path").alias("__next"))
             left = folded.filter("at % 2 = 1").select("tree_id", "parent", ((F.col("at") + 1) / 2).cast("long").alias("at"), "path")
             folded = left.join(right, ["tree_id", "parent", "at"], "left").select(
                 "tree_id", "parent", "at", F.concat("path", F.coalesce("__next", F.array().cast("array<long>"))).alias("path"))
             widest = (widest + 1) // 2
+            folded = cut_lineage(folded) if widest > 2 else folded
         folded = folded.select("tree_id", "parent", "path")
         new = new.unionByName(folded).select("tree_id", F.col("parent").alias("node_id"), F.concat(F.array("parent"), "path").alias("path"))
         resolved = resolved.unionByName(cut_lineage(new))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsmill.session import bounded
+from opsmill.session import bounded, cut_lineage
 
 #: Vectors that the centroids are fitted on, at most (those of the least hashes).
 SAMPLE = 50_000
@@ -146,13 +146,13 @@ def search(path: str, vectors: DataFrame, queries: DataFrame, vec_id: str, vec:
     if out is None:
         schema = T.StructType([T.StructField(query_id, q_type), T.StructField(vec_id, v_type), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.LongType()), T.StructField("candidates", T.LongType())])
         return spark.createDataFrame([], schema)
-    full = vectors.select(F.col(vec_id).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null").distinct()
+    full = vectors.select(F.col(vec_id).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    picked = bounded(out.distinct(), 1_000_000)  # few rows: broadcast past the vectors, else a shuffled join
-    exact = full.join(picked, "id").withColumn("similarity", dot(F.col("v"), F.col("qv")) / F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(1e-300)))
+    picked = bounded(cut_lineage(out.distinct()), 1_000_000)  # few rows: broadcast past the vectors, else a shuffled join
+    exact = full.join(picked, "id").dropDuplicates(["q", "query", "id"]).withColumn("similarity", dot(F.col("v"), F.col("qv")) / F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(1e-300)))
     w = Window.partitionBy("query")
     ranked = exact.withColumn("rank", F.row_number().over(w.orderBy(F.col("similarity").desc(), "id")).cast("long")).withColumn("candidates", F.count(F.lit(1)).over(w))
     return ranked.filter(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(vec_id), "similarity", "rank", "candidates")
