@@ -316,7 +316,7 @@ class _Reorder(StatefulProcessor):
         self.folded = handle.getValueState("folded", "state binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        now, late, kept, due = timerValues.getCurrentWatermarkInMs(), [], [], set()
+        now, late, kept = timerValues.getCurrentWatermarkInMs(), [], []
         for pdf in rows:
             for rec in pdf.to_dict("records"):
                 us = None if pd.isna(rec["event_us"]) else int(rec["event_us"])
@@ -324,20 +324,25 @@ class _Reorder(StatefulProcessor):
                     late.append({c: rec.get(c) for c in self.columns} | {"late": True})
                 else:
                     kept.append((us, pickle.dumps(rec)))
-                    due.add(us // 1000 + 1)
         if kept:
             self.waiting.appendList(kept)
-        for ms in due:
-            self.handle.registerTimer(ms)
+            self._wake(kept)
         yield pd.DataFrame(late, columns=[*self.columns, "late"])
 
+    def _wake(self, rows) -> None:
+        """One timer, at the earliest of the rows: it steps every row that the watermark has passed by then and
+        sets the next one, so a key has no timer for each of its rows."""
+        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get()) if self.waiting.exists() else []
         ready = [r for r in held if r[0] < now]
+        rest = [tuple(r) for r in held if r[0] >= now]
         out: list[dict] = []
+        if rest:
+            self._wake(rest)
         if ready:
-            rest = [tuple(r) for r in held if r[0] >= now]
             if rest:
                 self.waiting.put(rest)
             else:

@@ -181,6 +181,70 @@ def test_out_of_order_rows_are_folded_in_order(spark, tmpdir_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(late).collect()) == [-3, -2]
 
 
+def test_a_key_has_one_timer_for_its_waiting_rows():
+    import pandas as pd
+
+    from opsmill.operators import folds
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def clear(self):
+            self.rows = []
+
+        def update(self, row):
+            self.rows = row
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = set(), 0
+
+        def getListState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            self.timers.add(ms)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    base = dt.datetime(2024, 1, 1)
+    p, h = J._Reorder("ts", ["event_id"], folds.ThrottleFirst("ts", ["user_id", "event_id"], 60.0), ["user_id", "event_id", "emitted"]), Handle()
+    p.init(h)
+    us = [1_000_000 * i for i in range(200, 0, -1)]
+    frame = pd.DataFrame({"user_id": 1, "event_id": range(200), "ts": [base + dt.timedelta(microseconds=u) for u in us], "event_us": us})
+    list(p.handleInputRows((1,), iter([frame]), Times(0)))
+    assert h.timers == {1001} and h.calls == 1
+    got = []
+    for now in (50_000, 150_000, 300_000):
+        for _ in sorted(t for t in h.timers if t <= now):
+            got += pd.concat(list(p.handleExpiredTimer((1,), Times(now), None)))["event_id"].tolist()
+        h.timers = {t for t in h.timers if t > now}
+        assert len(h.timers) <= 1
+    assert got == list(range(199, -1, -1)) and not h.timers
+
+
 def test_debounced_stream_equals_batch(spark, tmpdir_path):
     from opsmill.operators import folds
 
