@@ -178,3 +178,48 @@ def test_exports_in_all_formats(spark, tmpdir_path):
     assert back.filter("field = 'body' and value like '%<b>&</b>%line'").count() == 333
     with pytest.raises(ValueError):
         S.write_user_export(req, "user_id", sources, tmpdir_path, "doc")
+
+
+def test_links_are_worked_out_once_and_verified_in_blocks(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+    from opsmill.operators import documents as DOC
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        first = [rng.choice(words) for _ in range(60)]
+        texts += [" ".join(first[:k] + [rng.choice(words)] + first[k + 1:]) if k else " ".join(first) for k in (0, 0, 3, 30, 58, 59)]
+    texts += [None, "", "one two", "one two", "...", " ".join(["same"] * 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(t):
+        w = (t or "").split() if t != "..." else []
+        return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = {i: grams(t) for i, t in enumerate(texts) if grams(t)}
+    reps = {}
+    for i, g in sets.items():
+        reps.setdefault(g, i)
+    want = {(reps[g], i, 1.0) for i, g in sets.items() if reps[g] != i}
+    for g, a in reps.items():
+        for f, b in reps.items():
+            j = len(g & f) / len(g | f)
+            if a < b and j >= 0.8:
+                want.add((a, b, round(j, 9)))
+    assert len(want) > 60
+    for size in (1, 2, 32):
+        monkeypatch.setattr(DOC, "BLOCK_DOCS", size)
+        assert {(r["a"], r["b"], round(r["jaccard"], 9)) for r in DOC.near_duplicates(docs).collect()} == want
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame(pd.DataFrame({"a": range(50), "b": range(1, 51)})).repartition(3).mapInPandas(counted, "a long, b long")
+    assert DOC.connected_components(edges).filter("label = 0").count() == 51
+    assert runs.value == 50
