@@ -152,3 +152,47 @@ def test_wide_and_nodes_join_their_children_in_order(spark):
                 path += [k] if k % 4 else [k, 100 + 10 * k + (a if k == 4 else b)]
             want.append(path)
     assert got == sorted(want)
+
+
+def test_deep_uneven_trees_roll_up_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    nodes, edges = [], []
+    for t in range(8):
+        ids = list(range(40))
+        kids: dict = {}
+        for i in ids[1:]:
+            kids.setdefault(rng.randrange(max(0, i - 6), i), []).append(i)
+        for i in ids:
+            nodes.append((t, i, rng.choice(["and", "or"]) if i in kids or i % 9 == 8 else "leaf", rng.randrange(1, 6), rng.randrange(5)))
+            edges += [(t, i, k, p) for p, k in enumerate(kids.get(i, []))]
+    n = spark.createDataFrame(nodes, "tree_id long, node_id long, node_type string, difficulty int, cost int")
+    e = spark.createDataFrame(edges, "tree_id long, parent long, child long, pos int")
+    kind, kids = {(t, i): (k, d, c) for t, i, k, d, c in nodes}, {}
+    for t, a, b, _ in edges:
+        kids.setdefault((t, a), []).append(b)
+
+    def roll(t, i):
+        k, d, c = kind[t, i]
+        below = [roll(t, x) for x in kids.get((t, i), [])]
+        if not below:
+            return (float(d), float(c)) if k == "leaf" else (0.0, 0.0)
+        return tuple((min if k == "or" else f)(x[j] for x in below) for j, f in ((0, max), (1, sum)))
+
+    want = sorted((t, i, *roll(t, i)) for t, i in kind)
+    assert rows(R.tree_rollup(n, e), "tree_id", "node_id", "difficulty", "cost") == want
+    # a two-level tree: the edges and the nodes are written, then two rounds of a level and what is left to do
+    cuts = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, cut=R.cut_lineage: cuts.append(1) or cut(df))
+    flat_n = spark.createDataFrame([(1, 0, "or", 0, 0), (1, 10, "and", 0, 0), (1, 1, "leaf", 2, 3), (1, 2, "leaf", 4, 1)], n.schema)
+    flat_e = spark.createDataFrame([(1, 0, 10, 0), (1, 10, 1, 0), (1, 10, 2, 1)], e.schema)
+    assert rows(R.tree_rollup(flat_n, flat_e).filter("node_id = 0"), "difficulty", "cost") == [(4.0, 4.0)]
+    assert len(cuts) == 6
+
+
+def test_path_queries_make_rows_of_mitigated_steps_only(spark):
+    paths = spark.createDataFrame([(1, "a", [0, 1]), (1, "b", [0, 2, 3]), (2, "c", [0, 1]), (3, "d", [0])], "tree_id long, path_id string, path array<long>")
+    shut = spark.createDataFrame([(1, 3), (1, 9), (3, 7)], "tree_id long, node_id long")
+    cover = R.path_coverage(paths, shut)
+    assert rows(cover, "tree_id", "total_paths", "blocked_paths", "open_paths") == [(1, 2, 1, 1), (2, 1, 0, 1), (3, 1, 0, 1)]
+    assert "explode" not in cover._jdf.queryExecution().toString()
+    assert rows(R.mitigation_priority(paths, shut), "tree_id", "node_id", "paths_blocked", "coverage_impact") == [(1, 3, 1, 50.0)]
