@@ -8,14 +8,15 @@ and 12 after it: one convolution of width 5 over characters (each character know
 in the candidate or around it), rectified, pooled by maximum over the window and by maximum
 and mean over the candidate, then two dense layers. Copies of each training window without its
 surroundings, cut to a random part of at least 16 characters, teach it to judge a candidate alone and
-at any length. Scores are calibrated by a logistic curve on windows kept apart, and the threshold is
-the highest one that still finds at least ``RECALL`` of the held-apart findings of every base kind, as
+at any length. Scores are calibrated by a logistic curve on the quarter of the windows kept apart, and the
+threshold is the highest one that still finds at least ``RECALL`` of the held-apart findings of every base kind, as
 they are and as such copies. Candidates over it that no base finding overlaps are added as kind
 ``learned``; base findings always stay.
 
-The network is fitted on the driver on at most ``SAMPLE_EACH`` different windows a class (chosen by
-hash, of at most 512 characters); all candidates of all texts are judged, in one scan, in blocks
-of positions, so a candidate of any length needs bounded memory.
+All different windows of all texts teach or calibrate; none is left out. They are dealt into shards of about
+``SHARD_BYTES``; in each epoch every shard trains a copy of the network in a task of its own, and the copies are
+averaged. All candidates of all texts are judged, in one scan, in blocks of positions, so a
+candidate of any length needs bounded memory; one of more than ``PART_CHARS`` characters is taught by random parts.
 
 Defined results: null and empty texts have no spans; spans count code points, end exclusive, over the
 whole match; repeated rows each get a row; if the table shows no findings, or nothing but findings,
@@ -25,10 +26,9 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmill.llm import arrays as A
-from opsmill.llm.sampling import bounded
+from opsmill.operators.relational import rank_quantiles
+from opsmill.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "learned")
 BEFORE, AFTER = 24, 12
-SAMPLE_EACH = 1000
 LEAST = 16
-SAMPLE_CHARS = 512
+PART_CHARS = 512
+#: Bytes of windows in a shard, windows of each class in it at least, and partitions whose sums meet on the driver at most.
+SHARD_BYTES, SHARD_LEAST, MOST_PARTS = 1 << 19, 16, 64
 RECALL = 0.99
 RADIUS, FILTERS, HIDDEN = 2, 24, 16
 EPOCHS, BATCH = 12, 128
@@ -203,71 +205,135 @@ def _gradients(net: Network, w: Windows, label: np.ndarray) -> list[np.ndarray]:
     return [d_table, d_h.sum(axis=0), pooled.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d, np.array([d.sum()])]
 
 
-def fit(texts: Sequence[bytes], start: np.ndarray, end: np.ndarray, kind: np.ndarray, epochs: int = EPOCHS, recall: float = RECALL, seed: int = 13) -> Network | None:
-    """A calibrated network from windows (bytes, with the candidate's place in them); kind -1 is no secret.
+def _start(seed: int) -> Network:
+    rng = np.random.default_rng(seed)
+    return Network(rng.normal(0, 0.3, (2 * RADIUS + 1, 2 * SYMBOLS, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, (3 * FILTERS, HIDDEN)), np.zeros(HIDDEN),
+                   rng.normal(0, 0.3, HIDDEN), np.zeros(1))
 
-    A quarter of the windows, by hash of their bytes, is kept apart for calibration; None without both classes in
-    both parts.
-    """
-    apart = np.array([hashlib.sha256(t).digest()[0] % 4 == 0 for t in texts], dtype=bool)
-    label = (kind >= 0).astype(np.float64)
-    if not all(0 < label[part].sum() < part.sum() for part in (apart, ~apart)):
-        return None
+
+def _params(net: Network) -> list[np.ndarray]:
+    return [net.table, net.bias, net.dense, net.dense_bias, net.out, net.out_bias]
+
+
+def _part(start: np.ndarray, end: np.ndarray, alone: np.ndarray, size_draw: np.ndarray, place_draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the part that is read: the whole candidate, or for copies a part of at least ``LEAST`` and at most
+    ``PART_CHARS`` characters, by two draws from [0, 1)."""
+    whole = end - start
+    most = np.minimum(whole, PART_CHARS)
+    least = np.minimum(LEAST, most)
+    size = np.where(alone, least + (size_draw * (most - least + 1)).astype(np.int64), whole)
+    a = start + (place_draw * (whole - size + 1)).astype(np.int64)
+    return a, a + size
+
+
+def _epoch(net: Network, first: list, second: list, step: int, texts: Sequence[bytes], start: np.ndarray, end: np.ndarray, kind: np.ndarray, seed: Sequence[int]) -> tuple[list, int]:
+    """Adam steps over one shard, from a shared network and moments: the three of them afterwards, and the number of
+    steps. Each window counts once as it is (if it is not too long for that) and once alone; classes in equal shares."""
+    net = replace(net, **{k: getattr(net, k).copy() for k in ("table", "bias", "dense", "dense_bias", "out", "out_bias")})
+    params, first, second = _params(net), [x.copy() for x in first], [x.copy() for x in second]
     data = A.texts_of(pa.array(list(texts), pa.binary()))
-    start, end = start + data.at[:-1], end + data.at[:-1]
-    rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.3, (2 * RADIUS + 1, 2 * SYMBOLS, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, (3 * FILTERS, HIDDEN)), np.zeros(HIDDEN),
-                  rng.normal(0, 0.3, HIDDEN), np.zeros(1))
-    params = [net.table, net.bias, net.dense, net.dense_bias, net.out, net.out_bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-
-    def drawn(i: np.ndarray, alone: np.ndarray) -> Windows:
-        """Windows as they are, or alone and cut to a random part."""
-        size = np.where(alone, rng.integers(np.minimum(LEAST, end[i] - start[i]), end[i] - start[i] + 1), end[i] - start[i])
-        a = start[i] + (rng.random(len(i)) * (end[i] - start[i] - size + 1)).astype(np.int64)
-        return windows(data, i, a, a + size, alone)
-
-    # each training window once as it is and once alone; classes in equal shares
-    rows = np.flatnonzero(~apart)
-    pick = np.concatenate([rows, rows])
-    alone = np.repeat([False, True], len(rows))
-    chance = np.where(label[pick] == 1, 0.5 / label[pick].sum(), 0.5 / (1 - label[pick]).sum())
-    step = 0
-    for _ in range(epochs * max(1, len(pick) // BATCH)):
+    start, end, label = start + data.at[:-1], end + data.at[:-1], (kind >= 0).astype(np.float64)
+    rows = np.arange(len(kind))
+    pick, alone = np.concatenate([rows, rows]), np.repeat([False, True], len(rows))
+    alone |= (end - start)[pick] > PART_CHARS
+    n = [max((1 - label[pick]).sum(), 1), max(label[pick].sum(), 1)]
+    chance = np.where(label[pick] == 1, 1 / n[1], 1 / n[0])
+    chance /= chance.sum()
+    rng = np.random.default_rng(list(seed))
+    steps = max(1, len(pick) // BATCH)
+    for t in range(step + 1, step + steps + 1):
         i = rng.choice(len(pick), min(BATCH, len(pick)), p=chance)
-        w = drawn(pick[i], alone[i])
-        step += 1
+        a, b = _part(start[pick[i]], end[pick[i]], alone[i], rng.random(len(i)), rng.random(len(i)))
+        w = windows(data, pick[i], a, b, alone[i])
         for p, g, m, v in zip(params, _gradients(net, w, label[pick[i]]), first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    held = np.flatnonzero(apart)
-    both = np.concatenate([held, held])
-    w = drawn(both, np.repeat([False, True], len(held)))
-    net.curve = _curve(net.logits(w), label[both])
-    score = net.scores(w)
-    limits = []
-    for k in np.unique(kind[both][kind[both] >= 0]):
-        of = np.sort(score[kind[both] == k])
-        limits.append(of[int(np.floor((1 - recall) * len(of)))])
-    net.threshold = float(min(limits))
+            p -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return [*params, *first, *second], steps
+
+
+def _shards(taught: DataFrame, sizes: dict[int, tuple[int, int]]) -> tuple[DataFrame, int]:
+    """(shard, rows): all windows dealt by hash into arrays of about ``SHARD_BYTES``. A class with too few windows
+    for that is dealt to several shards, so that each shard has some of both."""
+    n = max(1, -(-sum(b for _, b in sizes.values()) // SHARD_BYTES))
+    place = F.pmod(F.xxhash64("key", "start"), F.lit(n))
+    copies = F.lit(1)
+    for label, (count, _) in sizes.items():
+        copies = F.when(F.col("label") == label, F.lit(min(n, -(-SHARD_LEAST * n // count)) if count < SHARD_LEAST * n else 1)).otherwise(copies)
+    dealt = taught.withColumn("__c", copies).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))
+    dealt = dealt.withColumn("shard", F.pmod(place + F.col("__j") * F.floor(F.lit(n) / F.col("__c")), F.lit(n)).cast("long"))
+    return dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("key", "start", "end", "kind", "window"))).alias("rows")), n
+
+
+def _taught(taught: DataFrame, sizes: dict[int, tuple[int, int]], epochs: int, seed: int) -> Network:
+    """The network after ``epochs`` rounds over all shards: each task trains its shards from the same network, and
+    networks and moments are averaged by the number of windows."""
+    net = _start(seed)
+    shards, n = _shards(taught, sizes)
+    dealt = cut_lineage(shards).rdd.map(lambda r: (r["shard"], r["rows"])).partitionBy(min(n, MOST_PARTS), int)  # stays shuffled from round to round
+    sc = taught.sparkSession.sparkContext
+    first, second = [np.zeros_like(p) for p in _params(net)], [np.zeros_like(p) for p in _params(net)]
+    step = 0
+    for epoch in range(epochs):
+        shared = sc.broadcast((net, first, second, step))
+
+        def run(part, shared=shared, epoch=epoch):
+            total, weight, steps = None, 0, 0
+            for shard, rows in sorted(part, key=lambda x: x[0]):
+                place = [np.array([r[c] for r in rows], dtype=np.int64) for c in ("start", "end", "kind")]
+                got, done = _epoch(*shared.value, [bytes(r["window"]) for r in rows], *place, seed=(seed, epoch, shard))
+                got = [len(rows) * x for x in got]
+                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
+                weight, steps = weight + len(rows), max(steps, done)
+            return [] if total is None else [(total, weight, steps)]
+
+        parts = dealt.mapPartitions(run).collect()  # at most MOST_PARTS sums, in the order of the partitions
+        weight = sum(w for _, w, _ in parts)
+        mean = [sum(x) / weight for x in zip(*(t for t, _, _ in parts), strict=True)]
+        k = len(mean) // 3
+        net, first, second, step = Network(*mean[:k]), mean[k:2 * k], mean[2 * k:], step + max(s for _, _, s in parts)
+        shared.unpersist()
     return net
 
 
-def _curve(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Platt's logistic curve by Newton steps, with his smoothed targets and a non-negative slope."""
-    n1, n0 = label.sum(), (1 - label).sum()
-    target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([logit / max(1.0, np.abs(logit).max()), np.ones_like(logit)], axis=1)
+def _judged(held: DataFrame, net: Network) -> DataFrame:
+    """(logit, label, kind) of each window as it is and of a part of it alone, drawn by the window's hash."""
+    shared = held.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in A.slices(batch.column(0)):
+                b = batch.slice(lo, hi - lo)
+                data = A.texts_of(b.column(0))
+                start, end, kind = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+                start, end = start + data.at[:-1], end + data.at[:-1]
+                draws = [np.array([int(k.as_py()[i:i + 8], 16) / 2**32 for k in b.column(4)]) for i in (8, 16)]
+                for alone in (False, True):
+                    flag = np.full(len(kind), alone)
+                    x, y = _part(start, end, flag, *draws)
+                    logit = shared.value.logits(windows(data, np.arange(len(kind)), x, y, flag))
+                    yield pa.RecordBatch.from_arrays([pa.array(logit), pa.array((kind >= 0).astype(np.int64)), pa.array(kind)], names=["logit", "label", "kind"])
+
+    return held.select("window", "start", "end", "kind", "key").mapInArrow(lambda b: A.released(run(b)), "logit double, label long, kind long")
+
+
+def _curve(judged: DataFrame) -> tuple[float, float]:
+    """Platt's logistic curve by Newton steps over all judged windows, with his smoothed targets and a non-negative slope."""
+    n1, n0, top = judged.agg(F.sum("label"), F.sum(1 - F.col("label")), F.max(F.abs("logit"))).first()
+    scale = max(1.0, float(top))
+    x = F.col("logit") / F.lit(scale)
+    target = F.when(F.col("label") == 1, F.lit((n1 + 1) / (n1 + 2))).otherwise(F.lit(1 / (n0 + 2)))
     beta = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2)
-        move = np.linalg.solve(hessian, x.T @ (target - p) - 1e-6 * beta)
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x * F.lit(float(beta[0])) + F.lit(float(beta[1]))))
+        d = judged.select(x.alias("x"), target.alias("t"), (1 / (1 + F.exp(-z))).alias("p")).withColumn("w", F.col("p") * (1 - F.col("p")) + F.lit(1e-9))
+        off = F.col("t") - F.col("p")
+        xx, x1, one, gx, g1 = d.agg(F.sum(F.col("x") * F.col("x") * F.col("w")), F.sum(F.col("x") * F.col("w")), F.sum("w"), F.sum(F.col("x") * off), F.sum(off)).first()
+        move = np.linalg.solve(np.array([[xx, x1], [x1, one]]) + 1e-6 * np.eye(2), np.array([gx, g1]) - 1e-6 * beta)
         beta = beta + move * min(1.0, 5 / max(np.abs(move).max(), 1e-12))
         if np.abs(move).max() < 1e-9:
             break
-    return max(float(beta[0]), 1e-9) / max(1.0, float(np.abs(logit).max())), float(beta[1])
+    return max(float(beta[0]), 1e-9) / scale, float(beta[1])
 
 
 def labelled_windows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -280,8 +346,6 @@ def labelled_windows(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts = A.texts_of(batch.column(0).slice(lo, hi - lo))
                 row, start, end = candidates(texts)
                 kind = kinds_of(start, end, base_findings(texts))
-                keep = end - start <= SAMPLE_CHARS
-                row, start, end, kind = row[keep], start[keep], end[keep], kind[keep]
                 a, b = np.maximum(start - BEFORE, texts.at[row]), np.minimum(end + AFTER, texts.at[row + 1])
                 made = [texts.data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(start - a), pa.array(end - a), pa.array(kind), pa.array((kind >= 0).astype(np.int64))],
@@ -291,13 +355,22 @@ def labelled_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.dropDuplicates(["window", "start"]).withColumn("key", F.sha2("window", 256))
 
 
-def train(docs: DataFrame, text: str = "text", sample_each: int = SAMPLE_EACH) -> Network | None:
-    """Fit the network on a bounded sample of the different windows of all texts."""
-    found = labelled_windows(docs, text)
-    rows = bounded(found, ["key", "start"], "label", sample_each).collect()  # about 2 * sample_each short windows
-    rows.sort(key=lambda r: (r["key"], r["start"]))
-    place = [np.array([r[c] for r in rows], dtype=np.int64) for c in ("start", "end", "kind")]
-    return fit([bytes(r["window"]) for r in rows], *place) if rows else None
+def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS, recall: float = RECALL, seed: int = 13) -> Network | None:
+    """A calibrated network from all different windows of all texts. A quarter of them, by hash of their bytes, is
+    kept apart for the calibration; None without both classes in both parts."""
+    found = cut_lineage(labelled_windows(docs, text).withColumn("apart", F.conv(F.substring("key", 1, 2), 16, 10).cast("int") % 4 == 0))
+    sizes = {(r["apart"], r["label"]): (r["n"], r["b"]) for r in found.groupBy("apart", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("window")).alias("b")).collect()}
+    if len(sizes) < 4:
+        return None
+    net = _taught(found.filter("not apart"), {k: sizes[False, k] for k in (0, 1)}, epochs, seed)
+    judged = cut_lineage(_judged(found.filter("apart"), net))
+    net.curve = _curve(judged)
+    a, b = net.curve
+    counts = {r["kind"]: r["n"] for r in judged.filter("kind >= 0").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks = {f"of_{k}": (int(np.floor((1 - recall) * n)) + 0.5) / n for k, n in counts.items()}  # the next rank behind the share that may be missed
+    least = min(r[f"of_{r['kind']}"] for r in rank_quantiles(judged.filter("kind >= 0"), ["kind"], "logit", ranks).collect())
+    net.threshold = float(1 / (1 + np.exp(-np.clip(a * least + b, -500, 500))))
+    return net
 
 
 def scan(docs: DataFrame, net: Network | None, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

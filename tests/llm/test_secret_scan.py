@@ -111,6 +111,24 @@ def test_forward_pass_equals_the_definition_in_any_block(net, monkeypatch):
         assert got.shape == (3,) and np.allclose(got, want)
 
 
+def test_every_window_teaches_or_calibrates(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_BYTES", 4096)
+    seen = S.labelled_windows(docs.unionByName(spark.createDataFrame([(9999, "token = " + "ab12" * 300, "x")], docs.schema)))
+    found = seen.withColumn("apart", S.F.col("key") < "4")
+    sizes = {r["label"]: (r["n"], r["b"]) for r in found.groupBy("label").agg(S.F.count("*").alias("n"), S.F.sum(S.F.length("window")).alias("b")).collect()}
+    shards, n = S._shards(found, sizes)
+    got = shards.collect()
+    assert n > 5 and len(got) == n and all({x["kind"] >= 0 for x in r["rows"]} == {False, True} for r in got)
+    assert {(x["key"], x["start"]) for r in got for x in r["rows"]} == {(r["key"], r["start"]) for r in found.collect()}
+    assert sum(len(r["rows"]) for r in got) <= found.count() + 2 * n * S.SHARD_LEAST
+    few = {0: (sizes[0][0], 10**6), 1: (2, 100)}
+    rare = found.filter("label = 0").unionByName(found.filter("label = 1").limit(2))
+    assert all(any(x["kind"] >= 0 for x in r["rows"]) for r in S._shards(rare, few)[0].collect())
+    net = S.train(docs, epochs=2)
+    judged = S._judged(found.filter("apart"), net)
+    assert judged.count() == 2 * found.filter("apart").count()
+
+
 def test_gradients_match_finite_differences():
     rng = np.random.default_rng(0)
     data = A.texts_of(pa.array(["a token=abc123def456ghi789 b", "c 0123456789012345678 d"]))
