@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmill.functions.structured import capped_score
 from opsmill.functions.text import front_matter, quoted_phrases, spec_name
-from opsmill.session import bounded, cut_lineage
+from opsmill.session import bounded, cut_lineage, spread
 
 ENDPOINT_COLS = ["repository", "method", "path", "auth", "source_kind"]
 HTTP_VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
@@ -56,16 +57,33 @@ def asyncapi_channels(corpus: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- C9 YAML keys
 def yaml_key_scan(corpus: DataFrame) -> DataFrame:
     """Every ``key:`` line of a YAML file -> (path, line, indent, key, value,
-    parent_line). The parent is the nearest earlier key line with a smaller indent, by one
-    window for each indent of the file, so no line is compared with every other line and no depth is cut."""
-    lines = corpus.filter(F.col("path").rlike(r"\.ya?ml$")).select("repository", "path", F.posexplode(F.split("content", "\n")).alias(
-        "i", "text"))
+    parent_line). The parent is the nearest earlier key line with a smaller indent. Lines are matched and
+    linked inside the file's row, so nothing is shuffled and no depth is cut."""
     rx = r"^(\s*)(?:-\s+)?(\"[^\"]+\"|'[^']+'|[^\s:#][^:#]*?)\s*:(?:\s+(.*))?$"
-    k = lines.filter(F.col("text").rlike(rx) & ~F.trim("text").startswith("#")).select(
-        "repository", "path", (F.col("i") + 1).alias("line"), F.length(F.regexp_extract("text", rx, 1)).alias("indent"),
-        F.regexp_replace(F.regexp_extract("text", rx, 2), r"^['\"]|['\"]$", "").alias("key"),
-        F.trim(F.regexp_extract("text", rx, 3)).alias("value"))
-    return _at_own_level(k, "line", F.last(F.when(F.col("indent") < F.col("level"), F.col("line")), ignorenulls=True), before=True, out="parent_line")
+    lines = F.transform(F.split("content", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    found = F.filter(lines, lambda x: x["text"].rlike(rx) & ~F.trim(x["text"]).startswith("#"))
+    cells = F.transform(found, lambda x: F.struct(
+        x["line"].alias("line"), F.length(F.regexp_extract(x["text"], rx, 1)).alias("indent"),
+        F.regexp_replace(F.regexp_extract(x["text"], rx, 2), r"^['\"]|['\"]$", "").alias("key"),
+        F.trim(F.regexp_extract(x["text"], rx, 3)).alias("value")))
+    files = spread(corpus.filter(F.col("path").rlike(r"\.ya?ml$")).select("repository", "path", "content"))
+    k = files.select("repository", "path", cells.alias("cells")).filter(F.size("cells") > 0)
+    k = k.withColumn("up", F.pandas_udf(_nearest_lower, "array<int>")(F.col("cells.line"), F.col("cells.indent")))
+    return k.select("repository", "path", F.explode(F.arrays_zip("cells", "up")).alias("x")).select("repository", "path", "x.cells.*", F.col("x.up").alias("parent_line"))
+
+
+def _nearest_lower(lines: pd.Series, indents: pd.Series) -> pd.Series:
+    """For each row, and each of its lines in order: the nearest earlier line with a smaller indent, or None."""
+    def one(lines, indents) -> list:
+        out, above = [], []
+        for line, indent in zip(lines, indents, strict=True):
+            while above and above[-1][1] >= indent:
+                above.pop()
+            out.append(above[-1][0] if above else None)
+            above.append((int(line), indent))
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(lines, indents, strict=True)], dtype=object)
 
 
 def _at_own_level(rows: DataFrame, order: str, value: Column, before: bool, out: str) -> DataFrame:

@@ -172,6 +172,27 @@ def test_yaml_parents(spark):
     assert by_key[("delete", 11)] == 10
 
 
+def test_yaml_lines_are_linked_without_a_shuffle(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = ["\n".join(" " * rng.randrange(8) + f"k{i}: v" if rng.random() < 0.8 else rng.choice(["# a: b", "", "plain"]) for i in range(60)) for _ in range(20)] + ["", None, "plain", "a: 1"]
+    files = spark.createDataFrame([("r", f"f{i}.yaml", t) for i, t in enumerate(texts)] + [("r", "f0.yaml", texts[0])], "repository string, path string, content string")
+    k = INV.yaml_key_scan(files)
+    want = []
+    for i, t in [*enumerate(texts), (0, texts[0])]:
+        seen = []
+        for n, line in enumerate((t or "").split("\n"), 1):
+            if ":" in line and not line.strip().startswith("#"):
+                indent = len(line) - len(line.lstrip())
+                up = [a for a, b in seen if b < indent]
+                want.append((f"f{i}.yaml", n, indent, up[-1] if up else None))
+                seen.append((n, indent))
+    got = [tuple(r) for r in k.select("path", "line", "indent", "parent_line").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "Exchange" not in k._jdf.queryExecution().executedPlan().toString()
+
+
 def test_link_and_reconcile(spark):
     spec = spark.createDataFrame([("ecm", "GET", "/a", "unspecified", "OpenAPI spec"), ("ecm", "GET", "/b", "unspecified", "OpenAPI spec")],
                                  ",".join(f"{c} string" for c in INV.ENDPOINT_COLS))
