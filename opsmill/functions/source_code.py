@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsmill.session import spread
+
 _QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _NAME, _NUMBER = r"[\p{L}_$][\w$]*+", r"\d[\w.]*+"
 _SLASHED = r"//[^\n]*+|(?s:/\*.*?\*/)"
@@ -32,13 +34,14 @@ def segments(corpus: DataFrame, language: str) -> DataFrame:
     comment, string, ends, (opening, closing) = LANGUAGES[language]
     kinds = [comment, string, _NAME, _NUMBER, ":=", "=>", *([r"\n"] if "\n" in ends else []), r"[^\s]"]
     found = F.regexp_extract_all("content", F.lit("|".join(kinds)), F.lit(0))
-    rows = corpus.select("repository", "path", F.posexplode(found).alias("pos", "t")).filter(~F.col("t").rlike(rf"^(?:{comment})$") | F.col("t").isin(*ends))
+    files = spread(corpus.select("repository", "path", "content"))
+    rows = files.select("repository", "path", F.posexplode(found).alias("pos", "t")).filter(~F.col("t").rlike(rf"^(?:{comment})$") | F.col("t").isin(*ends))
     w = Window.partitionBy("repository", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens, closes = F.col("t").isin(*opening).cast("int"), F.col("t").isin(*closing).cast("int")
     rows = rows.withColumn("d", F.sum(opens - closes).over(w) - opens)
     end = (F.col("t").isin(*ends) & (F.col("d") <= 0)).cast("int")
     rows = rows.withColumn("seg", F.sum(end).over(w) - end).filter(F.col("t") != "\n")
-    cells = F.array_sort(F.collect_list(F.struct("pos", "t", "d")))
+    cells = F.sort_array(F.collect_list(F.struct("pos", "t", "d")))
     grouped = rows.groupBy("repository", "path", "seg").agg(cells.alias("c"))
     return grouped.select("repository", "path", "seg", F.transform("c", lambda x: F.struct(x["t"], x["d"])).alias("ts"))
 
@@ -64,13 +67,14 @@ def places(ts: Column, test: Callable[[Column], Column]) -> Column:
 
 def close_of(ts: Column, i: Column) -> Column:
     """Place of the bracket that closes the one at ``i`` (the end of the statement, if none does)."""
-    found = let(depth(ts, i), lambda d: F.array_min(places(ts, lambda j: (j > i) & (depth(ts, j) == d) & tok(ts, j).isin(")", "]", "}"))))
+    # the place is worked out once, not for every cell it is held against
+    found = let(i, lambda p: let(depth(ts, p), lambda d: F.array_min(places(ts, lambda j: (j > p) & (depth(ts, j) == d) & tok(ts, j).isin(")", "]", "}")))))
     return F.coalesce(found, F.size(ts))
 
 
 def inside(ts: Column, i: Column) -> Column:
     """The cells between the bracket at ``i`` and the one that closes it."""
-    return F.slice(ts, i + 2, F.greatest(close_of(ts, i) - i - 1, F.lit(0)))
+    return let(i, lambda p: F.slice(ts, p + 2, F.greatest(close_of(ts, p) - p - 1, F.lit(0))))
 
 
 def text_of(ts: Column) -> Column:

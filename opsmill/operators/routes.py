@@ -94,9 +94,9 @@ def _route_arguments(ts: Column, i: Column) -> Column:
     def paths(args: Column) -> Column:
         one = F.coalesce(S.keyword(args, "path", ":"), F.when(S.is_string(S.tok(args, 0)), S.unquote(S.tok(args, 0))), F.lit(""))
         many = F.when(S.tok(args, 0) == "[", S.strings(S.inside(args, F.lit(0))))
-        return F.when(F.size(many) > 0, many).otherwise(F.array(one))
+        return S.let(many, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(one)))
 
-    return F.when(S.tok(ts, i + 1) == "(", S.let(S.inside(ts, i + 1), paths)).otherwise(F.array(F.lit("")))
+    return S.let(i, lambda p: F.when(S.tok(ts, p + 1) == "(", S.let(S.inside(ts, p + 1), paths)).otherwise(F.array(F.lit(""))))
 
 
 def nestjs_routes(corpus: DataFrame, global_prefix: str = "", exclude: Sequence[str] = (), webhook_paths: Sequence[str] = ()) -> DataFrame:
@@ -111,7 +111,8 @@ def nestjs_routes(corpus: DataFrame, global_prefix: str = "", exclude: Sequence[
     ts = F.col("ts")
     guards = F.transform(_decorators(ts, ["UseGuards"]), lambda i: S.text_of(S.inside(ts, i + 1)))
     head = F.get(_decorators(ts, ["Controller"]), F.lit(0))
-    x = S.segments(files, "script").select(*_FILE, "seg", head.isNotNull().alias("is_class"), F.get(_route_arguments(ts, head), F.lit(0)).alias("base"), guards.alias("guards"),
+    decorated = S.segments(files, "script").filter(F.exists(ts, lambda c: c["t"] == "@"))  # the other statements hold no route
+    x = decorated.select(*_FILE, "seg", head.isNotNull().alias("is_class"), F.get(_route_arguments(ts, head), F.lit(0)).alias("base"), guards.alias("guards"),
                                            F.transform(_decorators(ts, NEST_VERBS), lambda i: F.struct(S.tok(ts, i).alias("verb"), _route_arguments(ts, i).alias("paths"))).alias("routes"))
     x = x.filter(F.col("is_class") | (F.size("routes") > 0))
     w = Window.partitionBy(*_FILE).orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
