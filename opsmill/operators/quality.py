@@ -198,14 +198,17 @@ def n_plus_one(log: DataFrame, trace: str, query: str, min_repeats: int = 5) ->
 
 def dataset_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = False) -> DataFrame:
     """Q15: one aggregate pass: rows, nulls, distinct (HyperLogLog unless exact), min and
-    max (as text) per column; one output row per column."""
+    max (as text) per column; one output row per column. Exact distinct values are grouped
+    column by column: a task holds values of one column, not a row for each value of all of them."""
     cols = list(cols or df.columns)
-    dist = (lambda c: F.countDistinct(c)) if exact_distinct else (lambda c: F.approx_count_distinct(c))
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), dist(c).alias(f"distinct_{i}"),
-                 F.min(c).cast("string").alias(f"min_{i}"), F.max(c).cast("string").alias(f"max_{i}")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{i}"), F.min(c).cast("string").alias(f"min_{i}"), F.max(c).cast("string").alias(f"max_{i}")]
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(c).alias(f"distinct_{i}"))
     row = df.agg(*aggs)
+    if exact_distinct:
+        row = row.withColumns({f"distinct_{i}": df.select(F.col(c).alias("v")).distinct().select(F.count("v")).scalar() for i, c in enumerate(cols)})
     parts = [F.struct(F.lit(c).alias("column"), F.col("__rows").alias("rows"), F.col(f"nulls_{i}").alias("nulls"),
                       F.col(f"distinct_{i}").cast("long").alias("distinct"), F.col(f"min_{i}").alias("min"),
                       F.col(f"max_{i}").alias("max")) for i, c in enumerate(cols)]
