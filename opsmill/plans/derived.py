@@ -276,37 +276,58 @@ class Derived:
                          .alias("cost_center"),
                          F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").alias("amount"))
 
-    def _leaf_lines(self) -> DataFrame:
-        li = self.t.lineitem
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-        code = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).cast("long")
-        return li.withColumn("leaf_no", F.row_number().over(w).cast("long")).withColumn("flag_code", code)
+    def _tree_rows(self, *more: str) -> DataFrame:
+        """Orders and their lines by tree, in one shuffle that nodes and edges read alike: (tree_id, code, leaf_no, first, *more).
+        ``code`` is 0 or 1 for a root (1: and), a hundred times the flag's number for a line, and 10 more if it is mitigated, 20 if nobody knows;
+        ``first`` marks one line of each flag."""
+        flag = F.when(F.col("l_returnflag") == "A", 100).when(F.col("l_returnflag") == "N", 200).otherwise(300)
+        known = F.when(F.col("l_linestatus").isNull(), 20).when(F.col("l_linestatus") == "F", 10).otherwise(0)
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+        lines = self.t.lineitem.select(F.col("l_orderkey").alias("tree_id"), (flag + known).alias("code"), *order)
+        types = lines.schema
+        roots = self.t.orders.select(F.col("o_orderkey").alias("tree_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("code"),
+                                     *[F.lit(None).cast(types[c].dataType).alias(c) for c in order])
+        rows = roots.unionByName(lines).repartition("tree_id").withColumn("flag_code", F.floor(F.col("code") / 100).cast("long"))
+        w = Window.partitionBy("tree_id").orderBy(F.col("code") < 100, *order)  # lines first; all is numbered in one pass
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = F.greatest(*[F.when(F.col("flag_code") == f, F.count_if(F.col("flag_code") == f).over(so_far) == 1) for f in (1, 2, 3)])
+        return rows.select("tree_id", "code", F.row_number().over(w).cast("long").alias("leaf_no"), "flag_code", first.alias("first"), *more)
 
     @cached_property
     def tree_nodes(self) -> DataFrame:
-        o = self.t.orders
-        z = [F.lit(0).alias("difficulty"), F.lit(0).alias("cost"), F.lit(0).alias("detection_risk"), F.lit(0.0).alias("time_hours"),
-             F.lit(False).alias("requires_insider"), F.lit(False).alias("requires_physical"), F.lit(False).alias("mitigated")]
-        roots = o.select(F.col("o_orderkey").alias("tree_id"), F.lit(0).cast("long").alias("node_id"),
-                         F.when(F.col("o_orderstatus") == "F", "and").otherwise("or").alias("node_type"), *z)
-        lines = self._leaf_lines()
-        mids = lines.select(F.col("l_orderkey").alias("tree_id"), (F.lit(1000) + F.col("flag_code")).alias("node_id"),
-                            F.when(F.col("l_returnflag") == "N", "and").otherwise("or").alias("node_type"), *z).distinct()
-        leaves = lines.select(F.col("l_orderkey").alias("tree_id"), F.col("leaf_no").alias("node_id"), F.lit("leaf").alias("node_type"),
-                              (F.col("l_partkey") % 5 + 1).cast("int").alias("difficulty"), (F.col("l_suppkey") % 5).cast("int").alias("cost"),
-                              ((F.col("l_partkey") + F.col("l_suppkey")) % 5).cast("int").alias("detection_risk"),
-                              F.col("l_quantity").alias("time_hours"), (F.col("l_partkey") % 7 == 0).alias("requires_insider"),
-                              (F.col("l_suppkey") % 11 == 0).alias("requires_physical"), (F.col("l_linestatus") == "F").alias("mitigated"))
-        return roots.unionByName(mids).unionByName(leaves)
+        def node(node_id, node_type, *values):
+            named = zip(("difficulty", "cost", "detection_risk", "time_hours", "requires_insider", "requires_physical", "mitigated"), values, strict=True)
+            return F.struct(node_id.cast("long").alias("node_id"), F.lit(node_type).alias("node_type") if isinstance(node_type, str) else node_type.alias("node_type"),
+                            *[v.alias(n) for n, v in named])
+
+        no = [F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(False), F.lit(False), F.lit(False)]
+        known = F.col("code") % 100
+        leaf = node(F.col("leaf_no"), "leaf", (F.col("l_partkey") % 5 + 1).cast("int"), (F.col("l_suppkey") % 5).cast("int"),
+                    ((F.col("l_partkey") + F.col("l_suppkey")) % 5).cast("int"), F.col("l_quantity"), F.col("l_partkey") % 7 == 0,
+                    F.col("l_suppkey") % 11 == 0, F.when(known == 20, F.lit(None)).otherwise(known == 10))
+        mid = node(F.lit(1000) + F.col("flag_code"), F.when(F.col("flag_code") == 2, "and").otherwise("or"), *no)
+        root = node(F.lit(0), F.when(F.col("code") == 1, "and").otherwise("or"), *no)
+        found = F.when(F.col("code") < 100, F.array(root)).when(F.col("first"), F.array(leaf, mid)).otherwise(F.array(leaf))
+        return self._tree_rows("l_partkey", "l_suppkey", "l_quantity").select("tree_id", F.explode(found).alias("n")).select("tree_id", "n.*")
 
     @cached_property
     def tree_edges(self) -> DataFrame:
-        lines = self._leaf_lines()
-        top = lines.select(F.col("l_orderkey").alias("tree_id"), F.lit(0).cast("long").alias("parent"),
-                           (F.lit(1000) + F.col("flag_code")).alias("child"), F.col("flag_code").alias("pos")).distinct()
-        low = lines.select(F.col("l_orderkey").alias("tree_id"), (F.lit(1000) + F.col("flag_code")).alias("parent"),
-                           F.col("leaf_no").alias("child"), F.col("leaf_no").alias("pos"))
-        return top.unionByName(low)
+        mid = F.lit(1000) + F.col("flag_code")
+
+        def edge(parent, child, pos):
+            return F.struct(parent.cast("long").alias("parent"), child.cast("long").alias("child"), pos.cast("long").alias("pos"))
+
+        low, top = edge(mid, F.col("leaf_no"), F.col("leaf_no")), edge(F.lit(0), mid, F.col("flag_code"))
+        found = F.when(F.col("first"), F.array(low, top)).otherwise(F.array(low))
+        return self._tree_rows().filter("code >= 100").select("tree_id", F.explode(found).alias("e")).select("tree_id", "e.*")
+
+    @cached_property
+    def tree_sizes(self) -> DataFrame:
+        """(tree_id, rows): at least as many as a tree has nodes and edges: two a line and two for each of its flags."""
+        keys = self.t.orders.select(F.col("o_orderkey").alias("tree_id"), F.lit(1).alias("roots"), F.lit(0).alias("lines"))
+        keys = keys.unionByName(self.t.lineitem.select(F.col("l_orderkey").alias("tree_id"), F.lit(0).alias("roots"), F.lit(1).alias("lines")))
+        n = keys.groupBy("tree_id").agg(F.sum("roots").alias("roots"), F.sum("lines").alias("lines"))
+        return n.select("tree_id", (F.col("roots") + 2 * F.col("lines") + 2 * F.least(F.col("lines"), F.lit(3))).alias("rows"))
 
     @cached_property
     def advisories(self) -> DataFrame:

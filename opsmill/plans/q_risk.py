@@ -282,8 +282,9 @@ def q_r18(spark, sf):
 
 def _root_paths(t):
     nodes, edges = _tree(t)
-    paths = R.attack_paths(nodes, edges)
-    return R.root_paths(paths, nodes.filter(F.col("node_id") == 0)), nodes
+    root, large = F.col("node_id") == 0, R.large_trees(t.derived.tree_sizes)
+    paths = R.attack_paths(nodes, edges, large, wanted=root)
+    return R.root_paths(paths, nodes.filter(root)), nodes, large
 
 
 #: Every root path of the two-level trees: middle nodes give one path a leaf (or) or one of all
@@ -306,7 +307,7 @@ steps AS (SELECT tree_id, path_id, unnest(path) AS node_id FROM paths)
 
 @register("r17_attack_paths", sql=PATH_SQL + "SELECT tree_id, path_id, array_to_string(path, ',') AS path FROM paths")
 def q_r17(spark, sf):
-    paths, _ = _root_paths(Tables(spark, sf))
+    paths, *_ = _root_paths(Tables(spark, sf))
     return paths.select("tree_id", "path_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
@@ -317,8 +318,8 @@ SELECT s.tree_id, path_id, count(*) AS steps, CAST(sum(difficulty) AS BIGINT) AS
 FROM steps s JOIN tree_nodes n ON n.tree_id = s.tree_id AND n.node_id = s.node_id AND n.node_type = 'leaf' GROUP BY s.tree_id, path_id
 """)
 def q_r19(spark, sf):
-    paths, nodes = _root_paths(Tables(spark, sf))
-    m = R.path_metrics(paths, nodes)
+    paths, nodes, large = _root_paths(Tables(spark, sf))
+    m = R.path_metrics(paths, nodes, large)
     return m.withColumn("avg_difficulty", r("avg_difficulty", 6)).withColumn("total_time_hours", r("total_time_hours", 6))
 
 
@@ -331,7 +332,7 @@ UNION ALL SELECT l.tree_id, l.leaf, CAST(CASE WHEN root_type = 'or' THEN 1 WHEN
   FROM leaves l JOIN mids m ON m.tree_id = l.tree_id AND m.mid = l.mid JOIN tot ON tot.tree_id = l.tree_id
 """)
 def q_r20(spark, sf):
-    paths, _ = _root_paths(Tables(spark, sf))
+    paths, *_ = _root_paths(Tables(spark, sf))
     return R.critical_nodes(paths)
 
 
@@ -343,7 +344,7 @@ SELECT tree_id, count(*) AS total_paths, CAST(count_if(blocked) AS BIGINT) AS bl
   round(count_if(blocked) / count(*) * 100, 4) AS coverage_percentage, CAST(least(5, count_if(NOT blocked)) AS INTEGER) AS n_open_listed FROM p GROUP BY 1
 """)
 def q_r21(spark, sf):
-    paths, nodes = _root_paths(Tables(spark, sf))
+    paths, nodes, _ = _root_paths(Tables(spark, sf))
     mitigated = nodes.filter((F.col("node_type") == "leaf") & F.col("mitigated")).select("tree_id", "node_id")
     cov = R.path_coverage(paths, mitigated)
     return cov.select("tree_id", "total_paths", "blocked_paths", "open_paths", r("coverage_percentage", 4).alias("coverage_percentage"),
@@ -356,7 +357,7 @@ SELECT s.tree_id, s.node_id, count(*) AS paths_blocked, round(count(*) / any_val
 JOIN tree_nodes n ON n.tree_id = s.tree_id AND n.node_id = s.node_id AND n.node_type = 'leaf' AND n.mitigated JOIN total t ON t.tree_id = s.tree_id GROUP BY 1, 2
 """)
 def q_r22(spark, sf):
-    paths, nodes = _root_paths(Tables(spark, sf))
+    paths, nodes, _ = _root_paths(Tables(spark, sf))
     mitigable = nodes.filter((F.col("node_type") == "leaf") & F.col("mitigated")).select("tree_id", "node_id")
     return R.mitigation_priority(paths, mitigable).withColumn("coverage_impact", r("coverage_impact", 6))
 
